@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, secrets, token_files
+from . import decontam, language, repeats, secrets, token_files
 from .frames import sha256_hex
 
 
@@ -15,12 +15,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.remove_repeats(table(spark, sf_dir, "documents"), n=13)
+    return kept.select("doc_id", "n_words", "n_removed", sha256_hex(F.col("kept")).alias("kept_sha256"))
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
+    return language.identify(docs, model).select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "mixture")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.fresh_path(spark, "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"), vocabulary=50_257, end_id=2)
@@ -44,6 +55,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_token_files": op6_token_files,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op10_secret_scan": op10_secret_scan,
