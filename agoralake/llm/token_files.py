@@ -121,7 +121,7 @@ class TokenFile:
 _SAFE = "!-~¡-ᙿ、-퟿"
 _RUNS = re.compile(rf"(?<![{_SAFE}]) |^ ")
 _SAFE_END = re.compile(rf"[{_SAFE}]")
-_MARKED = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,])")
+_PLAIN = re.compile(rf" ?[{_SAFE}]+")
 _LINES = re.compile(rf" ?[{_SAFE}]+(\n[{_SAFE}]+)*")
 _CUTS = re.compile(rf"(?<=[{_SAFE}])(?= )")
 
@@ -134,52 +134,66 @@ class UnitEncoder:
     character, and the ids of the units join to the ids of the text.
     """
 
-    LIMIT = 700_000
+    LIMIT = 250_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # such strings in a text are ordinary text
+        [self.line_end] = self.library.encode("\n", add_special_tokens=False).ids
         self.cache: dict[str, bytes] = {}
         self.unsafe: set[str] = set()
 
     def _learn(self, units: set[str]) -> None:
+        """Put units into the cache."""
         cache = self.cache
-        if len(cache) > self.LIMIT:
-            cache.clear()
+        if len(cache) > self.LIMIT:  # keep what this block needs
+            self.cache = cache = {u: cache[u] for u in units.intersection(cache)}
             self.unsafe.clear()
-        made: list[tuple[str, list[str]]] = []
+        lines: list[tuple[str, list[str]]] = []
         todo: set[str] = set()
         for u in units.difference(cache):
-            if not _SAFE_END.match(u[-1]):
-                self.unsafe.add(u)
-            parts = self._parts(u)
-            if parts:
-                made.append((u, parts))
+            if "\n" in u and _LINES.fullmatch(u):
+                parts = u.replace("\n", "\0\n\0").split("\0")
+                lines.append((u, parts))
                 todo.update(parts)
             else:
                 todo.add(u)
         todo.difference_update(cache)
-        new = list(todo)
-        for i in range(0, len(new), 20_000):
-            own = new[i : i + 20_000]
-            for unit, e in zip(own, self.library.encode_batch_fast(own, add_special_tokens=False)):
-                cache[unit] = array("I", e.ids).tobytes()
-        for u, parts in made:
+        marked: list[tuple[str, str, str]] = []
+        bare: set[str] = set()
+        for u in todo:
+            # a letter and the mark after it never share a pre-token
+            if u[-1] in ".," and len(u) > 1 and u[-2] < "ɐ" and u[-2].isalpha():
+                marked.append((u, u[:-1], u[-1]))
+                bare.add(u[:-1])
+            elif not _SAFE_END.match(u[-1]):
+                self.unsafe.add(u)
+        todo.difference_update([m[0] for m in marked])
+        todo.update(bare)
+        todo.update([".", ","])
+        todo.difference_update(cache)
+        self._ask(list(todo))
+        for u, word, mark in marked:
+            cache[u] = cache[word] + cache[mark]
+        for u, parts in lines:
             cache[u] = b"".join([cache[p] for p in parts])
 
-    @staticmethod
-    def _parts(unit: str) -> list[str] | None:
-        """Finer units where that is safe: letters and one mark; single line ends between visible characters."""
-        if m := _MARKED.fullmatch(unit):
-            return [m[1], m[2]]
-        if "\n" not in unit or not _LINES.fullmatch(unit):
-            return None
-        out: list[str] = []
-        for i, line in enumerate(unit.split("\n")):
-            out += ["\n"] * bool(i) + ([m[1], m[2]] if (m := _MARKED.fullmatch(line)) else [line])
-        return out
+    def _ask(self, units: list[str]) -> None:
+        """The library's ids of new units; plain ones together, one a line, since a single line end between them is a token."""
+        plain = [u for u in units if _PLAIN.fullmatch(u)]
+        for u in set(units).difference(plain):
+            self.cache[u] = array("I", self.library.encode(u, add_special_tokens=False).ids).tobytes()
+        groups = [plain[i : i + 512] for i in range(0, len(plain), 512)]
+        for k in range(0, len(groups), 32):
+            for own, e in zip(groups[k : k + 32], self.library.encode_batch_fast(["\n".join(g) for g in groups[k : k + 32]], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                ends = (4 * np.append(np.flatnonzero(ids == self.line_end), len(ids))).tolist()
+                data, at = ids.tobytes(), 0
+                for u, end in zip(own, ends, strict=True):
+                    self.cache[u] = data[at:end]
+                    at = end + 4
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
