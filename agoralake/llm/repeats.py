@@ -35,13 +35,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import partitions, text_pairs
+from .frames import text_pairs
 from .words import SPACED, Words, blocks, covered, mix
 
 _U = np.uint64
 _NULL = np.iinfo(np.int64).max
-#: Chunks for each shuffle partition.
-CHUNKS = 4
+#: Text in a chunk and in a bucket of the hash range.  Each chunk sends each bucket one block, so there are
+#: never more than MOST_CHUNKS chunks; beyond that they grow, and blocks stay far fewer than windows.
+CHUNK_BYTES, BUCKET_BYTES, MOST_CHUNKS = 4 << 20, 16 << 20, 500_000
 
 _SENT = "chunk int, bucket int, history binary, size int, hashes binary, checks binary, docs binary, several binary"
 _REPLY = "chunk int, bucket int, history binary"
@@ -282,13 +283,13 @@ def _signed(data: bytes, size: int) -> np.ndarray:
     return out ^ np.int64(-(1 << 63)) if data[0] else out
 
 
-def remove_repeats(docs: DataFrame, *, n: int = 13, id_col: str = "doc_id", text_col: str = "text", chunks: int | None = None, buckets: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, n: int = 13, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed and kept (the words left, joined by single spaces)."""
-    spark = docs.sparkSession
-    buckets = buckets or partitions(spark)
-    chunks = chunks or CHUNKS * partitions(spark)
+    pairs = text_pairs(docs, id_col, text_col)
+    size = pairs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks, buckets = min(MOST_CHUNKS, 1 + size // chunk_bytes), 1 + size // bucket_bytes
     chunk = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(chunks)).cast("int")
-    dealt = text_pairs(docs, id_col, text_col).withColumn("chunk", chunk)
+    dealt = pairs.withColumn("chunk", chunk)
     steps = len(levels(n))
     sent = dealt.groupBy("chunk").applyInArrow(_first(n, buckets), _SENT)
     for k in range(steps):
