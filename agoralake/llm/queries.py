@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, decontam, language, minhash, repeats, secrets, token_files
+from . import cover_tree, decontam, language, minhash, repeats, secrets, surrogates, token_files, warc
 from .frames import sha256_hex
 
 
@@ -19,11 +19,21 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.similarity_components(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace_pii(docs, key="agoralake")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = repeats.remove_repeats(table(spark, sf_dir, "documents"), n=13)
     return kept.select("doc_id", "n_words", "n_removed", sha256_hex(F.col("kept")).alias("kept_sha256"))
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+    return found.withColumn("record", warc.record_text()).drop("block")
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -66,7 +76,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_warc_derivatives": op5_warc_derivatives,
     "op6_token_files": op6_token_files,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
