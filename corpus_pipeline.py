@@ -10,9 +10,22 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from agoralake.llm import decontam, secrets
+from agoralake.llm import decontam, language, minhash, pieces, secrets
 from agoralake.llm.frames import checkpoint_dir
+from agoralake.llm.queries import tokenizer_path
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that have no letter, or no language with two fifths of their n-grams."""
+    model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
+    return language.filter_language(docs, model, least_share=0.4)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by 0.8 of their five-word shingles the one with the smallest id stays."""
+    return minhash.deduplicate(docs, minhash.plan(words=5, above=80, of=100))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +38,17 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return secrets.redact(docs)
 
 
+def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns of documents and ids, the token ids of the text."""
+    return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("minhash_near_dedup", minhash_near_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
     ("secret_scans", secret_scans),
+    ("sentencepiece_encoding", sentencepiece_encoding),
 ]
 
 
