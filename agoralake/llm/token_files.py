@@ -120,10 +120,11 @@ class TokenFile:
 # Characters after which a space always begins a new pre-token: visible ones, so that no run of white space is cut.
 _SAFE = "!-~¡-ᙿ、-퟿"
 _RUNS = re.compile(rf"(?<![{_SAFE}]) |^ ")
-_SAFE_END = re.compile(rf"[{_SAFE}]")
-_PLAIN = re.compile(rf" ?[{_SAFE}]+")
-_LINES = re.compile(rf" ?[{_SAFE}]+(\n[{_SAFE}]+)*")
 _CUTS = re.compile(rf"(?<=[{_SAFE}])(?= )")
+_PLAIN = re.compile(rf" ?[{_SAFE}]+")
+#: A mark or line end after one of these is a pre-token of its own, if what follows begins one too.
+_WORD_END = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() or "0" <= c <= "9")
+_ALONE = frozenset(".,\n")
 
 
 class UnitEncoder:
@@ -147,38 +148,10 @@ class UnitEncoder:
 
     def _learn(self, units: set[str]) -> None:
         """Put units into the cache."""
-        cache = self.cache
-        if len(cache) > self.LIMIT:  # keep what this block needs
-            self.cache = cache = {u: cache[u] for u in units.intersection(cache)}
+        if len(self.cache) > self.LIMIT:  # keep what this block needs
+            self.cache = {u: self.cache[u] for u in units.intersection(self.cache)}
             self.unsafe.clear()
-        lines: list[tuple[str, list[str]]] = []
-        todo: set[str] = set()
-        for u in units.difference(cache):
-            if "\n" in u and _LINES.fullmatch(u):
-                parts = u.replace("\n", "\0\n\0").split("\0")
-                lines.append((u, parts))
-                todo.update(parts)
-            else:
-                todo.add(u)
-        todo.difference_update(cache)
-        marked: list[tuple[str, str, str]] = []
-        bare: set[str] = set()
-        for u in todo:
-            # a letter and the mark after it never share a pre-token
-            if u[-1] in ".," and len(u) > 1 and u[-2] < "ɐ" and u[-2].isalpha():
-                marked.append((u, u[:-1], u[-1]))
-                bare.add(u[:-1])
-            elif not _SAFE_END.match(u[-1]):
-                self.unsafe.add(u)
-        todo.difference_update([m[0] for m in marked])
-        todo.update(bare)
-        todo.update([".", ","])
-        todo.difference_update(cache)
-        self._ask(list(todo))
-        for u, word, mark in marked:
-            cache[u] = cache[word] + cache[mark]
-        for u, parts in lines:
-            cache[u] = b"".join([cache[p] for p in parts])
+        self._ask(list(units.difference(self.cache)))
 
     def _ask(self, units: list[str]) -> None:
         """The library's ids of new units; plain ones together, one a line, since a single line end between them is a token."""
@@ -195,28 +168,35 @@ class UnitEncoder:
                     self.cache[u] = data[at:end]
                     at = end + 4
 
+    @staticmethod
+    def _fine(text: str) -> list[str]:
+        """text cut at spaces, line ends, and before a mark that a space, a line end or the end follows."""
+        parts = (text.replace("\n", "\0\n\0").replace(" ", "\0 ") + "\0").replace(",\0", "\0,\0").replace(".\0", "\0.\0").split("\0")
+        parts.pop()
+        return parts
+
+    @staticmethod
+    def _coarse(text: str) -> list[str]:
+        """text cut before spaces that follow a visible character."""
+        if "\0" in text or _RUNS.search(text):
+            return [p for p in _CUTS.split(text) if p]
+        return [p for p in text.replace(" ", "\0 ").split("\0") if p]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        split = [[t] if t[:1] == " " else _spaced(t) for t in texts]
-        units: set[str] = set()
-        for parts in split:
-            units.update(parts)
-        units.discard("")
-        if any(u == " " or not _SAFE_END.match(u[-1]) for u in units.difference(self.cache)) or not units.isdisjoint(self.unsafe) or any(t[:1] == " " for t in texts):
-            # runs of white space somewhere in these texts: cut those texts after visible characters only
-            split = [_CUTS.split(t) if _RUNS.search(t) else parts for t, parts in zip(texts, split)]
-            units = {u for parts in split for u in parts if u}
+        split = [self._fine(t) if "\0" not in t else [""] for t in texts]
+        units = set().union(*split)
+        # fine cuts hold where all pieces are marks or end in a letter or digit
+        self.unsafe.update([u for u in units.difference(self.cache, self.unsafe) if not u or u[-1] not in _WORD_END and u not in _ALONE])
+        unsafe = units.intersection(self.unsafe)
+        if unsafe:
+            split = [self._coarse(t) if not unsafe.isdisjoint(parts) else parts for t, parts in zip(texts, split)]
+            units = set().union(*split)
         self._learn(units)
-        self.cache[""] = b""
         get = self.cache.__getitem__
         return [b"".join(map(get, parts)) for parts in split]
 
 
-def _spaced(text: str) -> list[str]:
-    """text cut before each space."""
-    return text.replace(" ", "\0 ").split("\0") if "\0" not in text else _CUTS.split(text)
-
-
 @lru_cache(maxsize=2)
 def encoder_for(path: str) -> UnitEncoder:
     """One encoder for each worker process, so its cache outlives a task."""
