@@ -34,9 +34,13 @@ from .frames import checkpoint
 from .minhash import forest
 
 #: Vectors in a part, top cells, and rows of the sample that the top centres come from.
-CELL, TOP, SAMPLE = 1_000, 256, 4_096
+CELL, TOP, SAMPLE = 4_096, 256, 4_096
 _SLACK = 1e-6
 _DEPTH = 24
+#: Centres tried at a time, and rows of a distance matrix held at a time.
+_BATCH, _ROWS = 64, 512
+#: A pair of nodes with no more than the square of this many pairs of vectors is compared at once.
+_LEAF = 1_024
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -73,17 +77,38 @@ class Tree:
 
     def _cover(self, centre: int, members: np.ndarray, size: float, below: dict) -> None:
         """Centres more than size apart, the node's own first, each with the free vectors within size of it."""
-        while True:
-            d = _distance(self.x[members], self.x[centre][None, :])[:, 0]
-            d[members == centre] = 0.0
+        members = np.concatenate([[centre], members[members != centre]])
+        while len(members):
+            batch = members[:_BATCH]
+            apart = _distance(self.x[batch], self.x[batch]) > size
+            centres: list[int] = []
+            for i in range(len(batch)):
+                if all(apart[i, j] for j in centres):
+                    centres.append(i)
+            d = _distance(self.x[members], self.x[batch[centres]])
+            d[members[:, None] == batch[centres][None, :]] = 0.0
             near = d <= size
-            below["centre"].append(centre)
-            below["members"].append(members[near])
-            below["radius"].append(float(d[near].max()))
-            members = members[~near]
-            if not len(members):
-                return
-            centre = int(members[0])
+            first = np.where(near.any(axis=1), near.argmax(axis=1), -1)
+            for k, i in enumerate(centres):
+                own = np.flatnonzero(first == k)
+                below["centre"].append(int(batch[i]))
+                below["members"].append(members[own])
+                below["radius"].append(float(d[own, k].max()))
+            members = members[first < 0]
+
+
+    def packed(self, raw: np.ndarray) -> tuple:
+        """What makes the tree again: vectors as given (in single precision where that loses nothing) and the levels."""
+        single = raw.astype(np.float32)
+        levels = [level | {"members": [m.astype(np.int32) for m in level["members"]]} for level in self.levels]
+        return (single if (single == raw).all() else raw), self.weight, levels
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, Tree]:
+    node, (raw, weight, levels) = pickle.loads(blob)
+    tree = Tree.__new__(Tree)
+    tree.x, tree.weight, tree.levels = unit(raw.astype(np.float64)), weight, levels
+    return node, tree
 
 
 class Links:
@@ -110,23 +135,43 @@ class Links:
             if last:
                 self._compare(a["members"][i], b["members"][j], self.same and i == j)
                 continue
-            p, q = np.arange(*kids_a[i]), np.arange(*kids_b[j])
-            ca, cb = np.array(na["centre"])[p], np.array(nb["centre"])[q]
-            ra, rb = np.array(na["radius"])[p], np.array(nb["radius"])[q]
-            d = _distance(self.a.x[ca], self.b.x[cb])
-            if self.same:
-                d[ca[:, None] == cb[None, :]] = 0.0
-            span = ra[:, None] + rb[None, :]
-            near = d <= span + self.reach + _SLACK
-            if self.same and i == j:
-                near &= p[:, None] <= q[None, :]
-            whole = near & (d + span <= self.reach - _SLACK)
-            for x, y in zip(*np.nonzero(whole)):
-                self._all(na["members"][p[x]], nb["members"][q[y]], self.same and p[x] == q[y])
-            x, y = np.nonzero(near & ~whole)
-            out.append(np.stack([p[x], q[y]], axis=1))
+            q = np.arange(*kids_b[j])
+            for lo in range(kids_a[i][0], kids_a[i][1], _ROWS):
+                p = np.arange(lo, min(lo + _ROWS, kids_a[i][1]))
+                self._open(na, nb, p, q, self.same and i == j, out)
         return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
+    def _open(self, na: dict, nb: dict, p: np.ndarray, q: np.ndarray, itself: bool, out: list[np.ndarray]) -> None:
+        """Children p and q of a pair of nodes: drop, count whole, compare when small, or keep for the next level."""
+        ca, cb = np.array(na["centre"])[p], np.array(nb["centre"])[q]
+        span = np.array(na["radius"])[p][:, None] + np.array(nb["radius"])[q][None, :]
+        size_a, size_b = np.array([len(na["members"][i]) for i in p]), np.array([len(nb["members"][i]) for i in q])
+        cosine = self.a.x[ca] @ self.b.x[cb].T
+        d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cosine))
+        if self.same:
+            d[ca[:, None] == cb[None, :]] = 0.0
+        near = d <= span + self.reach + _SLACK
+        if itself:
+            near &= p[:, None] <= q[None, :]
+        both = size_a[:, None] * size_b[None, :]
+        single = near & (both == 1)
+        if single.any():
+            x, y = np.nonzero(single & (cosine >= self.threshold))
+            if self.same:
+                x, y = x[ca[x] != cb[y]], y[ca[x] != cb[y]]
+            np.add.at(self.count_a, ca[x], self.b.weight[cb[y]])
+            np.add.at(self.count_b, cb[y], self.a.weight[ca[x]])
+            self.pairs.append(np.stack([ca[x], cb[y]], axis=1))
+            near &= ~single
+        whole = near & (d + span <= self.reach - _SLACK)
+        small = near & ~whole & (both <= _LEAF * _LEAF)
+        for x, y in zip(*np.nonzero(whole)):
+            self._all(na["members"][p[x]], nb["members"][q[y]], self.same and p[x] == q[y])
+        for x, y in zip(*np.nonzero(small)):
+            self._compare(na["members"][p[x]], nb["members"][q[y]], self.same and p[x] == q[y])
+        x, y = np.nonzero(near & ~whole & ~small)
+        out.append(np.stack([p[x], q[y]], axis=1))
+
     def _all(self, m: np.ndarray, n: np.ndarray, itself: bool) -> None:
         """Every vector of m is linked with every one of n."""
         wa, wb = self.a.weight[m], self.b.weight[n]
@@ -185,8 +230,7 @@ def _plant(key, rows):
     node = rows.column("node").to_numpy()
     order = np.argsort(node)
     raw = np.frombuffer(b"".join(rows.column("vector").to_pylist()), "<f8").reshape(len(node), -1)
-    tree = Tree(unit(raw)[order], rows.column("weight").to_numpy()[order])
-    blob = pickle.dumps((node[order], tree))
+    blob = pickle.dumps((node[order], Tree(unit(raw)[order], rows.column("weight").to_numpy()[order]).packed(raw[order])))
     return pa.table({"top": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "tree": pa.array([blob], pa.binary())})
 
 
@@ -194,8 +238,8 @@ def _traverse(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for same, left, right in zip(*(batch.column(i) for i in range(3))):
-                na, a = pickle.loads(left.as_py())
-                nb, b = (na, a) if same.as_py() else pickle.loads(right.as_py())
+                na, a = _unpacked(left.as_py())
+                nb, b = (na, a) if same.as_py() else _unpacked(right.as_py())
                 ca, cb, pairs = Links(a, b, threshold).result()
                 names = na if same.as_py() else np.concatenate([na, nb])
                 count = ca if same.as_py() else np.concatenate([ca, cb])
@@ -247,11 +291,15 @@ def similarity_components(vectors: DataFrame, *, threshold: float = 0.95, id_col
     apart = _distance(centres, centres)
     pairs = [(a, b) for a in radius for b in radius if a <= b and (a == b or apart[a, b] <= radius[a] + radius[b] + reach)]
     near = spark.createDataFrame(pairs, "a int, b int")
-    left = trees.select(F.col("top").alias("a"), F.col("part").alias("pa"), F.col("tree").alias("ta"))
-    right = trees.select(F.col("top").alias("b"), F.col("part").alias("pb"), F.col("tree").alias("tb"))
+    # names of the pairs first; trees join them last, each pair's two on the second one's key
+    names = trees.select("top", "part")
+    left = names.select(F.col("top").alias("a"), F.col("part").alias("pa"))
+    right = names.select(F.col("top").alias("b"), F.col("part").alias("pb"))
     met = near.join(left, "a").join(right, "b").where((F.col("a") < F.col("b")) | (F.col("pa") <= F.col("pb")))
     same = (F.col("a") == F.col("b")) & (F.col("pa") == F.col("pb"))
-    found = checkpoint(met.repartition("a", "b", "pa", "pb").select(same.alias("same"), "ta", "tb").mapInArrow(_traverse(threshold), "u bigint, v bigint, links bigint"))
+    with_left = met.join(trees.select(F.col("top").alias("a"), F.col("part").alias("pa"), F.col("tree").alias("ta")), ["a", "pa"])
+    both = with_left.join(trees.select(F.col("top").alias("b"), F.col("part").alias("pb"), F.col("tree").alias("tb")), ["b", "pb"])
+    found = checkpoint(both.select(same.alias("same"), "ta", "tb").mapInArrow(_traverse(threshold), "u bigint, v bigint, links bigint"))
     counts = found.where("links > 0").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     component = components(found.where("links = 0").select("u", "v"))
     named = nodes.join(counts, "node", "left").join(component, "node", "left").select("vector", F.coalesce("component", "node").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))

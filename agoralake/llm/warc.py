@@ -45,7 +45,9 @@ def plain_text(html: Column) -> Column:
     x = F.regexp_replace(x, r"<[^>]*+>", "")
     for name, value in ENTITIES:
         x = F.replace(x, F.lit(name), F.lit(value))
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r"[^\S\n]+", " "), r" ?\n[ \n]*", "\n"), F.lit(" \n"))
+    # single spaces are as they should be, and most frequent
+    x = F.regexp_replace(x, r"(?: [^\S\n]|[^\S\n ])[^\S\n]*+", " ")
+    return F.trim(F.regexp_replace(x, r" \n[ \n]*+|\n[ \n]++", "\n"), F.lit(" \n"))
 
 
 def responses(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = NO_DATE) -> DataFrame:
@@ -57,8 +59,8 @@ def responses(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     return made.withColumn("record_id", urn(F.col("target_uri"), F.col("payload_digest")))
 
 
-def _record(kind: str, content_type: str, block: Column) -> Column:
-    r = F.struct(
+def _record(kind: str, content_type: str, block: str) -> Column:
+    return F.struct(
         F.lit(kind).alias("record_type"),
         urn(F.lit(kind), F.col("record_id")).alias("record_id"),
         F.col("record_id").alias("refers_to"),
@@ -67,24 +69,27 @@ def _record(kind: str, content_type: str, block: Column) -> Column:
         F.col("payload_digest").alias("source_digest"),
         F.lit(content_type).alias("content_type"),
         F.octet_length(block).cast("long").alias("content_length"),
-        digest(block).alias("block_digest"),
-        block.alias("block"),
+        digest(F.col(block)).alias("block_digest"),
+        F.col(block).alias("block"),
     )
-    return r
 
 
 def derivatives(found: DataFrame) -> DataFrame:
     """Two rows for each response: page_id, the fields of the record and its block."""
     html = F.col("payload")
+    # title and language stand in a page's head
     title = F.trim(F.regexp_replace(plain_text(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1)), r"\s+", " "))
     language = F.regexp_extract(html, r"(?i)<html[^>]*?\slang=[\"']?([A-Za-z-]+)", 1)
     links = F.array_distinct(F.regexp_extract_all(html, F.lit(r"(?i)<a\s[^>]*?href=[\"']([^\"'>]*)"), F.lit(1)))
     lines = F.concat(
-        F.array(F.concat(F.lit("title: "), title), F.concat(F.lit("language: "), language), F.concat(F.lit("source-headers: "), F.regexp_replace("http_headers", CRLF, "; "))),
-        F.transform(links, lambda x: F.concat(F.lit("outlink: "), x)),
+        F.array(F.concat(F.lit("title: "), F.col("title")), F.concat(F.lit("language: "), F.col("language")), F.concat(F.lit("source-headers: "), F.regexp_replace("http_headers", CRLF, "; "))),
+        F.transform("links", lambda x: F.concat(F.lit("outlink: "), x)),
     )
-    both = found.withColumn("records", F.array(_record("metadata", "application/warc-fields", F.array_join(lines, CRLF)), _record("conversion", "text/plain; charset=utf-8", plain_text(html))))
-    return both.select("page_id", F.explode("records").alias("r")).select("page_id", "r.*")
+    fields = ("page_id", "record_id", "target_uri", "date", "payload_digest", "http_headers")
+    parsed = found.select(*fields, title.alias("title"), language.alias("language"), links.alias("links"), plain_text(html).alias("text"))
+    parsed = parsed.select(*fields[:-1], F.array_join(lines, CRLF).alias("fields"), "text")
+    both = F.array(_record("metadata", "application/warc-fields", "fields"), _record("conversion", "text/plain; charset=utf-8", "text"))
+    return parsed.select("page_id", F.explode(both).alias("r")).select("page_id", "r.*")
 
 
 def record_text() -> Column:
