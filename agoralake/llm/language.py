@@ -35,6 +35,8 @@ BUCKETS = 1 << 12
 PER_LANGUAGE = 2_000
 PENALTY = 8.0
 ITERATIONS = 12
+#: Documents counted at a time: a table of counts takes ROWS * BUCKETS numbers.
+ROWS = 256
 UNKNOWN = "und"
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -75,7 +77,7 @@ def bucket_counts(column) -> tuple[np.ndarray, np.ndarray]:
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
-        for part in blocks(batch, "text"):
+        for part in blocks(batch, "text", max_rows=ROWS):
             counts, _ = bucket_counts(part.column(1))
             names = np.array(part.column(0).to_pylist(), dtype=object)
             for name in set(names.tolist()):
@@ -142,7 +144,7 @@ def _predict(text: str, sent, penalty: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = sent.value
         for batch in batches:
-            for part in blocks(batch, text):
+            for part in blocks(batch, text, max_rows=ROWS):
                 column = part.column(part.schema.get_field_index(text))
                 counts, letter = bucket_counts(column)
                 for i in np.flatnonzero(~letter & (counts.sum(axis=1) > 0)).tolist():

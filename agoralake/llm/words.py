@@ -4,7 +4,7 @@ Everything here works on the UTF-8 bytes of whole texts inside one task: words
 are found with byte masks, hashed with a table-driven polynomial hash whose
 prefix sums make the hash of any byte range (and of any run of words) a
 constant number of numpy operations.  No function keeps more than one block
-(a few MB of text, or one longer document) in memory.
+(about a MB of text, or one longer document) in memory.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -85,14 +85,15 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def blocks(batch: pa.RecordBatch, text: str, max_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in slices of about max_bytes of text (a longer row is a slice of its own)."""
+def blocks(batch: pa.RecordBatch, text: str, max_bytes: int = BLOCK_BYTES, max_rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about max_bytes of text (a longer row is a slice of its own) and at most max_rows."""
     column = batch.column(batch.schema.get_field_index(text))
     sizes = np.diff(utf8(column)[1])
     first = 0
     while first < len(sizes):
         ends = np.cumsum(sizes[first:])
         n = max(1, int(np.searchsorted(ends, max_bytes, side="right")))
+        n = min(n, max_rows or n)
         yield batch.slice(first, n)
         first += n
 
