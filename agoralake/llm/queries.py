@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import cover_tree, decontam, language, minhash, pieces, repeats, secrets, surrogates, token_files, warc
 from .frames import sha256_hex
+from .oracle import ORACLE_SQL as ORACLE_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +93,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_secret_scan": op10_secret_scan,
 }
-
-#: DuckDB SQL for the queries that it can express on whole tables in reasonable time.
-ORACLE_SQL: dict[str, str] = {}
