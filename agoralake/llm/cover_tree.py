@@ -37,10 +37,10 @@ from .minhash import forest
 CELL, TOP, SAMPLE = 4_096, 256, 4_096
 _SLACK = 1e-6
 _DEPTH = 24
-#: Centres tried at a time, and rows of a distance matrix held at a time.
-_BATCH, _ROWS = 64, 512
-#: A pair of nodes with no more than the square of this many pairs of vectors is compared at once.
-_LEAF = 1_024
+#: Centres tried at a time, rows of a cosine matrix, and pairs of vectors held at a time.
+_BATCH, _ROWS, _PAIRS = 64, 512, 1 << 16
+#: Pairs of children from which on a matrix product serves, and pairs of vectors up to which nodes aren't opened.
+_MANY, _SMALL = 4_096, 64
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -51,31 +51,46 @@ def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ y.T)))
 
 
+class Level:
+    """The nodes of one level: centres, covering radii, vectors (flat, with offsets) and children (offsets into the level below)."""
+
+    def __init__(self, nodes: list[tuple[int, np.ndarray, float]]):
+        self.centre = np.array([c for c, _, _ in nodes], np.int32)
+        self.flat = np.concatenate([m for _, m, _ in nodes]).astype(np.int32)
+        self.first = np.cumsum([0, *[len(m) for _, m, _ in nodes]])
+        self.radius = np.array([r for _, _, r in nodes])
+        self.kids = np.arange(len(nodes) + 1)  # at the last level each node is its own child
+
+    def members(self, i: int) -> np.ndarray:
+        return self.flat[self.first[i] : self.first[i + 1]]
+
+    def sizes(self, at: np.ndarray) -> np.ndarray:
+        return self.first[at + 1] - self.first[at]
+
+
 class Tree:
-    """Levels of nodes; a node: its centre, its vectors, its covering radius and its children one level down."""
+    """Nested levels of nodes, the root first; the radius of a node halves from level to level."""
 
     def __init__(self, x: np.ndarray, weight: np.ndarray):
         self.x, self.weight = x, weight
-        every = np.arange(len(x))
-        self.levels: list[dict] = [{"centre": [0], "members": [every], "radius": [float(_distance(x, x[:1]).max())]}]
+        nodes = [(0, np.arange(len(x)), float(_distance(x, x[:1]).max()))]
+        self.levels = [Level(nodes)]
         size = 2.0
-        while len(self.levels) < _DEPTH and any(len(m) > 1 for m in self.levels[-1]["members"]):
+        while len(self.levels) < _DEPTH and any(len(m) > 1 for _, m, _ in nodes):
             size /= 2
-            below: dict = {"centre": [], "members": [], "radius": []}
-            children = []
-            for centre, members, radius in zip(*(self.levels[-1][k] for k in ("centre", "members", "radius"))):
-                first = len(below["centre"])
+            below: list[tuple[int, np.ndarray, float]] = []
+            kids = [0]
+            for centre, members, radius in nodes:
                 if len(members) == 1 or radius <= size:
-                    for k, v in (("centre", centre), ("members", members), ("radius", radius)):
-                        below[k].append(v)
+                    below.append((centre, members, radius))
                 else:
                     self._cover(centre, members, size, below)
-                children.append((first, len(below["centre"])))
-            self.levels[-1]["children"] = children
-            self.levels.append(below)
-        self.levels[-1]["children"] = None
+                kids.append(len(below))
+            self.levels[-1].kids = np.array(kids)
+            self.levels.append(Level(below))
+            nodes = below
 
-    def _cover(self, centre: int, members: np.ndarray, size: float, below: dict) -> None:
+    def _cover(self, centre: int, members: np.ndarray, size: float, below: list[tuple[int, np.ndarray, float]]) -> None:
         """Centres more than size apart, the node's own first, each with the free vectors within size of it."""
         members = np.concatenate([[centre], members[members != centre]])
         while len(members):
@@ -83,7 +98,7 @@ class Tree:
             apart = _distance(self.x[batch], self.x[batch]) > size
             centres: list[int] = []
             for i in range(len(batch)):
-                if all(apart[i, j] for j in centres):
+                if apart[i, centres].all():
                     centres.append(i)
             d = _distance(self.x[members], self.x[batch[centres]])
             d[members[:, None] == batch[centres][None, :]] = 0.0
@@ -91,17 +106,13 @@ class Tree:
             first = np.where(near.any(axis=1), near.argmax(axis=1), -1)
             for k, i in enumerate(centres):
                 own = np.flatnonzero(first == k)
-                below["centre"].append(int(batch[i]))
-                below["members"].append(members[own])
-                below["radius"].append(float(d[own, k].max()))
+                below.append((int(batch[i]), members[own], float(d[own, k].max())))
             members = members[first < 0]
 
-
     def packed(self, raw: np.ndarray) -> tuple:
         """What makes the tree again: vectors as given (in single precision where that loses nothing) and the levels."""
         single = raw.astype(np.float32)
-        levels = [level | {"members": [m.astype(np.int32) for m in level["members"]]} for level in self.levels]
-        return (single if (single == raw).all() else raw), self.weight, levels
+        return (single if (single == raw).all() else raw), self.weight, self.levels
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, Tree]:
@@ -111,66 +122,118 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, Tree]:
     return node, tree
 
 
+def _products(counts: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Slices of pairs with some _PAIRS products in all; of each product its pair (in the slice) and its number within the pair."""
+    ends = np.cumsum(counts)
+    at = 0
+    while at < len(counts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS, side="right")))
+        own = counts[at:to]
+        pair = np.repeat(np.arange(to - at), own)
+        yield slice(at, to), pair, np.arange(len(pair)) - np.repeat(np.cumsum(own) - own, own)
+        at = to
+
+
 class Links:
-    """What a traversal finds: weights of linked vectors for each side, and pairs that connect them."""
+    """What a traversal finds: weights of linked vectors for each side, and pairs that connect them.
+
+    Single precision finds candidates, with a bound of its rounding errors added; links are decided in double precision.
+    """
 
     def __init__(self, a: Tree, b: Tree, threshold: float):
         self.same = a is b
         self.a, self.b, self.threshold = a, b, threshold
+        self.xa = a.x.astype(np.float32)
+        self.xb = self.xa if self.same else b.x.astype(np.float32)
+        self.rounding = 2e-7 * (a.x.shape[1] + 16)
         self.reach = float(np.sqrt(2.0 - 2.0 * threshold))
         self.count_a, self.count_b = np.zeros(len(a.x), np.int64), np.zeros(len(b.x), np.int64)
         self.pairs: list[np.ndarray] = []
-        pairs = np.zeros((1, 2), np.int64)
+        p = q = np.zeros(1, np.int64)
         depth = max(len(a.levels), len(b.levels))
-        for level in range(depth):
-            pairs = self._level(pairs, min(level, len(a.levels) - 1), min(level, len(b.levels) - 1), level == depth - 1)
-
-    def _level(self, pairs: np.ndarray, la: int, lb: int, last: bool) -> np.ndarray:
-        a, b = self.a.levels[la], self.b.levels[lb]
-        out = []
-        kids_a = a["children"] or [(i, i + 1) for i in range(len(a["centre"]))]
-        kids_b = b["children"] or [(i, i + 1) for i in range(len(b["centre"]))]
-        na, nb = self.a.levels[min(la + 1, len(self.a.levels) - 1)], self.b.levels[min(lb + 1, len(self.b.levels) - 1)]
-        for i, j in pairs.tolist():
-            if last:
-                self._compare(a["members"][i], b["members"][j], self.same and i == j)
-                continue
-            q = np.arange(*kids_b[j])
-            for lo in range(kids_a[i][0], kids_a[i][1], _ROWS):
-                p = np.arange(lo, min(lo + _ROWS, kids_a[i][1]))
-                self._open(na, nb, p, q, self.same and i == j, out)
-        return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-
-    def _open(self, na: dict, nb: dict, p: np.ndarray, q: np.ndarray, itself: bool, out: list[np.ndarray]) -> None:
-        """Children p and q of a pair of nodes: drop, count whole, compare when small, or keep for the next level."""
-        ca, cb = np.array(na["centre"])[p], np.array(nb["centre"])[q]
-        span = np.array(na["radius"])[p][:, None] + np.array(nb["radius"])[q][None, :]
-        size_a, size_b = np.array([len(na["members"][i]) for i in p]), np.array([len(nb["members"][i]) for i in q])
-        cosine = self.a.x[ca] @ self.b.x[cb].T
-        d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cosine))
+        for level in range(1, depth):
+            p, q = self._descend(level, p, q)
+        for i, j in zip(p.tolist(), q.tolist()):
+            self._compare(a.levels[-1].members(i), b.levels[-1].members(j), self.same and i == j)
+
+    def _least(self, span: np.ndarray) -> np.ndarray:
+        """The least cosine of centres at which nodes may hold a link, by the sum of their radii."""
+        r = np.minimum(span + (self.reach + _SLACK), 2.0)
+        return 1.0 - r * r / 2.0 - self.rounding
+
+    def _descend(self, level: int, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of nodes one level down that stay open, of the children of pairs (p, q)."""
+        ua, ub = (t.levels[min(level - 1, len(t.levels) - 1)] for t in (self.a, self.b))
+        na, nb = (t.levels[min(level, len(t.levels) - 1)] for t in (self.a, self.b))
+        ka, kb = ua.kids[p + 1] - ua.kids[p], ub.kids[q + 1] - ub.kids[q]
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        many = ka * kb > _MANY
+        for i, j in zip(p[many].tolist(), q[many].tolist()):
+            cols = np.arange(ub.kids[j], ub.kids[j + 1])
+            for lo in range(ua.kids[i], ua.kids[i + 1], _ROWS):
+                self._matrix(na, nb, np.arange(lo, min(lo + _ROWS, ua.kids[i + 1])), cols, self.same and i == j, out)
+        p, q, ka, kb = p[~many], q[~many], ka[~many], kb[~many]
+        for part, pair, k in _products(ka * kb):
+            i, j, n = p[part][pair], q[part][pair], kb[part][pair]
+            x, y = ua.kids[i] + k // n, ub.kids[j] + k % n
+            if self.same:
+                once = (i != j) | (x <= y)
+                x, y = x[once], y[once]
+            cosine = np.einsum("ij,ij->i", self.xa[na.centre[x]], self.xb[nb.centre[y]])
+            near = cosine >= self._least(na.radius[x] + nb.radius[y])
+            self._sift(na, nb, x[near], y[near], out)
+        return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
+
+    def _matrix(self, na: Level, nb: Level, p: np.ndarray, q: np.ndarray, itself: bool, out: list) -> None:
+        """All children p against all children q by one matrix product, wide nodes and single vectors apart."""
+        for rows in (p[na.radius[p] > 0], p[na.radius[p] == 0]):
+            for cols in (q[nb.radius[q] > 0], q[nb.radius[q] == 0]):
+                if not len(rows) or not len(cols):
+                    continue
+                cosine = self.xa[na.centre[rows]] @ self.xb[nb.centre[cols]].T
+                x, y = np.nonzero(cosine >= self._least(na.radius[rows] + nb.radius[cols].max())[:, None].astype(np.float32))
+                c, x, y = cosine[x, y], rows[x], cols[y]
+                near = c >= self._least(na.radius[x] + nb.radius[y])
+                if itself:
+                    near &= x <= y
+                self._sift(na, nb, x[near], y[near], out)
+
+    def _sift(self, na: Level, nb: Level, p: np.ndarray, q: np.ndarray, out: list) -> None:
+        """Pairs of nodes that may hold links: count whole, compare when small, or keep for the next level."""
+        if not len(p):
+            return
+        product = na.sizes(p) * nb.sizes(q)
+        small = product <= _SMALL
+        self._vectors(na, nb, p[small], q[small])
+        p, q = p[~small], q[~small]
+        span = na.radius[p] + nb.radius[q]
+        d = np.empty(len(p))
+        for lo in range(0, len(p), _PAIRS):
+            own = slice(lo, lo + _PAIRS)
+            d[own] = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.einsum("ij,ij->i", self.a.x[na.centre[p[own]]], self.b.x[nb.centre[q[own]]])))
         if self.same:
-            d[ca[:, None] == cb[None, :]] = 0.0
-        near = d <= span + self.reach + _SLACK
-        if itself:
-            near &= p[:, None] <= q[None, :]
-        both = size_a[:, None] * size_b[None, :]
-        single = near & (both == 1)
-        if single.any():
-            x, y = np.nonzero(single & (cosine >= self.threshold))
+            d[na.centre[p] == nb.centre[q]] = 0.0
+        whole = d + span <= self.reach - _SLACK
+        for i, j in zip(p[whole].tolist(), q[whole].tolist()):
+            self._all(na.members(i), nb.members(j), self.same and i == j)
+        out.append((p[~whole], q[~whole]))
+
+    def _vectors(self, na: Level, nb: Level, p: np.ndarray, q: np.ndarray) -> None:
+        """Every vector of nodes p against every one of nodes q, pair by pair of nodes."""
+        for part, pair, k in _products(na.sizes(p) * nb.sizes(q)):
+            i, j = p[part][pair], q[part][pair]
+            n = nb.sizes(j)
+            x, y = na.flat[na.first[i] + k // n], nb.flat[nb.first[j] + k % n]
             if self.same:
-                x, y = x[ca[x] != cb[y]], y[ca[x] != cb[y]]
-            np.add.at(self.count_a, ca[x], self.b.weight[cb[y]])
-            np.add.at(self.count_b, cb[y], self.a.weight[ca[x]])
-            self.pairs.append(np.stack([ca[x], cb[y]], axis=1))
-            near &= ~single
-        whole = near & (d + span <= self.reach - _SLACK)
-        small = near & ~whole & (both <= _LEAF * _LEAF)
-        for x, y in zip(*np.nonzero(whole)):
-            self._all(na["members"][p[x]], nb["members"][q[y]], self.same and p[x] == q[y])
-        for x, y in zip(*np.nonzero(small)):
-            self._compare(na["members"][p[x]], nb["members"][q[y]], self.same and p[x] == q[y])
-        x, y = np.nonzero(near & ~whole & ~small)
-        out.append(np.stack([p[x], q[y]], axis=1))
+                once = (i != j) | (x < y)
+                x, y = x[once], y[once]
+            maybe = np.einsum("ij,ij->i", self.xa[x], self.xb[y]) >= self.threshold - self.rounding
+            x, y = x[maybe], y[maybe]
+            linked = np.einsum("ij,ij->i", self.a.x[x], self.b.x[y]) >= self.threshold
+            x, y = x[linked], y[linked]
+            np.add.at(self.count_a, x, self.b.weight[y])
+            np.add.at(self.count_b, y, self.a.weight[x])
+            self.pairs.append(np.stack([x, y], axis=1))
 
     def _all(self, m: np.ndarray, n: np.ndarray, itself: bool) -> None:
         """Every vector of m is linked with every one of n."""

@@ -131,10 +131,14 @@ def test_cover_tree_levels():
     x = cover_tree.unit(rng.normal(size=(300, 8)))
     tree = cover_tree.Tree(x, np.ones(300, np.int64))
     for k, level in enumerate(tree.levels):
-        assert sorted(np.concatenate(level["members"]).tolist()) == list(range(300))
-        for centre, members, radius in zip(level["centre"], level["members"], level["radius"]):
+        assert sorted(level.flat.tolist()) == list(range(300))
+        for i, (centre, radius) in enumerate(zip(level.centre, level.radius)):
+            members = level.members(i)
             assert centre in members and cover_tree._distance(x[members], x[[centre]]).max() <= radius + 1e-7
             assert k == 0 or radius <= 2.0 / 2**k
+            if k + 1 < len(tree.levels):
+                below = range(level.kids[i], level.kids[i + 1])
+                assert sorted(members) == sorted(v for j in below for v in tree.levels[k + 1].members(j))
 
 
 def test_embeddings_of_no_use(spark):
