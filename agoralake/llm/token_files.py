@@ -23,6 +23,7 @@ by text.  An empty table gives files without blocks.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -140,18 +141,24 @@ class UnitEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # such strings in a text are ordinary text
         [self.line_end] = self.library.encode("\n", add_special_tokens=False).ids
         self.cache: dict[str, bytes] = {}
+        self.again: set[str] = set()
         self.unsafe: set[str] = set()
 
     def _learn(self, units: set[str]) -> None:
         """Put units into the cache."""
-        if len(self.cache) > self.LIMIT:  # keep what this block needs
-            self.cache = {u: self.cache[u] for u in units.intersection(self.cache)}
+        known = units.intersection(self.cache)
+        if len(self.cache) > self.LIMIT:  # keep what this block needs, and what more than one block needed
+            kept = known | self.again if len(self.again) < self.LIMIT // 2 else known
+            self.cache = {u: self.cache[u] for u in kept}
+            self.again = set()
             self.unsafe.clear()
-        self._ask(list(units.difference(self.cache)))
+        self.again |= known
+        self._ask(list(units.difference(known)))
 
     def _ask(self, units: list[str]) -> None:
         """The library's ids of new units; plain ones together, one a line, since a single line end between them is a token."""
@@ -211,7 +218,7 @@ def _writer(path: str, bits: int, end_id: int | None, make: Callable[[str], Unit
         offsets: list[int] = []
         befores: list[int] = []
         for batch in batches:
-            for part in blocks(batch, "text"):
+            for part in blocks(batch, "text", max_bytes=2 << 20):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 coded = [c + end for c in encoder.encode(texts)]
                 counts = np.array([len(c) // 4 for c in coded], np.int64)
