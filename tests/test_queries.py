@@ -33,3 +33,23 @@ def test_feed_document_is_json(spark):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(ORACLE_SQL) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def _labels(searched):
+    import re
+
+    from agoralake.functions import rules
+
+    return {label for p, label in rules.LIFE_SITUATIONS + rules.OCCASIONS if re.search(p, searched, re.I)}
+
+
+def test_tags_are_those_of_all_rules(spark, tmp_path):
+    words = ["Schulweg", "Ganztagsschule", "Vorschule", "Pflege", "Pflegeheim", "die Tafel", "Tafeln", "Miete", "Vermieter", "Bus 16", "Busse", "Omnibus", "am See", "Seen", "Überseebad", "öBad", "das Bad", "THI", "thing", "BHH", "VHS-Kurs", "Sitzbank", "Bank", "Bänke", "B 16", "Fest", "älteres Fest", "Park", "Straße", "GRÜN", "Ärzte", "", "nichts"]
+    docs = [(i, w, f"src{i % 3}", "de") for i, w in enumerate(words)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = [tuple(r) for r in QUERIES["multi_label_tags"](spark, str(tmp_path)).collect()]
+    want = {(i, label) for i, w, source, lang in docs for label in _labels(f"{w} {source} {lang}")}
+    assert len(found) == len(set(found)) and set(found) == want
+    from agoralake.functions import rules
+
+    assert {label for _, label in want} >= {label for p, label in rules.LIFE_SITUATIONS + rules.OCCASIONS if r"\b" in p}
