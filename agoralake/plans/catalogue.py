@@ -169,6 +169,13 @@ def heading_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select(F.col("session_id").cast("long").alias("page_id"), rules.is_collective_heading(F.col("title")).alias("collective"), rules.is_short(F.col("title")).alias("short"))
 
 
+@query
+def heading_filter_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """heading_filter on whole titles."""
+    items = page_items(table(spark, sf_dir, "pages"))
+    return items.select(F.col("session_id").cast("long").alias("page_id"), rules.is_collective_heading(F.col("title")).alias("collective"), rules.is_short(F.col("title")).alias("short"))
+
+
 @query
 def facet_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.select(table(spark, sf_dir, "part"), SELECTION).select("p_partkey", "p_brand", long("p_size"))
@@ -394,6 +401,17 @@ def loss_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.unionByName(strict)
 
 
+@query
+def loss_check_public(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """loss_check with a feed of the public documents (as in uncurated, those that are not Spanish)."""
+    labelled = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
+    curation = labelled.select(F.col("doc_id").alias("ref"), F.when(F.col("quality") == 1, "easy").otherwise("").alias("text_easy"), F.concat_ws("/", "lang", "source").alias("topic"), "lang")
+    shown = curation.where("lang <> 'es'").drop("lang")
+    written = quality.lost_easy_texts(curation.drop("topic", "lang"), shown).withColumn("variant", F.lit("as written"))
+    strict = quality.lost_easy_texts(curation.drop("topic", "lang"), shown, curation.drop("lang")).withColumn("variant", F.lit("strict"))
+    return written.unionByName(strict)
+
+
 @query
 def feed_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = page_items(table(spark, sf_dir, "pages"))

@@ -53,3 +53,16 @@ def test_tags_are_those_of_all_rules(spark, tmp_path):
     from agoralake.functions import rules
 
     assert {label for _, label in want} >= {label for p, label in rules.LIFE_SITUATIONS + rules.OCCASIONS if r"\b" in p}
+
+
+def test_headings_are_judged_by_whole_titles(spark, tmp_path):
+    titles = ["Sanierung der alten Hauptstraße", "Zebrastreifen Uferallee", "Jugend", "Jugend und ganz andere Themen", "Neues vom Tage hier"]
+    pages = [(i, f"http://h/de/{i}", f"<html><title>{t}</title></html>") for i, t in enumerate(titles)]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = QUERIES["heading_filter_titles"](spark, str(tmp_path)).orderBy("page_id").collect()
+    assert [tuple(r) for r in found] == [(0, False, False), (1, False, False), (2, True, True), (3, False, False), (4, True, False)]
+
+
+def test_headings_of_given_pages_fall_into_both_classes(spark):
+    rows = QUERIES["heading_filter_titles"](spark, SF).collect()
+    assert {r["collective"] for r in rows} == {r["short"] for r in rows} == {True, False}
