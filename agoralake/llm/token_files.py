@@ -133,7 +133,8 @@ class UnitEncoder:
 
     A byte-level BPE pre-token holds a space only as its first character or within
     white space, so a text may be cut before each space that follows a visible
-    character, and the ids of the units join to the ids of the text.
+    character, and the ids of the units join to the ids of the text.  Texts that hold
+    the content of an added token go to the library whole.
     """
 
     LIMIT = 250_000
@@ -143,7 +144,8 @@ class UnitEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # such strings in a text are ordinary text
+        # the library finds these anywhere in a text, spaces and all
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values() if t.content]
         [self.line_end] = self.library.encode("\n", add_special_tokens=False).ids
         self.cache: dict[str, bytes] = {}
         self.again: set[str] = set()
@@ -191,6 +193,12 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
+        whole = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        coded = iter(self._joined([t for i, t in enumerate(texts) if i not in whole] if whole else texts))
+        return [array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes() if i in whole else next(coded) for i, t in enumerate(texts)]
+
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        """The joined ids of the units of each text."""
         split = [self._fine(t) if "\0" not in t else [""] for t in texts]
         units = set().union(*split)
         # fine cuts hold where all pieces are marks or end in a letter or digit

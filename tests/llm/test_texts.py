@@ -180,6 +180,24 @@ def test_token_files_odd_documents(spark, odd_documents, no_documents, odd_texts
         assert sorted(found, key=lambda r: r[1]) == digests(rows)
 
 
+def test_added_tokens_in_a_text_are_the_library_s(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext |> no", "plain words, only", ""]
+    ids = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids[0] == [64, 220, 50256, 275]
+    encoder = token_files.encoder_for(path)
+    assert [np.frombuffer(c, "<u4").tolist() for c in encoder.encode(texts)] == ids
+    assert encoder.encode([]) == [] and encoder.encode(texts[:1]) == encoder.encode(texts)[:1]
+    where = token_files.fresh_path(spark, "test")
+    token_files.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), where, path, vocabulary=50_257, end_id=2)
+    found = token_files.read_digests(spark, where).orderBy("doc_id").collect()
+    assert [r["n_tokens"] for r in found] == [len(x) + 1 for x in ids] and [r["start"] for r in found] == [sum(len(x) + 1 for x in ids[:k]) for k in range(len(ids))]
+    assert [r["ids_crc32"] for r in found] == [zlib.crc32(np.array([*x, 2], "<u4").tobytes()) for x in ids]
+
+
 def test_token_files_query(spark, documents):
     found = [tuple(r) for r in queries.op6_token_files(spark, SF).collect()]
     assert sorted(found, key=lambda r: r[1]) == digests([tuple(r) for r in documents.select("doc_id", "text").collect()])
