@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Named entities that plain SQL decodes, the ampersand last; the full table is html_text_full.
+#: Named entities that plain SQL decodes, the ampersand last.
 SQL_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 # What a plain title does without, in this order.
@@ -53,12 +53,8 @@ def strip_tags(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(known(x), r"<br\s*/?>", " — "), r"<[^>]+>", "")
 
 
-def html_text(x: Column) -> Column:
-    """Readable text of an HTML fragment; entities are decoded after the tags are gone, so escaped markup stays."""
-    x = strip_tags(x)
-    for name, value in SQL_ENTITIES:
-        x = F.replace(x, F.lit(name), F.lit(value))
-    return squeeze(F.replace(x, F.lit(" "), F.lit(" ")))
+#: A reference that needs the standard library's table; tags may stand in it before they are stripped.
+OTHER_ENTITY = "&(?!(?:" + "|".join(name[1:-1] for name, _ in SQL_ENTITIES) + ");)[#A-Za-z<]"
 
 
 def _unescape(values: pd.Series) -> pd.Series:
@@ -67,10 +63,41 @@ def _unescape(values: pd.Series) -> pd.Series:
     return values.map(unescape, na_action="ignore")
 
 
-def html_text_full(x: Column) -> Column:
-    """html_text with every named and numeric entity, by an Arrow-batched function over the standard library's table."""
-    decoded = F.pandas_udf(_unescape, "string")(strip_tags(x))
-    return squeeze(F.replace(decoded, F.lit("\u00a0"), F.lit(" ")))
+def _unescape_each(values: pd.Series) -> pd.Series:
+    from html import unescape
+
+    return values.map(lambda found: [unescape(x) for x in found], na_action="ignore")
+
+
+def _few_entities(x: Column) -> Column:
+    for name, value in SQL_ENTITIES:
+        x = F.replace(x, F.lit(name), F.lit(value))
+    return x
+
+
+def unescaped(x: Column, raw: Column | None = None) -> Column:
+    """x with every named and numeric entity decoded once; only texts with other entities than SQL_ENTITIES (judged by raw, if given) go to Python."""
+    other = F.when((x if raw is None else raw).rlike(OTHER_ENTITY), x)
+    return F.coalesce(F.pandas_udf(_unescape, "string")(other), _few_entities(x))
+
+
+def unescaped_each(xs: Column) -> Column:
+    """unescaped for the elements of an array, none of them null."""
+    other = F.when(F.exists(xs, lambda x: x.rlike(OTHER_ENTITY)), xs)
+    return F.coalesce(F.pandas_udf(_unescape_each, "array<string>")(other), F.transform(xs, _few_entities))
+
+
+def html_text(x: Column) -> Column:
+    """Readable text of an HTML fragment; entities are decoded after the tags are gone, so escaped markup stays."""
+    return squeeze(F.replace(unescaped(strip_tags(x), known(x)), F.lit("\u00a0"), F.lit(" ")))
+
+
+def html_texts(xs: Column) -> Column:
+    """html_text for the elements of an array."""
+    return F.transform(unescaped_each(F.transform(xs, strip_tags)), lambda x: squeeze(F.replace(x, F.lit("\u00a0"), F.lit(" "))))
+
+
+html_text_full = html_text
 
 
 def absolute_url(url: Column, base: Column) -> Column:

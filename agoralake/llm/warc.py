@@ -5,8 +5,8 @@ A response has a record id, a target URI, a date, HTTP headers and a payload.
 the page) and a conversion record (its plain text).  Both refer to the response by
 WARC-Refers-To, keep its target URI and date, and name its payload digest; block
 digests are SHA-1 in base 32.  Ids of derived records follow from the response's
-id, so a second run yields the same records.  All of it is one pass of built-in
-functions, without a shuffle.
+id, so a second run yields the same records.  All of it is one pass without a
+shuffle; texts with rare entities pass through Python's table of them.
 
 ``responses`` makes responses of a table of pages: the id follows from URL and
 payload, so equal captures are equal records.  Null URLs and payloads count as
@@ -18,13 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import unescaped
+
 CRLF = "\r\n"
 NO_DATE = "1970-01-01T00:00:00Z"
 
-# The named entities that are decoded in plain text, the ampersand last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
-
-
 def digest(data: Column) -> Column:
     """sha1:<base 32> of text (UTF-8) or bytes."""
     hexed = F.sha1(data.cast("binary"))
@@ -38,18 +36,26 @@ def urn(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-8"), F.substring(h, 13, 3), F.lit("-b"), F.substring(h, 16, 3), F.lit("-"), F.substring(h, 19, 12), F.lit(">"))
 
 
-def plain_text(html: Column) -> Column:
-    """Visible text: scripts, styles and comments go, block ends become line ends, entities are decoded."""
+def without_markup(html: Column) -> Column:
+    """Visible text with its entities: scripts, styles and comments go, block ends become line ends."""
     x = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", " ")
     x = F.regexp_replace(x, r"(?i)<(?:br|/?(?:p|div|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav|title))\b[^>]*>", "\n")
-    x = F.regexp_replace(x, r"<[^>]*+>", "")
-    for name, value in ENTITIES:
-        x = F.replace(x, F.lit(name), F.lit(value))
+    return F.regexp_replace(x, r"<[^>]*+>", "")
+
+
+def decoded(x: Column) -> Column:
+    """Entities decoded, no-break spaces as spaces, white space squeezed."""
+    x = F.replace(unescaped(x), F.lit("\u00a0"), F.lit(" "))
     # single spaces are as they should be, and most frequent
     x = F.regexp_replace(x, r"(?: [^\S\n]|[^\S\n ])[^\S\n]*+", " ")
     return F.trim(F.regexp_replace(x, r" \n[ \n]*+|\n[ \n]++", "\n"), F.lit(" \n"))
 
 
+def plain_text(html: Column) -> Column:
+    """Visible text: markup goes, entities are decoded."""
+    return decoded(without_markup(html))
+
+
 def responses(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = NO_DATE) -> DataFrame:
     """page_id, record_id, target_uri, date, http_headers, payload and payload_digest of each page."""
     url, html = F.coalesce(F.col(url_col).cast("string"), F.lit("")), F.coalesce(F.col(html_col).cast("string"), F.lit(""))
@@ -78,7 +84,7 @@ def derivatives(found: DataFrame) -> DataFrame:
     """Two rows for each response: page_id, the fields of the record and its block."""
     html = F.col("payload")
     # title and language stand in a page's head
-    title = F.trim(F.regexp_replace(plain_text(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1)), r"\s+", " "))
+    title = F.trim(F.regexp_replace(decoded(F.col("title")), r"\s+", " "))
     language = F.regexp_extract(html, r"(?i)<html[^>]*?\slang=[\"']?([A-Za-z-]+)", 1)
     links = F.array_distinct(F.regexp_extract_all(html, F.lit(r"(?i)<a\s[^>]*?href=[\"']([^\"'>]*)"), F.lit(1)))
     lines = F.concat(
@@ -86,7 +92,8 @@ def derivatives(found: DataFrame) -> DataFrame:
         F.transform("links", lambda x: F.concat(F.lit("outlink: "), x)),
     )
     fields = ("page_id", "record_id", "target_uri", "date", "payload_digest", "http_headers")
-    parsed = found.select(*fields, title.alias("title"), language.alias("language"), links.alias("links"), plain_text(html).alias("text"))
+    bare = found.select(*fields, without_markup(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1)).alias("title"), language.alias("language"), links.alias("links"), without_markup(html).alias("text"))
+    parsed = bare.withColumns({"title": title, "text": decoded(F.col("text"))})
     parsed = parsed.select(*fields[:-1], F.array_join(lines, CRLF).alias("fields"), "text")
     both = F.array(_record("metadata", "application/warc-fields", "fields"), _record("conversion", "text/plain; charset=utf-8", "text"))
     return parsed.select("page_id", F.explode(both).alias("r")).select("page_id", "r.*")

@@ -121,6 +121,18 @@ def test_derivatives(spark):
     assert [r["block"] for r in rows if r["page_id"] == 3 and r["record_type"] == "conversion"] == [""]
 
 
+def test_derivatives_decode_every_entity(spark):
+    import html
+
+    parts = ["Stra&szlig;e &amp; Pl&auml;tze", "&#8217;&#228;&#x41;", "&amp;auml; &amp;amp;", "&copy 2024 &rsquo;x&rsquo;", "R&D", "a&nbsp;b&#160;c", "plain"]
+    made = [f"<html><title>{p}</title><body><p>{p}</p></body></html>" for p in parts]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", m) for i, m in enumerate(made)], "page_id bigint, url string, html string")
+    for r in warc.derivatives(warc.responses(pages)).collect():
+        text = html.unescape(parts[r["page_id"]]).replace("\u00a0", " ")
+        assert r["block"] == f"{text}\n{text}" if r["record_type"] == "conversion" else r["block"].startswith(f"title: {text}\r\n")
+        assert r["block_digest"] == b32(r["block"])
+
+
 def test_record_layout(spark):
     pages = spark.createDataFrame([(1, "http://h/a", HTML)], "page_id bigint, url string, html string")
     for r in warc.derivatives(warc.responses(pages)).withColumn("record", warc.record_text()).collect():

@@ -247,6 +247,21 @@ def test_pages(spark):
     assert [r["session_id"] for r in pages.session_ids(calendar).orderBy("ord").collect()] == ["5", "4", "6"]
 
 
+def test_every_entity_is_decoded(spark):
+    import html
+
+    parts = ["Er&ouml;ffnung &amp; Begr&#252;&szlig;ung", "&amp;auml;", "&rsquo;&#8217;&#x41;&copy;", "&<b>auml;</b>", "R&D &ampx", "&lt;b&gt;&nbsp;", "", None]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(parts)], "i int, x string")
+    want = [" ".join(html.unescape((p or "").replace("<b>", "").replace("</b>", "")).split()) for p in parts]
+    assert [r["t"] for r in rows.select("i", text.html_text(F.col("x")).alias("t")).orderBy("i").collect()] == want
+    page = SESSION.replace("Genehmigung der Niederschrift", "Er&ouml;ffnung der Sitzung").replace("Bekanntmachung", "Pl&auml;ne").replace("&amp;type", "&#38;type")
+    one = spark.createDataFrame([("stadt", "7", "http://b", page, 0)], "source string, session_id string, base_url string, html string, session_ord int")
+    assert [tuple(d) for d in pages.parse_sessions(one).first()["session_documents"]] == [("Pläne", "http://b/getfile.php?id=1&type=do")]
+    assert [(r["title"], r["is_routine"]) for r in pages.parse_items(one).orderBy("item_ord").collect()][1] == ("Eröffnung der Sitzung", True)
+    stages = value(spark, pages.parse_stages(F.lit(STAGES.replace("Anhörung", "Anh&#246;rung").replace("f. Sport", "f&uuml;r Sport")), F.lit("http://b")))
+    assert (stages[0]["role"], stages[0]["body"]) == ("Anhörung", "Ausschuss für Sport")
+
+
 def _archive(url):
     if url.endswith("bad"):
         raise OSError("no")
