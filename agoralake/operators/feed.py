@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import date_number
 from .status import STATUSES, derived
 from .topics import appearances, best_versions, curated_topics, lead_appearances, minutes, own_appearance, ref_index
 
@@ -88,7 +89,21 @@ def uncurated(items: DataFrame, curation: DataFrame) -> DataFrame:
     return ref_index(items).where("is_public and not is_routine").join(curation.select("ref"), "ref", "left_anti").select("ref")
 
 
-def feed_document(feed: DataFrame, header: dict[str, str]) -> DataFrame:
-    """One row: header, statistics and the entries in feed order."""
+def feed_entries(feed: DataFrame) -> DataFrame:
+    """The feed in its order over all partitions, one row per entry; no row or task holds more than its range."""
+    order = [F.desc(date_number(F.col("date_iso"))), F.asc("topic_ord")]
+    return feed.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def feed_header(feed: DataFrame, header: dict[str, str]) -> DataFrame:
+    """One small row: header and statistics."""
+    return statistics(feed).select(*[F.lit(v).alias(k) for k, v in header.items()], F.struct("curated", "drafts", "easy").alias("statistics"))
+
+
+def feed_document(feed: DataFrame, header: dict[str, str], most_bytes: int = 1 << 28) -> DataFrame:
+    """One row: header, statistics and the entries in feed order.  For small feeds: one of more than most_bytes is refused, feed_header and feed_entries have any size."""
+    size = feed.select(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("n")).first()["n"] or 0
+    if size > most_bytes:
+        raise ValueError(f"a feed of {size} bytes is no single document; use feed_header and feed_entries")
     entries = feed.agg(F.array_sort(F.collect_list(F.struct((-F.coalesce(F.regexp_replace("date_iso", "-", "").try_cast("long"), F.lit(0))).alias("o"), "topic_ord", F.struct(*feed.columns).alias("entry")))).alias("all"))
     return statistics(feed).join(entries).select(*[F.lit(v).alias(k) for k, v in header.items()], F.struct("curated", "drafts", "easy").alias("statistics"), F.transform("all", lambda e: e["entry"]).alias("entries"))

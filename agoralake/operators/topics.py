@@ -74,9 +74,9 @@ def curated_topics(curation: DataFrame, items: DataFrame) -> DataFrame:
 
 def best_versions(curated: DataFrame) -> DataFrame:
     """The best version of each topic, the earlier of equal ones, at the topic's first position (topic_ord)."""
-    w = Window.partitionBy("topic")
-    ranked = curated.withColumns({"topic_ord": F.min("cur_ord").over(w), "_rank": F.row_number().over(w.orderBy(F.desc(quality()), F.asc("cur_ord")))})
-    return ranked.where("_rank = 1").drop("_rank")
+    # a maximum combines before the shuffle, so a topic with most of the rows is no large task
+    best = F.max(F.struct(quality().alias("quality"), (-F.col("cur_ord")).alias("earlier"), F.struct(*curated.columns).alias("row")))
+    return curated.groupBy("topic").agg(best.alias("_best"), F.min("cur_ord").alias("topic_ord")).select("_best.row.*", "topic_ord")
 
 
 def merged_versions(curated: DataFrame) -> DataFrame:

@@ -412,14 +412,29 @@ def loss_check_public(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.unionByName(strict)
 
 
-@query
-def feed_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = page_items(table(spark, sf_dir, "pages"))
     lead = topics.lead_appearances(items)
-    entries = lead.join(topics.appearances(items), "topic", "left").select(
+    return lead.join(topics.appearances(items), "topic", "left").select(
         "ref", "topic", "date_iso", F.col("session_ord").alias("topic_ord"), F.lit(False).alias("is_draft"), F.lit("").alias("text_easy"), F.coalesce("appearances", topics.own_appearance()).alias("appearances"), "title"
     )
-    return sinks.json_document(feed.feed_document(entries, {"built": AS_OF}))
+
+
+@query
+def feed_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed as one JSON text, while it is small."""
+    return sinks.json_document(feed.feed_document(_feed(spark, sf_dir), {"built": AS_OF}))
+
+
+@query
+def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed as one JSON text per entry, in feed order."""
+    return sinks.json_lines(feed.feed_entries(_feed(spark, sf_dir)))
+
+
+@query
+def feed_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.json_document(feed.feed_header(_feed(spark, sf_dir), {"built": AS_OF}))
 
 
 @query

@@ -9,10 +9,15 @@ from ..functions.text import known
 
 
 def json_document(parts: DataFrame) -> DataFrame:
-    """One row, one JSON text, of a one-row frame."""
+    """One row, one JSON text, of a one-row frame; see json_lines for more rows."""
     return parts.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def json_lines(rows: DataFrame) -> DataFrame:
+    """One JSON text per row, in the order of the rows."""
+    return json_document(rows)
+
+
 def script_document(parts: DataFrame, name: str = "window.FEED") -> DataFrame:
     """The JSON as a script that assigns it to a global."""
     return json_document(parts).select(F.concat(F.lit(f"{name} = "), "value", F.lit(";")).alias("value"))

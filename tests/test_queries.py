@@ -66,3 +66,26 @@ def test_headings_are_judged_by_whole_titles(spark, tmp_path):
 def test_headings_of_given_pages_fall_into_both_classes(spark):
     rows = QUERIES["heading_filter_titles"](spark, SF).collect()
     assert {r["collective"] for r in rows} == {r["short"] for r in rows} == {True, False}
+
+
+def test_feed_entries_are_those_of_the_document(spark):
+    import json
+
+    sf = "/root/testdata/sf0.001"
+    whole = json.loads(QUERIES["feed_document"](spark, sf).first()["value"])
+    rows = QUERIES["feed_entries"](spark, sf)
+    assert [json.loads(r["value"]) for r in rows.collect()] == whole.pop("entries")
+    assert json.loads(QUERIES["feed_header"](spark, sf).first()["value"]) == whole
+
+
+def test_a_large_feed_is_no_single_document(spark):
+    from agoralake.operators import feed
+
+    entries = spark.createDataFrame([("a", "2026-01-01", 0, False, "", ["x"])], "ref string, date_iso string, topic_ord int, is_draft boolean, text_easy string, appearances array<string>")
+    assert feed.feed_document(entries, {}).count() == 1
+    with pytest.raises(ValueError, match="no single document"):
+        feed.feed_document(entries, {}, most_bytes=10)
+
+
+def test_best_versions_combine_before_the_shuffle(spark):
+    assert "Window" not in QUERIES["best_version"](spark, SF)._jdf.queryExecution().toString()
