@@ -1,7 +1,7 @@
 """Surrogates for personal data, with DataFrame functions alone (no Python on the executors).
 
 Mentions are found by one alternation of patterns.  A mention's canonical form
-(digits of a number, lower-case address, title gender and name) names the entity,
+(digits of a number, lower-case address, title gender and last name word) names the entity,
 so all mentions of an entity, in whatever format, share one surrogate.  Surrogates
 come from a keyed SHA-512 of kind, canonical form and attempt, and keep what makes
 the entity plausible: country code and line format of phones, issuer digit and a
@@ -9,6 +9,10 @@ valid check digit of cards, octet ranges of addresses, letter case, digits and
 punctuation of e-mail addresses with their top-level domain, gender (the title
 stays) and script of names.
 
+A person is a title and one to four capitalised name words, with particles; a
+capitalised word right after a name counts as part of it.  Sixteen digits in a card's
+layout are a card, other lengths from 13 to 19 by their check digit only.
+
 Distinctness is checked over the whole corpus: two entities of a kind with one
 surrogate, or a surrogate that is itself an entity of the corpus, make the later
 entity try again with the next attempt, until no collision is left.
@@ -27,14 +31,19 @@ from .frames import checkpoint, numbered, position
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
+# Words of a name with inner capitals, hyphens and apostrophes, and the particles between them.
+_TITLES = "(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora|Sr|Sra|Господин|Госпожа)"
+_NAME = r"(?:\p{Lu}\.(?=[ ])|\p{Lu}[\p{L}\p{M}]*+(?:(?:-|['’](?!s(?!\p{L})))[\p{L}\p{M}]++)*+)"
+_PARTICLE = r"(?:von|van|vom|zu|zur|zum|der|den|de|del|della|di|da|dos|du|la|le|ten|ter|al|el|bin|ibn)"
+
 # The kinds of entities and their patterns, in order of precedence.
 KINDS = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     ("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z])"),
-    ("card", r"(?<![0-9A-Za-z])[0-9]{4}(?:[0-9]{12}|(?:[ ][0-9]{4}){3}|(?:-[0-9]{4}){3})(?![0-9A-Za-z])"),
+    ("card", r"(?<![0-9A-Za-z])(?:[0-9]{4}(?:[0-9]{12}|(?:[ ][0-9]{4}){3}|(?:-[0-9]{4}){3})|[0-9]{4}[ ][0-9]{6}[ ][0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5}|[0-9]{13,19})(?![0-9A-Za-z])"),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     ("ip", rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])"),
-    ("person", r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora|Sr|Sra|Господин|Госпожа)\.?[ ]\p{Lu}\p{Ll}+(?![\p{L}])"),
+    ("person", rf"(?<!\p{{L}}){_TITLES}\.?[ ](?:{_PARTICLE}[ ]){{0,3}}{_NAME}(?:[ ](?!{_TITLES}\.?[ ])(?:{_PARTICLE}[ ]){{0,3}}{_NAME}){{0,3}}(?![\p{{L}}])"),
 )
 PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
 
@@ -54,13 +63,19 @@ def kind_of(mention: Column) -> Column:
     for kind, pattern in reversed(KINDS):
         # look-around holds at both ends of a mention
         out = F.when(mention.rlike(f"^(?:{pattern})$"), F.lit(kind)).otherwise(out)
-    return out
+    # numbers of other lengths than 16 are cards by their check digit only
+    digits = _digits(mention)
+    return F.when((out == "card") & (F.length(digits) != 16) & (luhn_sum(digits) % 10 != 0), None).otherwise(out)
+
+
+def name_parts(mention: Column) -> Column:
+    """The mention of a person in parts of one name word each, with the title and particles before it."""
+    return F.regexp_extract_all(mention, F.lit(rf"(?:^{_TITLES}\.?[ ])?(?:{_PARTICLE}[ ])*{_NAME}"), F.lit(0))
 
 
-def canonical(kind: Column, mention: Column) -> Column:
-    name = F.lower(F.regexp_extract(mention, r"(\p{L}+)$", 1))
-    gender = F.when(mention.rlike(_FEMALE), "f:").otherwise("m:")
-    return F.when(kind == "email", F.lower(mention)).when(kind == "person", F.concat(gender, name)).when(kind == "ip", mention).otherwise(_digits(mention))
+def canonical(kind: Column, mention: Column, gender: Column) -> Column:
+    name = F.lower(F.regexp_extract(mention, r"([^ ]+)$", 1))
+    return F.when(kind == "email", F.lower(mention)).when(kind == "person", F.concat(gender, name)).when(kind == "given", F.concat(F.lit("g:"), name)).when(kind == "ip", mention).otherwise(_digits(mention))
 
 
 def _byte(seed: Column, i: Column) -> Column:
@@ -103,7 +118,7 @@ def surrogate(kind: Column, entity: Column, key: str, attempt: Column) -> Column
     syllables = F.when(entity.rlike(r"\p{IsCyrillic}"), F.array(*map(F.lit, _CYRILLIC))).otherwise(F.array(*map(F.lit, _LATIN)))
     name = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5) + attempt), lambda i: F.element_at(syllables, _byte(seed, i) % 16 + 1)), "")
     person = F.concat(F.substring(entity, 1, 2), name)
-    return F.when(kind == "email", mail).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", octets).when(kind == "person", person).otherwise(number)
+    return F.when(kind == "email", mail).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", octets).when(kind.isin("person", "given"), person).otherwise(number)
 
 
 def rendered(kind: Column, mention: Column, entity: Column) -> Column:
@@ -119,8 +134,8 @@ def rendered(kind: Column, mention: Column, entity: Column) -> Column:
         return F.when(F.substring(mention, i, F.lit(1)).rlike("[A-Z]"), F.upper(c)).otherwise(c)
 
     mail = F.array_join(F.transform(F.sequence(F.lit(1), F.length(entity)), cased), "")
-    person = F.concat(F.regexp_extract(mention, r"^(.*?)\p{L}+$", 1), F.initcap(F.substring(entity, F.lit(3), F.length(entity))))
-    return F.when(kind == "email", mail).when(kind == "person", person).when(kind == "ip", entity).otherwise(number)
+    person = F.concat(F.regexp_extract(mention, r"^(.*[ ])?[^ ]+$", 1), F.initcap(F.substring(entity, F.lit(3), F.length(entity))))
+    return F.when(kind == "email", mail).when(kind.isin("person", "given"), person).when(kind == "ip", entity).otherwise(number)
 
 
 def assign(entities: DataFrame, key: str, rounds: int = 30) -> DataFrame:
@@ -147,16 +162,28 @@ def replace_pii(docs: DataFrame, *, key: str, text_col: str = "text") -> DataFra
     mentions = F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))
     some = rows.where(has).withColumns({"_key": F.sha2(F.col(text), 256), "_found": mentions})
     each = some.select("_key", F.posexplode("_found").alias("pos", "mention")).distinct()
-    each = each.withColumn("kind", kind_of(F.col("mention"))).withColumn("entity", canonical(F.col("kind"), F.col("mention")))
+    each = each.withColumn("kind", kind_of(F.col("mention")))
+    # a person's last name word is the key of the entity; each further word has a surrogate of its own
+    gender = F.when(F.col("mention").rlike(_FEMALE), "f:").otherwise("m:")
+    parts = F.when(F.col("kind") == "person", name_parts(F.col("mention"))).otherwise(F.array("mention"))
+    each = each.select("_key", "pos", "kind", gender.alias("gender"), F.size(parts).alias("n"), F.posexplode(parts).alias("part", "mention"))
+    each = each.withColumn("kind", F.when((F.col("kind") == "person") & (F.col("part") < F.col("n") - 1), "given").otherwise(F.col("kind")))
+    each = each.select("_key", "pos", "part", "mention", "kind", canonical(F.col("kind"), F.col("mention"), F.col("gender")).alias("entity"))
     each = checkpoint(each)
-    named = assign(each.select("kind", "entity").distinct(), key)
-    new = each.join(named, ["kind", "entity"], "left").withColumn("new", F.coalesce(rendered(F.col("kind"), F.col("mention"), F.col("surrogate")), F.col("mention")))
-    per = new.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("news"), F.array_sort(F.collect_set("kind")).alias("kinds"))
+    known = each.where("kind is not null")
+    named = assign(known.select("kind", "entity").distinct(), key)
+    new = known.join(named, ["kind", "entity"], "left").withColumn("new", F.coalesce(rendered(F.col("kind"), F.col("mention"), F.col("surrogate")), F.col("mention")))
+    new = new.select("_key", "pos", "part", "kind", "new").unionByName(each.where("kind is null").select("_key", "pos", "part", "kind", F.col("mention").alias("new")))
+    per = new.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("pos", "part", "new"))).alias("words"), F.array_sort(F.collect_set(F.when(F.col("kind") == "given", "person").otherwise(F.col("kind")))).alias("kinds"), F.count_if((F.col("part") == 0) & F.col("kind").isNotNull()).alias("n_entities"))
+    # the words of a mention are joined by spaces again; no mention holds a null character
+    joined = F.array_join(F.transform("words", lambda w: F.concat(F.when(w["part"] == 0, "\0").otherwise(" "), w["new"])), "")
+    joined = F.split(F.regexp_replace(joined, r"^\x00", ""), r"\x00", -1)
+    per = per.select("_key", "kinds", "n_entities", joined.alias("news"))
     pieces = F.split(F.col(text), PATTERN, -1)
-    whole = F.array_join(F.concat(F.flatten(F.zip_with(F.slice(pieces, 1, F.size("news")), F.transform("news", lambda n: n["new"]), lambda a, b: F.array(a, b))), F.slice(pieces, F.size(pieces), 1)), "")
+    whole = F.array_join(F.concat(F.flatten(F.zip_with(F.slice(pieces, 1, F.size("news")), F.col("news"), lambda a, b: F.array(a, b))), F.slice(pieces, F.size(pieces), 1)), "")
     done = some.join(per, "_key").withColumn(text, whole)
     names = [f"c{i}" for i in range(len(docs.columns))]
-    changed = done.select(*names, F.size("news").cast("long").alias("n_entities"), "kinds")
+    changed = done.select(*names, "n_entities", "kinds")
     clean = rows.where(~has).select(*names, F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
     out = changed.unionByName(clean)
     return out.toDF(*docs.columns, "n_entities", "kinds")

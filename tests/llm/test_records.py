@@ -57,6 +57,17 @@ def test_surrogates_keep_type_format_and_coreference(spark):
     assert found[5]["n_entities"] == 5 and found[4]["kinds"] == ["ip", "ssn"]
 
 
+def test_whole_names_and_cards_of_all_lengths(spark):
+    texts = [(1, "Mr. John Smith met Mr. Smith and Ms. Ann O'Brien. Herr Karl von Smith-Jones saw Mr. J. McDonald, Mrs. MILLER Mr. Smith's cat."), (2, "Amex 378282246310005, 3782 822463 10005, not 378282246310006.")]
+    found = replaced(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    one = found[1]["text"]
+    assert not re.search("John|Smith|Jones|Ann|Brien|Karl|Donald|MILLER|J[.]", one) and found[1]["n_entities"] == 7 and found[1]["kinds"] == ["person"]
+    first = re.match(r"Mr\. ([A-Z][a-z]+) ([A-Z][a-z]+) met Mr\. ([A-Z][a-z]+) and Ms\. [A-Z][a-z]+ [A-Z][a-z]+\. Herr [A-Z][a-z]+ von [A-Z][a-z]+ saw Mr\. [A-Z][a-z]+ [A-Z][a-z]+, Mrs\. [A-Z][a-z]+ Mr\. ([A-Z][a-z]+)'s cat\.$", one)
+    assert first and first[2] == first[3] == first[4] != first[1]
+    cards = re.match(r"Amex (\d{15}), (\d{4} \d{6} \d{5}), not 378282246310006\.$", found[2]["text"])
+    assert cards and cards[1] == cards[2].replace(" ", "") != "378282246310005" and luhn(cards[1]) and found[2]["n_entities"] == 2
+
+
 def test_the_key_decides(spark):
     docs = spark.createDataFrame(TEXTS, "doc_id bigint, text string")
     assert replaced(docs, "k") == replaced(docs.repartition(5), "k") and replaced(docs, "other")[4]["text"] != replaced(docs, "k")[4]["text"]
