@@ -42,3 +42,15 @@ def test_run_is_registered(spark):
     out = __spark_entry__.queries()["pipeline"](spark, "/root/testdata/sf0.001")
     assert "ids" in out.columns and out.count() > 0
     assert corpus_pipeline.ORACLE_SQL is None and set(queries.ORACLE_SQL) <= set(__spark_entry__.oracle_sql())
+
+
+def test_mixtures_of_languages_stay(spark, documents):
+    parts = {}
+    for lang in ("de", "en", "es", "fr"):
+        texts = documents.where(f"lang = '{lang}' and length(text) > 300").orderBy("doc_id").limit(6).collect()
+        parts[lang] = " ".join(r["text"] for r in texts)[:1500]
+    mixed = [(-k, " ".join([*parts.values()][:k])) for k in range(1, 5)] + [(-5, "123 !? 456"), (-6, "")]
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame(mixed, "doc_id bigint, text string"))
+    docs = docs.join(documents.select("doc_id", "lang"), "doc_id", "left")
+    kept = corpus_pipeline.language_id(spark, docs, SF).where("doc_id < 0").collect()
+    assert {r["doc_id"] for r in kept} == {-1, -2, -3, -4}
