@@ -14,17 +14,20 @@ Id k of a block lies at bit k * bits of its payload, so a reader unpacks any
 range with a few vectorised numpy operations and reaches any document over
 footer, block offsets and document offsets.
 
-Documents are dealt by ranges of doc_id (Spark samples the bounds), sorted within
-a range, encoded where they land and written by Spark's own writer, so files work
-on every file system that Spark reaches.  File names ascend with doc_id.  A null
-text is empty: it holds the end id alone.  Equal doc_ids are neighbours, ordered
-by text.  An empty table gives files without blocks.
+Documents are dealt by ranges of doc_id (Spark samples the bounds), as many as hold
+about FILE_BYTES of text each, sorted within a range, encoded where they land and
+written by Spark's own writer, so files work on every file system that Spark reaches.
+File names ascend with doc_id.  A null text is empty: it holds the end id alone.
+Equal doc_ids are neighbours, ordered by a hash of the text, so ranges split them too.
+An empty table gives files without blocks.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 import uuid
 import zlib
 from array import array
@@ -43,6 +46,10 @@ MAGIC, FOOTER = b"TPB1", b"TPF1"
 _HEAD = np.dtype([("magic", "S4"), ("bits", "u1"), ("zero", "u1", 3), ("docs", "<u4"), ("ids", "<u8")])
 
 
+#: Text in a file, of which a reader holds the packed ids at a time.
+FILE_BYTES = 16 << 20
+
+
 def bits_for(vocabulary: int) -> int:
     """The least width that holds every id below vocabulary."""
     return max(1, int(vocabulary - 1).bit_length())
@@ -118,23 +125,56 @@ class TokenFile:
         return unpack(payload, bits, int(offsets[i]), int(offsets[i + 1] - offsets[i]))
 
 
-# Characters after which a space always begins a new pre-token: visible ones, so that no run of white space is cut.
-_SAFE = "!-~¡-ᙿ、-퟿"
-_RUNS = re.compile(rf"(?<![{_SAFE}]) |^ ")
-_CUTS = re.compile(rf"(?<=[{_SAFE}])(?= )")
-_PLAIN = re.compile(rf" ?[{_SAFE}]+")
-#: A mark or line end after one of these is a pre-token of its own, if what follows begins one too.
-_WORD_END = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() or "0" <= c <= "9")
-_ALONE = frozenset(".,\n")
+# The characters whose classes are the same in every Unicode version of the last ten years.
+_KNOWN = (range(0x500), range(0x2010, 0x2028), range(0x3041, 0x3097), range(0x30A1, 0x30FB), range(0x4E00, 0x9FA6), range(0xAC00, 0xD7A4))
+#: White space as Unicode has it; Python's \s has four control characters more.
+_SPACE = r"\t-\r \x85\xa0"
 
 
-class UnitEncoder:
-    """tokenizers' ids for whole texts, with the library called once for each new unit.
+def _ranges(chars: Iterator[str]) -> str:
+    """Characters in ascending order as the ranges of a pattern's class."""
+    out: list[list[int]] = []
+    for c in map(ord, chars):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in out)
+
+
+def _of(category: str) -> str:
+    return _ranges(chr(c) for r in _KNOWN for c in r if unicodedata.category(chr(c))[0] == category)
+
+
+_LETTER, _NUMBER = _of("L"), _of("N")
+#: The pre-tokens of a byte-level tokenizer, for texts of known characters.
+_UNITS = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_OTHER = re.compile(f"[^{_ranges(chr(c) for r in _KNOWN for c in r)}]")
+#: A space between visible ASCII characters begins a pre-token, whatever else a text holds.
+_CUTS = re.compile("(?<=[!-~])(?= [!-~])")
 
-    A byte-level BPE pre-token holds a space only as its first character or within
-    white space, so a text may be cut before each space that follows a visible
-    character, and the ids of the units join to the ids of the text.  Texts that hold
-    the content of an added token go to the library whole.
+
+def _byte_letters() -> list[str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return [chr(b if b in own else next(rest)) for b in range(256)]
+
+
+_BYTE_LETTERS = _byte_letters()
+# What a tokenizer file must say so that its pre-tokens are those of _UNITS.
+_PLAIN = {"normalizer": None, "truncation": None, "padding": None, "pre_tokenizer": ("ByteLevel", False, True), "model": ("BPE", None, False)}
+
+
+class UnitEncoder:
+    """tokenizers' ids for whole texts, with the library's model called once for each new pre-token.
+
+    A text falls into pre-tokens by the classes of its characters alone, and the
+    model encodes each pre-token by itself, so the ids of a text are those of its
+    pre-tokens in a row, whatever the cache holds.  Parts of a text with characters
+    outside the known ranges go to the library as they are, and so do texts that hold
+    the content of an added token, and all texts where the tokenizer is of another
+    kind than byte-level BPE.
     """
 
     LIMIT = 250_000
@@ -146,10 +186,18 @@ class UnitEncoder:
         self.library = Tokenizer.from_file(path)
         # the library finds these anywhere in a text, spaces and all
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values() if t.content]
-        [self.line_end] = self.library.encode("\n", add_special_tokens=False).ids
+        said = json.loads(self.library.to_str())
+        pre, model = said["pre_tokenizer"] or {}, said["model"]
+        told = {k: said[k] for k in ("normalizer", "truncation", "padding")}
+        told["pre_tokenizer"] = (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex"))
+        told["model"] = (model["type"], model.get("dropout"), model.get("ignore_merges"))
+        self.plain = told == _PLAIN
+        self.model = self.library.model
         self.cache: dict[str, bytes] = {}
         self.again: set[str] = set()
-        self.unsafe: set[str] = set()
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, units: set[str]) -> None:
         """Put units into the cache."""
@@ -158,58 +206,35 @@ class UnitEncoder:
             kept = known | self.again if len(self.again) < self.LIMIT // 2 else known
             self.cache = {u: self.cache[u] for u in kept}
             self.again = set()
-            self.unsafe.clear()
         self.again |= known
-        self._ask(list(units.difference(known)))
-
-    def _ask(self, units: list[str]) -> None:
-        """The library's ids of new units; plain ones together, one a line, since a single line end between them is a token."""
-        plain = [u for u in units if _PLAIN.fullmatch(u)]
-        for u in set(units).difference(plain):
-            self.cache[u] = array("I", self.library.encode(u, add_special_tokens=False).ids).tobytes()
-        groups = [plain[i : i + 512] for i in range(0, len(plain), 512)]
-        for k in range(0, len(groups), 32):
-            for own, e in zip(groups[k : k + 32], self.library.encode_batch_fast(["\n".join(g) for g in groups[k : k + 32]], add_special_tokens=False)):
-                ids = np.array(e.ids, "<u4")
-                ends = (4 * np.append(np.flatnonzero(ids == self.line_end), len(ids))).tolist()
-                data, at = ids.tobytes(), 0
-                for u, end in zip(own, ends, strict=True):
-                    self.cache[u] = data[at:end]
-                    at = end + 4
-
-    @staticmethod
-    def _fine(text: str) -> list[str]:
-        """text cut at spaces, line ends, and before a mark that a space, a line end or the end follows."""
-        parts = (text.replace("\n", "\0\n\0").replace(" ", "\0 ") + "\0").replace(",\0", "\0,\0").replace(".\0", "\0.\0").split("\0")
-        parts.pop()
-        return parts
-
-    @staticmethod
-    def _coarse(text: str) -> list[str]:
-        """text cut before spaces that follow a visible character."""
-        if "\0" in text or _RUNS.search(text):
-            return [p for p in _CUTS.split(text) if p]
-        return [p for p in text.replace(" ", "\0 ").split("\0") if p]
+        tokenize, letters, cache = self.model.tokenize, _BYTE_LETTERS, self.cache
+        for u in units.difference(known):
+            if u.isascii() and u.isprintable():  # of these bytes only the space has another letter
+                cache[u] = array("I", [t.id for t in tokenize(u.replace(" ", letters[0x20]))]).tobytes()
+            elif _OTHER.search(u):
+                cache[u] = self._whole(u)
+            else:
+                cache[u] = array("I", [t.id for t in tokenize("".join([letters[b] for b in u.encode()]))]).tobytes()
+
+    def _split(self, text: str) -> list[str]:
+        if not _OTHER.search(text):
+            return _UNITS.findall(text)
+        out: list[str] = []
+        for part in _CUTS.split(text):
+            if _OTHER.search(part):
+                out.append(part)
+            else:
+                out += _UNITS.findall(part)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        whole = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
-        coded = iter(self._joined([t for i, t in enumerate(texts) if i not in whole] if whole else texts))
-        return [array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes() if i in whole else next(coded) for i, t in enumerate(texts)]
-
-    def _joined(self, texts: list[str]) -> list[bytes]:
-        """The joined ids of the units of each text."""
-        split = [self._fine(t) if "\0" not in t else [""] for t in texts]
-        units = set().union(*split)
-        # fine cuts hold where all pieces are marks or end in a letter or digit
-        self.unsafe.update([u for u in units.difference(self.cache, self.unsafe) if not u or u[-1] not in _WORD_END and u not in _ALONE])
-        unsafe = units.intersection(self.unsafe)
-        if unsafe:
-            split = [self._coarse(t) if not unsafe.isdisjoint(parts) else parts for t, parts in zip(texts, split)]
-            units = set().union(*split)
-        self._learn(units)
+        if not self.plain:
+            return [self._whole(t) for t in texts]
+        split = [None if any(a in t for a in self.added) else self._split(t) for t in texts]
+        self._learn(set().union(*[s for s in split if s]))
         get = self.cache.__getitem__
-        return [b"".join(map(get, parts)) for parts in split]
+        return [self._whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
 
 
 @lru_cache(maxsize=2)
@@ -241,9 +266,13 @@ def _writer(path: str, bits: int, end_id: int | None, make: Callable[[str], Unit
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, vocabulary: int, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", make: Callable[[str], UnitEncoder] = encoder_for) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, vocabulary: int, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES, make: Callable[[str], UnitEncoder] = encoder_for) -> None:
     """Encode the documents and write the files below path, in ascending doc_id order."""
-    dealt = text_pairs(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    pairs = text_pairs(docs, id_col, text_col)
+    size = pairs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # a hash of the text splits many rows of one id
+    pairs = pairs.withColumn("copy", F.xxhash64("text"))
+    dealt = pairs.repartitionByRange(1 + size // file_bytes, "doc_id", "copy").sortWithinPartitions("doc_id", "copy", "text").drop("copy")
     rows = dealt.mapInArrow(_writer(tokenizer, bits_for(vocabulary), end_id, make), "block binary")
     rows.select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 from math import log2
 
 import numpy as np
@@ -162,13 +163,11 @@ def digests(rows):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
-    out, start = [], 0
-    for d, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    found = []
+    for d, text in rows:
         ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
-        out.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        start += len(ids)
-    return out
+        found.append((d, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    return sorted(found, key=lambda r: (r[0] is not None, r[0] or 0, r[1:]))
 
 
 def test_token_files_odd_documents(spark, odd_documents, no_documents, odd_texts):
@@ -176,8 +175,10 @@ def test_token_files_odd_documents(spark, odd_documents, no_documents, odd_texts
     for docs, rows in ((odd_documents, odd_texts), (no_documents, [])):
         where = token_files.fresh_path(spark, "test")
         token_files.write_tokens(docs, where, path, vocabulary=50_257, end_id=2)
-        found = [tuple(r) for r in token_files.read_digests(spark, where).collect()]
-        assert sorted(found, key=lambda r: r[1]) == digests(rows)
+        found = sorted([tuple(r) for r in token_files.read_digests(spark, where).collect()], key=lambda r: r[1])
+        assert [r[1] for r in found] == [sum(r[2] for r in found[:k]) for k in range(len(found))]
+        assert sorted([(d, n, c) for d, _, n, c in found], key=lambda r: (r[0] is not None, r[0] or 0, r[1:])) == digests(rows)
+        assert [r[0] for r in found] == [d for d, _, _ in digests(rows)]
 
 
 def test_added_tokens_in_a_text_are_the_library_s(spark):
@@ -199,15 +200,59 @@ def test_added_tokens_in_a_text_are_the_library_s(spark):
 
 
 def test_token_files_query(spark, documents):
-    found = [tuple(r) for r in queries.op6_token_files(spark, SF).collect()]
-    assert sorted(found, key=lambda r: r[1]) == digests([tuple(r) for r in documents.select("doc_id", "text").collect()])
+    found = sorted([tuple(r) for r in queries.op6_token_files(spark, SF).collect()], key=lambda r: r[1])
+    assert [(d, n, c) for d, _, n, c in found] == digests([tuple(r) for r in documents.select("doc_id", "text").collect()])
+    assert [r[1] for r in found] == list(np.cumsum([0, *[r[2] for r in found[:-1]]]))
+
+
+def test_rows_of_one_id_are_split_into_files(spark):
+    rows = [(None if k % 3 else k, f"text number {k} " * 20) for k in range(600)]
+    where = token_files.fresh_path(spark, "test")
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id bigint, text string"), where, queries.tokenizer_path("byte_bpe_50k.json"), vocabulary=50_257, end_id=2, file_bytes=20_000)
+    found = sorted([tuple(r) for r in token_files.read_digests(spark, where).collect()], key=lambda r: r[1])
+    assert sorted([(d, n, c) for d, _, n, c in found], key=lambda r: (r[0] is not None, r[0] or 0, r[1:])) == digests(rows)
+    assert [r[1] for r in found] == list(np.cumsum([0, *[r[2] for r in found[:-1]]]))
+    files = spark.read.format("binaryFile").load(where).where("length > 100")
+    assert files.count() > 5 and files.agg(F.max("length")).first()[0] < 40_000
+
+
+@lru_cache(maxsize=1)
+def library_and_encoder():
+    """The untouched library, and one encoder that lives through all examples."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    return Tokenizer.from_file(path), token_files.UnitEncoder(path)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab Z1.,'!\n\t\r\0é…日 <|endoftext|>’s-"), max_size=40))
-def test_units_join_to_the_library_s_ids(text):
-    encoder = token_files.encoder_for(queries.tokenizer_path("byte_bpe_50k.json"))
-    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == encoder.library.encode(text, add_special_tokens=False).ids
+PARTS = ("a", "b", " ", "  ", "Z", "1", ".", "..", ",", ".,", "'", "'s", "I'll", "!", "\n", "\n\n", "\t", "\r", "\0", "\x1c", "\x85", "\xa0", "é", "…", "日", "😀", "\u3000", "٣", "अ", "½", "$$$", "_", "<|endoftext|>", "etc..", "(see)", "wait..", "oh wait...")
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=12).map("".join), max_size=6))
+def test_units_join_to_the_library_s_ids(texts):
+    library, encoder = library_and_encoder()
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(c, "<u4").tolist() for c in encoder.encode(texts)] == want
+
+
+@pytest.mark.parametrize("texts", [["(see) wait..", "oh wait..."], ["oh wait...", "(see) wait.."], ["(a) he said etc.", "he said etc.."], ["..", ",,", "first\n..\nlast"]])
+def test_ids_do_not_depend_on_earlier_texts(texts):
+    library, _ = library_and_encoder()
+    encoder = token_files.UnitEncoder(queries.tokenizer_path("byte_bpe_50k.json"))
+    for t in texts:
+        assert np.frombuffer(encoder.encode([t])[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_a_tokenizer_of_another_kind_encodes_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, normalizers
+
+    library = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json"))
+    library.normalizer = normalizers.Lowercase()
+    library.save(str(tmp_path / "lower.json"))
+    encoder = token_files.UnitEncoder(str(tmp_path / "lower.json"))
+    assert not encoder.plain
+    assert np.frombuffer(encoder.encode(["Some TEXT.. here"])[0], "<u4").tolist() == library.encode("Some TEXT.. here", add_special_tokens=False).ids
 
 
 def test_random_access(spark, documents):
