@@ -30,7 +30,6 @@ import re
 import unicodedata
 import uuid
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -40,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import checkpoint, checkpoint_dir, text_pairs
-from .words import blocks
+from .words import blocks, mix, utf8
 
 MAGIC, FOOTER = b"TPB1", b"TPF1"
 _HEAD = np.dtype([("magic", "S4"), ("bits", "u1"), ("zero", "u1", 3), ("docs", "<u4"), ("ids", "<u8")])
@@ -166,18 +165,143 @@ _BYTE_LETTERS = _byte_letters()
 _PLAIN = {"normalizer": None, "truncation": None, "padding": None, "pre_tokenizer": ("ByteLevel", False, True), "model": ("BPE", None, False)}
 
 
+#: Classes of bytes in texts of ASCII and the letters U+00C0 to U+017F: other, letter, digit, white space.
+_OTHERS, _LETTERS, _DIGITS, _SPACES = range(4)
+_CLASS = np.full(256, _OTHERS, np.uint8)
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5]] = _LETTERS
+_CLASS[0x30:0x3A] = _DIGITS
+_CLASS[[*range(0x09, 0x0E), 0x20]] = _SPACES
+#: Bytes that show a character outside; U+00D7 and U+00F7 are no letters either.
+_OUTSIDE = np.zeros(256, bool)
+_OUTSIDE[[0xC2, *range(0xC6, 0x100)]] = True
+
+
+def outside(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which documents (byte ranges at) hold a character that _CLASS does not know."""
+    where = np.flatnonzero(_OUTSIDE[raw])
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    signs = lead[(raw[lead + 1] == 0x97) | (raw[lead + 1] == 0xB7)]
+    out = np.zeros(len(at) - 1, bool)
+    out[np.searchsorted(at, np.concatenate([where, signs]), side="right") - 1] = True
+    return out
+
+
+def unit_starts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The first byte of each pre-token, as _UNITS finds them, of documents without outside characters."""
+    n = len(raw)
+    first = np.zeros(n + 1, bool)
+    first[at] = True
+    kind = _CLASS[raw]
+    white = kind == _SPACES
+    start = np.ones(n, bool)
+    start[1:] = kind[1:] != kind[:-1]
+    # a run goes with one space before it
+    start[1:] &= white[1:] | (raw[:-1] != 0x20)
+    # the last of white space stands apart from the rest where a run follows
+    start[:-1] |= white[:-1] & ~white[1:] & ~first[1:n]
+    start |= first[:n]
+    marks = np.flatnonzero((raw == 0x27) & start)
+    marks = marks[marks + 1 < n]
+    marks = marks[~first[marks + 1]]
+    if len(marks):
+        one = raw[marks + 1]
+        two = np.where(marks + 2 < n, raw[np.minimum(marks + 2, n - 1)], 0)
+        two = np.where(first[marks + 2], 0, two)
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long_ = ((one == 0x6C) & (two == 0x6C)) | (((one == 0x72) | (one == 0x76)) & (two == 0x65))
+        for own, size in ((marks[short], 2), (marks[long_], 3)):
+            start[own + 1] = False
+            ends = own + size
+            start[ends[ends < n]] = True
+    return np.flatnonzero(start)
+
+
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+class UnitTable:
+    """Ids of units, held in numpy arrays: the bytes of a unit of up to 16 are its key, longer ones are in a dictionary."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.slots = 1 << (2 * limit).bit_length()
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot = np.full(self.slots, -1, np.int32)
+        self.low, self.high = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.size = np.zeros(0, np.int64)
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.again = np.zeros(0, bool)
+        self.ids = np.zeros(0, "<u4")
+        self.long: dict[bytes, int] = {}
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+    def _place(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (mix(mix(low + size.view(np.uint64)) ^ high) & np.uint64(self.slots - 1)).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The entry of each unit, or -1; bytes and length are compared, not hashes."""
+        out = np.full(len(low), -1, np.int64)
+        todo, at = np.arange(len(low)), self._place(low, high, size)
+        while len(todo):
+            entry = self.slot[at]
+            taken = entry >= 0
+            todo, at, entry = todo[taken], at[taken], entry[taken]
+            same = (self.low[entry] == low[todo]) & (self.high[entry] == high[todo]) & (self.size[entry] == size[todo])
+            out[todo[same]] = entry[same]
+            todo, at = todo[~same], (at[~same] + 1) & (self.slots - 1)
+        return out
+
+    def add(self, names: list[bytes], low: np.ndarray, high: np.ndarray, size: np.ndarray, coded: list[list[int]], again: np.ndarray | None = None) -> None:
+        """New distinct units with their ids."""
+        entry = np.arange(len(self), len(self) + len(names))
+        count = np.array([len(c) for c in coded], np.int64)
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
+        self.ids = np.concatenate([self.ids, np.array([i for c in coded for i in c], "<u4")])
+        self.low, self.high, self.size = np.concatenate([self.low, low]), np.concatenate([self.high, high]), np.concatenate([self.size, size])
+        self.count = np.concatenate([self.count, count])
+        self.again = np.concatenate([self.again, np.zeros(len(names), bool)])
+        for k in np.flatnonzero(size > 16).tolist():
+            self.long[names[k]] = int(entry[k])
+        entry = entry[size <= 16]
+        at = self._place(low, high, size)[size <= 16]
+        while len(entry):  # one of those that want a free slot gets it, the others go on
+            free = np.flatnonzero(self.slot[at] < 0)
+            self.slot[at[free]] = entry[free]
+            left = self.slot[at] != entry
+            entry, at = entry[left], (at[left] + 1) & (self.slots - 1)
+
+    def keep(self, chosen: np.ndarray) -> None:
+        """Forget all entries but the chosen ones."""
+        names = {k: e for e, k in self.long.items()}
+        low, high, size = self.low[chosen], self.high[chosen], self.size[chosen]
+        coded = [self.ids[a : a + c].tolist() for a, c in zip(self.first[chosen].tolist(), self.count[chosen].tolist())]
+        self.clear()
+        self.add([names.get(e, b"") for e in chosen.tolist()], low, high, size, coded)
+
+    def joined(self, entries: np.ndarray) -> np.ndarray:
+        """The ids of entries in a row."""
+        count = self.count[entries]
+        ends = np.cumsum(count)
+        return self.ids[np.repeat(self.first[entries] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class UnitEncoder:
     """tokenizers' ids for whole texts, with the library's model called once for each new pre-token.
 
     A text falls into pre-tokens by the classes of its characters alone, and the
     model encodes each pre-token by itself, so the ids of a text are those of its
-    pre-tokens in a row, whatever the cache holds.  Parts of a text with characters
-    outside the known ranges go to the library as they are, and so do texts that hold
-    the content of an added token, and all texts where the tokenizer is of another
-    kind than byte-level BPE.
+    pre-tokens in a row, whatever is known already.  Pre-tokens of Latin texts are
+    found and looked up with numpy, those of other known characters by a pattern.
+    Parts of a text with characters outside the known ranges go to the library as
+    they are, and so do texts that hold the content of an added token, and all texts
+    where the tokenizer is of another kind than byte-level BPE.
     """
 
-    LIMIT = 250_000
+    LIMIT = 600_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -193,48 +317,89 @@ class UnitEncoder:
         told["model"] = (model["type"], model.get("dropout"), model.get("ignore_merges"))
         self.plain = told == _PLAIN
         self.model = self.library.model
-        self.cache: dict[str, bytes] = {}
-        self.again: set[str] = set()
-
-    def _whole(self, text: str) -> bytes:
-        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _learn(self, units: set[str]) -> None:
-        """Put units into the cache."""
-        known = units.intersection(self.cache)
-        if len(self.cache) > self.LIMIT:  # keep what this block needs, and what more than one block needed
-            kept = known | self.again if len(self.again) < self.LIMIT // 2 else known
-            self.cache = {u: self.cache[u] for u in kept}
-            self.again = set()
-        self.again |= known
-        tokenize, letters, cache = self.model.tokenize, _BYTE_LETTERS, self.cache
-        for u in units.difference(known):
-            if u.isascii() and u.isprintable():  # of these bytes only the space has another letter
-                cache[u] = array("I", [t.id for t in tokenize(u.replace(" ", letters[0x20]))]).tobytes()
-            elif _OTHER.search(u):
-                cache[u] = self._whole(u)
-            else:
-                cache[u] = array("I", [t.id for t in tokenize("".join([letters[b] for b in u.encode()]))]).tobytes()
-
-    def _split(self, text: str) -> list[str]:
-        if not _OTHER.search(text):
-            return _UNITS.findall(text)
-        out: list[str] = []
-        for part in _CUTS.split(text):
+        self.table = UnitTable(self.LIMIT)
+        self.cache: dict[str, list[int]] = {}
+
+    def _whole(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def _unit(self, unit: str) -> list[int]:
+        """The ids of one pre-token of known characters."""
+        if unit.isascii() and unit.isprintable():  # of these bytes only the space has another letter
+            return [t.id for t in self.model.tokenize(unit.replace(" ", _BYTE_LETTERS[0x20]))]
+        return [t.id for t in self.model.tokenize("".join([_BYTE_LETTERS[b] for b in unit.encode()]))]
+
+    def _mixed(self, text: str) -> list[int]:
+        """The ids of a text with characters that are not Latin, or with an added token."""
+        if not self.plain or any(a in text for a in self.added):
+            return self._whole(text)
+        out: list[int] = []
+        for part in _CUTS.split(text) if _OTHER.search(text) else [text]:
             if _OTHER.search(part):
-                out.append(part)
-            else:
-                out += _UNITS.findall(part)
+                out += self._whole(part)
+                continue
+            for unit in _UNITS.findall(part):
+                ids = self.cache.get(unit)
+                if ids is None:
+                    if len(self.cache) >= self.LIMIT // 4:
+                        self.cache.clear()
+                    ids = self.cache[unit] = self._unit(unit)
+                out += ids
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _latin(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of documents of Latin characters, and how many each has."""
+        table, start = self.table, unit_starts(raw, at)
+        end = np.append(start[1:], len(raw))[: len(start)]
+        size = end - start
+        padded = np.concatenate([raw, np.zeros(16, np.uint8)])
+        eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))  # the eight bytes from each byte on
+        short = np.minimum(size, 16)
+        low, high = eight[start] & _MASKS[np.minimum(short, 8)], eight[start + 8] & _MASKS[np.maximum(short - 8, 0)]
+        if len(table) > self.LIMIT:
+            again = np.flatnonzero(table.again)
+            table.keep(again if len(again) < self.LIMIT // 2 else again[:0])
+        data, wide = raw.tobytes(), np.flatnonzero(size > 16)
+        entry = np.full(len(start), -1, np.int64)
+        entry[size <= 16] = table.find(*(x[size <= 16] for x in (low, high, size)))
+        entry[wide] = [table.long.get(data[a:b], -1) for a, b in zip(start[wide].tolist(), end[wide].tolist())]
+        table.again[entry[entry >= 0]] = True
+        missing = np.flatnonzero(entry < 0)
+        if len(missing):
+            new: dict[bytes, int] = {}
+            own = [new.setdefault(data[a:b], len(new)) for a, b in zip(start[missing].tolist(), end[missing].tolist())]
+            own = np.array(own)
+            of = np.zeros(len(new), np.int64)
+            of[own] = missing
+            coded = [self._unit(u.decode()) for u in new]
+            entry[missing] = len(table) + own
+            table.add(list(new), low[of], high[of], size[of], coded)
+        count = np.concatenate([[0], np.cumsum(table.count[entry])])
+        return table.joined(entry), np.diff(count[np.searchsorted(start, at)])
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row (null: empty), and how many each has."""
+        raw, at = utf8(column)
+        apart = outside(raw, at)
+        data = raw.tobytes()
+        if not self.plain or any(a.encode() in data for a in self.added):
+            texts = column.to_pylist()
+            apart |= np.array([not self.plain or any(a in (t or "") for a in self.added) for t in texts], bool)
+        if not apart.any():
+            return self._latin(raw, at)
+        coded = [np.array(self._mixed(t or ""), "<u4") for t in column.filter(pa.array(apart)).to_pylist()]
+        ids, counts = self._latin(*utf8(column.filter(pa.array(~apart))))
+        rest = iter(np.split(ids, np.cumsum(counts)[:-1])) if len(counts) else iter(())
+        mixed = iter(coded)
+        parts = [next(mixed) if x else next(rest) for x in apart.tolist()]
+        return np.concatenate(parts).astype("<u4"), np.array([len(p) for p in parts], np.int64)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        if not self.plain:
-            return [self._whole(t) for t in texts]
-        split = [None if any(a in t for a in self.added) else self._split(t) for t in texts]
-        self._learn(set().union(*[s for s in split if s]))
-        get = self.cache.__getitem__
-        return [self._whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
+        if not texts:
+            return []
+        ids, counts = self.encode_column(pa.array(texts, pa.string()))
+        return [p.tobytes() for p in np.split(ids, np.cumsum(counts)[:-1])]
 
 
 @lru_cache(maxsize=2)
@@ -244,18 +409,16 @@ def encoder_for(path: str) -> UnitEncoder:
 
 
 def _writer(path: str, bits: int, end_id: int | None, make: Callable[[str], UnitEncoder]):
-    end = b"" if end_id is None else np.uint32(end_id).tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, at, before = make(path), 0, 0
         offsets: list[int] = []
         befores: list[int] = []
         for batch in batches:
             for part in blocks(batch, "text", max_bytes=2 << 20):
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                coded = [c + end for c in encoder.encode(texts)]
-                counts = np.array([len(c) // 4 for c in coded], np.int64)
-                block = block_bytes(part.column(0).to_pylist(), counts, np.frombuffer(b"".join(coded), "<u4"), bits)
+                ids, counts = encoder.encode_column(part.column(1))
+                if end_id is not None:
+                    ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
+                block = block_bytes(part.column(0).to_pylist(), counts, ids, bits)
                 offsets.append(at)
                 befores.append(before)
                 at += len(block) + 1
