@@ -1,10 +1,12 @@
 """Repeated word sequences, found level by level.
 
 A window of ``n`` words is removed where the same words also start in a document
-with a smaller id.  Levels double the window length up to ``n`` (13: 7, then 13);
-only windows whose two halves both occur in more than one document are extended,
-so the long windows of unrepeated text are never shuffled.  Doubling ends at
-``n``: longer windows can remove nothing more.
+with a smaller id.  Levels double the window length from ``START`` words up to ``n``
+(13: 4, 8, then 13); shorter windows are nearly all repeated, so they would tell
+nothing apart.  Only windows whose two parts, of the length before, both occur in
+more than one document are extended, so the long windows of unrepeated text are
+never shuffled, and a chunk without candidates sends nothing more.  Doubling ends
+at ``n``: longer windows can remove nothing more.
 
 One level, in Spark terms:
 
@@ -16,9 +18,10 @@ One level, in Spark terms:
 * A bucket finds the hashes that occur in more than one document and answers each
   chunk with one bit for each of its entries, in the order they were sent.
 
-The first level sends 48 bits of a hash, since it only filters; the last one 96
-bits and the smallest document, and its bit says that an earlier document in
-another chunk has the window.  Bits of former levels travel with the blocks, so a
+Levels before the last send 48 bits of a hash, since they only filter; the last one
+the 64 bits of it, 64 more that come from a second, independent hash of the words,
+and the smallest document, and its bit says that an earlier document in another
+chunk has the window.  Bits of former levels travel with the blocks, so a
 chunk can always rebuild its candidates.
 
 Null texts have no words.  A null id counts as larger than all others; rows with
@@ -36,13 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import text_pairs
-from .words import SPACED, Words, blocks, covered, mix
+from .words import SPACED, Words, blocks, covered, mix2
 
 _U = np.uint64
 _NULL = np.iinfo(np.int64).max
-#: Text in a chunk and in a bucket of the hash range.  Each chunk sends each bucket one block, so there are
-#: never more than MOST_CHUNKS chunks; beyond that they grow, and blocks stay far fewer than windows.
-CHUNK_BYTES, BUCKET_BYTES, MOST_CHUNKS = 4 << 20, 16 << 20, 500_000
+#: Words in the windows of the first level.
+START = 4
+#: Text in a chunk and in a bucket of the hash range.  Each chunk sends each bucket one block, so beyond MOST_CHUNKS
+#: chunks they grow, up to LARGEST_CHUNK of text, whose words and hashes a worker holds at a time.
+CHUNK_BYTES, BUCKET_BYTES, MOST_CHUNKS, LARGEST_CHUNK = 4 << 20, 16 << 20, 500_000, 16 << 20
 
 _SENT = "chunk int, bucket int, history binary, size int, hashes binary, checks binary, docs binary, several binary"
 _REPLY = "chunk int, bucket int, history binary"
@@ -50,8 +55,11 @@ _KEPT = "doc_id bigint, n_words bigint, n_removed bigint, kept string"
 
 
 def levels(n: int) -> list[int]:
-    """Window lengths, each at most twice the one before: n // 2 rounded up, then n."""
-    return [n] if n < 4 else [-(-n // 2), n]
+    """Window lengths: START, each twice the one before, and n at last."""
+    out = [min(n, START)]
+    while out[-1] < n:
+        out.append(min(n, 2 * out[-1]))
+    return out
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -143,11 +151,12 @@ class _Chunk:
 
     @staticmethod
     def _check(words: Words, at: np.ndarray, size: int) -> np.ndarray:
-        other = mix(words.hash ^ _U(0x5851F42D4C957F2D))
         out = np.zeros(len(at), _U)
-        for i in range(size):
-            out = out * _U(0x2545F4914F6CDD1D) + other[at + i]
-        return mix(out) >> _U(32)
+        if len(at):
+            other = words.second()
+            for i in range(size):
+                out = mix2(out * _U(0x2545F4914F6CDD1D) + other[at + i])
+        return out
 
     def replay(self, replies: dict[int, list[bytes]], upto: int) -> tuple[list[np.ndarray], _Level | None, np.ndarray | None]:
         """Candidates of level upto; the level before it and its bits."""
@@ -180,7 +189,7 @@ class _Chunk:
             own = level.hash[lo:hi]
             checks = docs = None
             if level.check is not None:
-                checks, docs = level.check[lo:hi].astype("<u4").tobytes(), squeeze((level.least[lo:hi] ^ np.int64(-(1 << 63))).view(_U) if (level.least[lo:hi] < 0).any() else level.least[lo:hi].view(_U))
+                checks, docs = level.check[lo:hi].astype("<u8").tobytes(), squeeze((level.least[lo:hi] ^ np.int64(-(1 << 63))).view(_U) if (level.least[lo:hi] < 0).any() else level.least[lo:hi].view(_U))
                 docs = bytes([int((level.least[lo:hi] < 0).any())]) + docs
             rows.append((chunk, b, past, hi - lo, squeeze(np.diff(own, prepend=_U(0))), checks, docs, _bits(level.several[lo:hi])))
         names = ["chunk", "bucket", "history", "size", "hashes", "checks", "docs", "several"]
@@ -252,7 +261,7 @@ def _answer(last: bool):
         h = np.concatenate([np.cumsum(unsqueeze(x, s), dtype=_U) for x, s in zip(rows["hashes"], sizes.tolist())])
         several = np.concatenate([_flags(x, s) for x, s in zip(rows["several"], sizes.tolist())])
         if last:
-            c = np.concatenate([np.frombuffer(x, "<u4") for x in rows["checks"]])
+            c = np.concatenate([np.frombuffer(x, "<u8") for x in rows["checks"]])
             docs = np.concatenate([_signed(x, s) for x, s in zip(rows["docs"], sizes.tolist())])
             order = np.lexsort((docs, c, h))
         else:
@@ -287,7 +296,7 @@ def remove_repeats(docs: DataFrame, *, n: int = 13, id_col: str = "doc_id", text
     """One row per document: doc_id, n_words, n_removed and kept (the words left, joined by single spaces)."""
     pairs = text_pairs(docs, id_col, text_col)
     size = pairs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks, buckets = min(MOST_CHUNKS, 1 + size // chunk_bytes), 1 + size // bucket_bytes
+    chunks, buckets = max(min(MOST_CHUNKS, 1 + size // chunk_bytes), size // LARGEST_CHUNK), 1 + size // bucket_bytes
     chunk = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(chunks)).cast("int")
     dealt = pairs.withColumn("chunk", chunk)
     steps = len(levels(n))

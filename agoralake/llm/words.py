@@ -1,14 +1,16 @@
 """Vectorised word splitting and hashing for Arrow batches of text.
 
 Everything here works on the UTF-8 bytes of whole texts inside one task: words
-are found with byte masks, hashed with a table-driven polynomial hash whose
-prefix sums make the hash of any byte range (and of any run of words) a
-constant number of numpy operations.  No function keeps more than one block
-(about a MB of text, or one longer document) in memory.
+are found with byte masks and hashed eight bytes at a time, each step through a
+bijective finaliser; prefix sums over the hashes of words make the hash of any run
+of words a constant number of numpy operations.  A second hash of words, with other
+constants, is there to confirm what the first one finds.  No function keeps more than
+one block (about a MB of text, or one longer document) in memory.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,8 +20,9 @@ import pyarrow as pa
 BLOCK_BYTES = 1 << 20
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_BASE = 0xD1342543DE82EF95 | 1
+#: Bytes up to which words are hashed together; longer ones one by one.
+_TOGETHER = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,11 +35,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _byte_table() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=_U) * _U(0xA24BAED4963EE407))
+def mix2(x: np.ndarray) -> np.ndarray:
+    """Another bijective finaliser (new array)."""
+    x = x + _U(0x9E3779B97F4A7C15)
+    x ^= x >> _U(30)
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return x
 
 
-_TABLE = _byte_table()
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], _U)
+
+
+def hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
+    """64 bits for each byte range; the second hash shares no constants with the first."""
+    final = mix2 if second else mix
+    size = end - start
+    padded = np.concatenate([data, np.zeros(_TOGETHER, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))  # the eight bytes from each byte on
+    out = final((eight[start] & _MASKS[np.minimum(size, 8)]) ^ (size.view(_U) * _U(0xA24BAED4963EE407)))
+    for k in range(8, _TOGETHER, 8):
+        more = np.flatnonzero(size > k)
+        if not len(more):
+            break
+        out[more] = final((out[more] * _U(0xD6E8FEB86659FD93)) ^ (eight[start[more] + k] & _MASKS[np.minimum(size[more] - k, 8)]))
+    raw = data.data
+    for i in np.flatnonzero(size > _TOGETHER).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]], digest_size=8, key=b"second" if second else b"").digest(), "little")
+    return out
 
 
 @lru_cache(maxsize=4)
@@ -120,14 +148,7 @@ class Words:
         self.end = np.flatnonzero(inside & (~after | edge[1:])) + 1
         self.first = np.searchsorted(self.start, self.at)
         # an empty document at the edge shares its offset with the next one, and so has no word
-        if n:
-            forward, back = powers(_BASE, n)
-            total = np.empty(n + 1, dtype=_U)
-            total[0] = 0
-            np.cumsum(_TABLE[self.data] * forward[:n], out=total[1:])
-            self.hash = mix((total[self.end] - total[self.start]) * back[self.start])
-        else:
-            self.hash = np.zeros(0, _U)
+        self.hash = hashed(self.data, self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.start)
@@ -136,6 +157,10 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def second(self) -> np.ndarray:
+        """An independent hash of each word."""
+        return hashed(self.data, self.start, self.end, second=True)
+
     def doc(self) -> np.ndarray:
         """The document (position in the block) of each word."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts)

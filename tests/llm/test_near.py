@@ -5,6 +5,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from agoralake.llm import components, cover_tree, minhash
@@ -58,8 +59,9 @@ def edited(rng, words, changes):
     return words
 
 
-@pytest.mark.parametrize(("n", "above", "of"), [(3, 85, 100), (5, 80, 100)])
-def test_minhash_against_all_pairs(spark, n, above, of):
+@pytest.mark.parametrize(("n", "above", "of", "block"), [(3, 85, 100, 384), (5, 80, 100, 384), (3, 85, 100, 3)])
+def test_minhash_against_all_pairs(spark, monkeypatch, n, above, of, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)  # with few sets in a block, loose components have main classes and others
     rng, rows = random.Random(11), []
     for g in range(40):
         base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((4, 30, 150, 400)))]
@@ -81,6 +83,43 @@ def test_a_large_group_of_near_copies(spark):
     assert found.where("component_id = 0").count() == 1200
 
 
+def colliding_words():
+    """Two words of 2,048 characters that any polynomial modulo 2**64 with an odd base confuses."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_confuse(spark):
+    one, two = colliding_words()
+    rows = [(1, f"{one} x y"), (2, f"{two} x y"), (3, one), (4, two)]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), minhash.plan(3, 85, 100)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+@pytest.mark.parametrize("n", [3, 5])
+def test_exact_sets_are_the_sets_of_words(n):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.choice((1, 3)) for _ in range(rng.randrange(40))) for _ in range(60)] + ["", None, "a", "a a", "A  a\ta"]
+    sets = minhash.exact_sets(pa.array(texts, pa.string()), n)
+    want = [shingles(t, n) for t in texts]
+    for (a, x), (b, y) in combinations(zip(sets, want), 2):
+        assert len(a) == len(x) and len(np.intersect1d(a, b)) == len(x & y)
+
+
+def test_another_text_under_a_dropped_id_stays(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (None, a)], "doc_id bigint, text string")
+    kept = minhash.deduplicate(docs, minhash.plan(5, 80, 100)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, a), (3, a), (5, b)]
+
+
+def test_sets_under_null_ids_are_compared(spark):
+    words = [f"a{i}" for i in range(80)]
+    rows = [(None, " ".join(words)), (None, " ".join([*words[:79], "z"])), (7, " ".join(["y", *words[1:]]))]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), minhash.plan(3, 85, 100)).collect()
+    assert {r["component_id"] for r in found} == {7}
+
+
 def test_minhash_odd_documents(odd_documents, no_documents, odd_texts):
     p = minhash.plan(3, 85, 100)
     found = minhash.near_duplicates(odd_documents, p).collect()

@@ -91,6 +91,15 @@ def test_repeats_against_brute_force(spark, n):
     assert Counter(map(tuple, found)) == without_repeats(rows, n)
 
 
+def test_words_that_polynomials_confuse_are_no_repeats(spark):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{one} {rest}")]
+    found = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), n=13).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in found} == {1: 0, 2: 0, 3: 13}
+
+
 def test_repeats_odd_documents(odd_documents, no_documents, odd_texts):
     found = repeats.remove_repeats(odd_documents, n=13).select("doc_id", "n_words", "n_removed", "kept").collect()
     assert Counter(map(tuple, found)) == without_repeats(odd_texts, 13)
