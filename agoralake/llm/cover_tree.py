@@ -1,22 +1,26 @@
 """Exact cosine links by dual traversal of cover trees.
 
 Vectors are scaled to length one, where a cosine of c is a distance of
-sqrt(2 - 2c).  A bounded sample gives the centres of the top cells; every vector
-goes to its nearest centre, cells that hold more than ``CELL`` vectors are split
-by a hash, and each part gets a cover tree: nested levels of centres with halving
-radii, every node with its exact covering radius.  A pair of parts is traversed
-from the roots down.  A pair of nodes is dropped when its centres are further
-apart than both covering radii and the threshold together, counted whole when
-even its furthest vectors are within the threshold, and opened otherwise; the
-last level compares vectors in double precision.
+sqrt(2 - 2c).  A bounded sample gives the centres of the top cells, whose number
+grows with the table up to ``TOP``; every vector goes to its nearest centre.  A cell
+with more vectors than a part holds is split by distance from its centre, so its parts
+are nested shells, each with an inner and an outer covering radius, and an outlier
+widens the outermost part alone.  Each part gets a cover tree: nested levels of centres
+with halving radii, every node with its exact covering radius.  Pairs of parts are
+dropped by their covering radii, the others are traversed from the roots down.  A pair
+of nodes is dropped when its centres are further apart than both covering radii and the
+threshold together, counted whole when even its furthest vectors are within the
+threshold, and opened otherwise; the last level compares vectors in double precision.
 
 A pair of parts yields link counts and a spanning forest, never its pairs.  Equal
-vectors are one node with a weight.  Pruning needs clusters: for vectors without
-any structure in many dimensions nearly all pairs are compared, in matrix products.
-
-Vectors that are null, zero, or hold null or non-finite numbers, and those whose
-number of dimensions is not the most frequent one, link with nothing.  vec_id
-identifies a vector: rows with equal ids must hold equal vectors to be told apart.
+vectors are one node with a weight.  Parts grow with the table up to ``LARGEST``
+vectors, so each vector meets a bounded number of parts up to 16 times that; beyond,
+the bounds must prune.  For vectors without any structure in many dimensions none can,
+and nearly all pairs are compared, in matrix products.
+
+Vectors meet those of their own number of dimensions.  Vectors that are null, zero, or
+hold null or non-finite numbers link with nothing.  Every row is judged by its own
+vector, also where rows share a vec_id.
 """
 
 from __future__ import annotations
@@ -26,15 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .frames import checkpoint
 from .minhash import forest
 
-#: Vectors in a part, top cells, and rows of the sample that the top centres come from.
-CELL, TOP, SAMPLE = 4_096, 256, 4_096
+#: Vectors in a part at least and at most, top cells, and rows of the sample that the top centres come from.
+CELL, LARGEST, TOP, SAMPLE = 4_096, 65_536, 512, 4_096
+#: Shells that a cell is split into by distance from its centre, before a hash splits them further.
+SHELLS = 64
 _SLACK = 1e-6
 _DEPTH = 24
 #: Centres tried at a time, rows of a cosine matrix, and pairs of vectors held at a time.
@@ -44,6 +51,8 @@ _MANY, _SMALL = 4_096, 64
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one; by their largest number first, so that no square overflows or vanishes."""
+    raw = raw / np.abs(raw).max(axis=1, keepdims=True)
     return raw / np.linalg.norm(raw, axis=1, keepdims=True)
 
 
@@ -279,12 +288,17 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _assign(sent):
+    """Adds the nearest centre among those of the vector's width, and the distance from it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x = unit(np.frombuffer(b"".join(batch.column(2).to_pylist()), "<f8").reshape(batch.num_rows, -1))
-                top, far = _nearest(x, sent.value)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(top, pa.int32()), pa.array(far)], names=["node", "weight", "vector", "top", "far"])
+            vectors = batch.column(2)
+            widths = pc.binary_length(vectors).to_numpy()
+            for width in np.unique(widths).tolist():
+                own = batch.filter(pa.array(widths == width))
+                first, centres = sent.value[width]
+                x = unit(np.frombuffer(b"".join(own.column(2).to_pylist()), "<f8").reshape(own.num_rows, -1))
+                top, far = _nearest(x, centres)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(top + first, pa.int32()), pa.array(far)], names=["node", "weight", "vector", "top", "far"])
 
     return run
 
@@ -294,7 +308,8 @@ def _plant(key, rows):
     order = np.argsort(node)
     raw = np.frombuffer(b"".join(rows.column("vector").to_pylist()), "<f8").reshape(len(node), -1)
     blob = pickle.dumps((node[order], Tree(unit(raw)[order], rows.column("weight").to_numpy()[order]).packed(raw[order])))
-    return pa.table({"top": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "tree": pa.array([blob], pa.binary())})
+    far = rows.column("far").to_numpy()
+    return pa.table({"top": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.string()), "inner": pa.array([far.min()]), "outer": pa.array([far.max()]), "tree": pa.array([blob], pa.binary())})
 
 
 def _traverse(threshold: float):
@@ -316,58 +331,94 @@ def _traverse(threshold: float):
 
 
 _DOUBLES = "transform(embedding, x -> cast(x as double))"
+_GOOD = "size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
 
 
 def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         vectors = batch.column(1)
-        width = 8 * np.diff(vectors.offsets.to_numpy())
+        width = np.where(vectors.is_null().to_numpy(zero_copy_only=False), -1, 8 * np.diff(vectors.offsets.to_numpy()))
         data = (vectors.flatten().to_numpy(zero_copy_only=False) + 0.0).astype("<f8").tobytes()  # -0.0 is 0.0
-        ends = np.cumsum(width).tolist()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([data[e - w : e] for e, w in zip(ends, width.tolist())], pa.binary())], names=["vec_id", "vector"])
-
-
-def similarity_components(vectors: DataFrame, *, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", cell: int = CELL, top: int = TOP, sample: int = SAMPLE) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id (smallest vec_id reachable, itself included) and kept."""
+        ends = np.cumsum(np.maximum(width, 0)).tolist()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([data[e - w : e] if w >= 0 else None for e, w in zip(ends, width.tolist())], pa.binary())], names=["vec_id", "vector"])
+
+
+def _centres(nodes: DataFrame, widths: dict[int, int], cell: int, top: int, sample: int) -> dict[int, tuple[int, np.ndarray]]:
+    """For each width in bytes the number of its first centre and its centres."""
+    wide = {w: n for w, n in widths.items() if n > cell}
+    per = max(1, sample // max(1, len(wide)))
+    share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for w, n in wide.items() for x in (w, min(1.0, per / n))]), F.octet_length("vector")), F.lit(0.0)) if wide else F.lit(0.0)
+    chosen = nodes.where(F.pmod(F.xxhash64("vector"), F.lit(1 << 20)) < share * (1 << 20)).select("vector").collect() if wide else []
+    found: dict[int, list[bytes]] = {}
+    for r in chosen:
+        found.setdefault(len(r["vector"]), []).append(bytes(r["vector"]))
+    if len(found) < len(widths):  # one vector is enough for a width of one part
+        for r in nodes.groupBy(F.octet_length("vector").alias("w")).agg(F.min("vector").alias("vector")).collect():
+            found.setdefault(r["w"], [bytes(r["vector"])])
+    out, first = {}, 0
+    for w in sorted(found):
+        spread = _spread(unit(np.stack([np.frombuffer(v, "<f8") for v in sorted(found[w])])), min(max(1, top // max(1, len(wide))), 1 + widths[w] // cell))
+        out[w] = (first, spread)
+        first += len(spread)
+    return out
+
+
+def _shell(cuts: dict[int, list[float]]) -> Column:
+    """The number of a cell's cuts that a vector lies beyond."""
+    some = {t: c for t, c in cuts.items() if c}
+    if not some:
+        return F.lit(0)
+    of = F.element_at(F.create_map(*[x for t, c in some.items() for x in (F.lit(t), F.array(*map(F.lit, c)))]), F.col("top"))
+    return F.coalesce(F.size(F.filter(of, lambda c: c < F.col("far"))), F.lit(0))
+
+
+def similarity_components(vectors: DataFrame, *, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", cell: int | None = None, top: int = TOP, sample: int = SAMPLE) -> DataFrame:
+    """One row per vector: vec_id, n_links, component_id (smallest vec_id reachable, itself included) and kept.
+
+    A part holds about cell vectors; by default a sixteenth of the table within [CELL, LARGEST].
+    """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
-    good = rows.select("vec_id", F.expr(_DOUBLES).alias("embedding")).where("size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)")
-    common = good.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").limit(1).collect()
-    width = common[0]["n"] if common else 0
-    told = good.where(F.size("embedding") == width).mapInArrow(_bytes_of, "vec_id bigint, vector binary")
-    nodes = checkpoint(told.groupBy("vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")).select("node", "weight", "vector"))
-    total = nodes.count()
-    share = min(1.0, sample / max(1, total))
-    chosen = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < share * (1 << 20)).select("vector").collect()
-    if not chosen:
-        chosen = nodes.select("vector").limit(1).collect()
-    if not chosen:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    centres = _spread(unit(np.stack([np.frombuffer(r["vector"], "<f8") for r in chosen])), min(top, 1 + total // cell))
-    placed = checkpoint(nodes.mapInArrow(_assign(spark.sparkContext.broadcast(centres)), "node bigint, weight bigint, vector binary, top int, far double"))
-    sizes = placed.groupBy("top").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()
-    radius = {r["top"]: r["radius"] for r in sizes}
-    parts = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["top"], -(-r["n"] // cell))]), F.col("top"))
-    dealt = placed.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
-    trees = checkpoint(dealt.groupBy("top", "part").applyInArrow(_plant, "top int, part int, tree binary"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")).select("vec_id", F.expr(_DOUBLES).alias("embedding"))
+    told = rows.select("vec_id", F.when(F.expr(_GOOD), F.col("embedding")).alias("embedding")).mapInArrow(_bytes_of, "vec_id bigint, vector binary")
+    distinct = told.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"))
+    # numbers instead of ids, which rows may share; the checkpoint fixes them
+    nodes = checkpoint(distinct.select(F.monotonically_increasing_id().alias("node"), "id", "weight", "vector"))
+    widths = {r["w"]: r["n"] for r in nodes.groupBy(F.octet_length("vector").alias("w")).agg(F.count("*").alias("n")).collect()}
+    if not widths:
+        return told.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    cell = cell or min(LARGEST, max(CELL, sum(widths.values()) // 16))
+    sent = _centres(nodes, widths, cell, top, sample)
+    placed = checkpoint(nodes.select("node", "weight", "vector").mapInArrow(_assign(spark.sparkContext.broadcast(sent)), "node bigint, weight bigint, vector binary, top int, far double"))
+    steps = [i / SHELLS for i in range(1, SHELLS)]
+    sizes = {r["top"]: r for r in placed.groupBy("top").agg(F.count("*").alias("n"), F.percentile_approx("far", steps, 1000).alias("cuts")).collect()}
+    shells = {t: min(SHELLS, -(-r["n"] // cell)) for t, r in sizes.items()}
+    cuts = {t: sorted({r["cuts"][i * SHELLS // shells[t] - 1] for i in range(1, shells[t])}) for t, r in sizes.items()}
+    shelled = placed.withColumn("shell", _shell(cuts))
+    counts = shelled.groupBy("top", "shell").agg(F.count("*").alias("n")).select("top", "shell", F.ceil(F.col("n") / cell).cast("int").alias("parts"))
+    part = F.concat_ws(":", "shell", F.pmod(F.xxhash64("node"), F.col("parts")))
+    dealt = shelled.join(F.broadcast(counts), ["top", "shell"]).select("node", "weight", "vector", "top", "far", part.alias("part"))
+    trees = checkpoint(dealt.groupBy("top", "part").applyInArrow(_plant, "top int, part string, inner double, outer double, tree binary"))
     reach = float(np.sqrt(2 - 2 * threshold)) + _SLACK
-    apart = _distance(centres, centres)
-    pairs = [(a, b) for a in radius for b in radius if a <= b and (a == b or apart[a, b] <= radius[a] + radius[b] + reach)]
-    near = spark.createDataFrame(pairs, "a int, b int")
+    pairs = []
+    for first, centres in sent.values():
+        apart = _distance(centres, centres)
+        pairs += [(first + a, first + b, float(apart[a, b]) if a != b else 0.0) for a in range(len(centres)) for b in range(a, len(centres)) if first + a in sizes and first + b in sizes]
+    near = spark.createDataFrame(pairs, "a int, b int, apart double")
     # names of the pairs first; trees join them last, each pair's two on the second one's key
-    names = trees.select("top", "part")
-    left = names.select(F.col("top").alias("a"), F.col("part").alias("pa"))
-    right = names.select(F.col("top").alias("b"), F.col("part").alias("pb"))
+    names = trees.select("top", "part", "inner", "outer")
+    left = names.select(F.col("top").alias("a"), F.col("part").alias("pa"), F.col("inner").alias("ia"), F.col("outer").alias("oa"))
+    right = names.select(F.col("top").alias("b"), F.col("part").alias("pb"), F.col("inner").alias("ib"), F.col("outer").alias("ob"))
     met = near.join(left, "a").join(right, "b").where((F.col("a") < F.col("b")) | (F.col("pa") <= F.col("pb")))
+    met = met.where((F.col("apart") <= F.col("oa") + F.col("ob") + reach) & (F.col("ia") <= F.col("apart") + F.col("ob") + reach) & (F.col("ib") <= F.col("apart") + F.col("oa") + reach)).select("a", "pa", "b", "pb")
     same = (F.col("a") == F.col("b")) & (F.col("pa") == F.col("pb"))
     with_left = met.join(trees.select(F.col("top").alias("a"), F.col("part").alias("pa"), F.col("tree").alias("ta")), ["a", "pa"])
     both = with_left.join(trees.select(F.col("top").alias("b"), F.col("part").alias("pb"), F.col("tree").alias("tb")), ["b", "pb"])
     found = checkpoint(both.select(same.alias("same"), "ta", "tb").mapInArrow(_traverse(threshold), "u bigint, v bigint, links bigint"))
     counts = found.where("links > 0").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     component = components(found.where("links = 0").select("u", "v"))
-    named = nodes.join(counts, "node", "left").join(component, "node", "left").select("vector", F.coalesce("component", "node").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
-    linked = told.join(named, "vector").select("vec_id", "component_id", "links").distinct()
-    out = rows.select("vec_id").join(linked, "vec_id", "left")
+    named = nodes.join(counts, "node", "left").join(component, "node", "left").select("vector", "id", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
+    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    out = told.join(named.join(least, "component").select("vector", "component_id", "links"), "vector", "left")
     of = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), of.alias("component_id"), F.coalesce(F.col("vec_id") == of, F.lit(False)).alias("kept"))
 

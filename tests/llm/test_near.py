@@ -136,6 +136,7 @@ def test_minhash_odd_documents(odd_documents, no_documents, odd_texts):
 
 def brute(vectors, threshold):
     good = {d: np.array(v, float) for d, v in vectors if v is not None and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)}
+    good = {d: v / np.abs(v).max() for d, v in good.items()}
     unit = {d: v / np.linalg.norm(v) for d, v in good.items()}
     links = [(a, b) for a, b in combinations(sorted(unit), 2) if len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= threshold]
     count = dict.fromkeys([d for d, _ in vectors], 0)
@@ -156,6 +157,8 @@ def test_cover_trees_against_all_pairs(spark, cell):
     rows = [(i * 3, [float(x) for x in v]) for i, v in enumerate(vectors)]
     rows += [(7_000 + i, rows[4][1]) for i in range(30)]  # equal vectors
     rows += [(8_000, None), (8_001, [0.0] * 16), (8_002, [float("nan")] + [1.0] * 15), (8_003, [None] + [1.0] * 15), (8_004, [float("inf")] * 16), (8_005, [])]
+    rows += [(8_100, [1.0, 0.0]), (8_101, [1.0, 0.0]), (8_102, [0.99, 0.1]), (8_103, [0.0, -2.0])]  # another width
+    rows += [(8_200, [1e200, 1e200] + [0.0] * 14), (8_201, [1e200, 1.0001e200] + [0.0] * 14), (8_202, [1e-310, 1e-310] + [0.0] * 14), (8_203, [0.0] * 15 + [-1e308])]
     rng.shuffle(rows)
     df = spark.createDataFrame([(int(d), v) for d, v in rows], "vec_id bigint, embedding array<double>").selectExpr("vec_id", "embedding", "'x' as node", "1 as weight")
     found = cover_tree.similarity_components(df, threshold=0.95, cell=cell, sample=200).collect()
@@ -180,6 +183,20 @@ def test_cover_tree_levels():
                 assert sorted(members) == sorted(v for j in below for v in tree.levels[k + 1].members(j))
 
 
+def test_rows_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (None, [0.0, 1.0]), (None, [-1.0, 0.0]), (3, [1.0, 0.0, 0.0])]
+    found = cover_tree.similarity_components(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in found) == [(0, 0, 0, False), (0, 1, 1, False), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
+def test_shells_prune_pairs_of_parts(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(900)]
+    found = cover_tree.similarity_components(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), threshold=0.999, cell=30, top=4).collect()
+    count, component = brute(rows, 0.999)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found} == {d: (count[d], component[d]) for d, _ in rows}
+
+
 def test_embeddings_of_no_use(spark):
     schema = "vec_id bigint, embedding array<float>"
     assert cover_tree.similarity_components(spark.createDataFrame([], schema)).count() == 0
