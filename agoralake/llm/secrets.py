@@ -1,13 +1,12 @@
 """Secret scans with DataFrame functions alone (no Python on the executors).
 
-Base detectors are three regular expressions.  None looks around itself, so the
-place of each match follows from the list of matches: it is the first occurrence
-of the matched string after the match before it.  The entropy detector cuts
-candidate strings out of the text by character class (hexadecimal, then base64)
-and slides a window over each; the window's character counts and the sum of
-c*log2(c) are updated for the one character that enters and the one that leaves,
-so each step costs one update.  A candidate whose best window reaches the class's
-threshold is a span unless the allow-list suppresses it.  Base spans always stay;
+Base detectors are three regular expressions.  The place of each match follows from
+the lengths of the matches and of the text between them.  The entropy detector cuts
+candidate strings out of the text by character class (hexadecimal, then base64) and
+slides a window over each; the window's character counts, packed into a few 64-bit
+numbers, and the sum of c*log2(c) are updated for the one character that enters and
+the one that leaves.  A candidate whose best window reaches the class's threshold is
+a span unless the allow-list suppresses it.  Base spans always stay;
 the allow-list and overlaps apply to entropy spans only.
 
 Offsets are code points, end exclusive.  Null and empty texts have no spans.
@@ -15,7 +14,9 @@ Offsets are code points, end exclusive.  Null and empty texts have no spans.
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass, field
+from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,14 +39,18 @@ class EntropyClass:
     pattern: str
     window: int
     bits: float
+    #: The characters of the pattern.
+    alphabet: str
     #: What a random string of the class must show besides entropy.
     needs: tuple[str, ...] = ()
 
 
+_HEX = "0123456789abcdefABCDEF"
+_BASE64 = string.ascii_letters + string.digits + "+/_-="
 #: Hexadecimal candidates hold digits and letters; base64 ones lower case, upper case and digits.
 CLASSES = (
-    EntropyClass("hex", r"[0-9A-Fa-f]{20,}", 20, 2.9, ("[0-9]", "[A-Fa-f]")),
-    EntropyClass("base64", r"[A-Za-z0-9+/_-]{20,}={0,2}", 20, 3.6, ("[a-z]", "[A-Z]", "[0-9]")),
+    EntropyClass("hex", r"[0-9A-Fa-f]{20,}", 20, 2.9, _HEX, ("[0-9]", "[A-Fa-f]")),
+    EntropyClass("base64", r"[A-Za-z0-9+/_-]{20,}={0,2}", 20, 3.6, _BASE64, ("[a-z]", "[A-Z]", "[0-9]")),
 )
 
 
@@ -59,15 +64,20 @@ class AllowList:
 
 def _placed(text: Column, pattern: str) -> Column:
     """array<struct<start, end, whole>> of a pattern's leftmost non-overlapping matches."""
-    zero = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<start:int,end:int,whole:string>>").alias("found"))
-
-    def step(state: Column, whole: Column) -> Column:
-        at = F.position(whole, text, state["next"])
-        end = at + F.length(whole)
-        place = F.struct((at - 1).alias("start"), (end - 1).alias("end"), whole.alias("whole"))
+    places = "array<struct<start:int,end:int,whole:string>>"
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    zero = F.struct(F.lit(0).alias("next"), F.array().cast(places).alias("found"))
+
+    def step(state: Column, m: Column) -> Column:
+        start = state["next"] + F.length(m["gap"])
+        end = start + F.length(m["whole"])
+        place = F.struct(start.alias("start"), end.alias("end"), m["whole"].alias("whole"))
         return F.struct(end.alias("next"), F.concat(state["found"], F.array(place)).alias("found"))
 
-    return F.aggregate(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), zero, step, lambda s: s["found"])
+    # the text before each match, and what follows the last one, which meets no match
+    gaps = F.split(text, pattern, -1)
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda gap, whole: F.struct(gap.alias("gap"), whole.alias("whole")))
+    return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step, lambda s: s["found"])).otherwise(F.array().cast(places))
 
 
 def _span(kind: str, order: int, m: Column) -> Column:
@@ -80,29 +90,42 @@ def _base(text: Column, order: int) -> Column:
     return F.transform(kept, lambda m: _span(kind, order, m))
 
 
-def window_entropy(value: Column, window: int) -> Column:
+def window_entropy(value: Column, window: int, alphabet: str) -> Column:
     """The largest Shannon entropy (bits a character) of value's windows; shorter values are one window.
 
-    State: the counts of the 128 ASCII characters in the window and s = sum of c*log2(c);
-    the entropy of a full window of w characters is log2(w) - s/w.
+    State: the counts of the alphabet's characters in the window, a few bits each and
+    several in one number, and s = sum of c*log2(c); a step changes the counts of two
+    characters.  The entropy of a full window of w characters is log2(w) - s/w.
     """
-    from math import log2
-
+    bits = (window + 1).bit_length()
+    per = 63 // bits
+    numbers = -(-len(alphabet) // per)
     terms = F.array(*[F.lit(c * log2(c) if c else 0.0) for c in range(window + 2)])
     size = F.least(F.length(value), F.lit(window))
-    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), numbers).alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+
+    def place(at: Column) -> tuple[Column, Column]:
+        """The number that counts the character at a place, and the bit where its count begins."""
+        k = F.position(F.substring(value, at, F.lit(1)), F.lit(alphabet)) - 1
+        return F.floor(k / per).cast("int"), (k % per * bits).cast("int")
+
+    def count(state: Column, number: Column, bit: Column) -> Column:
+        return F.call_function("shiftright", F.element_at(state["counts"], number + 1), bit).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
     def step(state: Column, i: Column) -> Column:
-        enters = F.ascii(F.substring(value, i, F.lit(1)))
         full = i > size
-        leaves = F.when(full, F.ascii(F.substring(value, F.greatest(i - size, F.lit(1)), F.lit(1)))).otherwise(F.lit(-1))
-        c_in = F.element_at(state["counts"], enters + 1)
-        c_out = F.element_at(state["counts"], F.greatest(leaves, F.lit(0)) + 1) + F.when(leaves == enters, 1).otherwise(0)
+        n_in, b_in = place(i)
+        n_out, b_out = place(F.greatest(i - size, F.lit(1)))
+        same = (n_in == n_out) & (b_in == b_out)
+        c_in, c_out = count(state, n_in, b_in), count(state, n_out, b_out)
         term = lambda c: F.element_at(terms, c + 1)
-        s = state["s"] + term(c_in + 1) - term(c_in) + F.when(full, term(F.greatest(c_out - 1, F.lit(0))) - term(c_out)).otherwise(0.0)
-        counts = F.transform(state["counts"], lambda c, j: c + F.when(j == enters, 1).otherwise(0) - F.when(j == leaves, 1).otherwise(0))
-        bits = F.log2(size.cast("double")) - s / size
-        return F.struct(counts.alias("counts"), s.alias("s"), F.when(i >= size, F.greatest(state["best"], bits)).otherwise(state["best"]).alias("best"))
+        # one character that leaves and enters again changes nothing
+        enters = ~full | ~same
+        s = state["s"] + F.when(enters, term(c_in + 1) - term(c_in)).otherwise(0.0) + F.when(full & ~same, term(F.greatest(c_out - 1, F.lit(0))) - term(c_out)).otherwise(0.0)
+        one = lambda bit: F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+        counts = F.transform(state["counts"], lambda c, j: c + F.when(j == n_in, one(b_in)).otherwise(0) - F.when(full & (j == n_out), one(b_out)).otherwise(0))
+        entropy = F.log2(size.cast("double")) - s / size
+        return F.struct(counts.alias("counts"), s.alias("s"), F.when(i >= size, F.greatest(state["best"], entropy)).otherwise(state["best"]).alias("best"))
 
     return F.aggregate(F.sequence(F.lit(1), F.length(value)), zero, step, lambda s: s["best"])
 
@@ -119,7 +142,7 @@ def _entropy(text: Column, kind: EntropyClass, order: int, taken: Column, allow:
         value, ok = m["whole"], ~F.exists(taken, lambda t: (t["start"] < m["end"]) & (t["end"] > m["start"]))
         for need in kind.needs:
             ok = ok & value.rlike(need)
-        return F.when(ok & ~_allowed(value, allow), window_entropy(value, kind.window) >= kind.bits).otherwise(False)
+        return F.when(ok & ~_allowed(value, allow), window_entropy(value, kind.window, kind.alphabet) >= kind.bits).otherwise(False)
 
     return F.transform(F.filter(_placed(text, kind.pattern), secret), lambda m: _span("entropy", order, m))
 

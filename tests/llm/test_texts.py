@@ -351,10 +351,39 @@ def best_entropy(value, w):
 def test_window_entropy_against_python(spark):
     rng = random.Random(8)
     values = ["".join(rng.choice("abcdefghABCDEFGH01234567+/"[: rng.randrange(1, 26)]) for _ in range(rng.randrange(1, 90))) for _ in range(150)]
-    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", secrets.window_entropy(F.col("v"), 20).alias("h")).collect()
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", secrets.window_entropy(F.col("v"), 20, secrets.CLASSES[1].alphabet).alias("h")).collect()
     assert all(abs(r["h"] - best_entropy(r["v"], 20)) < 1e-9 for r in rows)
 
 
+def all_spans(text):
+    """Base spans, then entropy spans of both classes that touch no span before them, as the docstring says."""
+    spans = base_spans(text)
+    for pattern, bits, needs in (("[0-9A-Fa-f]{20,}", 2.9, ("[0-9]", "[A-Fa-f]")), ("[A-Za-z0-9+/_-]{20,}={0,2}", 3.6, ("[a-z]", "[A-Z]", "[0-9]"))):
+        found = []
+        for m in re.finditer(pattern, text):
+            v = m[0]
+            free = not any(a < m.end() and b > m.start() for _, a, b in spans)
+            allowed = re.search(r"(?i)example|sample|dummy|placeholder|changeme|0123456789|abcdefghij", v) or re.search(r"(.)\1{7,}", v)
+            if free and all(re.search(n, v) for n in needs) and not allowed and best_entropy(v, 20) >= bits:
+                found.append(("entropy", m.start(), m.end()))
+        spans = spans + found
+    order = ("assign", "access", "hex", "entropy").index
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], order(s[0]))))
+
+
+def test_all_spans_of_whole_documents_against_brute_force(spark, documents):
+    rng = random.Random(5)
+    made = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    letters = secrets.CLASSES[1].alphabet
+    parts = [lambda: made("0123456789ABCDEF", rng.randrange(15, 40)), lambda: made(letters, rng.randrange(15, 60)), lambda: made("0123456789abcdef", 30), lambda: "token=" + made(letters, 12), lambda: "example" + made(letters, 30), lambda: made("ab", 30), lambda: made("ab1Z", 40), lambda: "é🙂 word\n", lambda: "a" * 25]
+    rows = [(i, " ".join(rng.choice(parts)() for _ in range(rng.randrange(30)))) for i in range(250)]
+    rows += [(1_000, " ".join(rng.choice(parts)() for _ in range(3_000)))]  # a long text with thousands of matches
+    rows += [(5_000 + r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()]
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)).collect()}
+    assert found == {d: all_spans(t or "") for d, t in rows}
+    assert sum("entropy" in x for x in found.values()) > 100
+
+
 def test_entropy_spans_and_allow_list(spark):
     key = "Zk3vQ9xT7bLm2RsW8pYd4HcN6fGj"
     rows = [(1, f"see {key} here"), (2, "a" * 40), (3, f"EXAMPLE{key}"), (4, "averylongordinarywordwithoutdigits"), (5, f"token={key}")]
