@@ -2,24 +2,30 @@
 
 Mentions are found by one alternation of patterns.  A mention's canonical form
 (digits of a number, lower-case address, title gender and last name word) names the entity,
-so all mentions of an entity, in whatever format, share one surrogate.  Surrogates
+so all mentions of an entity, in whatever format, share one surrogate; a phone number's
+country code +1 is no part of it.  A bare surname of a document belongs to the first
+person of that name in it.  Surrogates
 come from a keyed SHA-512 of kind, canonical form and attempt, and keep what makes
 the entity plausible: country code and line format of phones, issuer digit and a
-valid check digit of cards, octet ranges of addresses, letter case, digits and
-punctuation of e-mail addresses with their top-level domain, gender (the title
-stays) and script of names.
+valid check digit of cards, country and valid check digits of bank account numbers,
+octet ranges of addresses, letter case, digits and
+punctuation of e-mail addresses with their top-level domain, script of names, and
+gender (the title stays, and given names end by it).
 
 A person is a title and one to four capitalised name words, with particles; a
 capitalised word right after a name counts as part of it.  Sixteen digits in a card's
-layout are a card, other lengths from 13 to 19 by their check digit only.
+layout are a card, other lengths from 13 to 19 by their check digit only.  A bank
+account number with wrong check digits stays, and so do the digits within it.
 
 Distinctness is checked over the whole corpus: two entities of a kind with one
 surrogate, or a surrogate that is itself an entity of the corpus, make the later
 entity try again with the next attempt, until no collision is left.
 
-Documents without mentions are not shuffled.  Mentions meet surrogates in a join
-on (kind, entity); the replaced pieces are grouped by text, so copies are rebuilt
-once.  Null texts stay null; empty ones stay empty.
+Documents without mentions are not shuffled; those with mentions are written to the
+shared folder once, so the corpus is searched twice, for each of the two.  Mentions
+meet surrogates in a join on (kind, entity); the replaced pieces are grouped by text,
+so copies are rebuilt once.  Null texts stay null; empty ones stay empty.  Columns of
+the input named n_entities or kinds are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import checkpoint, numbered, position
+from .frames import checkpoint, numbered, partitions, position
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
@@ -43,9 +49,12 @@ KINDS = (
     ("card", r"(?<![0-9A-Za-z])(?:[0-9]{4}(?:[0-9]{12}|(?:[ ][0-9]{4}){3}|(?:-[0-9]{4}){3})|[0-9]{4}[ ][0-9]{6}[ ][0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5}|[0-9]{13,19})(?![0-9A-Za-z])"),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     ("ip", rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])"),
+    ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
     ("person", rf"(?<!\p{{L}}){_TITLES}\.?[ ](?:{_PARTICLE}[ ]){{0,3}}{_NAME}(?:[ ](?!{_TITLES}\.?[ ])(?:{_PARTICLE}[ ]){{0,3}}{_NAME}){{0,3}}(?![\p{{L}}])"),
 )
-PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
+_ONE = {kind: f"(?:{pattern})" for kind, pattern in KINDS}
+#: All kinds; numbers and capitals are only tried where one begins.
+PATTERN = f"{_ONE['email']}|(?=[0-9+(])(?:{_ONE['phone']}|{_ONE['card']}|{_ONE['ssn']}|{_ONE['ip']})|(?=[A-ZГ])(?:{_ONE['iban']}|{_ONE['person']})"
 
 # Syllables of surrogate names by script.
 _LATIN = ("ba", "ce", "di", "fo", "gu", "ha", "je", "ki", "lo", "mu", "na", "pe", "ri", "so", "tu", "va")
@@ -65,7 +74,9 @@ def kind_of(mention: Column) -> Column:
         out = F.when(mention.rlike(f"^(?:{pattern})$"), F.lit(kind)).otherwise(out)
     # numbers of other lengths than 16 are cards by their check digit only
     digits = _digits(mention)
-    return F.when((out == "card") & (F.length(digits) != 16) & (luhn_sum(digits) % 10 != 0), None).otherwise(out)
+    wrong = (out == "card") & (F.length(digits) != 16) & (luhn_sum(digits) % 10 != 0)
+    account = F.replace(mention, F.lit(" "), F.lit(""))
+    return F.when(wrong | ((out == "iban") & (mod_97(F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4))) != 1)), None).otherwise(out)
 
 
 def name_parts(mention: Column) -> Column:
@@ -75,7 +86,7 @@ def name_parts(mention: Column) -> Column:
 
 def canonical(kind: Column, mention: Column, gender: Column) -> Column:
     name = F.lower(F.regexp_extract(mention, r"([^ ]+)$", 1))
-    return F.when(kind == "email", F.lower(mention)).when(kind == "person", F.concat(gender, name)).when(kind == "given", F.concat(F.lit("g:"), name)).when(kind == "ip", mention).otherwise(_digits(mention))
+    return F.when(kind == "email", F.lower(mention)).when(kind == "person", F.concat(gender, name)).when(kind == "given", F.concat(gender, name)).when(kind == "ip", mention).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).when(kind == "phone", F.regexp_replace(_digits(mention), "^1(?=[0-9]{10}$)", "")).otherwise(_digits(mention))
 
 
 def _byte(seed: Column, i: Column) -> Column:
@@ -103,6 +114,15 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), one)
 
 
+def mod_97(text: Column) -> Column:
+    """The remainder of digits and capitals (A = 10 to Z = 35) read as one number."""
+    def one(acc: Column, i: Column) -> Column:
+        c = F.ascii(F.substring(text, i, F.lit(1)))
+        return F.when(c >= 65, (acc * 100 + c - 55) % 97).otherwise((acc * 10 + c - 48) % 97)
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(text)), F.lit(0), one)
+
+
 def surrogate(kind: Column, entity: Column, key: str, attempt: Column) -> Column:
     """The surrogate's canonical form."""
     seed = F.sha2(F.concat_ws("|", F.lit(key), kind, entity, attempt.cast("string"), F.lit(key)), 512)
@@ -116,17 +136,30 @@ def surrogate(kind: Column, entity: Column, key: str, attempt: Column) -> Column
     top = F.regexp_extract(entity, r"(\.[a-z]+)$", 1)
     mail = F.concat(_like(F.substring(entity, F.lit(1), F.length(entity) - F.length(top)), seed), top)
     syllables = F.when(entity.rlike(r"\p{IsCyrillic}"), F.array(*map(F.lit, _CYRILLIC))).otherwise(F.array(*map(F.lit, _LATIN)))
-    name = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5) + attempt), lambda i: F.element_at(syllables, _byte(seed, i) % 16 + 1)), "")
-    person = F.concat(F.substring(entity, 1, 2), name)
-    return F.when(kind == "email", mail).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", octets).when(kind.isin("person", "given"), person).otherwise(number)
+    name = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2) + attempt), lambda i: F.element_at(syllables, _byte(seed, i) % 16 + 1)), "")
+    # a given name ends by gender
+    end = F.when(entity.startswith("f:"), F.when(entity.rlike(r"\p{IsCyrillic}"), "на").otherwise("na")).otherwise(F.when(entity.rlike(r"\p{IsCyrillic}"), "н").otherwise("n"))
+    person = F.concat(F.substring(entity, 1, 2), name, F.when(kind == "given", end).otherwise(""))
+    inner = F.substring(number, F.lit(5), F.length(entity))
+    account = F.concat(F.substring(entity, 1, 2), F.lpad((98 - mod_97(F.concat(inner, F.substring(entity, 1, 2), F.lit("00")))).cast("string"), 2, "0"), inner)
+    return F.when(kind == "email", mail).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", octets).when(kind == "iban", account).when(kind.isin("person", "given"), person).otherwise(number)
 
 
 def rendered(kind: Column, mention: Column, entity: Column) -> Column:
-    """A surrogate in the format of the mention it replaces."""
+    """A surrogate in the format of the mention it replaces; digits before the entity's own stay."""
+    before = F.length(_digits(mention)) - F.length(entity)
+
     def digit(i: Column) -> Column:
         c = F.substring(mention, i, F.lit(1))
-        nth = F.length(_digits(F.substring(mention, F.lit(1), i)))
-        return F.when(c.rlike("[0-9]"), F.substring(entity, nth, F.lit(1))).otherwise(c)
+        nth = F.length(_digits(F.substring(mention, F.lit(1), i))) - before
+        return F.when(c.rlike("[0-9]") & (nth > 0), F.substring(entity, nth, F.lit(1))).otherwise(c)
+
+    def sign(i: Column) -> Column:
+        c = F.substring(mention, i, F.lit(1))
+        nth = F.length(F.replace(F.substring(mention, F.lit(1), i), F.lit(" "), F.lit("")))
+        return F.when(c == " ", c).otherwise(F.substring(entity, nth, F.lit(1)))
+
+    account = F.array_join(F.transform(F.sequence(F.lit(1), F.length(mention)), sign), "")
 
     number = F.array_join(F.transform(F.sequence(F.lit(1), F.length(mention)), digit), "")
     def cased(i: Column) -> Column:
@@ -135,11 +168,17 @@ def rendered(kind: Column, mention: Column, entity: Column) -> Column:
 
     mail = F.array_join(F.transform(F.sequence(F.lit(1), F.length(entity)), cased), "")
     person = F.concat(F.regexp_extract(mention, r"^(.*[ ])?[^ ]+$", 1), F.initcap(F.substring(entity, F.lit(3), F.length(entity))))
-    return F.when(kind == "email", mail).when(kind.isin("person", "given"), person).when(kind == "ip", entity).otherwise(number)
+    return F.when(kind == "email", mail).when(kind.isin("person", "given"), person).when(kind == "ip", entity).when(kind == "iban", account).otherwise(number)
+
+
+def _last_word(name: Column) -> Column:
+    return F.regexp_extract(name, r"([^ ]+)$", 1)
 
 
 def assign(entities: DataFrame, key: str, rounds: int = 30) -> DataFrame:
     """(kind, entity, surrogate) for distinct (kind, entity): distinct within a kind, and no entity itself."""
+    # few bytes, but many hashes: not left to one task
+    entities = entities.repartition(partitions(entities.sparkSession), "kind", "entity")
     now = checkpoint(entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), key, F.lit(0))))
     taken = now.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
     for _ in range(rounds):
@@ -160,7 +199,7 @@ def replace_pii(docs: DataFrame, *, key: str, text_col: str = "text") -> DataFra
     rows = numbered(docs)
     has = F.coalesce(F.col(text).rlike(PATTERN), F.lit(False))
     mentions = F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))
-    some = rows.where(has).withColumns({"_key": F.sha2(F.col(text), 256), "_found": mentions})
+    some = checkpoint(rows.where(has).withColumns({"_key": F.sha2(F.col(text), 256), "_found": mentions}))
     each = some.select("_key", F.posexplode("_found").alias("pos", "mention")).distinct()
     each = each.withColumn("kind", kind_of(F.col("mention")))
     # a person's last name word is the key of the entity; each further word has a surrogate of its own
@@ -173,17 +212,19 @@ def replace_pii(docs: DataFrame, *, key: str, text_col: str = "text") -> DataFra
     known = each.where("kind is not null")
     named = assign(known.select("kind", "entity").distinct(), key)
     new = known.join(named, ["kind", "entity"], "left").withColumn("new", F.coalesce(rendered(F.col("kind"), F.col("mention"), F.col("surrogate")), F.col("mention")))
-    new = new.select("_key", "pos", "part", "kind", "new").unionByName(each.where("kind is null").select("_key", "pos", "part", "kind", F.col("mention").alias("new")))
-    per = new.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("pos", "part", "new"))).alias("words"), F.array_sort(F.collect_set(F.when(F.col("kind") == "given", "person").otherwise(F.col("kind")))).alias("kinds"), F.count_if((F.col("part") == 0) & F.col("kind").isNotNull()).alias("n_entities"))
+    new = new.select("_key", "pos", "part", "kind", "mention", "new").unionByName(each.where("kind is null").select("_key", "pos", "part", "kind", "mention", F.col("mention").alias("new")))
+    per = new.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("pos", "part", "new"))).alias("words"), F.array_sort(F.collect_set(F.when(F.col("kind") == "given", "person").otherwise(F.col("kind")))).alias("kinds"), F.count_if((F.col("part") == 0) & F.col("kind").isNotNull()).alias("n_entities"), F.array_sort(F.collect_list(F.when(F.col("kind") == "person", F.struct("pos", _last_word(F.col("mention")).alias("old"), _last_word(F.col("new")).alias("new"))))).alias("names"))
     # the words of a mention are joined by spaces again; no mention holds a null character
     joined = F.array_join(F.transform("words", lambda w: F.concat(F.when(w["part"] == 0, "\0").otherwise(" "), w["new"])), "")
     joined = F.split(F.regexp_replace(joined, r"^\x00", ""), r"\x00", -1)
-    per = per.select("_key", "kinds", "n_entities", joined.alias("news"))
-    pieces = F.split(F.col(text), PATTERN, -1)
+    per = per.select("_key", "kinds", "n_entities", joined.alias("news"), F.array_distinct(F.transform(F.filter("names", lambda n: ~n["old"].endswith(".")), lambda n: F.struct(n["old"].alias("old"), n["new"].alias("new")))).alias("names"))
+    # bare surnames between the mentions
+    pieces = F.transform(F.split(F.col(text), PATTERN, -1), lambda gap: F.aggregate("names", gap, lambda out, n: F.regexp_replace(out, F.concat(F.lit(r"(?<![\p{L}\p{M}’'-])\Q"), n["old"], F.lit(r"\E(?!-?[\p{L}\p{M}]|['’](?!s(?!\p{L}))\p{L})")), n["new"])))
     whole = F.array_join(F.concat(F.flatten(F.zip_with(F.slice(pieces, 1, F.size("news")), F.col("news"), lambda a, b: F.array(a, b))), F.slice(pieces, F.size(pieces), 1)), "")
     done = some.join(per, "_key").withColumn(text, whole)
-    names = [f"c{i}" for i in range(len(docs.columns))]
+    kept = [(f"c{i}", c) for i, c in enumerate(docs.columns) if c not in ("n_entities", "kinds")]
+    names = [c for c, _ in kept]
     changed = done.select(*names, "n_entities", "kinds")
     clean = rows.where(~has).select(*names, F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
     out = changed.unionByName(clean)
-    return out.toDF(*docs.columns, "n_entities", "kinds")
+    return out.toDF(*[c for _, c in kept], "n_entities", "kinds")

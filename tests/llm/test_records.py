@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import random
 import re
 
+import regex
 from pyspark.sql import functions as F
 
 from agoralake.llm import queries, surrogates, warc
@@ -68,6 +70,120 @@ def test_whole_names_and_cards_of_all_lengths(spark):
     assert cards and cards[1] == cards[2].replace(" ", "") != "378282246310005" and luhn(cards[1]) and found[2]["n_entities"] == 2
 
 
+def remainder_97(text):
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
+class Brute:
+    """The same task in plain Python: mentions one by one, entities by dictionaries."""
+
+    def __init__(self, rows):
+        self.rows = [(d, t, list(regex.finditer(surrogates.PATTERN, t or ""))) for d, t in rows]
+
+    def kind(self, mention):
+        for kind, pattern in surrogates.KINDS:
+            if regex.fullmatch(pattern, mention):
+                digits = re.sub(r"\D", "", mention)
+                bare = mention.replace(" ", "")
+                if kind == "card" and len(digits) != 16 and not luhn(digits) or kind == "iban" and remainder_97(bare[4:] + bare[:4]) != 1:
+                    return None
+                return kind
+
+    def parts(self, mention):
+        """(kind, entity, text) of a mention, name words of persons apart."""
+        kind = self.kind(mention)
+        digits = re.sub(r"\D", "", mention)
+        if kind != "person":
+            entity = {"email": mention.lower(), "ip": mention, "iban": mention.replace(" ", ""), "phone": digits[1:] if len(digits) == 11 and digits[0] == "1" else digits}.get(kind, digits)
+            return [(kind, entity if kind else None, mention)]
+        gender = "f:" if re.match("Mrs|Ms|Miss|Frau|Madame|Señora|Sra|Госпожа", mention) else "m:"
+        words = mention.split(" ")
+        small = set("von van vom zu zur zum der den de del della di da dos du la le ten ter al el bin ibn".split())
+        groups, now = [], []
+        for i, w in enumerate(words):
+            now.append(w)
+            if i and w not in small:
+                groups.append(now)
+                now = []
+        return [("person" if g is groups[-1] else "given", gender + g[-1].lower(), " ".join(g)) for g in groups]
+
+    def entities(self):
+        return {(k, e) for _, _, found in self.rows for m in found for k, e, _ in self.parts(m[0]) if k}
+
+    def render(self, kind, entity, text, made):
+        if kind is None:
+            return text
+        if kind in ("person", "given"):
+            head, _, _ = text.rpartition(" ")
+            return (head + " " if head else "") + made[2:].capitalize()
+        if kind == "ip":
+            return made
+        if kind == "email":
+            return "".join(b.upper() if i < len(text) and "A" <= text[i] <= "Z" else b for i, b in enumerate(made))
+        rest = iter(made)
+        skip = len(re.sub(r"\D", "", text)) - len(made) if kind != "iban" else 0
+        out = []
+        for c in text:
+            if kind == "iban" and c != " " or c in "0123456789" and skip <= 0:
+                out.append(next(rest))
+            else:
+                skip -= c in "0123456789"
+                out.append(c)
+        return "".join(out)
+
+    def texts(self, made):
+        for d, text, found in self.rows:
+            if text is None:
+                yield d, None
+                continue
+            names = {}
+            for m in found:
+                for k, e, t in self.parts(m[0]):
+                    if k == "person" and not t.endswith("."):
+                        names.setdefault(t.split(" ")[-1], made[k, e][2:].capitalize())
+            out, at = [], 0
+            gaps = [text[a:b] for a, b in zip([0, *[m.end() for m in found]], [*[m.start() for m in found], len(text)])]
+            for old, new in names.items():
+                gaps = [regex.sub(rf"(?<![\p{{L}}\p{{M}}’'-]){re.escape(old)}(?!-?[\p{{L}}\p{{M}}]|['’](?!s(?!\p{{L}}))\p{{L}})", new, g) for g in gaps]
+            for gap, m in zip(gaps, found):
+                out += [gap, " ".join(self.render(k, e, t, made.get((k, e))) for k, e, t in self.parts(m[0]))]
+            yield d, "".join([*out, gaps[-1]])
+
+
+def test_surrogates_against_brute_force(spark, documents):
+    rng = random.Random(12)
+    words = ["Mr.", "Mrs", "Herr", "Frau", "Dr.", "Господин", "Smith", "Jones", "O'Brien", "Müller-Lüdenscheidt", "McDonald", "Иванов", "von", "der", "Anna", "J.", "and", "Smith's", "met", "+1 555 123 4567", "(555) 123-4567", "555-123-4567", "+49 30 1234 5678", "a.b@c.example.org", "A.B@c.Example.org", "4111 1111 1111 1111", "378282246310005", "378282246310006", "123-45-6789", "10.1.2.3", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "DE88 3704 0044 0532 0130 00", ",", ".", "ünd", "\n"]
+    rows = [(i, "".join(rng.choice(words) + rng.choice((" ", " ", "  ", "")) for _ in range(rng.randrange(25)))) for i in range(400)]
+    rows += [(1_000, "Mr. John Smith spoke. Smith left; the Smiths and Smith-Jones did not, nor did Smith's cat."), (1_001, None), (1_002, "")]
+    rows += [(5_000 + r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()]
+    brute = Brute(rows)
+    entities = spark.createDataFrame(sorted(brute.entities()), "kind string, entity string")
+    made = {(r["kind"], r["entity"]): r["surrogate"] for r in surrogates.assign(entities, "k").collect()}
+    assert len({(k, x) for (k, _), x in made.items()}) == len(made)
+    found = replaced(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8))
+    for d, want in brute.texts(made):
+        assert found[d]["text"] == want, (d, dict(rows)[d])
+    one = found[1_000]["text"]
+    name = re.match(r"Mr\. ([A-Z][a-z]+n) ([A-Z][a-z]+) spoke\. (.*)$", one)
+    assert name[3] == f"{name[2]} left; the Smiths and Smith-Jones did not, nor did {name[2]}'s cat."
+
+
+def test_account_numbers_keep_country_and_check_digits(spark):
+    texts = [(1, "DE89 3704 0044 0532 0130 00 or DE89370400440532013000"), (2, "DE88 3704 0044 0532 0130 00")]
+    found = replaced(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    one, two = found[1]["text"].split(" or ")
+    assert one.replace(" ", "") == two != "DE89370400440532013000" and two.startswith("DE") and remainder_97(two[4:] + two[:4]) == 1 and len(one) == 27
+    assert found[2]["text"] == texts[1][1] and found[2]["n_entities"] == 0
+
+
+def test_columns_named_like_the_results_are_replaced(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "mail a.b@c.example.org", "x", "y")], "doc_id bigint, text string, n_entities string, kinds string")
+    out = surrogates.replace_pii(docs, key="k")
+    assert out.columns == ["doc_id", "text", "n_entities", "kinds"]
+    out.write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).first()["n_entities"] == 1
+
+
 def test_the_key_decides(spark):
     docs = spark.createDataFrame(TEXTS, "doc_id bigint, text string")
     assert replaced(docs, "k") == replaced(docs.repartition(5), "k") and replaced(docs, "other")[4]["text"] != replaced(docs, "k")[4]["text"]
