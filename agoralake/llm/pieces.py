@@ -11,16 +11,19 @@ library's; the tests hold them against it.
 A giant document is cut into chunks of ``CHUNK`` characters at any place.  A
 boundary state is the token that ends at a cut or straddles it, given by its
 characters before and after the cut.  Each chunk computes, alone, the transfer
-matrix from its entry states to its exit states; the matrices of a document are
-combined by associative max-plus products, which fixes the state at every cut;
-then each chunk backtraces its own ids, alone.
+matrix from its entry states to its exit states.  Max-plus products are associative,
+so ``FAN`` neighbouring matrices become one, level by level, until a document has one
+matrix; on the way back each level fixes the states between its matrices from the
+states at the ends of their product.  No task holds more than FAN matrices of a
+document.  Then each chunk backtraces its own ids, alone.
 
 No piece holds the space mark after another character, so no token crosses the
 place before a space mark, and a line end is in no piece of several characters.
 Between such places the ids of a unit are the library's own, cached by unit;
 lattices are only needed at a chunk's ends, or throughout where a chunk has none.
 
-Null and empty texts have no ids.  Repeated rows are encoded like any other.
+Null and empty texts have no ids.  Repeated rows are encoded like any other.  Columns
+of the input named ids or decoded are replaced.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ from .words import blocks
 
 MARK = "▁"
 CHUNK, GIANT = 1 << 15, 1 << 16
+#: Matrices that one product combines.
+FAN = 16
 _UNITS = re.compile(rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 NEVER = -np.inf
 
@@ -254,15 +259,16 @@ def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def boundary_states(matrices: list[np.ndarray]) -> list[int]:
-    """The state at every cut of a document (0 before the first chunk): suffix products say which states reach the end."""
-    after = [np.zeros((matrices[-1].shape[1], 1))]
-    for m in reversed(matrices):
-        after.append(max_plus(m, after[-1]))
-    after.reverse()
-    out = [0]
-    for m, rest in zip(matrices, after[1:]):
-        value = m[out[-1]] + rest[:, 0]
+def boundary_states(matrices: list[np.ndarray], entry: int, exit_: int) -> list[int]:
+    """The states at the cuts of a run of matrices, from the entry at its start to the exit at its end."""
+    after = np.full((matrices[-1].shape[1], 1), NEVER)
+    after[exit_] = 0.0
+    rest = [after]
+    for m in reversed(matrices[1:]):
+        rest.append(max_plus(m, rest[-1]))
+    out = [entry]
+    for m, to_end in zip(matrices, reversed(rest)):
+        value = m[out[-1]] + to_end[:, 0]
         if value.max() == NEVER:
             raise ValueError("no valid path through the document")
         out.append(int(value.argmax()))
@@ -292,6 +298,21 @@ def _id_lists(coded: list[bytes]) -> pa.Array:
 
 
 _CUT = "doc string, k int, before string, own string, after string"
+_MATRIX = "doc string, k int, entries array<int>, exits array<int>, matrix array<double>"
+_STATES = "doc string, k int, entry array<int>, exit array<int>"
+
+
+def _cut(longest: int, chunk: int):
+    """Texts (doc, text) in chunks with the characters around them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(*(batch.column(i) for i in range(2))):
+                marked = Codec.marked(text.as_py())
+                for k, at in enumerate(range(0, len(marked), chunk)):
+                    row = (doc.as_py(), k, marked[max(0, at - longest) : at], marked[at : at + chunk], marked[at + chunk : at + chunk + longest])
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32() if i == 1 else pa.string()) for i, x in enumerate(row)], names=["doc", "k", "before", "own", "after"])
+
+    return run
 
 
 def _matrices(path: str):
@@ -306,12 +327,50 @@ def _matrices(path: str):
     return run
 
 
-def _combine(key, rows):
+def _run_of(rows: pa.Table) -> tuple[pa.Table, list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Neighbouring matrices in order: the rows, entry and exit states, matrices."""
     rows = rows.sort_by("k")
     entries, exits = ([np.array(x).reshape(-1, 2) for x in rows.column(c).to_pylist()] for c in ("entries", "exits"))
-    matrices = [np.array(m).reshape(len(a), len(b)) for m, a, b in zip(rows.column("matrix").to_pylist(), entries, exits)]
-    at = boundary_states(matrices)
-    return pa.table({"doc": rows.column("doc"), "k": rows.column("k"), "entry": pa.array([e[i].tolist() for e, i in zip(entries, at[:-1])], pa.list_(pa.int32())), "exit": pa.array([e[i].tolist() for e, i in zip(exits, at[1:])], pa.list_(pa.int32()))})
+    return rows, entries, exits, [np.array(m).reshape(len(a), len(b)) for m, a, b in zip(rows.column("matrix").to_pylist(), entries, exits)]
+
+
+def _product(key, rows):
+    rows, entries, exits, matrices = _run_of(rows)
+    out = matrices[0]
+    for m in matrices[1:]:
+        out = max_plus(out, m)
+    arrays = [pa.array([x.reshape(-1).tolist()], pa.list_(t)) for x, t in ((entries[0], pa.int32()), (exits[-1], pa.int32()), (out, pa.float64()))]
+    return pa.table([pa.array([key[0].as_py()], pa.string()), pa.array([key[1].as_py()], pa.int32()), *arrays], names=["doc", "k", "entries", "exits", "matrix"])
+
+
+def _fixed(key, rows, ends):
+    """The states at both ends of each matrix of a run; ends has them for the whole run."""
+    rows, entries, exits, matrices = _run_of(rows)
+    at = lambda states, state: next(i for i, s in enumerate(states.tolist()) if s == state)
+    own = boundary_states(matrices, at(entries[0], ends.column("entry")[0].as_py()), at(exits[-1], ends.column("exit")[0].as_py()))
+    return pa.table({"doc": rows.column("doc"), "k": rows.column("k"), "entry": pa.array([e[i].tolist() for e, i in zip(entries, own[:-1])], pa.list_(pa.int32())), "exit": pa.array([e[i].tolist() for e, i in zip(exits, own[1:])], pa.list_(pa.int32()))})
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The states at the ends of whole documents (one matrix each): nothing before, and the exit that is reached."""
+    for batch in batches:
+        for doc, k, entries, exits, matrix in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            best = int(np.argmax(matrix[: len(exits) // 2]))
+            yield pa.RecordBatch.from_arrays([pa.array([doc], pa.string()), pa.array([k], pa.int32()), pa.array([entries[:2]], pa.list_(pa.int32())), pa.array([exits[2 * best : 2 * best + 2]], pa.list_(pa.int32()))], names=["doc", "k", "entry", "exit"])
+
+
+def _scanned(told: DataFrame, chunks: int) -> DataFrame:
+    """The states at the ends of each chunk (doc, k, entry, exit): products up, states down."""
+    levels = [told]
+    while chunks > 1:
+        chunks = -(-chunks // FAN)
+        # each level is small and used twice
+        levels.append(checkpoint(levels[-1].groupBy("doc", F.floor(F.col("k") / FAN).cast("int").alias("of")).applyInArrow(_product, _MATRIX)))
+    states = levels.pop().mapInArrow(_whole, _STATES)
+    for level in reversed(levels):
+        run = level.withColumn("of", F.floor(F.col("k") / FAN).cast("int")).groupBy("doc", "of")
+        states = run.cogroup(states.withColumn("of", F.col("k")).groupBy("doc", "of")).applyInArrow(_fixed, _STATES)
+    return states
 
 
 def _backtrace(path: str):
@@ -326,21 +385,16 @@ def _backtrace(path: str):
 
 def _giant_ids(texts: DataFrame, path: str, chunk: int) -> DataFrame:
     """(doc, ids) of distinct giant texts (doc, text), chunk by chunk."""
-    longest = codec_for(path).longest
-    marked = texts.select("doc", F.concat(F.lit(MARK), F.translate("text", " ", MARK)).alias("t"))
-    each = marked.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / chunk).cast("int"))))
-    at = F.col("k") * chunk + 1
-    piece = lambda start, n: F.substring("t", start, n)
-    cut = each.select("doc", "k", piece(F.greatest(at - longest, F.lit(1)), F.least(F.lit(longest), at - 1)).alias("before"), piece(at, F.lit(chunk)).alias("own"), piece(at + chunk, F.lit(longest)).alias("after"))
-    cut = checkpoint(cut.repartition("doc", "k"))
-    told = cut.mapInArrow(_matrices(path), "doc string, k int, entries array<int>, exits array<int>, matrix array<double>")
-    states = told.groupBy("doc").applyInArrow(_combine, "doc string, k int, entry array<int>, exit array<int>")
+    cut = checkpoint(texts.select("doc", "text").mapInArrow(_cut(codec_for(path).longest, chunk), _CUT).repartition("doc", "k"))
+    told = checkpoint(cut.mapInArrow(_matrices(path), _MATRIX))
+    states = _scanned(told, (told.agg(F.max("k")).first()[0] or 0) + 1)
     traced = cut.join(states, ["doc", "k"]).select("doc", "k", "before", "own", "after", "entry", "exit").mapInArrow(_backtrace(path), "doc string, k int, ids array<int>")
     return traced.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts")).select("doc", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
 
 
 def encode(docs: DataFrame, path: str, *, text_col: str = "text", chunk: int = CHUNK, giant: int = GIANT) -> DataFrame:
     """The columns of docs, then ids (array<int>)."""
+    docs = docs.drop("ids")
     text, names = position(docs, text_col), [f"c{i}" for i in range(len(docs.columns))]
     rows = numbered(docs)
     long_ = F.coalesce(F.length(text) > giant, F.lit(False))
@@ -366,4 +420,5 @@ def _decode_rows(path: str):
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
     """The columns of coded (one is ids), then decoded; null ids stay null."""
+    coded = coded.drop("decoded")
     return coded.mapInArrow(_decode_rows(path), coded.withColumn("decoded", F.lit(None).cast("string")).schema)

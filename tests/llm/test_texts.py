@@ -288,8 +288,9 @@ def piece_ids(texts):
     return SentencePieceProcessor(model_file=queries.tokenizer_path("piece_bpe_32k.model")).encode(texts, num_threads=4)
 
 
-@pytest.mark.parametrize(("chunk", "giant"), [(1 << 15, 1 << 16), (37, 50)])
-def test_pieces_are_the_library_s(spark, odd_texts, documents, chunk, giant):
+@pytest.mark.parametrize(("chunk", "giant", "fan"), [(1 << 15, 1 << 16, 16), (37, 50, 3)])
+def test_pieces_are_the_library_s(spark, monkeypatch, odd_texts, documents, chunk, giant, fan):
+    monkeypatch.setattr(pieces, "FAN", fan)  # several levels of products
     path = queries.tokenizer_path("piece_bpe_32k.model")
     few = [(r["doc_id"], r["text"]) for r in documents.where("length(text) < 400").orderBy("doc_id").limit(25).collect()]
     rows = [*odd_texts[:9], *odd_texts[11:], *few, (900, "x" * 300), (901, "ab\n\n  cd   " * 30), (902, "🙂é" * 70)]
@@ -305,6 +306,31 @@ def test_pieces_are_the_library_s(spark, odd_texts, documents, chunk, giant):
         assert r["decoded"] == (r["text"] or "")
 
 
+def test_products_are_associative_and_give_the_states():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        sizes = rng.integers(1, 6, size=8)
+        ms = [np.where(rng.random((a, b)) < 0.7, 0.0, pieces.NEVER) for a, b in zip(sizes[:-1], sizes[1:])]
+        left = ms[0]
+        for m in ms[1:]:
+            left = pieces.max_plus(left, m)
+        right = ms[-1]
+        for m in reversed(ms[:-1]):
+            right = pieces.max_plus(m, right)
+        assert np.array_equal(left, right)
+        for i, j in zip(*np.nonzero(left == 0)):
+            at = pieces.boundary_states(ms, i, j)
+            assert at[0] == i and at[-1] == j and all(m[a, b] == 0 for m, a, b in zip(ms, at[:-1], at[1:]))
+
+
+def test_a_column_named_ids_is_replaced(spark, tmp_path):
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    coded = pieces.encode(spark.createDataFrame([(1, "a text", "x")], "doc_id bigint, text string, ids string"), path)
+    pieces.decode(coded, path).write.parquet(str(tmp_path / "out"))
+    row = spark.read.parquet(str(tmp_path / "out")).first()
+    assert row["decoded"] == "a text" and list(row["ids"]) == piece_ids(["a text"])[0]
+
+
 def test_pieces_query_over_whole_texts(spark, documents, no_documents):
     found = {r["doc_id"]: r for r in queries.op8_sentencepiece(spark, SF).collect()}
     rows = documents.select("doc_id", "text").collect()
