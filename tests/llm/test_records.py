@@ -268,6 +268,69 @@ def test_record_layout(spark):
         assert lines[0] == "WARC/1.1" and f"WARC-Refers-To: {r['refers_to']}" in lines and rest == r["block"] + "\r\n\r\n"
 
 
+def squeezed(text):
+    text = re.sub(r"[ \t\x0b\f\r]+", " ", text)
+    return re.sub(r" ?\n[ \n]*", "\n", text).strip(" \n")
+
+
+def plain(made):
+    """Visible text by Python's own patterns and entity table."""
+    import html
+
+    text = re.sub(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", " ", made)
+    text = re.sub(r"(?i)<(?:br|/?(?:p|div|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav|title))\b[^>]*>", "\n", text)
+    return squeezed(html.unescape(re.sub("<[^>]*>", "", text)).replace("\u00a0", " "))
+
+
+def test_derivatives_against_brute_force(spark):
+    given = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
+    long_ = "<html><title>long</title>" + "<p>Ein Satz &amp; <a href='/q?a=1'>mehr</a>.\n  <!-- c -->" * 40_000
+    pages = given.unionByName(spark.createDataFrame([(90_001, "http://h/long", long_)], "page_id bigint, url string, html string"))
+    rows = {(r["page_id"], r["record_type"]): r for r in warc.derivatives(warc.responses(pages)).collect()}
+    import html
+
+    for p in pages.collect():
+        made = p["html"] or ""
+        text = rows[p["page_id"], "conversion"]["block"]
+        assert text == plain(made) and rows[p["page_id"], "conversion"]["block_digest"] == b32(text)
+        title = re.search(r"(?is)<title[^>]*>(.*?)</title", made)
+        links = list(dict.fromkeys(re.findall(r"(?i)<a\s[^>]*?href=[\"']([^\"'>]*)", made)))
+        fields = rows[p["page_id"], "metadata"]["block"].split("\r\n")
+        assert fields[0] == "title: " + " ".join(plain(title[1] if title else "").split()) and fields[3:] == [f"outlink: {x}" for x in links]
+        assert rows[p["page_id"], "metadata"]["source_digest"] == b32(made)
+
+
+def test_values_cannot_begin_a_line(spark):
+    url, html = "http://h/a\r\nWARC-Type: response\tx y", "<a href='/z\r\nx: y'>z</a>"
+    pages = spark.createDataFrame([(1, url, html, "2026-01-02T03:04:05Z\r\nX: y", "HTTP/1.1 404 No\r\nX-Own: a b\r\n\r\n"), (2, "http://h/b", html, None, None)], "page_id bigint, url string, html string, date string, http_headers string")
+    rows = {(r["page_id"], r["record_type"]): r for r in warc.derivatives(warc.responses(pages)).withColumn("record", warc.record_text()).collect()}
+    one = rows[1, "metadata"]
+    assert one["target_uri"] == "http://h/a%0D%0AWARC-Type:%20response%09x%20y" and one["date"] == "2026-01-02T03:04:05Z X: y"
+    assert one["block"].split("\r\n")[2:] == ["source-headers: HTTP/1.1 404 No; X-Own: a b", "outlink: /z%0D%0Ax:%20y"]
+    head = one["record"].partition("\r\n\r\n")[0]
+    assert [line.split(":")[0] for line in head.split("\r\n")[1:]].count("WARC-Type") == 1
+    assert rows[2, "metadata"]["date"] == warc.NO_DATE and "HTTP/1.1 200 OK" in rows[2, "metadata"]["block"]
+
+
+def test_dates_of_captures_are_kept(spark):
+    import datetime
+
+    pages = spark.createDataFrame([(1, "u", "x", datetime.datetime(2026, 5, 4, 3, 2, 1))], "page_id bigint, url string, html string, date timestamp")
+    assert warc.responses(pages).first()["date"] == "2026-05-04T03:02:01Z"
+
+
+def test_files_read_back(spark, tmp_path):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
+    odd = spark.createDataFrame([(70_001, "http://h/x", "<p>\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc äöü"), (70_002, None, None)], "page_id bigint, url string, html string")
+    derived = warc.derivatives(warc.responses(pages.unionByName(odd)))
+    warc.write_records(derived, str(tmp_path / "warc"), records_per_file=50)
+    read = warc.read_records(spark, str(tmp_path / "warc"))
+    columns = ["record_type", "record_id", "refers_to", "target_uri", "date", "block_digest", "source_digest", "content_type", "block"]
+    assert sorted(map(tuple, read.select(*columns).collect())) == sorted(map(tuple, derived.select(*columns).collect()))
+    assert all(r["block_digest"] == b32(r["block"]) for r in read.collect())
+    assert warc.read_records(spark, str(tmp_path / "warc")).groupBy("refers_to").count().where("count <> 2").isEmpty()
+
+
 def test_derivatives_of_no_pages(spark):
     none = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert warc.derivatives(warc.responses(none)).count() == 0
