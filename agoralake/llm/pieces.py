@@ -39,7 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import appended, checkpoint, numbered, position
-from .words import blocks
+from .units import UnitTable
+from .words import blocks, utf8
 
 MARK = "▁"
 CHUNK, GIANT = 1 << 15, 1 << 16
@@ -55,7 +56,7 @@ START: State = (0, 0)
 class Codec:
     """The library with a cache of units, and what the lattices need to know of the model."""
 
-    LIMIT = 200_000
+    LIMIT = 600_000
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -72,7 +73,8 @@ class Codec:
         self.longest = max(map(len, self.ids))
         if any(MARK in p.lstrip(MARK) or ("\n" in p and len(p) > 1) for p in self.ids):
             raise ValueError("a piece of this model crosses the places where texts are cut")
-        self.bytes = [bytes([int(name[3:5], 16)]) if lib.is_byte(i) else name.encode() if ok else b"" for i, (name, ok) in enumerate(zip(names, plain))]
+        self.bytes = [bytes([int(name[3:5], 16)]) if lib.is_byte(i) else name.replace(MARK, " ").encode() if ok else b"" for i, (name, ok) in enumerate(zip(names, plain))]
+        self.table = UnitTable(self.LIMIT)
         self.cache: dict[str, bytes] = {}
         self.steps: dict[tuple[str, str], bool] = {}
 
@@ -86,7 +88,7 @@ class Codec:
         """Ids (32 bits each) of marked texts that begin and end where no token crosses."""
         split = [_UNITS.findall(t) for t in marked]
         new = set().union(*split)
-        if len(self.cache) > self.LIMIT:
+        if len(self.cache) > self.LIMIT // 4:
             self.cache = {u: self.cache[u] for u in new.intersection(self.cache)}
         todo = list(new.difference(self.cache))
         for i in range(0, len(todo), 20_000):
@@ -96,13 +98,34 @@ class Codec:
         get = self.cache.__getitem__
         return [b"".join(map(get, parts)) for parts in split]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return self.units([self.marked(t) for t in texts])
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row (null: empty), and how many each has."""
+        raw, at = utf8(column)
+        if MARK.encode() in raw.tobytes():  # a mark in a text is a space to the library
+            column = pa.array([None if t is None else t.replace(MARK, " ") for t in column.to_pylist()], pa.string())
+            raw, at = utf8(column)
+        # the mark before each text that is not empty
+        full = np.flatnonzero(np.diff(at))
+        raw = np.insert(raw, at[full], np.uint8(0x20))
+        at = at + np.searchsorted(full, np.arange(len(at)))
+        space, line = raw == 0x20, raw == 0x0A
+        start = line.copy()
+        start[1:] |= line[:-1] | (space[1:] & ~space[:-1])
+        start[at[full]] = True
+        first = np.flatnonzero(start)
+        entry = self.table.entries(raw, first, self._units)
+        count = np.concatenate([[0], np.cumsum(self.table.count[entry])])
+        return self.table.joined(entry), np.diff(count[np.searchsorted(first, at)])
+
+    def _units(self, units: list[bytes]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for i in range(0, len(units), 20_000):
+            out += self.library.encode([u.decode().replace(" ", MARK) for u in units[i : i + 20_000]], out_type=int, num_threads=1)
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: bytes of pieces, marks as spaces, without the mark before the text."""
-        table = self.bytes
-        text = b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
     # -- lattices
@@ -286,8 +309,9 @@ def _encode_rows(path: str, text: str):
         codec = codec_for(path)
         for batch in batches:
             for part in blocks(batch, text):
-                coded = codec.encode([t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()])
-                yield appended(part, {"ids": _id_lists(coded)})
+                ids, counts = codec.encode_column(part.column(part.schema.get_field_index(text)))
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype("<i4")
+                yield appended(part, {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype("<i4")))})
 
     return run
 
@@ -412,7 +436,9 @@ def _decode_rows(path: str):
             ids = batch.column(batch.schema.get_field_index("ids"))
             for at in range(0, batch.num_rows, 1000):
                 own = ids.slice(at, 1000)
-                texts = [None if x is None else codec.decode(np.array(x, np.int32)) for x in own.to_pylist()]
+                ends = own.offsets.to_numpy()
+                flat, known = own.values.to_numpy(zero_copy_only=False), own.is_valid().to_numpy(zero_copy_only=False)
+                texts = [codec.decode(flat[a:b]) if ok else None for a, b, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), known.tolist())]
                 yield appended(batch.slice(at, 1000), {"decoded": pa.array(texts, pa.string())})
 
     return run

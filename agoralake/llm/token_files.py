@@ -39,7 +39,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import checkpoint, checkpoint_dir, text_pairs
-from .words import blocks, mix, utf8
+from .units import UnitTable
+from .words import blocks, utf8
 
 MAGIC, FOOTER = b"TPB1", b"TPF1"
 _HEAD = np.dtype([("magic", "S4"), ("bits", "u1"), ("zero", "u1", 3), ("docs", "<u4"), ("ids", "<u8")])
@@ -216,79 +217,6 @@ def unit_starts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
-
-
-class UnitTable:
-    """Ids of units, held in numpy arrays: the bytes of a unit of up to 16 are its key, longer ones are in a dictionary."""
-
-    def __init__(self, limit: int):
-        self.limit = limit
-        self.slots = 1 << (2 * limit).bit_length()
-        self.clear()
-
-    def clear(self) -> None:
-        self.slot = np.full(self.slots, -1, np.int32)
-        self.low, self.high = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.size = np.zeros(0, np.int64)
-        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.again = np.zeros(0, bool)
-        self.ids = np.zeros(0, "<u4")
-        self.long: dict[bytes, int] = {}
-
-    def __len__(self) -> int:
-        return len(self.size)
-
-    def _place(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
-        return (mix(mix(low + size.view(np.uint64)) ^ high) & np.uint64(self.slots - 1)).astype(np.int64)
-
-    def find(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """The entry of each unit, or -1; bytes and length are compared, not hashes."""
-        out = np.full(len(low), -1, np.int64)
-        todo, at = np.arange(len(low)), self._place(low, high, size)
-        while len(todo):
-            entry = self.slot[at]
-            taken = entry >= 0
-            todo, at, entry = todo[taken], at[taken], entry[taken]
-            same = (self.low[entry] == low[todo]) & (self.high[entry] == high[todo]) & (self.size[entry] == size[todo])
-            out[todo[same]] = entry[same]
-            todo, at = todo[~same], (at[~same] + 1) & (self.slots - 1)
-        return out
-
-    def add(self, names: list[bytes], low: np.ndarray, high: np.ndarray, size: np.ndarray, coded: list[list[int]], again: np.ndarray | None = None) -> None:
-        """New distinct units with their ids."""
-        entry = np.arange(len(self), len(self) + len(names))
-        count = np.array([len(c) for c in coded], np.int64)
-        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
-        self.ids = np.concatenate([self.ids, np.array([i for c in coded for i in c], "<u4")])
-        self.low, self.high, self.size = np.concatenate([self.low, low]), np.concatenate([self.high, high]), np.concatenate([self.size, size])
-        self.count = np.concatenate([self.count, count])
-        self.again = np.concatenate([self.again, np.zeros(len(names), bool)])
-        for k in np.flatnonzero(size > 16).tolist():
-            self.long[names[k]] = int(entry[k])
-        entry = entry[size <= 16]
-        at = self._place(low, high, size)[size <= 16]
-        while len(entry):  # one of those that want a free slot gets it, the others go on
-            free = np.flatnonzero(self.slot[at] < 0)
-            self.slot[at[free]] = entry[free]
-            left = self.slot[at] != entry
-            entry, at = entry[left], (at[left] + 1) & (self.slots - 1)
-
-    def keep(self, chosen: np.ndarray) -> None:
-        """Forget all entries but the chosen ones."""
-        names = {k: e for e, k in self.long.items()}
-        low, high, size = self.low[chosen], self.high[chosen], self.size[chosen]
-        coded = [self.ids[a : a + c].tolist() for a, c in zip(self.first[chosen].tolist(), self.count[chosen].tolist())]
-        self.clear()
-        self.add([names.get(e, b"") for e in chosen.tolist()], low, high, size, coded)
-
-    def joined(self, entries: np.ndarray) -> np.ndarray:
-        """The ids of entries in a row."""
-        count = self.count[entries]
-        ends = np.cumsum(count)
-        return self.ids[np.repeat(self.first[entries] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
-
-
 class UnitEncoder:
     """tokenizers' ids for whole texts, with the library's model called once for each new pre-token.
 
@@ -350,30 +278,7 @@ class UnitEncoder:
     def _latin(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of documents of Latin characters, and how many each has."""
         table, start = self.table, unit_starts(raw, at)
-        end = np.append(start[1:], len(raw))[: len(start)]
-        size = end - start
-        padded = np.concatenate([raw, np.zeros(16, np.uint8)])
-        eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))  # the eight bytes from each byte on
-        short = np.minimum(size, 16)
-        low, high = eight[start] & _MASKS[np.minimum(short, 8)], eight[start + 8] & _MASKS[np.maximum(short - 8, 0)]
-        if len(table) > self.LIMIT:
-            again = np.flatnonzero(table.again)
-            table.keep(again if len(again) < self.LIMIT // 2 else again[:0])
-        data, wide = raw.tobytes(), np.flatnonzero(size > 16)
-        entry = np.full(len(start), -1, np.int64)
-        entry[size <= 16] = table.find(*(x[size <= 16] for x in (low, high, size)))
-        entry[wide] = [table.long.get(data[a:b], -1) for a, b in zip(start[wide].tolist(), end[wide].tolist())]
-        table.again[entry[entry >= 0]] = True
-        missing = np.flatnonzero(entry < 0)
-        if len(missing):
-            new: dict[bytes, int] = {}
-            own = [new.setdefault(data[a:b], len(new)) for a, b in zip(start[missing].tolist(), end[missing].tolist())]
-            own = np.array(own)
-            of = np.zeros(len(new), np.int64)
-            of[own] = missing
-            coded = [self._unit(u.decode()) for u in new]
-            entry[missing] = len(table) + own
-            table.add(list(new), low[of], high[of], size[of], coded)
+        entry = table.entries(raw, start, lambda units: [self._unit(u.decode()) for u in units])
         count = np.concatenate([[0], np.cumsum(table.count[entry])])
         return table.joined(entry), np.diff(count[np.searchsorted(start, at)])
 
