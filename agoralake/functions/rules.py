@@ -101,12 +101,14 @@ SHORT_HEADING, SHORT_TITLE = 22, 12
 
 def any_match(text: Column, patterns, flags: str = "(?iU)") -> Column:
     """Whether one of the patterns is found, in all scripts and either case."""
-    return reduce(lambda a, b: a | b, [known(text).rlike(flags + p) for p in patterns], F.lit(False))
+    return known(text).rlike(flags + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
 
 
 def tags(text: Column, table, flags: str = "(?iU)") -> Column:
     """Labels of all rules that match, in the table's order, each once."""
-    return F.array_distinct(F.array_compact(F.array(*[F.when(known(text).rlike(flags + p), F.lit(label)) for p, label in table])))
+    # the text is made once, however many rules look at it
+    found = lambda x: F.array_compact(F.array(*[F.when(x.rlike(flags + p), F.lit(label)) for p, label in table]))
+    return F.array_distinct(F.get(F.transform(F.array(known(text)), found), F.lit(0)))
 
 
 def is_routine(title: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import known
+from ..functions.text import display_date, known
 
 # Rows of the first page and of each further one.
 FIRST_PAGE, NEXT_PAGE = 8, 20
@@ -73,6 +73,34 @@ def card_values(feed: DataFrame) -> DataFrame:
     })
 
 
+def cardinalities(feed: DataFrame, axes: list[str]) -> DataFrame:
+    """(axis, values): how many distinct values each axis has, 0 for an axis without any."""
+    names = feed.sparkSession.createDataFrame([(a,) for a in axes], "axis string")
+    found = counts(feed, axes).groupBy("axis").agg(F.count("*").alias("values"))
+    return names.join(found, "axis", "left").select("axis", F.coalesce("values", F.lit(0)).cast("long").alias("values"))
+
+
+def message(df: DataFrame, selection: dict[str, list]) -> DataFrame:
+    """One row: the line above the results, and the one for a selection without results ('' where there are some)."""
+    chosen = any(selection.values())
+    hits = df.agg(F.count("*").alias("total"), F.count_if(matches(df, selection)).alias("hits"))
+    every = F.concat(F.col("hits").cast("string"), F.lit(" Einträge — alle aufbereiteten Tagesordnungspunkte"))
+    some = F.concat_ws(" ", F.col("hits").cast("string"), F.lit("von"), F.col("total").cast("string"), F.lit("Einträgen passen zu Ihrer Auswahl"))
+    none = F.when(F.col("hits") == 0, "Keine Einträge für diese Kombination. Filter weiter fassen?").otherwise("")
+    return hits.select((some if chosen else every).alias("line"), none.alias("empty"))
+
+
+def provenance(statistics: DataFrame, prepared: DataFrame, registry: DataFrame, fetched: str, first: str, last: str) -> DataFrame:
+    """One row: sources in order, date of the data, period, and how many of the items are prepared or left out."""
+    names = registry.agg(F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("names"))
+    row = statistics.join(prepared.agg(F.count("*").alias("prepared"))).join(names)
+    return row.select(F.concat(
+        F.lit("Quellen: "), F.array_join(F.transform("names", lambda n: n["name"]), " · "),
+        F.lit(" · Daten abgerufen am "), display_date(F.lit(fetched)), F.lit(f" · Zeitraum {first} bis {last} · Aufbereitet: "),
+        F.col("prepared").cast("string"), F.lit(" von "), F.col("items").cast("string"), F.lit(" Tagesordnungspunkten ("), F.col("routine").cast("string"), F.lit(" Sitzungsroutine ausgelassen)."),
+    ).alias("line"))
+
+
 def headline(statistics: DataFrame, feed: DataFrame) -> DataFrame:
     """Sessions, items, prepared entries and districts in one row."""
     districts = feed.select(F.explode("district").alias("d")).agg(F.count_distinct("d").alias("districts"))

@@ -100,6 +100,22 @@ def feed_header(feed: DataFrame, header: dict[str, str]) -> DataFrame:
     return statistics(feed).select(*[F.lit(v).alias(k) for k, v in header.items()], F.struct("curated", "drafts", "easy").alias("statistics"))
 
 
+def full_header(feed: DataFrame, sessions: DataFrame, items: DataFrame, registry: DataFrame, official_districts: DataFrame, header: dict[str, str]) -> DataFrame:
+    """One row: header, statistics of corpus and feed (with entries per source and status), and the values of all axes in their order."""
+    per = per_source(feed, registry).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n")))).alias("per_source"))
+    states = status_distribution(feed).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("status"))
+    listed = lambda df, order, name: df.agg(F.array_sort(F.collect_list(F.struct(*order, F.col("value").alias("v")))).alias("x")).select(F.transform("x", lambda s: s["v"]).alias(name))
+    districts = official_first(feed.select(F.explode("district").alias("value")).distinct(), official_districts).withColumn("ord", F.coalesce("ord", F.lit(1 << 30)))
+    one = corpus_statistics(sessions, items).join(statistics(feed)).join(per).join(states)
+    one = one.join(listed(axis_values(feed, "life"), [], "life")).join(listed(districts, ["ord"], "district")).join(listed(axis_values(feed, "occasion"), [], "occasion"))
+    one = one.join(listed(statuses_present(feed).select(F.col("status").alias("value"), "ord"), ["ord"], "statuses"))
+    return one.select(
+        *[F.lit(v).alias(k) for k, v in header.items()],
+        F.struct("sessions", "items", "routine", "curated", "drafts", "easy", "per_source", "status").alias("statistics"),
+        F.struct("life", "district", "occasion", "statuses").alias("axes"),
+    )
+
+
 def feed_document(feed: DataFrame, header: dict[str, str], most_bytes: int = 1 << 28) -> DataFrame:
     """One row: header, statistics and the entries in feed order.  For small feeds: one of more than most_bytes is refused, feed_header and feed_entries have any size."""
     size = feed.select(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("n")).first()["n"] or 0

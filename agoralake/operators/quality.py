@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -81,6 +81,22 @@ def violations(curation: DataFrame, items: DataFrame, feed: DataFrame, vocabular
     return out
 
 
+def samples(found: DataFrame, most: int = 5) -> DataFrame:
+    """For each check how many violations there are, and the first refs."""
+    rank = F.row_number().over(Window.partitionBy("check", "severity").orderBy("ref", "detail"))
+    first = found.withColumn("rank", rank).where(F.col("rank") <= most).groupBy("check", "severity").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("ref").cast("string").alias("ref")))).alias("refs"))
+    counts = found.groupBy("check", "severity").agg(F.count("*").alias("n"))
+    return counts.join(first, ["check", "severity"]).select("check", "severity", "n", F.array_join(F.transform("refs", lambda r: r["ref"]), ", ").alias("refs"))
+
+
+def by_ref_or_topic(items: DataFrame, feed: DataFrame) -> DataFrame:
+    """items and whether their ref, or their topic, is in the feed."""
+    by_ref = feed.select("ref", F.lit(True).alias("in_ref")).distinct()
+    by_topic = feed.select("topic", F.lit(True).alias("in_topic")).distinct()
+    flagged = items.join(by_ref, "ref", "left").join(by_topic, "topic", "left")
+    return flagged.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("in_ref", "in_topic")})
+
+
 def verdict(found: DataFrame, strict: bool = False) -> int:
     """0 in order, 1 not: any error, or (strict) any warning."""
     n = {r["severity"]: r["count"] for r in found.groupBy("severity").count().collect()}
@@ -89,9 +105,7 @@ def verdict(found: DataFrame, strict: bool = False) -> int:
 
 def coverage(items: DataFrame, feed: DataFrame) -> DataFrame:
     """Items with the first reason that explains why they are in the feed or not."""
-    by_ref = feed.select("ref", F.lit(True).alias("in_ref")).distinct()
-    by_topic = feed.select("topic", F.lit(True).alias("in_topic")).distinct()
-    flagged = items.join(by_ref, "ref", "left").join(by_topic, "topic", "left")
+    flagged = by_ref_or_topic(items, feed)
     title = F.col("title")
     reason = (
         F.when(F.col("in_ref") | F.col("in_topic"), REASONS[0]).when(~F.col("is_public"), REASONS[1]).when(F.col("is_routine"), REASONS[2])

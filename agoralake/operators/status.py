@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import known
 
 # Statuses in their official order.
-STATUSES = ("Entscheidung angesetzt", "Entscheidung geplant", "Wird noch beraten", "Bekanntgabe", "Ohne Vorlage")
+STATUSES = ("Entscheidung geplant", "Wird noch beraten", "Entscheidung angesetzt", "Bekanntgabe", "Ohne Vorlage")
 NO_PROPOSAL = "Ohne Vorlage"
 
 

@@ -81,6 +81,20 @@ def with_texts(queue: DataFrame, texts: DataFrame) -> DataFrame:
     return out.withColumns({"text": F.coalesce("text", F.lit("")), "note": F.when(F.col("document").isNull(), F.col("note")).otherwise(F.coalesce("pdf_note", F.lit("")))}).drop("pdf_note")
 
 
+def untagged(found: DataFrame, most: int = 12) -> DataFrame:
+    """The first drafts for a report, in input order, with their labels or a mark that there are none."""
+    labels = F.array_join(F.concat("life", "occasion"), ",")
+    return found.orderBy("first").limit(most).select("ref", F.coalesce(F.get("district", F.lit(0)), F.lit("")).alias("district"), F.left("title_plain", F.lit(62)).alias("title"), F.when(labels == "", "— keine Schlagworte —").otherwise(labels).alias("labels"))
+
+
+def batch_document(batch: DataFrame) -> DataFrame:
+    """The batch as one JSON array in queue order: the queue is limited, so it fits one row."""
+    names = [c for c in batch.columns if c not in ("decided", "first")]
+    order = F.struct((~F.col("decided")).alias("later"), (-date_number(F.col("date_iso"))).alias("date"), "first")
+    entries = batch.agg(F.array_sort(F.collect_list(F.struct(order.alias("order"), F.struct(*names).alias("entry")))).alias("all"))
+    return entries.select(F.to_json(F.transform("all", lambda e: e["entry"]), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def batch_totals(batch: DataFrame) -> DataFrame:
     total = F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long")
     return batch.agg(total.alias("characters"), F.count_if(F.col("text") == "").alias("without_text")).select("characters", approximate_tokens(F.col("characters")).alias("tokens"), "without_text")

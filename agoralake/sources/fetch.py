@@ -9,6 +9,7 @@ need no network.
 from __future__ import annotations
 
 import time
+from http.client import HTTPException
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -38,7 +39,7 @@ def _fetched(fetch: Fetch, pause: float):
                 try:
                     bodies.append(fetch(url).decode("utf-8", "replace"))
                     time.sleep(pause)
-                except OSError:
+                except (OSError, HTTPException, ValueError):  # one bad page or address ends no task
                     bodies.append(None)
             yield batch.assign(html=bodies)
 
@@ -49,11 +50,16 @@ def fetch_pages(wanted: DataFrame, cache: DataFrame, fetch: Fetch = http_fetch,
     """(pages, new): wanted (base_url, path) with html from cache (key, html) or the network; new: rows to append to the cache.
 
     A page that cannot be fetched has html '' and is not cached; bytes that are no UTF-8 are replaced.
+    Misses are fetched once, into the shared checkpoint folder, and both results come from there.
     """
     keyed = wanted.withColumn("key", page_cache_key(F.col("base_url"), F.col("path")))
     hits = keyed.join(cache.select("key", "html"), "key", "left")
     misses = hits.where("html is null").select("key", F.concat("base_url", F.lit("/"), "path").alias("url"), F.regexp_extract("base_url", "^(?:https?://)?([^/]+)", 1).alias("host")).dropDuplicates(["key"])
     got = misses.repartition("host").mapInPandas(_fetched(fetch, pause), "key string, url string, host string, html string")
+    if cache.sparkSession.sparkContext.getCheckpointDir() is None:
+        spark = cache.sparkSession
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints")
+    got = got.checkpoint(eager=True)
     new = got.where("html is not null").select("key", "html")
     pages = hits.where("html is not null").select(*wanted.columns, "html").unionByName(hits.where("html is null").drop("html").join(new, "key", "left").select(*wanted.columns, F.coalesce("html", F.lit("")).alias("html")))
     return pages, new
@@ -97,14 +103,39 @@ def pdfplumber_reader(content: bytes, most: int) -> tuple[list[str], int]:
 
 
 def pdf_text(files: DataFrame, reader: Callable[[bytes, int], tuple[list[str], int]] = pdfplumber_reader, most: int = PDF_PAGES) -> DataFrame:
-    """(url, text, pages, note) of (url, content): ok, not loadable (null content), no PDF, or a scan without text."""
+    """(url, text, pages, note) of (url, content[, error]): ok, not loadable (null content; the error says why), no PDF, or a scan without text."""
+    failed = F.coalesce(F.nullif("error", F.lit("")), F.lit("nicht ladbar")) if "error" in files.columns else F.lit("nicht ladbar")
     magic = F.substring("content", 1, 4) == F.lit(b"%PDF")
-    state = files.select("url", "content", F.when(F.col("content").isNull(), "nicht ladbar").when(~magic, "kein PDF").otherwise("").alias("state"))
+    state = files.select("url", "content", F.when(F.col("content").isNull(), failed).when(~magic, "kein PDF").otherwise("").alias("state"))
     read = state.mapInPandas(_pdf_texts(reader, most), "url string, state string, raw string, pages int")
     text = F.trim(collapse_newlines(F.col("raw")), F.lit(" \n\t\r"))
-    note = F.when(F.col("state") != "", F.col("state")).when(text == "", "gescannt, keine Textebene").otherwise("")
+    note = F.when(F.col("state") != "", F.col("state")).when(text == "", "gescannt, keine Textebene — braeuchte OCR").otherwise("")
     return read.select("url", text.alias("text"), F.col("pages").cast("int").alias("pages"), note.alias("note"))
 
 
-def pdf_keys(urls: DataFrame) -> DataFrame:
-    return urls.withColumn("key", pdf_cache_key(F.col("url")))
+def _downloaded(fetch: Fetch, pause: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            contents, errors = [], []
+            for url in batch["url"]:
+                try:
+                    contents.append(fetch(url))
+                    errors.append("")
+                    time.sleep(pause)
+                except (OSError, HTTPException, ValueError) as e:
+                    contents.append(None)
+                    errors.append(f"nicht ladbar: {e}")
+            yield batch.assign(content=contents, error=errors)
+
+    return run
+
+
+def fetch_files(wanted: DataFrame, cache: DataFrame, fetch: Fetch = http_fetch, pause: float = PAUSE) -> tuple[DataFrame, DataFrame]:
+    """(files, new): wanted (url) with content and error from cache (key, content) or the network; new: rows to append to the cache."""
+    keyed = wanted.select("url").distinct().withColumn("key", pdf_cache_key(F.col("url")))
+    hits = keyed.join(cache.select("key", "content"), "key", "left")
+    host = F.regexp_extract("url", "^(?:https?://)?([^/]+)", 1)
+    misses = hits.where("content is null").select("key", "url", host.alias("host"))
+    got = misses.repartition("host").mapInPandas(_downloaded(fetch, pause), "key string, url string, host string, content binary, error string").checkpoint(eager=True)
+    files = hits.where("content is not null").select("url", "content", F.lit("").alias("error")).unionByName(got.select("url", "content", "error"))
+    return files, got.where("content is not null").select("key", "content")

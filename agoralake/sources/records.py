@@ -38,7 +38,9 @@ def read_json(spark: SparkSession, path: str, schema: str | T.StructType) -> Dat
     try:
         return spark.read.schema(schema).option("multiLine", True).json(path)
     except AnalysisException as e:
-        raise MissingInput(path) from e
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise MissingInput(path) from e
+        raise
 
 
 def _documents(c):
@@ -120,6 +122,39 @@ def vocabulary_of(curation: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("axis", "value", "ord")
 
 
+FEED_SCHEMA = (
+    "feed_gebaut_am STRING, statistik STRUCT<sitzungen_ausgelesen: BIGINT, tops_ausgelesen: BIGINT, tops_verfahren: BIGINT, tops_kuratiert: BIGINT, entwuerfe: BIGINT, leichte_sprache: BIGINT>, "
+    "eintraege ARRAY<STRUCT<ref: STRING, titel: STRING, klartext_leicht: STRING, entwurf: BOOLEAN, stand: STRING, datum: STRING>>"
+)
+
+
+def read_feed(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of a feed document, in their order (feed_ord); MissingInput where it was not built yet."""
+    return read_json(spark, path, FEED_SCHEMA).select(F.posexplode("eintraege").alias("feed_ord", "e")).select("feed_ord", "e.*")
+
+
+def raw_sessions(sessions: DataFrame) -> DataFrame:
+    """Sessions (with items, their fields as in this library) under the raw corpus's own field names, one row per session."""
+    docs = lambda c: F.transform(c, lambda d: F.struct(d["title"].alias("titel"), d["url"].alias("url")))
+    stages = lambda c: F.transform(c, lambda s: F.struct(s["date_iso"].alias("datum"), s["date_disp"].alias("datum_anzeige"), s["body"].alias("gremium"), s["nr"].alias("top_nr"), s["is_public"].alias("oeffentlich"), s["role"].alias("rolle"), s["session_url"].alias("sitzung_url")))
+    item = lambda t: F.struct(
+        t["nr"].alias("nr"), t["title"].alias("titel"), t["suffix"].alias("zusatz"), t["applicant"].alias("antragsteller"), t["addendum"].alias("nachtrag"), t["is_public"].alias("oeffentlich"),
+        t["is_routine"].alias("verfahren"), t["proposal"].alias("vorlage"), t["proposal_url"].alias("vorlage_url"), docs(t["documents"]).alias("dokumente"), stages(t["stages"]).alias("beratungen"),
+    )
+    return sessions.select(
+        F.col("session_id").alias("id"), F.col("code").alias("kennung"), F.col("body").alias("gremium"), F.col("room").alias("raum"), F.col("date_iso").alias("datum"), F.col("date_disp").alias("datum_anzeige"),
+        F.col("time").alias("zeit"), F.col("session_url").alias("url"), docs("session_documents").alias("dokumente"), F.transform("items", item).alias("tops"), F.col("source").alias("quelle"),
+    )
+
+
+def raw_header(sessions: DataFrame, fetched: str, first: str, last: str) -> DataFrame:
+    """The raw corpus's counts, under its own field names, in one row."""
+    routine = F.size(F.filter("items", lambda t: t["is_routine"]))
+    return sessions.agg(F.count("*").alias("anzahl_sitzungen"), F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("anzahl_tops"), F.coalesce(F.sum(routine), F.lit(0)).alias("anzahl_verfahren")).select(
+        F.lit(fetched).alias("abgerufen_am"), F.struct(F.lit(first).alias("von"), F.lit(last).alias("bis")).alias("zeitraum"), "anzahl_sitzungen", "anzahl_tops", "anzahl_verfahren"
+    )
+
+
 def source_registry(spark: SparkSession, sources: dict[str, tuple[str, str]]) -> DataFrame:
     """(source, name, base_url, ord) of a small registry {source: (name, base URL)}."""
     rows = [(k, *v, i) for i, (k, v) in enumerate(sources.items())]

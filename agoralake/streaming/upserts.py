@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.worklist import upsert_ignore
-
 
 def insert_only(arrivals: DataFrame, path: str, checkpoint: str, key: str = "ref", trigger: dict | None = None) -> StreamingQuery:
     """Append to the table at path, per micro-batch, the first row of each key that is not there yet.
@@ -14,15 +13,13 @@ def insert_only(arrivals: DataFrame, path: str, checkpoint: str, key: str = "ref
     A batch that is replayed after a failure adds nothing twice, since its keys are there by then.
     """
     def write(batch: DataFrame, _: int) -> None:
-        first = batch.dropDuplicates([key])
-        spark = batch.sparkSession
+        new = batch.dropDuplicates([key])
         try:
-            existing = spark.read.schema(batch.schema).parquet(path)
-            new = upsert_ignore(existing, first, key).join(existing.select(key), key, "left_anti") if existing.columns else first
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
+            there = batch.sparkSession.read.schema(batch.schema).parquet(path).select(key)
+            new = new.join(there, key, "left_anti").select(*batch.columns)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            new = first
         new.write.mode("append").parquet(path)
 
     return arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -194,7 +194,7 @@ def test_queue_drafts_and_upsert(spark, tmp_path):
     assert got["stadt:2#Ö 2"] == "Entwurf" and got["stadt:1#Ö 1"] == "neu" and len(got) == 4
     files = spark.createDataFrame([("a", bytearray(b"%PDF-1.7")), ("b", bytearray(b"GIF")), ("c", None), ("d", bytearray(b"%PDF scan"))], "url string, content binary")
     texts = fetch.pdf_text(files, lambda content, most: ([] if b"scan" in content else ["Seite", "", "", "", "zwei"], 20))
-    assert {r["url"]: (r["text"], r["pages"], r["note"]) for r in texts.collect()} == {"a": ("Seite\n\nzwei", 20, ""), "b": ("", 0, "kein PDF"), "c": ("", 0, "nicht ladbar"), "d": ("", 20, "gescannt, keine Textebene")}
+    assert {r["url"]: (r["text"], r["pages"], r["note"]) for r in texts.collect()} == {"a": ("Seite\n\nzwei", 20, ""), "b": ("", 0, "kein PDF"), "c": ("", 0, "nicht ladbar"), "d": ("", 20, "gescannt, keine Textebene — braeuchte OCR")}
     totals = worklist.batch_totals(worklist.with_texts(worklist.work_queue(items, curation), texts)).first()
     assert (totals["characters"], totals["tokens"], totals["without_text"]) == (11, 2, 1)
 
