@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..operators import facets, feed, quality, status, topics, worklist
-from ..sources import records, sinks
+from ..sources import pages, records, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,13 +41,13 @@ def long(name: str):
     return F.col(name).cast("long").alias(name)
 
 
-def page_items(pages: DataFrame) -> DataFrame:
+def page_items(found: DataFrame) -> DataFrame:
     """Pages as agenda items: the language is the source, the number in the URL the proposal."""
     number = F.regexp_extract("url", r"/[a-z]{2}/([0-9]+)", 1)
     month, day = F.lpad((F.col("page_id") % 12 + 1).cast("string"), 2, "0"), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0")
     decided = F.when(F.col("page_id") % 3 == 0, F.array(F.struct(F.lit("Entscheidung").alias("role")))).otherwise(F.array().cast("array<struct<role:string>>"))
     return topics.with_keys(
-        pages.select(
+        found.select(
             F.regexp_extract("url", r"/([a-z]{2})/[0-9]+", 1).alias("source"),
             F.col("page_id").cast("string").alias("session_id"),
             F.lit("Ö 1").alias("nr"),
@@ -75,12 +75,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", text.html_text(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("title"), text.html_text(F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1)).alias("heading"), F.sha2(text.html_text(F.regexp_extract("html", r"(?s)<body>(.*)</body>", 1)), 256).alias("body_sha256"))
+    found = table(spark, sf_dir, "pages")
+    return found.select("page_id", text.html_text(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("title"), text.html_text(F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1)).alias("heading"), F.sha2(text.html_text(F.regexp_extract("html", r"(?s)<body>(.*)</body>", 1)), 256).alias("body_sha256"))
 
 
-def _links(pages: DataFrame) -> DataFrame:
-    found = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
+def _links(html: DataFrame) -> DataFrame:
+    found = html.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
     return found.groupBy("page_id", "url", "href").agg(F.min("pos").cast("long").alias("pos"))
 
 
@@ -202,7 +202,7 @@ def facet_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def axis_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, events = table(spark, sf_dir, "documents"), table(spark, sf_dir, "events")
-    parts = [d.select(F.lit(a).alias("axis"), F.col(a).alias("value")).where("value is not null").distinct() for d, a in ((docs, "lang"), (docs, "source"), (events, "event_type"))]
+    parts = [feed.axis_values(d.select(F.array_compact(F.array(a)).alias(a)), a).select(F.lit(a).alias("axis"), "value") for d, a in ((docs, "lang"), (docs, "source"), (events, "event_type"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -243,8 +243,9 @@ def statuses_present(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def inner_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    return table(spark, sf_dir, "labels").join(docs, "doc_id").select("doc_id", "lang", "source", long("quality"))
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref"), F.col("lang").alias("topic"), F.col("source").alias("topic_key"), F.col("doc_id").alias("session_ord"), F.lit(0).alias("item_ord"))
+    curation = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ref"), long("quality"))
+    return topics.curated_topics(curation, items).select(F.col("ref").alias("doc_id"), F.col("topic").alias("lang"), F.col("topic_key").alias("source"), "quality")
 
 
 @query
@@ -274,20 +275,33 @@ def uncurated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.uncurated(items, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ref")))
 
 
+def _order_items(spark: SparkSession, sf_dir: str, topic) -> DataFrame:
+    """Orders as public agenda items with a title that says something; finished ones have a decision stage."""
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    orders = table(spark, sf_dir, "orders").join(names, "o_custkey", "left")
+    iso, empty = F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("")
+    decided = F.when(F.col("o_orderstatus") == "F", F.array(F.struct(F.lit("Entscheidung").alias("role")))).otherwise(F.array().cast("array<struct<role:string>>"))
+    return orders.select(
+        F.col("o_orderkey").alias("ref"), topic.alias("topic"), topic.alias("topic_key"), F.lit("stadt").alias("source"), F.lit("Stadtrat").alias("body"), F.lit(True).alias("is_public"), F.lit(False).alias("is_routine"),
+        F.lit("Neubau der Schule am Park").alias("title"), F.lit("Ö 1").alias("nr"), iso.alias("date_iso"), F.date_format("o_orderdate", "dd.MM.yyyy").alias("date_disp"), decided.alias("stages"),
+        empty.alias("proposal"), empty.alias("proposal_url"), F.coalesce("c_name", empty).alias("applicant"), F.array().cast("array<struct<title:string,url:string>>").alias("documents"),
+        F.col("o_orderkey").alias("session_ord"), F.lit(0).cast("long").alias("item_ord"),
+    )
+
+
 @query
 def open_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    late = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
-    done = orders.join(late, "o_orderkey").select("o_custkey").distinct()
-    return orders.join(done, "o_custkey", "left_anti").groupBy("o_custkey").agg(F.count("*").alias("n_orders"))
+    """Orders as items of the topic of their customer; orders with a returned line have a text."""
+    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("ref"), F.lit("text").alias("text_plain")).distinct()
+    return worklist.open_items(_order_items(spark, sf_dir, F.col("o_custkey")), returned).groupBy(F.col("topic").alias("o_custkey")).agg(F.count("*").alias("n_orders"))
 
 
 @query
 def semi_disjunctive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    by_ref = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("in_ref")).distinct()
-    by_topic = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(True).alias("in_topic")).distinct()
-    return docs.join(by_ref, "doc_id", "left").join(by_topic, "doc_id", "left").where("in_ref or in_topic").select("doc_id", F.coalesce("in_ref", F.lit(False)).alias("by_ref"), F.coalesce("in_topic", F.lit(False)).alias("by_topic"))
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref"), F.col("doc_id").alias("topic"))
+    none = F.lit(None).cast("long")
+    shown = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ref"), none.alias("topic")).unionByName(table(spark, sf_dir, "benchmark").select(none.alias("ref"), F.col("item_id").cast("long").alias("topic")))
+    return quality.by_ref_or_topic(items, shown).where("in_ref or in_topic").select(F.col("ref").alias("doc_id"), F.col("in_ref").alias("by_ref"), F.col("in_topic").alias("by_topic"))
 
 
 @query
@@ -298,10 +312,9 @@ def first_match_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def work_queue_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderstatus") == "F").alias("decided"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date_iso"))
-    top = orders.withColumn("number", text.date_number(F.col("date_iso"))).orderBy(F.desc("decided"), F.desc("number"), F.asc("o_orderkey")).limit(25)
-    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    return top.join(names, "o_custkey", "left").select("o_orderkey", "decided", "number", F.coalesce("c_name", F.lit("")).alias("c_name"))
+    none = spark.createDataFrame([], "ref bigint, text_plain string")
+    queue = worklist.work_queue(_order_items(spark, sf_dir, F.col("o_orderkey")), none)
+    return queue.select(F.col("ref").alias("o_orderkey"), "decided", text.date_number(F.col("date_iso")).alias("number"), F.col("applicant").alias("c_name"))
 
 
 @query
@@ -337,9 +350,9 @@ def per_source_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), F.length("text").cast("long").alias("length"))
-    items = table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("origin"), F.col("item_id").alias("id"), F.length("text").cast("long").alias("length"))
-    return docs.unionByName(items)
+    docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), F.length("text").cast("long").alias("length"), F.col("lang").alias("date_iso"), F.col("source").alias("code"), F.col("doc_id").alias("session_ord"))
+    items = table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("origin"), F.col("item_id").alias("id"), F.length("text").cast("long").alias("length"), F.lit("").alias("date_iso"), F.lit("").alias("code"), F.col("item_id").alias("session_ord"))
+    return pages.union_sources(docs, items).select("origin", "id", "length")
 
 
 @query
@@ -459,11 +472,133 @@ def batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", text.page_cache_key(F.regexp_extract("url", r"^(https?://[^/?#]+)", 1), F.col("url")).alias("page_key"), text.pdf_cache_key(F.col("url")).alias("pdf_key"))
+    found = table(spark, sf_dir, "pages")
+    return found.select("page_id", text.page_cache_key(F.regexp_extract("url", r"^(https?://[^/?#]+)", 1), F.col("url")).alias("page_key"), text.pdf_cache_key(F.col("url")).alias("pdf_key"))
 
 
 @query
 def card_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = _order_status(spark, sf_dir).select("o_orderkey", "status", F.when(F.col("o_orderkey") % 2 == 0, "p").otherwise("").alias("proposal_url"), F.lit("s").alias("session_url"), F.when(F.col("o_orderkey") % 5 == 0, "m").otherwise("").alias("minutes_url"), (F.col("o_orderkey") % 3 == 0).alias("is_draft"))
     return facets.card_values(shown).select("o_orderkey", "primary_url", "badge", "badge_class", "minutes_note", "draft_label")
+
+
+@query
+def document_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list links of pages, written as file links of the portal."""
+    html = F.regexp_replace("html", r'<li><a href="([^"]*)">([^<]*)</a>', '<div class="smc-el-h x"><a href="$1">$2</a>')
+    found = table(spark, sf_dir, "pages").select("page_id", pages.document_links(html, F.lit("http://h")).alias("links"))
+    return found.select("page_id", F.posexplode("links").alias("pos", "d")).select("page_id", long("pos"), "d.title", "d.url")
+
+
+@query
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return worklist.candidates(_doc_items(spark, sf_dir), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ref"))).select("ref")
+
+
+@query
+def chosen_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    one = records.chosen_sources(docs, "src3").withColumn("choice", F.lit("src3"))
+    return one.unionByName(records.chosen_sources(docs, "beide").withColumn("choice", F.lit("beide")))
+
+
+def _order_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as sessions, their orders as items."""
+    sessions = table(spark, sf_dir, "customer").select(F.concat(F.lit("src"), (F.col("c_nationkey") % 7).cast("string")).alias("source"))
+    items = table(spark, sf_dir, "orders").select(F.concat(F.lit("src"), (F.col("o_custkey") % 5).cast("string")).alias("source"), (F.col("o_orderstatus") == "F").alias("is_routine"), (F.col("o_orderpriority") != "5-LOW").alias("is_public"), F.array_repeat(F.lit("x"), (F.col("o_orderkey") % 3).cast("int")).alias("stages"))
+    return sessions, items
+
+
+@query
+def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed.corpus_statistics(*_order_corpus(spark, sf_dir))
+
+
+@query
+def source_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registry = records.source_registry(spark, {f"src{i}": (f"source {i}", "http://example.com") for i in range(9)})
+    return feed.source_statistics(*_order_corpus(spark, sf_dir), registry)
+
+
+@query
+def axis_cardinalities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").withColumn("nothing", F.array().cast("array<string>"))
+    return facets.cardinalities(parts, ["p_brand", "p_type", "p_size", "nothing"])
+
+
+@query
+def result_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    lines = [facets.message(parts, s).withColumn("choice", F.lit(name)) for name, s in (("all", {}), ("some", SELECTION), ("none", {"p_brand": ["Brand#99"]}))]
+    return lines[0].unionByName(lines[1]).unionByName(lines[2])
+
+
+@query
+def headline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = table(spark, sf_dir, "part").select(F.array("p_brand").alias("district"))
+    return facets.headline(feed.corpus_statistics(*_order_corpus(spark, sf_dir)), shown)
+
+
+@query
+def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registry = records.source_registry(spark, {"b": ("Stadt", "http://b"), "a": ("Bezirke", "http://a")})
+    return facets.provenance(feed.corpus_statistics(*_order_corpus(spark, sf_dir)), table(spark, sf_dir, "part"), registry, "2026-07-03", "2026-05", "2026-07")
+
+
+@query
+def violation_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first refs of required_fields and sentence_lint."""
+    return quality.samples(required_fields(spark, sf_dir).unionByName(sentence_lint(spark, sf_dir)))
+
+
+@query
+def draft_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = lambda n: F.array_repeat(F.lit("x"), n.cast("int"))
+    return worklist.draft_report(table(spark, sf_dir, "part").select(tags(F.col("p_size") % 2).alias("life"), tags(F.col("p_size") % 3).alias("occasion"), tags(F.col("p_size") % 5).alias("district")))
+
+
+FEED_AS_OF = "2026-06-15"
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sessions, items and curation made of pages: Spanish ones are not curated, every fourth has minutes."""
+    found = table(spark, sf_dir, "pages")
+    stages = F.transform("stages", lambda s: F.struct(F.col("date_iso").alias("date_iso"), F.col("date_disp").alias("date_disp"), s["role"].alias("role")))
+    items = page_items(found).withColumns({
+        "stages": stages, "proposal": F.regexp_extract("proposal_url", r"=(\d+)", 1), "applicant": F.lit(""), "code": F.col("session_id"), "is_public": F.lit(True), "is_routine": F.col("session_ord") % 10 == 0,
+        "documents": F.array().cast("array<struct<title:string,url:string>>"),
+    })
+    minutes = F.array(F.struct(F.lit("Niederschrift").alias("title"), F.concat(F.lit("m"), F.col("page_id").cast("string")).alias("url")))
+    sessions = found.select(F.col("url").alias("session_url"), F.when(F.col("page_id") % 4 == 0, minutes).otherwise(F.array().cast("array<struct<title:string,url:string>>")).alias("session_documents"), F.col("page_id").alias("session_ord"))
+    labels = lambda n: F.array_repeat(F.lit("x"), n.cast("int"))
+    curation = items.where("source <> 'es'").select(
+        "ref", F.col("title").alias("title_plain"), F.lit("x").alias("text_plain"), F.lit("").alias("title_easy"), F.when(F.col("session_ord") % 5 == 0, "e").otherwise("").alias("text_easy"), labels(F.col("session_ord") % 3).alias("life"),
+        F.array("source").alias("district"), F.array().cast("array<string>").alias("place"), F.array(F.concat(F.lit("o"), (F.col("session_ord") % 2).cast("string"))).alias("occasion"), (F.col("session_ord") % 2 == 0).alias("is_draft"), F.col("session_ord").alias("cur_ord"),
+    )
+    return sessions, items, curation
+
+
+@query
+def built_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed of all curated pages: best version, lead appearance, status and minutes of each topic."""
+    made = feed.build_feed(*_corpus(spark, sf_dir), FEED_AS_OF)
+    return feed.ordered(made).select("topic", "ref", "topic_ord", "is_draft", "date_iso", "official_title", "status", "status_date", "minutes_url", F.size("appearances").cast("long").alias("n_appearances"))
+
+
+@query
+def feed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed's whole header: statistics of corpus and feed, entries per source and status, and the values of all axes."""
+    sessions, items, curation = _corpus(spark, sf_dir)
+    registry = records.source_registry(spark, {s: (s, "http://h") for s in ("de", "en", "es", "fr", "it")})
+    official = spark.createDataFrame([("fr", 0), ("de", 1)], "value string, ord int")
+    row = feed.full_header(feed.build_feed(sessions, items, curation, FEED_AS_OF), sessions, items, registry, official, {"built": FEED_AS_OF})
+    joined = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    s, a = F.col("statistics"), F.col("axes")
+    return row.select("built", *[s[c].alias(c) for c in ("sessions", "items", "routine", "curated", "drafts", "easy")], joined(s["per_source"]).alias("per_source"), joined(s["status"]).alias("status"), *[F.array_join(a[c], ",").alias(c) for c in ("life", "district", "occasion", "statuses")])
+
+
+@query
+def best_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The work queue as one JSON array."""
+    none = spark.createDataFrame([], "ref bigint, text_plain string")
+    return worklist.batch_document(worklist.work_queue(_order_items(spark, sf_dir, F.col("o_orderkey")), none))

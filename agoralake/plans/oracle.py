@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import rules, text
-from .catalogue import ALLOWED_EVENTS, AS_OF, PHRASES, PRIORITIES, SAFE_TABLE, SELECTION
+from .catalogue import ALLOWED_EVENTS, AS_OF, PHRASES, FEED_AS_OF, PRIORITIES, SAFE_TABLE, SELECTION
 
 
 def lit(x: str) -> str:
@@ -66,6 +66,15 @@ _heads = {s: f"trim(split_part(t, {lit(s)}, 1), ' ;,–—-')" for s in text.TIT
 _cut = "case " + " ".join(f"when contains(t, {lit(s)}) and length({h}) >= {text.LEAST_HEAD} then {h}" for s, h in _heads.items()) + " else t end"
 _scrub = lambda x: rf"regexp_replace(regexp_replace(regexp_replace({x}, {lit('(?is)' + text.SPEAKER)}, '', 'g'), {lit(text.TITLED_NAME)}, '', 'g'), '^\s+|\s+$', '', 'g')"
 
+BUILT = PAGES + f""", l as (select * from (select *, row_number() over (partition by topic order by decided desc, date_iso desc, page_id) as r, count(*) over (partition by topic) as appearances from t) where r = 1),
+b as (select * from (select *, min(page_id) over (partition by topic) as topic_ord, row_number() over (partition by topic order by page_id % 2 = 0, page_id % 5 = 0 desc, page_id % 3 desc, page_id) as r from t where source <> 'es') where r = 1),
+m as (select url, max(page_id) as page_id from p where page_id % 4 = 0 group by 1),
+f as (select b.topic, b.ref, b.page_id as best_id, b.source, b.topic_ord, b.page_id % 2 = 0 as is_draft, l.date_iso, l.title as official_title,
+  case when l.number = '' or not l.decided then 'Ohne Vorlage' when l.date_iso <= '{FEED_AS_OF}' then 'Entscheidung angesetzt' else 'Entscheidung geplant' end as status,
+  case when l.number = '' or not l.decided then '' else right(l.date_iso, 2) || '.' || substr(l.date_iso, 6, 2) || '.2026' end as status_date,
+  coalesce('m' || m.page_id, '') as minutes_url, l.appearances as n_appearances from b join l using (topic) left join m on m.url = l.url)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "flagship": PAGES + LEAD + r""", g as (select *, concat_ws(',', case when regexp_matches(title, '(?i)th') then 'th' end, case when regexp_matches(title, '(?i)on') then 'on' end, case when regexp_matches(title, '(?i)é') then 'é' end) as tags from l)
 select topic, date_iso, page_id, tags from g where tags like '%th%' or tags like '%on%' order by date_iso desc, page_id limit 8""",
@@ -96,7 +105,7 @@ select id, case when length(c) > {text.MOST_TITLE} then regexp_replace(left(c, {
     "axis_official_order": "with o(value, ord) as (values " + ", ".join(f"({lit(v)}, {i})" for i, v in enumerate(PRIORITIES)) + "), v as (select distinct o_orderpriority as value from orders) select v.value, row_number() over (order by ord nulls last, v.value) as position, ord is not null as official from v left join o on v.value = o.value",
     "status_derivation": STATUS + "select * from s",
     "status_distribution": STATUS + "select status, count(*) as n from s group by 1",
-    "statuses_present": STATUS + "select * from (values ('Entscheidung angesetzt', cast(0 as bigint)), ('Entscheidung geplant', 1), ('Wird noch beraten', 2), ('Bekanntgabe', 3), ('Ohne Vorlage', 4)) v(status, ord) where status in (select status from s)",
+    "statuses_present": STATUS + "select * from (values ('Entscheidung geplant', cast(0 as bigint)), ('Wird noch beraten', 1), ('Entscheidung angesetzt', 2), ('Bekanntgabe', 3), ('Ohne Vorlage', 4)) v(status, ord) where status in (select status from s)",
     "inner_lookup": "select doc_id, lang, source, cast(quality as bigint) as quality from labels join documents using (doc_id)",
     "ref_index": "select l_orderkey as ref, cast(l_linenumber as bigint) as l_linenumber, l_partkey as item_ord from (select *, row_number() over (partition by l_orderkey order by l_shipdate desc, l_linenumber desc, l_partkey desc) as n from lineitem) where n = 1",
     "left_lookup_default": "select doc_id, source, coalesce('q' || quality, '') as label from documents left join labels using (doc_id)",
@@ -139,4 +148,31 @@ select doc_id, length(block) as length, sha256(block) as block_sha256 from b""",
     "cache_keys": r"select page_id, regexp_extract(regexp_extract(url, '^(https?://[^/?#]+)', 1), '([^/]*)$', 1) || '_' || left(regexp_replace(url, '[^A-Za-z0-9_.-]', '_', 'g'), 140) || '.html' as page_key, right(regexp_replace(url, '[^A-Za-z0-9]', '_', 'g'), 120) || '.pdf' as pdf_key from pages",
     "card_values": STATUS + """select o_orderkey, case when o_orderkey % 2 = 0 then 'p' else 's' end as primary_url, case when status = 'Ohne Vorlage' then '' else status end as badge, case when status = 'Ohne Vorlage' then '' else lower(split_part(status, ' ', 1)) end as badge_class,
   case when o_orderkey % 5 = 0 then 'link' when starts_with(status, 'Entscheidung') then 'pending' else '' end as minutes_note, o_orderkey % 3 = 0 as draft_label from s""",
+    "document_links": r"""with h as (select page_id, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', 1) as u, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', 2) as t from pages),
+e as (select page_id, unnest(u) as u, unnest(t) as t, unnest(range(len(u))) as i from h), k as (select page_id, u, min(i) as i, arg_min(t, i) as t from e where trim(t) <> '' group by 1, 2)
+select page_id, row_number() over (partition by page_id order by i) - 1 as pos, trim(t) as title, case when starts_with(u, 'http') then u else 'http://h/' || ltrim(u, '/') end as url from k""",
+    "candidates": f"select doc_id as ref from documents where lang <> 'es' and not n_chars < 300 and source <> 'src7' and length(text) >= {rules.SHORT_TITLE} and not (length(text) < {rules.SHORT_HEADING} and not {found('text', rules.PLACE_WORD)}) and doc_id not in (select doc_id from labels)",
+    "chosen_sources": "select doc_id, source, 'src3' as choice from documents where source = 'src3' union all select doc_id, source, 'beide' from documents",
+    "corpus_statistics": "select (select count(*) from customer) as sessions, count(*) as items, count(*) filter (o_orderstatus = 'F') as routine, cast(sum(o_orderkey % 3) as bigint) as stages, count(*) filter (o_orderpriority <> '5-LOW') as public_items from orders",
+    "source_statistics": "with r as (select 'src' || unnest(range(9)) as source), s as (select 'src' || c_nationkey % 7 as source, count(*) as n from customer group by 1), i as (select 'src' || o_custkey % 5 as source, count(*) as n from orders group by 1) select r.source, coalesce(s.n, 0) as sessions, coalesce(i.n, 0) as items from r left join s using (source) left join i using (source)",
+    "axis_cardinalities": " union all ".join(f"select '{a}' as axis, count(distinct {a}) as \"values\" from part" for a in ("p_brand", "p_type", "p_size")) + " union all select 'nothing', 0",
+    "result_message": f"""with c as (select count(*) as total, count(*) filter ({IN_SELECTION}) as hits from part)
+select total || ' Einträge — alle aufbereiteten Tagesordnungspunkte' as line, case when total = 0 then 'Keine Einträge für diese Kombination. Filter weiter fassen?' else '' end as empty, 'all' as choice from c
+union all select hits || ' von ' || total || ' Einträgen passen zu Ihrer Auswahl', case when hits = 0 then 'Keine Einträge für diese Kombination. Filter weiter fassen?' else '' end, 'some' from c
+union all select '0 von ' || total || ' Einträgen passen zu Ihrer Auswahl', 'Keine Einträge für diese Kombination. Filter weiter fassen?', 'none' from c""",
+    "headline": "select (select count(*) from customer) as sessions, (select count(*) from orders) as items, count(*) as prepared, count(distinct p_brand) as districts from part",
+    "provenance": "select 'Quellen: Stadt · Bezirke · Daten abgerufen am 03.07.2026 · Zeitraum 2026-05 bis 2026-07 · Aufbereitet: ' || (select count(*) from part) || ' von ' || count(*) || ' Tagesordnungspunkten (' || count(*) filter (o_orderstatus = 'F') || ' Sitzungsroutine ausgelassen).' as line from orders",
+    "draft_report": "select count(*) as drafts, count(*) filter (p_size % 2 = 0 and p_size % 3 = 0) as without_tag, count(*) filter (p_size % 5 = 0) as without_district from part",
+    "built_feed": BUILT + "select topic, ref, topic_ord, is_draft, date_iso, official_title, status, status_date, minutes_url, n_appearances from f",
+    "feed_summary": BUILT + f""", r(source) as (values ('de'), ('en'), ('es'), ('fr'), ('it'))
+select '{FEED_AS_OF}' as built, (select count(*) from pages) as sessions, (select count(*) from pages) as items, (select count(*) from pages where page_id % 10 = 0) as routine, count(*) as curated, count(*) filter (is_draft) as drafts, count(*) filter (best_id % 5 = 0) as easy,
+  (select string_agg(source || '=' || n, ',' order by source) from (select r.source, (select count(*) from f join l using (topic) where l.source = r.source) as n from r)) as per_source,
+  (select string_agg(status || '=' || n, ',' order by status) from (select status, count(*) as n from f group by 1)) as status,
+  (select coalesce(max('x'), '') from f where best_id % 3 > 0) as life,
+  (select string_agg(source, ',' order by case source when 'fr' then 0 when 'de' then 1 else 2 end, source) from (select distinct source from f)) as district,
+  (select string_agg(o, ',' order by o) from (select distinct 'o' || best_id % 2 as o from f)) as occasion,
+  (select string_agg(s, ',' order by o) from (values ('Entscheidung geplant', 0), ('Entscheidung angesetzt', 2), ('Ohne Vorlage', 4)) v(s, o) where s in (select status from f)) as statuses from f""",
 }
+
+ORACLE_SQL["violation_samples"] = f"""with v as ({ORACLE_SQL["required_fields"]} union all select * from ({ORACLE_SQL["sentence_lint"]})), r as (select *, row_number() over (partition by "check", severity order by ref, detail) as k from v)
+select "check", severity, count(*) as n, string_agg(ref, ', ' order by k) filter (k <= 5) as refs from r group by 1, 2"""

@@ -1,6 +1,7 @@
 """Scenarios on small agendas: topics, status, feed, queue, quality, pages."""
 
 import json
+from http.client import HTTPException
 
 import pytest
 from pyspark.sql import functions as F
@@ -284,3 +285,84 @@ def test_stream_inserts_only(spark, tmp_path):
     spark.createDataFrame([("a", "neu"), ("c", "c")], schema).write.mode("append").json(str(source))
     upserts.insert_only(spark.readStream.schema(schema).json(str(source)), str(out), str(tmp_path / "cp")).awaitTermination()
     assert sorted(tuple(r) for r in spark.read.parquet(str(out)).collect()) == [("a", "alt"), ("b", "b"), ("c", "c")]
+
+
+def test_misses_are_fetched_once(spark, tmp_path):
+    log = tmp_path / "log"
+
+    def logged(url):
+        with open(log, "a") as f:
+            f.write(url + "\n")
+        if "worse" in url:
+            raise HTTPException("cut short")
+        return b"<p>x</p>"
+
+    wanted = spark.createDataFrame([("http://h/a", "one"), ("http://h/a", "two"), ("http://h/a", "worse")], "base_url string, path string")
+    cache = spark.createDataFrame([], "key string, html string")
+    got, new = fetch.fetch_pages(wanted, cache, logged, pause=0)
+    assert got.count() == 3 and new.count() == 2 and got.where("html = ''").count() == 1 and got.count() == 3
+    assert len(log.read_text().split()) == 3
+
+
+def test_files_come_from_the_cache_or_the_network(spark, tmp_path):
+    def answer(url):
+        if url.endswith("gone"):
+            raise OSError("no route")
+        return b"%PDF " + url.encode()
+
+    wanted = spark.createDataFrame([("http://h/1",), ("http://h/2",), ("http://h/gone",), ("http://h/1",)], "url string")
+    cache = spark.createDataFrame([("http___h_2.pdf", bytearray(b"%PDF cached"))], "key string, content binary")
+    files, new = fetch.fetch_files(wanted, cache, answer, pause=0)
+    assert {r["url"]: r["content"] and bytes(r["content"]) for r in files.collect()} == {"http://h/1": b"%PDF http://h/1", "http://h/2": b"%PDF cached", "http://h/gone": None}
+    assert [r["key"] for r in new.collect()] == ["http___h_1.pdf"]
+    texts = fetch.pdf_text(files, lambda content, most: ([content.decode()], 1))
+    assert {r["url"]: r["note"] for r in texts.collect()} == {"http://h/1": "", "http://h/2": "", "http://h/gone": "nicht ladbar: no route"}
+    fetch.append_cache(new, str(tmp_path / "cache"))
+    assert fetch.read_cache(spark, str(tmp_path / "cache")).count() == 1
+
+
+def test_a_crawl_of_archived_pages(spark):
+    calendar = spark.createDataFrame([("stadt", "http://b", 0, "si0056.php?__ksinr=9 si0056.php?__ksinr=7"), ("stadt", "http://b", 1, "si0056.php?__ksinr=7")], "source string, base_url string, page_ord int, html string")
+    fetched = spark.createDataFrame([("stadt", "7", SESSION), ("stadt", "9", ""), ("stadt", "1", SESSION)], "source string, session_id string, html string")
+    stages = spark.createDataFrame([("stadt", "42", "http://b", STAGES)], "source string, proposal_no string, base_url string, html string")
+    sessions, items = pages.crawl(calendar, fetched, stages)
+    assert [(r["session_id"], r["session_ord"]) for r in sessions.collect()] == [("7", 1)]
+    assert [(r["nr"], len(r["stages"])) for r in items.orderBy("item_ord").collect()] == [("Ö 1.7", 2), ("N 2", 0)]
+
+
+def test_raw_corpus_is_read_back(spark, tmp_path):
+    sessions = [session("1", "2026-06-01", [item("Ö 1", kvonr=1, stages=[stage("2026-06-02", "Entscheidung")], docs=[{"titel": "D", "url": "u"}]), item("Ö 2", routine=True)]), session("2", "", [])]
+    found, items, _, _ = load(spark, tmp_path, sessions)
+    own = items.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("item_ord", "nr", "title", "suffix", "applicant", "addendum", "is_public", "is_routine", "proposal", "proposal_url", "documents", "stages"))).alias("items"))
+    whole = found.drop("items").join(own, "session_id", "left").withColumn("items", F.coalesce("items", F.array().cast(own.schema["items"].dataType)))
+    raw = records.raw_sessions(whole)
+    back = [json.loads(r["value"]) for r in sinks.json_lines(raw.orderBy("id")).collect()]
+    assert back == sessions
+    header = json.loads(sinks.json_document(records.raw_header(whole, "2026-07-03", "2026-05", "2026-07")).first()["value"])
+    assert header == {"abgerufen_am": "2026-07-03", "zeitraum": {"von": "2026-05", "bis": "2026-07"}, "anzahl_sitzungen": 2, "anzahl_tops": 2, "anzahl_verfahren": 1}
+
+
+def test_feed_reader(spark, tmp_path):
+    path = tmp_path / "feed.json"
+    path.write_text(json.dumps({"feed_gebaut_am": "x", "eintraege": [{"ref": "b", "entwurf": True}, {"ref": "a", "stand": "Bekanntgabe"}]}))
+    assert [tuple(r)[:2] for r in records.read_feed(spark, str(path)).collect()] == [(0, "b"), (1, "a")]
+    with pytest.raises(records.MissingInput):
+        records.read_feed(spark, str(tmp_path / "none.json")).count()
+
+
+def test_reports_and_batch(spark, tmp_path):
+    sessions = [session(str(i), f"2026-06-0{i}", [item(f"Ö {i}", title=t, kvonr=i)]) for i, t in enumerate(("Haushalt und Finanzplanung der Stadt", "Neubau der Turnhalle an der Schulstraße", "Verschiedenes und mehr zum Thema"), 1)]
+    _, items, curation, _ = load(spark, tmp_path, sessions)
+    drafts = worklist.drafts(worklist.candidates(items, curation))
+    shown = worklist.untagged(drafts, 2).collect()
+    assert [r["ref"] for r in shown] == ["stadt:1#Ö 1", "stadt:2#Ö 2"] and shown[1]["labels"].startswith("Eltern & Kinder") and all(r["district"] == "" for r in shown)
+    batch = json.loads(worklist.batch_document(worklist.work_queue(items, curation)).first()["value"])
+    assert [e["topic"] for e in batch] == ["stadt:vorlage:3", "stadt:vorlage:2", "stadt:vorlage:1"] and batch[0]["note"] == "kein Hauptdokument"
+    bad = spark.createDataFrame([("c", "error", f"r{i}", "") for i in range(7)] + [("d", "warning", "z", "")], "check string, severity string, ref string, detail string")
+    assert sorted(map(tuple, quality.samples(bad).collect())) == [("c", "error", 7, "r0, r1, r2, r3, r4"), ("d", "warning", 1, "z")]
+
+
+def test_message_and_provenance_of_nothing(spark):
+    none = spark.createDataFrame([], "one array<string>")
+    assert facets.message(none, {}).first()["line"].startswith("0 Einträge") and facets.message(none, {"one": ["a"]}).first()["empty"] != ""
+    assert [tuple(r) for r in facets.cardinalities(none, ["one"]).collect()] == [("one", 0)]
