@@ -56,7 +56,7 @@ START: State = (0, 0)
 class Codec:
     """The library with a cache of units, and what the lattices need to know of the model."""
 
-    LIMIT = 600_000
+    LIMIT = 300_000
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor

@@ -229,7 +229,7 @@ class UnitEncoder:
     where the tokenizer is of another kind than byte-level BPE.
     """
 
-    LIMIT = 600_000
+    LIMIT = 300_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer

@@ -47,7 +47,7 @@ class UnitTable:
             todo, at = todo[~same], (at[~same] + 1) & (self.slots - 1)
         return out
 
-    def add(self, names: list[bytes], low: np.ndarray, high: np.ndarray, size: np.ndarray, coded: list[list[int]], again: np.ndarray | None = None) -> None:
+    def add(self, names: list[bytes], low: np.ndarray, high: np.ndarray, size: np.ndarray, coded: list[list[int]]) -> None:
         """New distinct units with their ids."""
         entry = np.arange(len(self), len(self) + len(names))
         count = np.array([len(c) for c in coded], np.int64)
@@ -58,8 +58,12 @@ class UnitTable:
         self.again = np.concatenate([self.again, np.zeros(len(names), bool)])
         for k in np.flatnonzero(size > 16).tolist():
             self.long[names[k]] = int(entry[k])
-        entry = entry[size <= 16]
-        at = self._place(low, high, size)[size <= 16]
+        self._insert(entry)
+
+    def _insert(self, entry: np.ndarray) -> None:
+        """Slots for the short ones of new entries."""
+        entry = entry[self.size[entry] <= 16]
+        at = self._place(self.low[entry], self.high[entry], self.size[entry])
         while len(entry):  # one of those that want a free slot gets it, the others go on
             free = np.flatnonzero(self.slot[at] < 0)
             self.slot[at[free]] = entry[free]
@@ -68,11 +72,15 @@ class UnitTable:
 
     def keep(self, chosen: np.ndarray) -> None:
         """Forget all entries but the chosen ones."""
-        names = {k: e for e, k in self.long.items()}
-        low, high, size = self.low[chosen], self.high[chosen], self.size[chosen]
-        coded = [self.ids[a : a + c].tolist() for a, c in zip(self.first[chosen].tolist(), self.count[chosen].tolist())]
-        self.clear()
-        self.add([names.get(e, b"") for e in chosen.tolist()], low, high, size, coded)
+        number = np.full(len(self), -1, np.int64)
+        number[chosen] = np.arange(len(chosen))
+        self.ids = self.joined(chosen)
+        self.low, self.high, self.size, self.count = self.low[chosen], self.high[chosen], self.size[chosen], self.count[chosen]
+        self.first = np.cumsum(self.count) - self.count
+        self.again = np.zeros(len(chosen), bool)
+        self.long = {name: int(number[e]) for name, e in self.long.items() if number[e] >= 0}
+        self.slot[:] = -1
+        self._insert(np.arange(len(chosen)))
 
     def joined(self, entries: np.ndarray) -> np.ndarray:
         """The ids of entries in a row."""
