@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import display_date, known
 
+# Texts above the results.
+ALL_SHOWN, SOME_SHOWN, NONE_SHOWN = "Einträge — alle aufbereiteten Tagesordnungspunkte", "Einträgen passen zu Ihrer Auswahl", "Keine Einträge für diese Kombination. Filter weiter fassen?"
+
 # Rows of the first page and of each further one.
 FIRST_PAGE, NEXT_PAGE = 8, 20
 
@@ -84,9 +87,9 @@ def message(df: DataFrame, selection: dict[str, list]) -> DataFrame:
     """One row: the line above the results, and the one for a selection without results ('' where there are some)."""
     chosen = any(selection.values())
     hits = df.agg(F.count("*").alias("total"), F.count_if(matches(df, selection)).alias("hits"))
-    every = F.concat(F.col("hits").cast("string"), F.lit(" Einträge — alle aufbereiteten Tagesordnungspunkte"))
-    some = F.concat_ws(" ", F.col("hits").cast("string"), F.lit("von"), F.col("total").cast("string"), F.lit("Einträgen passen zu Ihrer Auswahl"))
-    none = F.when(F.col("hits") == 0, "Keine Einträge für diese Kombination. Filter weiter fassen?").otherwise("")
+    every = F.concat_ws(" ", F.col("hits").cast("string"), F.lit(ALL_SHOWN))
+    some = F.concat_ws(" ", F.col("hits").cast("string"), F.lit("von"), F.col("total").cast("string"), F.lit(SOME_SHOWN))
+    none = F.when(F.col("hits") == 0, NONE_SHOWN).otherwise("")
     return hits.select((some if chosen else every).alias("line"), none.alias("empty"))
 
 
