@@ -46,6 +46,14 @@ def _fetched(fetch: Fetch, pause: float):
     return run
 
 
+def _fixed(got: DataFrame) -> DataFrame:
+    """What was fetched, written to the shared checkpoint folder, so that nothing is fetched again."""
+    spark = got.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints")
+    return got.checkpoint(eager=True)
+
+
 def fetch_pages(wanted: DataFrame, cache: DataFrame, fetch: Fetch = http_fetch, pause: float = PAUSE) -> tuple[DataFrame, DataFrame]:
     """(pages, new): wanted (base_url, path) with html from cache (key, html) or the network; new: rows to append to the cache.
 
@@ -56,10 +64,7 @@ def fetch_pages(wanted: DataFrame, cache: DataFrame, fetch: Fetch = http_fetch,
     hits = keyed.join(cache.select("key", "html"), "key", "left")
     misses = hits.where("html is null").select("key", F.concat("base_url", F.lit("/"), "path").alias("url"), F.regexp_extract("base_url", "^(?:https?://)?([^/]+)", 1).alias("host")).dropDuplicates(["key"])
     got = misses.repartition("host").mapInPandas(_fetched(fetch, pause), "key string, url string, host string, html string")
-    if cache.sparkSession.sparkContext.getCheckpointDir() is None:
-        spark = cache.sparkSession
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints")
-    got = got.checkpoint(eager=True)
+    got = _fixed(got)
     new = got.where("html is not null").select("key", "html")
     pages = hits.where("html is not null").select(*wanted.columns, "html").unionByName(hits.where("html is null").drop("html").join(new, "key", "left").select(*wanted.columns, F.coalesce("html", F.lit("")).alias("html")))
     return pages, new
@@ -136,6 +141,6 @@ def fetch_files(wanted: DataFrame, cache: DataFrame, fetch: Fetch = http_fetch,
     hits = keyed.join(cache.select("key", "content"), "key", "left")
     host = F.regexp_extract("url", "^(?:https?://)?([^/]+)", 1)
     misses = hits.where("content is null").select("key", "url", host.alias("host"))
-    got = misses.repartition("host").mapInPandas(_downloaded(fetch, pause), "key string, url string, host string, content binary, error string").checkpoint(eager=True)
+    got = _fixed(misses.repartition("host").mapInPandas(_downloaded(fetch, pause), "key string, url string, host string, content binary, error string"))
     files = hits.where("content is not null").select("url", "content", F.lit("").alias("error")).unionByName(got.select("url", "content", "error"))
     return files, got.where("content is not null").select("key", "content")
