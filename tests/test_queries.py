@@ -55,16 +55,46 @@ def test_tags_are_those_of_all_rules(spark, tmp_path):
     assert {label for _, label in want} >= {label for p, label in rules.LIFE_SITUATIONS + rules.OCCASIONS if r"\b" in p}
 
 
+def test_keywords_are_found_as_by_their_patterns(spark):
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from agoralake.functions import rules
+
+    table, pick = rules.LIFE_SITUATIONS + rules.OCCASIONS, random.Random(5)
+    spelled = lambda p: re.sub(r"\(([^|)]*)\|([^)]*)\)", lambda m: pick.choice(m.groups()), p).replace(r"\b", "").replace(r"\.", ".").replace(".*", " x ").replace("?", "")
+    words = [spelled(a) for p, _ in table for a in rules._BAR.split(p)] * 6
+    cut = lambda w: w[: len(w) // 2] + w[len(w) // 2 + 1 :] if pick.random() < 0.2 else w
+    texts = [(pick.choice(["", " ", "-", "ö", "x"]) + pick.choice([str.upper, str.title, str])(cut(w)).replace("s", pick.choice("ssſ")).replace("k", pick.choice("kk\u212a")) + pick.choice(["", " ", ".", "ä", "İ", "y"]),) for w in words]
+    by_pattern = F.array_compact(F.array(*[F.when(F.col("x").rlike("(?iU)" + p), F.lit(label)) for p, label in table]))
+    found = spark.createDataFrame(texts, "x string").select("x", by_pattern.alias("want"), rules.tags(F.col("x"), table).alias("got"))
+    assert found.where("size(want) > 0").count() > len(texts) / 2
+    assert found.where("want <> got").collect() == []
+
+
+def test_routine_titles_are_found_as_by_their_patterns(spark):
+    from pyspark.sql import functions as F
+
+    from agoralake.functions import rules
+
+    titles = [(a + t + b,) for t in ("Eröffnung", "BEGRUEßUNG", "Anfragen", "Anfragen aus dem Stadtteil", "Beschluss der Tagesordnung", "Wahlen der Sprecher", "Verkehr") for a in ("", "Die ") for b in ("", " heute")]
+    by_pattern = F.col("x").rlike("(?iU)" + "|".join(f"(?:{p})" for p in rules.ROUTINE))
+    rows = spark.createDataFrame(titles, "x string").select(by_pattern.alias("want"), rules.is_routine(F.col("x")).alias("got")).collect()
+    assert {r["want"] for r in rows} == {True, False} and all(r["want"] == r["got"] for r in rows)
+
+
 def test_headings_are_judged_by_whole_titles(spark, tmp_path):
     titles = ["Sanierung der alten Hauptstraße", "Zebrastreifen Uferallee", "Jugend", "Jugend und ganz andere Themen", "Neues vom Tage hier"]
     pages = [(i, f"http://h/de/{i}", f"<html><title>{t}</title></html>") for i, t in enumerate(titles)]
     spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    found = QUERIES["heading_filter_titles"](spark, str(tmp_path)).orderBy("page_id").collect()
+    found = QUERIES["heading_filter"](spark, str(tmp_path)).orderBy("page_id").collect()
     assert [tuple(r) for r in found] == [(0, False, False), (1, False, False), (2, True, True), (3, False, False), (4, True, False)]
 
 
 def test_headings_of_given_pages_fall_into_both_classes(spark):
-    rows = QUERIES["heading_filter_titles"](spark, SF).collect()
+    rows = QUERIES["heading_filter"](spark, SF).collect()
     assert {r["collective"] for r in rows} == {r["short"] for r in rows} == {True, False}
 
 
