@@ -165,15 +165,14 @@ def multi_label_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def heading_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = page_items(table(spark, sf_dir, "pages")).withColumn("title", F.regexp_extract("title", r"^(\S+)", 1))
+    items = page_items(table(spark, sf_dir, "pages"))
     return items.select(F.col("session_id").cast("long").alias("page_id"), rules.is_collective_heading(F.col("title")).alias("collective"), rules.is_short(F.col("title")).alias("short"))
 
 
 @query
 def heading_filter_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """heading_filter on whole titles."""
-    items = page_items(table(spark, sf_dir, "pages"))
-    return items.select(F.col("session_id").cast("long").alias("page_id"), rules.is_collective_heading(F.col("title")).alias("collective"), rules.is_short(F.col("title")).alias("short"))
+    """heading_filter under its earlier name."""
+    return heading_filter(spark, sf_dir)
 
 
 @query
@@ -404,25 +403,26 @@ def coverage_waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.coverage_report(_doc_items(spark, sf_dir), found).select("reason", "n")
 
 
-@query
-def loss_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lost(spark: SparkSession, sf_dir: str, shown: str) -> DataFrame:
+    """Easy texts that the feed of the documents named by a condition lacks, by both readings."""
     labelled = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
-    curation = labelled.select(F.col("doc_id").alias("ref"), F.when(F.col("quality") == 1, "easy").otherwise("").alias("text_easy"), F.concat_ws("/", "lang", "source").alias("topic"))
-    shown = curation.where("ref % 3 = 0")
-    written = quality.lost_easy_texts(curation.drop("topic"), shown).withColumn("variant", F.lit("as written"))
-    strict = quality.lost_easy_texts(curation.drop("topic"), shown, curation).withColumn("variant", F.lit("strict"))
+    curation = labelled.select(F.col("doc_id").alias("ref"), F.when(F.col("quality") == 1, "easy").otherwise("").alias("text_easy"), F.concat_ws("/", "lang", "source").alias("topic"), "lang", "source")
+    texts, topics_of, feed_side = curation.select("ref", "text_easy"), curation.drop("lang", "source"), curation.where(shown).drop("lang", "source")
+    written = quality.lost_easy_texts(texts, feed_side).withColumn("variant", F.lit("as written"))
+    strict = quality.lost_easy_texts(texts, feed_side, topics_of).withColumn("variant", F.lit("strict"))
     return written.unionByName(strict)
 
 
+@query
+def loss_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed without one source."""
+    return _lost(spark, sf_dir, "source <> 'src7'")
+
+
 @query
 def loss_check_public(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """loss_check with a feed of the public documents (as in uncurated, those that are not Spanish)."""
-    labelled = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
-    curation = labelled.select(F.col("doc_id").alias("ref"), F.when(F.col("quality") == 1, "easy").otherwise("").alias("text_easy"), F.concat_ws("/", "lang", "source").alias("topic"), "lang")
-    shown = curation.where("lang <> 'es'").drop("lang")
-    written = quality.lost_easy_texts(curation.drop("topic", "lang"), shown).withColumn("variant", F.lit("as written"))
-    strict = quality.lost_easy_texts(curation.drop("topic", "lang"), shown, curation.drop("lang")).withColumn("variant", F.lit("strict"))
-    return written.unionByName(strict)
+    """A feed of the public documents (as in uncurated, those that are not Spanish)."""
+    return _lost(spark, sf_dir, "lang <> 'es'")
 
 
 def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:

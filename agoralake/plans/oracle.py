@@ -75,6 +75,11 @@ f as (select b.topic, b.ref, b.page_id as best_id, b.source, b.topic_ord, b.page
   coalesce('m' || m.page_id, '') as minutes_url, l.appearances as n_appearances from b join l using (topic) left join m on m.url = l.url)
 """
 
+LOST = """with c as (select doc_id, lang, source, lang || '/' || source as topic from labels join documents using (doc_id) where quality = 1), f as (select * from c where {shown}),
+l as (select * from c where not ({shown}))
+select 'loss' as "check", 'error' as severity, doc_id as ref, cast(doc_id as varchar) as detail, 'strict' as variant from l where topic not in (select topic from f)
+union all select 'loss', 'error', doc_id, cast(doc_id as varchar), 'as written' from l where not exists (select 1 from f)"""
+
 ORACLE_SQL: dict[str, str] = {
     "flagship": PAGES + LEAD + r""", g as (select *, concat_ws(',', case when regexp_matches(title, '(?i)th') then 'th' end, case when regexp_matches(title, '(?i)on') then 'on' end, case when regexp_matches(title, '(?i)é') then 'é' end) as tags from l)
 select topic, date_iso, page_id, tags from g where tags like '%th%' or tags like '%on%' order by date_iso desc, page_id limit 8""",
@@ -95,7 +100,7 @@ select id, case when length(c) > {text.MOST_TITLE} then regexp_replace(left(c, {
     "suffix_scrub": f"select doc_id, sha256({_scrub(chr(39) + 'Frau ' + chr(39) + ' || text')}) as scrubbed_sha256, length({_scrub(chr(39) + 'Bericht Herr Müller Referentin: ' + chr(39) + ' || text')}) as \"left\" from documents",
     "routine_flag": f"select doc_id, {some('text', rules.ROUTINE)} as routine, {some('text', (r'^the ', r' of the ', r'!!$'))} as plain from documents",
     "multi_label_tags": "with d as (select doc_id, text || ' ' || source || ' ' || lang as x from documents), t as (select doc_id, unnest([" + ", ".join(f"case when {found('x', p)} then {lit(label)} end" for p, label in SAFE_TABLE) + "]) as tag from d) select distinct doc_id, tag from t where tag is not null",
-    "heading_filter": PAGES + rf", w as (select page_id, regexp_extract(title, '^(\S+)', 1) as word from t) select page_id, length(word) < {rules.SHORT_HEADING} and not {found('word', rules.PLACE_WORD)} as collective, length(word) < {rules.SHORT_TITLE} as short from w",
+    "heading_filter": PAGES + f"select page_id, length(title) < {rules.SHORT_HEADING} and not {found('title', rules.PLACE_WORD)} as collective, length(title) < {rules.SHORT_TITLE} as short from t",
     "heading_filter_titles": PAGES + f"select page_id, length(title) < {rules.SHORT_HEADING} and not {found('title', rules.PLACE_WORD)} as collective, length(title) < {rules.SHORT_TITLE} as short from t",
     "facet_filter": f"select p_partkey, p_brand, cast(p_size as bigint) as p_size from part where {IN_SELECTION}",
     "facet_counts": " union all ".join(f"select '{a}' as axis, cast({a} as varchar) as value, count(*) as n from part where {a} is not null group by 2" for a in ("p_brand", "p_type", "p_size")),
@@ -133,13 +138,8 @@ w as (select ref, s, len(regexp_split_to_array(s, '\s+')) as n from s where s <>
     "coverage_waterfall": f"""with r as (select case when doc_id in (select doc_id from labels where quality = 1 and toxic = 0) then {lit('im Feed')} when lang = 'es' then 'nicht oeffentlich' when n_chars < 300 then 'Sitzungsroutine'
   when source = 'src7' then 'Aufsichtsrat/Zweckverband' when length(text) < 12 then 'Titel zu kurz' when length(text) < 22 and not {found('text', rules.PLACE_WORD)} then 'Sammelueberschrift' else 'NOCH NICHT AUFBEREITET' end as reason from documents)
 select reason, count(*) as n from r group by 1""",
-    "loss_check": """with c as (select doc_id, quality, lang || '/' || source as topic from labels join documents using (doc_id)), f as (select * from c where doc_id % 3 = 0 and quality = 1),
-l as (select * from c where quality = 1 and doc_id % 3 <> 0)
-select 'loss' as "check", 'error' as severity, doc_id as ref, cast(doc_id as varchar) as detail, 'strict' as variant from l where topic not in (select topic from f)
-union all select 'loss', 'error', doc_id, cast(doc_id as varchar), 'as written' from l where not exists (select 1 from f)""",
-    "loss_check_public": """with c as (select doc_id, lang, lang || '/' || source as topic from labels join documents using (doc_id) where quality = 1), f as (select * from c where lang <> 'es')
-select 'loss' as "check", 'error' as severity, doc_id as ref, cast(doc_id as varchar) as detail, 'strict' as variant from c where lang = 'es' and topic not in (select topic from f)
-union all select 'loss', 'error', doc_id, cast(doc_id as varchar), 'as written' from c where lang = 'es' and not exists (select 1 from f)""",
+    "loss_check": LOST.format(shown="source <> 'src7'"),
+    "loss_check_public": LOST.format(shown="lang <> 'es'"),
     "prompt_bundle": r"""with b as (select doc_id, '## ' || doc_id || chr(10) || '- Gremium: ' || source || ' (01.07.2026)' || chr(10) || '- Amtlicher Titel: ' || text
   || case when doc_id % 2 = 0 then chr(10) || '- Zusatz: ' || lang else '' end || case when doc_id % 3 = 0 then chr(10) || '- Vorlage: ' || source else '' end || chr(10) || '- Entwurf-Titel: ' || lang || chr(10) as block from documents)
 select doc_id, length(block) as length, sha256(block) as block_sha256 from b""",
