@@ -2,10 +2,11 @@
 
 Every run of ``n`` consecutive item words (a shorter item is one run) is hashed
 on the driver and sent to the tasks as a hash set; documents are scanned where
-they lie, without a shuffle.  A hash hit is verified word for word.  The set is
-broadcast only below ``max_bytes`` of item text; a larger benchmark is dealt into
-slices below that bound by a hash of the item, and the documents pass the slices
-one after the other in the same tasks, each adding its hits.
+they lie, without a shuffle.  A hash hit is verified word for word.  A set holds
+at most ``max_bytes`` of item text (or one item that is longer).  A larger
+benchmark is dealt into slices by a hash of the item; the documents pass the
+slices one after the other, each adding its hits, and are checkpointed between
+two of them, so that one slice at a time is in memory.
 
 Nulls, empty texts and texts without words have no words and no hits; items
 without words have no window.  Repeated rows are judged one by one.
@@ -18,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import appended, numbered, position
+from .frames import appended, checkpoint, numbered, position
 from .words import ALNUM, Words, blocks
 
 #: Item text in one broadcast hash set; the set takes about ten times as much.
@@ -52,17 +53,32 @@ def window_table(items: list[tuple[str, str | None]], n: int) -> dict[int, dict]
     return out
 
 
-def _tables(benchmark: DataFrame, n: int, id_col: str, text_col: str, max_bytes: int) -> list[Broadcast]:
+def _slices(items: DataFrame, max_bytes: int) -> int:
+    """The number of slices by item hash, none of which holds more than max_bytes or else a single item."""
+    parts = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // max_bytes)
+    while parts > 1:
+        of = items.groupBy(_slice_of(parts)).agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n"))
+        if of.where((F.col("bytes") > max_bytes) & (F.col("n") > 1)).isEmpty():
+            break
+        parts *= 2
+    return parts
+
+
+def _slice_of(parts: int) -> Column:
+    return F.pmod(F.xxhash64("item", "text"), F.lit(parts))
+
+
+def _tables(benchmark: DataFrame, n: int, id_col: str, text_col: str, max_bytes: int) -> Iterator[Broadcast]:
+    """The sets of the slices, each made when it is asked for."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null").distinct()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = -(-total // max_bytes)
-    spark = benchmark.sparkSession
-    out = []
-    for k in range(parts):
-        part = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
-        rows = [(r["item"], r["text"]) for r in part.toLocalIterator()]
-        out.append(spark.sparkContext.broadcast(window_table([("" if a is None else a, b) for a, b in rows], n)))
-    return out
+    parts = _slices(items, max_bytes)
+    if parts > 1:
+        items = checkpoint(items)
+    for k in range(max(parts, 1)):
+        part = items if parts <= 1 else items.where(_slice_of(parts) == k)
+        rows = [("" if r["item"] is None else r["item"], r["text"]) for r in part.toLocalIterator()]
+        if rows or parts <= 1:
+            yield benchmark.sparkSession.sparkContext.broadcast(window_table(rows, n))
 
 
 def _hits(words: Words, tables: dict[int, dict]) -> Iterator[tuple[int, int, set[str]]]:
@@ -114,9 +130,12 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, n: int, text_col: str, item_
     """Numbered columns of docs, then n_words, spans and items."""
     out = numbered(docs).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast(_SPANS_SQL), "items": F.array().cast("array<string>")})
     schema = out.schema
-    tables = _tables(benchmark, n, item_id, item_text, max_bytes) or [docs.sparkSession.sparkContext.broadcast({})]
-    for sent in tables:
-        out = out.mapInArrow(_scan(position(docs, text_col), sent), schema)
+    last = None
+    for sent in _tables(benchmark, n, item_id, item_text, max_bytes):
+        if last is not None:  # the hits of the slice before are on disk: nothing needs it any more
+            out = checkpoint(out)
+            last.destroy()
+        out, last = out.mapInArrow(_scan(position(docs, text_col), sent), schema), sent
     return out
 
 

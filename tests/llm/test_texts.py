@@ -131,7 +131,7 @@ def overlaps(text, items, n):
 def test_overlaps_against_brute_force(spark, odd_texts, max_bytes):
     rng = random.Random(9)
     items = [(f"i{k}", " ".join(f"q{rng.randrange(30)}" for _ in range(rng.choice((1, 4, 9, 10, 25))))) for k in range(30)]
-    items += [("none", None), ("empty", " - "), ("i3", "Zweite, Fassung; von i3")]
+    items += [("none", None), ("empty", " - "), ("i3", "Zweite, Fassung; von i3"), ("long", " ".join(f"q{k % 30}" for k in range(90)))]
     rows = list(odd_texts)
     for d in range(100, 160):
         parts = [" ".join(f"q{rng.randrange(30)}" for _ in range(5)), rng.choice(items[:30])[1].upper().replace(" ", "?! "), "ZWEITE fassung – von i3" if d % 9 == 0 else "."]
