@@ -103,9 +103,83 @@ select doc_id, coalesce(s.n, 0)::bigint as n_shingles, least(doc_id, coalesce(l.
 from words left join sizes s using (doc_id) left join least l on l.node = doc_id
 """
 
+DIVERGENCE = rf"""
+with rows as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents
+),
+words as (select r, lang, source, unnest(w) as term from rows),
+kept as (select lang, term from words group by lang, term having count(distinct r) >= 30),
+sizes as (select lang, count(*) as v from kept group by lang),
+groups as (select distinct lang, source from rows),
+counts as (select lang, source, term, count(*) as n from words join kept using (lang, term) group by lang, source, term),
+cells as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n, sum(coalesce(c.n, 0)) over (partition by g.lang, g.source) as own,
+         sum(coalesce(c.n, 0)) over (partition by g.lang, k.term) as everywhere, sum(coalesce(c.n, 0)) over (partition by g.lang) as total, v
+  from groups g join kept k using (lang) join sizes using (lang) left join counts c on (c.lang, c.source, c.term) = (g.lang, g.source, k.term)
+),
+shares as (
+  select lang, source, term, n, 1 + (1000000000::hugeint * (n + 5)) // (own + 5 * v) as p, 1 + (1000000000::hugeint * (everywhere + 5)) // (total + 5 * v) as q
+  from cells
+),
+apart as (
+  select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+),
+parts as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(x.value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join apart x on (x.lang, x.source, x.item) = (a.lang, a.source, b.source)
+  union all
+  select lang, source, 'term', term, (p - q)::bigint from shares where n > 0 and p > q
+),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from parts)
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 50
+"""
+
+#: unsigned crc32 of a word's UTF-8 bytes: the table of 256 remainders by its rule, then one step a byte.
+_CRC = """
+crc_table as (
+  select list(list_reduce(range(8), lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) order by i) as t
+  from range(256) r(i)
+),
+crcs as (
+  select w, xor(list_reduce(
+    list_transform(range(1, octet_length(encode(w)) + 1), lambda k: ('0x' || substr(hex(encode(w)), (2 * k - 1)::int, 2))::bigint),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 as bucket
+  from (select distinct w from (select w from doc_words union all select w from item_words)), crc_table
+)
+"""
+
+IMPORTANCE = rf"""
+with rows as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') as words from documents),
+doc_words as (select r, unnest(words) as w from rows),
+item_words as (select unnest(regexp_extract_all({_LOWER}, '{_ALNUM}')) as w from benchmark),
+{_CRC},
+s as (select bucket, count(*) as s from doc_words join crcs using (w) group by bucket),
+t as (select bucket, count(*) as t from item_words join crcs using (w) group by bucket),
+gains as (
+  select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select count(*) from doc_words) + 10000)::double
+    / ((coalesce(s, 0) + 1)::double * ((select count(*) from item_words) + 10000)::double)))::bigint as gain
+  from s full join t using (bucket)
+),
+weights as (select r, sum(gain)::bigint as weight from doc_words join crcs using (w) join gains using (bucket) group by r),
+scored as (
+  select doc_id, len(words)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5) / 4294967296::double)))::bigint as score
+  from rows left join weights using (r)
+),
+ranked as (
+  select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id) as place, (select count(*) from scored where n_features >= 20) as n from scored
+)
+select doc_id, n_features, weight, score::bigint as score, case when n_features >= 20 and place <= 10 * n // 100 then place end as rank from ranked
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_embedding_near_dedup": EMBEDDINGS,
     "op4_substring_dedup": REPEATS,
     "op7_benchmark_decontamination": OVERLAPS,
     "op9_minhash_near_dedup": NEAR,
+    "op11_source_divergence": DIVERGENCE,
+    "op13_importance_resampling": IMPORTANCE,
 }

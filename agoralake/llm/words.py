@@ -92,6 +92,8 @@ def _mask(members) -> np.ndarray:
 SPACED = ~_mask([0x20, *range(0x09, 0x0E)])
 #: The bytes of words under ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z.
 ALNUM = _mask([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
+#: The bytes of terms under ``[^\x00-\x40\x5B-\x60\x7B-\x7F]+`` after lower-casing A-Z.
+LETTERS = _mask([*range(0x61, 0x7B), *range(0x80, 0x100)])
 #: A-Z to a-z, other bytes unchanged.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
@@ -157,6 +159,17 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def told(self) -> pa.DictionaryArray:
+        """The words themselves (binary), each different one once in the dictionary."""
+        size = self.end - self.start
+        change = np.zeros(len(self.data) + 1, np.int8)
+        change[self.start] += 1
+        change[self.end] -= 1
+        only = self.data[np.cumsum(change[:-1], dtype=np.int8).astype(bool)]
+        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(only.tobytes())])
+        return words.dictionary_encode()
+
     def second(self) -> np.ndarray:
         """An independent hash of each word."""
         return hashed(self.data, self.start, self.end, second=True)
