@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, decontam, divergence, importance, language, minhash, pieces, repeats, secrets, surrogates, token_files, warc
-from .frames import sha256_hex
+from . import cover_tree, decontam, divergence, importance, language, minhash, pieces, repeats, secrets, simhash, surrogates, token_files, warc
+from .frames import checkpoint, sha256_hex
 from .oracle import ORACLE_SQL as ORACLE_SQL
 
 
@@ -85,6 +85,16 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), least_docs=30, smoothing=5, top=50)
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document; n_within, for ids divisible by 100: the documents within 3 bits of its fingerprint, itself included."""
+    found = checkpoint(simhash.audit(table(spark, sf_dir, "documents"), words=3))
+    asked = F.coalesce(F.col("doc_id") % 100 == 0, F.lit(False))
+    counts = simhash.count_within(found, found.where(asked), radius=3)
+    rows = found.where(asked).join(counts, "fingerprint", "left").unionByName(found.where(~asked), allowMissingColumns=True)
+    digits = {name: simhash.hex_digits(F.col(name)) for name in ("fingerprint", "edited_fingerprint")}
+    return rows.withColumns(digits).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_within")
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, least_words=20, seed=2024)
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
@@ -102,5 +112,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_secret_scan": op10_secret_scan,
     "op11_source_divergence": op11_source_divergence,
+    "op12_document_fingerprints": op12_document_fingerprints,
     "op13_importance_resampling": op13_importance_resampling,
 }
