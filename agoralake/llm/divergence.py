@@ -146,12 +146,12 @@ def shares(counts: np.ndarray, total: np.ndarray, scale: int, smoothing: int, te
     return out + 1
 
 
-def _compared(scale: int, smoothing: int, top: int):
+def _compared(scale: int, smoothing: int, top: int, tile_size: int, dense: int):
     def run(key, cells: pa.Table, groups: pa.Table) -> pa.Table:
         lang, tile = key[0].as_py(), key[2].as_py()
         groups = groups.sort_by("source")
         names, total, terms = groups.column("source").combine_chunks(), groups.column("total").to_numpy(), groups.column("terms").to_numpy()
-        own = range(tile * TILE, min((tile + 1) * TILE, len(names)))
+        own = range(tile * tile_size, min((tile + 1) * tile_size, len(names)))
         apart = [np.zeros(len(names) - a - 1, np.int64) for a in own]
         found: list[tuple[str, str, int]] = []
         if cells.num_rows:
@@ -160,7 +160,7 @@ def _compared(scale: int, smoothing: int, top: int):
             told_at, n = told.indices.to_numpy(zero_copy_only=False), cells.column("n").to_numpy()
             order = np.argsort(told_at, kind="stable")
             told_at, source, n = told_at[order], source[order], n[order]
-            step = max(1, DENSE_CELLS // len(names))
+            step = max(1, dense // len(names))
             value_of, term_of, source_of = [], [], []
             for lo in range(0, len(told.dictionary), step):
                 size = min(step, len(told.dictionary) - lo)
@@ -214,7 +214,7 @@ def audit(docs: DataFrame, *, least_docs: int = 30, smoothing: int = 5, scale: i
     cells = kept.where(named).join(langs, "lang").select("lang", F.pmod(F.xxhash64("term"), "chunks").alias("chunk"), each("tiles").alias("tile"), "term", "source", "n")
     totals = groups.join(langs, "lang").withColumn("chunk", each("chunks")).select("lang", "chunk", each("tiles").alias("tile"), "source", "total", "terms").toDF("lang", "chunk", "tile", "source", "total", "terms")
     key = ["lang", "chunk", "tile"]
-    parts = checkpoint(cells.groupBy(key).cogroup(totals.groupBy(key)).applyInArrow(_compared(scale, smoothing, top), _PARTS))
+    parts = checkpoint(cells.groupBy(key).cogroup(totals.groupBy(key)).applyInArrow(_compared(scale, smoothing, top, TILE, DENSE_CELLS), _PARTS))
     pairs = parts.where("part = 'pair'").groupBy("lang", "part", "source", "item").agg(F.sum("value").alias("value"))
     ways = F.explode(F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item"))))
     pairs = pairs.select("lang", "part", ways.alias("way"), "value").select("lang", "way.source", "part", "way.item", "value")

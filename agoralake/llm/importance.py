@@ -64,11 +64,11 @@ def feature_buckets(words: Words, longest: int, buckets: int) -> Iterator[tuple[
             run_sums = np.array([zlib.crc32(b" " + plain[p % len(plain)], int(run_sums[p // len(plain)])) for p in pairs.tolist()], np.int64)
 
 
-def _invert(longest: int, buckets: int):
+def _invert(longest: int, buckets: int, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in blocks(batch, "text", BLOCK_BYTES, 1 << DOC_BITS):
+            for part in blocks(batch, "text", block_bytes, 1 << DOC_BITS):
                 words = Words(part.column(1), ALNUM, lower=True)
                 doc, size = words.doc(), part.num_rows
                 n_features = np.zeros(size, np.int64)
@@ -168,8 +168,8 @@ def noise(doc_id: Column, seed: int) -> Column:
 def weigh(docs: DataFrame, target: DataFrame, *, longest: int = 1, buckets: int = 10_000, id_col: str = "doc_id", text_col: str = "text", target_text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_features, weight): one row per document."""
     columns = ["block", "shelf", "postings"]
-    postings = checkpoint(text_pairs(docs, id_col, text_col).mapInArrow(_invert(longest, buckets), _POSTINGS))
-    aims = target.select(F.lit(None).cast("bigint").alias("doc_id"), F.col(target_text).cast("string").alias("text")).mapInArrow(_invert(longest, buckets), _POSTINGS)
+    postings = checkpoint(text_pairs(docs, id_col, text_col).mapInArrow(_invert(longest, buckets, BLOCK_BYTES), _POSTINGS))
+    aims = target.select(F.lit(None).cast("bigint").alias("doc_id"), F.col(target_text).cast("string").alias("text")).mapInArrow(_invert(longest, buckets, BLOCK_BYTES), _POSTINGS)
     totals = _totals(postings).withColumnRenamed("n", "s").join(_totals(aims).withColumnRenamed("n", "t"), "bucket", "left").select("bucket", "s", F.coalesce("t", F.lit(0).cast("long")).alias("t"))
     totals = checkpoint(totals)
     all_s = totals.agg(F.sum("s")).first()[0] or 0
