@@ -1,21 +1,28 @@
 """Surrogates for personal data, with DataFrame functions alone (no Python on the executors).
 
 Mentions are found by one alternation of patterns.  A mention's canonical form
-(digits of a number, lower-case address, title gender and last name word) names the entity,
+(digits of a number, lower-case address, gender and last name word) names the entity,
 so all mentions of an entity, in whatever format, share one surrogate; a phone number's
-country code +1 is no part of it.  A bare surname of a document belongs to the first
-person of that name in it.  Surrogates
-come from a keyed SHA-512 of kind, canonical form and attempt, and keep what makes
-the entity plausible: country code and line format of phones, issuer digit and a
-valid check digit of cards, country and valid check digits of bank account numbers,
-octet ranges of addresses, letter case, digits and
-punctuation of e-mail addresses with their top-level domain, script of names, and
-gender (the title stays, and given names end by it).
-
-A person is a title and one to four capitalised name words, with particles; a
-capitalised word right after a name counts as part of it.  Sixteen digits in a card's
-layout are a card, other lengths from 13 to 19 by their check digit only.  A bank
-account number with wrong check digits stays, and so do the digits within it.
+country code +1 is no part of it.  Surrogates come from a keyed SHA-512 of kind,
+canonical form and attempt, and keep what makes the entity plausible: country code and
+line format of phones, the 0 of national ones, issuer digit and a valid check digit of
+cards, country and valid check digits of bank account numbers, octet ranges and groups
+of addresses, letter case, digits and punctuation of e-mail addresses with their
+top-level domain, script, hyphens and capitals of names, and gender (titles stay, and
+given names end by it).
+
+A person is one or more titles (of address, academic, and roles after them, which all
+stay) and all capitalised name words that follow, with particles.  The first title that
+has a gender gives it; a person without one takes that of the document's first person
+of the same surname, else none.  Later words of the document that are a known name word
+of a person, alone or with an s, get its surrogate: a word belongs to the first person
+that has it.  A name that is also an ordinary word is thus replaced there as well.
+Names without any title are not detected.  Names in Cyrillic and Greek letters get such
+surrogates, all others Latin ones.
+
+Sixteen digits in a card's layout are a card, other lengths from 13 to 19 by their check
+digit only.  A bank account number with wrong check digits stays, and so do the digits
+within it.
 
 Distinctness is checked over the whole corpus: two entities of a kind with one
 surrogate, or a surrogate that is itself an entity of the corpus, make the later
@@ -23,9 +30,10 @@ entity try again with the next attempt, until no collision is left.
 
 Documents without mentions are not shuffled; those with mentions are written to the
 shared folder once, so the corpus is searched twice, for each of the two.  Mentions
-meet surrogates in a join on (kind, entity); the replaced pieces are grouped by text,
-so copies are rebuilt once.  Null texts stay null; empty ones stay empty.  Columns of
-the input named n_entities or kinds are replaced.
+meet surrogates in a join on (kind, entity), later words meet their names in a join on
+(text, word); the pieces are put together by text, so copies are rebuilt once, in a
+time that grows with the mentions and words of a text.  Null texts stay null; empty
+ones stay empty.  Columns of the input named n_entities or kinds are replaced.
 """
 
 from __future__ import annotations
@@ -37,29 +45,43 @@ from .frames import checkpoint, numbered, partitions, position
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
+# Titles of address by gender, academic titles with their additions, and roles that follow a title.
+_HER = "Mrs|Ms|Miss|Frau|Fräulein|Madame|Mademoiselle|Mme|Mlle|Señora|Señorita|Sra|Srta|Госпожа|Κυρία"
+_HIS = "Mr|Herrn|Herr|Monsieur|Señor|Sr|Господин|Κύριος"
+_ACADEMIC = r"Dr\.-Ing|Dipl\.-\p{Lu}\p{L}++|Professorin|Professor|Prof|Doktor|Doctor|Dr|Ing(?=\.)|Mag(?=\.)"
+_ADDED = r"(?:(?:med|dent|vet|rer|nat|phil|jur|iur|pol|oec|theol|habil|mult|em|h|c)\.[ ]?)*+"
+_ROLES = "(?:President|Chairman|Chairwoman|Chair|Speaker|Secretary|Minister|Ministerin|Mayor|Ambassador|Judge|Präsidentin|Präsident|Vorsitzende|Vorsitzender|Oberbürgermeisterin|Oberbürgermeister|Bürgermeisterin|Bürgermeister|Kanzlerin|Kanzler|Direktorin|Direktor|Président|Présidente|Presidente|Presidenta|Ministre|Maire|Alcalde|Alcaldesa)"
+_TITLE = rf"(?:{_HER}|{_HIS}|{_ACADEMIC})\.?[ ]{_ADDED}"
+_TITLES = rf"{_TITLE}(?:{_TITLE}|{_ROLES}[ ])*+"
 # Words of a name with inner capitals, hyphens and apostrophes, and the particles between them.
-_TITLES = "(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora|Sr|Sra|Господин|Госпожа)"
-_NAME = r"(?:\p{Lu}\.(?=[ ])|\p{Lu}[\p{L}\p{M}]*+(?:(?:-|['’](?!s(?!\p{L})))[\p{L}\p{M}]++)*+)"
+_WORD = r"\p{Lu}[\p{L}\p{M}]*+(?:(?:-|['’](?!s(?!\p{L})))[\p{L}\p{M}]++)*+"
+_NAME = rf"(?!{_TITLE}|(?:{_HER}|{_HIS}|{_ACADEMIC}|{_ROLES})(?!\p{{L}}))(?:\p{{Lu}}\.(?=[ ]|\z)|{_WORD})"
 _PARTICLE = r"(?:von|van|vom|zu|zur|zum|der|den|de|del|della|di|da|dos|du|la|le|ten|ter|al|el|bin|ibn)"
+#: Later words that may be a known name.
+_LATER = rf"(?<![\p{{L}}\p{{M}}’'-]){_WORD}(?!-?[\p{{L}}\p{{M}}])"
 
+_HEX = "[0-9A-Fa-f]{1,4}"
 # The kinds of entities and their patterns, in order of precedence.
 KINDS = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
-    ("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z])"),
+    ("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+.,/-])(?:\(0[1-9][0-9]{1,4}\)[ ]?|0[1-9][0-9]{1,4}(?:[ ]?/[ ]?|[ ]))(?:[0-9]{5,9}|[0-9]{2,4}(?:[ -][0-9]{2,4}){1,3})(?![0-9A-Za-z])"),
     ("card", r"(?<![0-9A-Za-z])(?:[0-9]{4}(?:[0-9]{12}|(?:[ ][0-9]{4}){3}|(?:-[0-9]{4}){3})|[0-9]{4}[ ][0-9]{6}[ ][0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5}|[0-9]{13,19})(?![0-9A-Za-z])"),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     ("ip", rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
-    ("person", rf"(?<!\p{{L}}){_TITLES}\.?[ ](?:{_PARTICLE}[ ]){{0,3}}{_NAME}(?:[ ](?!{_TITLES}\.?[ ])(?:{_PARTICLE}[ ]){{0,3}}{_NAME}){{0,3}}(?![\p{{L}}])"),
+    ("ip6", rf"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?:{_HEX}(?::{_HEX}){{7}}|{_HEX}(?::{_HEX}){{0,5}}::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?![0-9A-Za-z:])"),
+    ("person", rf"(?<!\p{{L}}){_TITLES}(?:{_PARTICLE}[ ])*{_NAME}(?:[ ](?:{_PARTICLE}[ ])*{_NAME})*+(?!\p{{L}})"),
 )
 _ONE = {kind: f"(?:{pattern})" for kind, pattern in KINDS}
-#: All kinds; numbers and capitals are only tried where one begins.
-PATTERN = f"{_ONE['email']}|(?=[0-9+(])(?:{_ONE['phone']}|{_ONE['card']}|{_ONE['ssn']}|{_ONE['ip']})|(?=[A-ZГ])(?:{_ONE['iban']}|{_ONE['person']})"
+#: All kinds; numbers, addresses in groups and capitals are only tried where one begins.
+PATTERN = f"{_ONE['email']}|(?=[0-9+(])(?:{_ONE['phone']}|{_ONE['card']}|{_ONE['ssn']}|{_ONE['ip']})|(?=[A-ZГΚ])(?:{_ONE['iban']}|{_ONE['person']})|(?={_HEX}:){_ONE['ip6']}"
 
-# Syllables of surrogate names by script.
-_LATIN = ("ba", "ce", "di", "fo", "gu", "ha", "je", "ki", "lo", "mu", "na", "pe", "ri", "so", "tu", "va")
-_CYRILLIC = ("ба", "ве", "ди", "го", "жу", "за", "ке", "ли", "мо", "ну", "па", "ре", "си", "то", "фу", "ха")
-_FEMALE = "^(?:Mrs|Ms|Miss|Frau|Madame|Señora|Sra|Госпожа)"
+# What names are made of, by script: beginnings of syllables, vowels, ends of surnames, ends of given names (hers, his, neither).
+_SOUNDS = {
+    "Latin": ("b br d dr f g gr h j k kl l m n p r s st t tr v w z".split(), "a e i o u ei au".split(), "n r l s m nd rt ck".split(), ("na", "n", "e")),
+    "Cyrillic": ("б бр в г гр д др ж з к л м н п р с ст т тр ф х ч ш".split(), "а е и о у я ю".split(), "н р л с м нов рев кин".split(), ("на", "н", "е")),
+    "Greek": ("β γ γρ δ δρ ζ θ κ κλ λ μ ν ξ π πρ ρ σ στ τ τρ φ χ ψ".split(), "α ε ι ο υ ει αυ".split(), "ς νης ρας λος δης κος της νος".split(), ("να", "ν", "ε")),
+}
 
 
 def _digits(x: Column) -> Column:
@@ -80,13 +102,19 @@ def kind_of(mention: Column) -> Column:
 
 
 def name_parts(mention: Column) -> Column:
-    """The mention of a person in parts of one name word each, with the title and particles before it."""
-    return F.regexp_extract_all(mention, F.lit(rf"(?:^{_TITLES}\.?[ ])?(?:{_PARTICLE}[ ])*{_NAME}"), F.lit(0))
+    """The mention of a person in parts of one name word each, with the titles and particles before it."""
+    return F.regexp_extract_all(mention, F.lit(rf"(?:^{_TITLES})?(?:{_PARTICLE}[ ])*{_NAME}"), F.lit(0))
+
+
+def gender_of(mention: Column) -> Column:
+    """f:, m: or, where no title tells, n:"""
+    first = F.regexp_extract(mention, rf"^(?:(?:{_ACADEMIC})\.?[ ]{_ADDED}|{_ROLES}[ ])*?({_HER}|{_HIS}|Professorin)(?!\p{{L}})", 1)
+    return F.when(first.rlike(f"^(?:{_HER}|Professorin)$"), "f:").when(first != "", "m:").otherwise("n:")
 
 
 def canonical(kind: Column, mention: Column, gender: Column) -> Column:
     name = F.lower(F.regexp_extract(mention, r"([^ ]+)$", 1))
-    return F.when(kind == "email", F.lower(mention)).when(kind == "person", F.concat(gender, name)).when(kind == "given", F.concat(gender, name)).when(kind == "ip", mention).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).when(kind == "phone", F.regexp_replace(_digits(mention), "^1(?=[0-9]{10}$)", "")).otherwise(_digits(mention))
+    return F.when(kind == "email", F.lower(mention)).when(kind == "person", F.concat(gender, name)).when(kind == "given", F.concat(gender, name)).when(kind == "ip", mention).when(kind == "ip6", F.lower(mention)).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).when(kind == "phone", F.regexp_replace(_digits(mention), "^1(?=[0-9]{10}$)", "")).otherwise(_digits(mention))
 
 
 def _byte(seed: Column, i: Column) -> Column:
@@ -123,6 +151,29 @@ def mod_97(text: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(text)), F.lit(0), one)
 
 
+def _like_hex(text: Column, seed: Column) -> Column:
+    """Hexadecimal digits replaced by others, none by a 0; the first stays."""
+    one = lambda i: F.when((i > 1) & (F.substring(text, i, F.lit(1)) != ":"), F.lower(F.hex((_byte(seed, i) % 15 + 1).cast("long")))).otherwise(F.substring(text, i, F.lit(1)))
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), "")
+
+
+def _name(name: Column, gender: Column, seed: Column, attempt: Column, given: Column) -> Column:
+    """A lower-case name for a lower-case name, of its script and with its hyphens."""
+
+    def made(script: str) -> Column:
+        begins, vowels, ends, by_gender = (F.array(*map(F.lit, x)) for x in _SOUNDS[script])
+        pick = lambda of, i: F.element_at(of, _byte(seed, i) % F.size(of) + 1)
+        end = F.element_at(by_gender, F.when(gender == "f:", 1).when(gender == "m:", 2).otherwise(3))
+
+        def one(part: Column, k: Column) -> Column:
+            syllables = F.transform(F.sequence(F.lit(0), F.lit(1) + attempt), lambda i: F.concat(pick(begins, 11 * k + 2 * i), pick(vowels, 11 * k + 2 * i + 1)))
+            return F.concat(F.array_join(syllables, ""), F.when(given, end).otherwise(pick(ends, 11 * k + 10)))
+
+        return F.array_join(F.transform(F.split(name, "-"), one), "-")
+
+    return F.when(name.rlike(r"\p{IsCyrillic}"), made("Cyrillic")).when(name.rlike(r"\p{IsGreek}"), made("Greek")).otherwise(made("Latin"))
+
+
 def surrogate(kind: Column, entity: Column, key: str, attempt: Column) -> Column:
     """The surrogate's canonical form."""
     seed = F.sha2(F.concat_ws("|", F.lit(key), kind, entity, attempt.cast("string"), F.lit(key)), 512)
@@ -131,18 +182,15 @@ def surrogate(kind: Column, entity: Column, key: str, attempt: Column) -> Column
     check = ((10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
     card = F.when(luhn_sum(entity) % 10 == 0, F.concat(body, check)).otherwise(F.concat(body, F.substring(number, -1, 1)))
     national = F.length(entity) - 10
-    phone = F.when(national >= 0, F.concat(F.substring(entity, F.lit(1), national), (_byte(seed, F.lit(40)) % 8 + 2).cast("string"), F.substring(number, national + 2, F.lit(9)))).otherwise(F.concat(F.substring(entity, 1, 2), F.substring(number, F.lit(3), F.length(entity))))
+    area = (_byte(seed, F.lit(40)) % 8 + 2).cast("string")
+    phone = F.when(entity.startswith("0"), F.concat(F.lit("0"), area, F.substring(number, F.lit(3), F.length(entity)))).when(national >= 0, F.concat(F.substring(entity, F.lit(1), national), area, F.substring(number, national + 2, F.lit(9)))).otherwise(F.concat(F.substring(entity, 1, 2), F.substring(number, F.lit(3), F.length(entity))))
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(seed, i) % 254 + 1).cast("string")), ".")
     top = F.regexp_extract(entity, r"(\.[a-z]+)$", 1)
     mail = F.concat(_like(F.substring(entity, F.lit(1), F.length(entity) - F.length(top)), seed), top)
-    syllables = F.when(entity.rlike(r"\p{IsCyrillic}"), F.array(*map(F.lit, _CYRILLIC))).otherwise(F.array(*map(F.lit, _LATIN)))
-    name = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2) + attempt), lambda i: F.element_at(syllables, _byte(seed, i) % 16 + 1)), "")
-    # a given name ends by gender
-    end = F.when(entity.startswith("f:"), F.when(entity.rlike(r"\p{IsCyrillic}"), "на").otherwise("na")).otherwise(F.when(entity.rlike(r"\p{IsCyrillic}"), "н").otherwise("n"))
-    person = F.concat(F.substring(entity, 1, 2), name, F.when(kind == "given", end).otherwise(""))
+    person = F.concat(F.substring(entity, 1, 2), _name(F.substring(entity, F.lit(3), F.length(entity)), F.substring(entity, 1, 2), seed, attempt, kind == "given"))
     inner = F.substring(number, F.lit(5), F.length(entity))
     account = F.concat(F.substring(entity, 1, 2), F.lpad((98 - mod_97(F.concat(inner, F.substring(entity, 1, 2), F.lit("00")))).cast("string"), 2, "0"), inner)
-    return F.when(kind == "email", mail).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", octets).when(kind == "iban", account).when(kind.isin("person", "given"), person).otherwise(number)
+    return F.when(kind == "email", mail).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", octets).when(kind == "ip6", _like_hex(entity, seed)).when(kind == "iban", account).when(kind.isin("person", "given"), person).otherwise(number)
 
 
 def rendered(kind: Column, mention: Column, entity: Column) -> Column:
@@ -167,8 +215,11 @@ def rendered(kind: Column, mention: Column, entity: Column) -> Column:
         return F.when(F.substring(mention, i, F.lit(1)).rlike("[A-Z]"), F.upper(c)).otherwise(c)
 
     mail = F.array_join(F.transform(F.sequence(F.lit(1), F.length(entity)), cased), "")
-    person = F.concat(F.regexp_extract(mention, r"^(.*[ ])?[^ ]+$", 1), F.initcap(F.substring(entity, F.lit(3), F.length(entity))))
-    return F.when(kind == "email", mail).when(kind.isin("person", "given"), person).when(kind == "ip", entity).when(kind == "iban", account).otherwise(number)
+    old, new = _last_word(mention), F.substring(entity, F.lit(3), F.length(entity))
+    capitals = (F.length(old) > 1) & (F.upper(old) == old) & ~old.endswith(".")
+    new = F.when(capitals, F.upper(new)).otherwise(F.array_join(F.transform(F.split(new, "-"), F.initcap), "-"))
+    person = F.concat(F.regexp_extract(mention, r"^(.*[ ])?[^ ]+$", 1), new)
+    return F.when(kind == "email", mail).when(kind.isin("person", "given"), person).when(kind.isin("ip", "ip6"), entity).when(kind == "iban", account).otherwise(number)
 
 
 def _last_word(name: Column) -> Column:
@@ -193,6 +244,21 @@ def assign(entities: DataFrame, key: str, rounds: int = 30) -> DataFrame:
     raise RuntimeError("surrogates still collide; use another key")
 
 
+def _later_words(some: DataFrame, text: str, known: DataFrame) -> DataFrame:
+    """(_key, gaps): the text between the mentions of persons' texts, with known name words replaced."""
+    names = known.where(F.col("kind").isin("person", "given")).select("_key", "pos", "part", _last_word(F.col("mention")).alias("old"), _last_word(F.col("new")).alias("new"))
+    forms = F.explode(F.array(F.struct(F.lit(0).alias("form"), "old", "new"), F.struct(F.lit(1).alias("form"), F.concat("old", F.lit("s")).alias("old"), F.concat("new", F.lit("s")).alias("new"))))
+    forms = names.where(~F.col("old").endswith(".")).select("_key", "pos", "part", forms.alias("f")).groupBy("_key", F.col("f.old").alias("word")).agg(F.min(F.struct("f.form", "pos", "part", "f.new"))["new"].alias("new"))
+    texts = some.select("_key", text).join(names.select("_key").distinct(), "_key").dropDuplicates(["_key"])
+    gaps = texts.select("_key", F.posexplode(F.split(F.col(text), PATTERN, -1)).alias("gap", "between"))
+    gaps = gaps.select("_key", "gap", F.split("between", _LATER, -1).alias("rest"), F.regexp_extract_all("between", F.lit(_LATER), F.lit(0)).alias("words"))
+    words = gaps.where(F.size("words") > 0).select("_key", "gap", F.posexplode("words").alias("nth", "word"))
+    words = words.join(forms, ["_key", "word"], "left").groupBy("_key", "gap").agg(F.array_sort(F.collect_list(F.struct("nth", F.coalesce("new", "word").alias("new")))).alias("words"))
+    whole = F.array_join(F.concat(F.array(F.element_at("rest", 1)), F.zip_with(F.slice(F.col("rest"), F.lit(2), F.size("rest")), "words", lambda rest, w: F.concat(w["new"], rest))), "")
+    done = gaps.select("_key", "gap", "rest").join(words, ["_key", "gap"], "left").select("_key", "gap", F.when(F.col("words").isNull(), F.element_at("rest", 1)).otherwise(whole).alias("between"))
+    return done.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("gap", "between"))).alias("gaps"))
+
+
 def replace_pii(docs: DataFrame, *, key: str, text_col: str = "text") -> DataFrame:
     """The columns of docs with surrogates in the text, and n_entities (mentions replaced) and kinds (their sorted kinds)."""
     text = position(docs, text_col)
@@ -202,24 +268,28 @@ def replace_pii(docs: DataFrame, *, key: str, text_col: str = "text") -> DataFra
     some = checkpoint(rows.where(has).withColumns({"_key": F.sha2(F.col(text), 256), "_found": mentions}))
     each = some.select("_key", F.posexplode("_found").alias("pos", "mention")).distinct()
     each = each.withColumn("kind", kind_of(F.col("mention")))
+    # who has no gender by title has that of the text's first person of the surname
+    each = each.withColumn("gender", gender_of(F.col("mention"))).withColumn("surname", F.when(F.col("kind") == "person", F.lower(_last_word(F.col("mention")))))
+    told = each.where("surname is not null and gender <> 'n:'").groupBy("_key", "surname").agg(F.min(F.struct("pos", "gender"))["gender"].alias("told"))
+    each = each.join(told, ["_key", "surname"], "left").withColumn("gender", F.when(F.col("gender") == "n:", F.coalesce("told", "gender")).otherwise(F.col("gender")))
     # a person's last name word is the key of the entity; each further word has a surrogate of its own
-    gender = F.when(F.col("mention").rlike(_FEMALE), "f:").otherwise("m:")
     parts = F.when(F.col("kind") == "person", name_parts(F.col("mention"))).otherwise(F.array("mention"))
-    each = each.select("_key", "pos", "kind", gender.alias("gender"), F.size(parts).alias("n"), F.posexplode(parts).alias("part", "mention"))
+    each = each.select("_key", "pos", "kind", "gender", F.size(parts).alias("n"), F.posexplode(parts).alias("part", "mention"))
     each = each.withColumn("kind", F.when((F.col("kind") == "person") & (F.col("part") < F.col("n") - 1), "given").otherwise(F.col("kind")))
     each = each.select("_key", "pos", "part", "mention", "kind", canonical(F.col("kind"), F.col("mention"), F.col("gender")).alias("entity"))
     each = checkpoint(each)
     known = each.where("kind is not null")
     named = assign(known.select("kind", "entity").distinct(), key)
     new = known.join(named, ["kind", "entity"], "left").withColumn("new", F.coalesce(rendered(F.col("kind"), F.col("mention"), F.col("surrogate")), F.col("mention")))
-    new = new.select("_key", "pos", "part", "kind", "mention", "new").unionByName(each.where("kind is null").select("_key", "pos", "part", "kind", "mention", F.col("mention").alias("new")))
-    per = new.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("pos", "part", "new"))).alias("words"), F.array_sort(F.collect_set(F.when(F.col("kind") == "given", "person").otherwise(F.col("kind")))).alias("kinds"), F.count_if((F.col("part") == 0) & F.col("kind").isNotNull()).alias("n_entities"), F.array_sort(F.collect_list(F.when(F.col("kind") == "person", F.struct("pos", _last_word(F.col("mention")).alias("old"), _last_word(F.col("new")).alias("new"))))).alias("names"))
+    new = checkpoint(new.select("_key", "pos", "part", "kind", "mention", "new"))
+    later = _later_words(some, text, new)
+    new = new.unionByName(each.where("kind is null").select("_key", "pos", "part", "kind", "mention", F.col("mention").alias("new")))
+    per = new.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("pos", "part", "new"))).alias("words"), F.array_sort(F.collect_set(F.when(F.col("kind") == "given", "person").otherwise(F.col("kind")))).alias("kinds"), F.count_if((F.col("part") == 0) & F.col("kind").isNotNull()).alias("n_entities"))
     # the words of a mention are joined by spaces again; no mention holds a null character
     joined = F.array_join(F.transform("words", lambda w: F.concat(F.when(w["part"] == 0, "\0").otherwise(" "), w["new"])), "")
     joined = F.split(F.regexp_replace(joined, r"^\x00", ""), r"\x00", -1)
-    per = per.select("_key", "kinds", "n_entities", joined.alias("news"), F.array_distinct(F.transform(F.filter("names", lambda n: ~n["old"].endswith(".")), lambda n: F.struct(n["old"].alias("old"), n["new"].alias("new")))).alias("names"))
-    # bare surnames between the mentions
-    pieces = F.transform(F.split(F.col(text), PATTERN, -1), lambda gap: F.aggregate("names", gap, lambda out, n: F.regexp_replace(out, F.concat(F.lit(r"(?<![\p{L}\p{M}’'-])\Q"), n["old"], F.lit(r"\E(?!-?[\p{L}\p{M}]|['’](?!s(?!\p{L}))\p{L})")), n["new"])))
+    per = per.select("_key", "kinds", "n_entities", joined.alias("news")).join(later, "_key", "left")
+    pieces = F.coalesce(F.transform("gaps", lambda g: g["between"]), F.split(F.col(text), PATTERN, -1))
     whole = F.array_join(F.concat(F.flatten(F.zip_with(F.slice(pieces, 1, F.size("news")), F.col("news"), lambda a, b: F.array(a, b))), F.slice(pieces, F.size(pieces), 1)), "")
     done = some.join(per, "_key").withColumn(text, whole)
     kept = [(f"c{i}", c) for i, c in enumerate(docs.columns) if c not in ("n_entities", "kinds")]

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import unicodedata
 
 import regex
 from pyspark.sql import functions as F
@@ -64,7 +65,7 @@ def test_whole_names_and_cards_of_all_lengths(spark):
     found = replaced(spark.createDataFrame(texts, "doc_id bigint, text string"))
     one = found[1]["text"]
     assert not re.search("John|Smith|Jones|Ann|Brien|Karl|Donald|MILLER|J[.]", one) and found[1]["n_entities"] == 7 and found[1]["kinds"] == ["person"]
-    first = re.match(r"Mr\. ([A-Z][a-z]+) ([A-Z][a-z]+) met Mr\. ([A-Z][a-z]+) and Ms\. [A-Z][a-z]+ [A-Z][a-z]+\. Herr [A-Z][a-z]+ von [A-Z][a-z]+ saw Mr\. [A-Z][a-z]+ [A-Z][a-z]+, Mrs\. [A-Z][a-z]+ Mr\. ([A-Z][a-z]+)'s cat\.$", one)
+    first = re.match(r"Mr\. ([A-Z][a-z]+) ([A-Z][a-z]+) met Mr\. ([A-Z][a-z]+) and Ms\. [A-Z][a-z]+ [A-Z][a-z]+\. Herr [A-Z][a-z]+ von [A-Z][a-z]+-[A-Z][a-z]+ saw Mr\. [A-Z][a-z]+ [A-Z][a-z]+, Mrs\. [A-Z]+ Mr\. ([A-Z][a-z]+)'s cat\.$", one)
     assert first and first[2] == first[3] == first[4] != first[1]
     cards = re.match(r"Amex (\d{15}), (\d{4} \d{6} \d{5}), not 378282246310006\.$", found[2]["text"])
     assert cards and cards[1] == cards[2].replace(" ", "") != "378282246310005" and luhn(cards[1]) and found[2]["n_entities"] == 2
@@ -74,11 +75,126 @@ def remainder_97(text):
     return int("".join(str(int(c, 36)) for c in text)) % 97
 
 
+def letter(c):
+    return unicodedata.category(c)[0] == "L"
+
+
+def person_at(text, i):
+    """Where the person that begins at i ends, and its parts (first name word with all titles before it), read letter by letter; or None."""
+    her = "Mrs Ms Miss Frau Fräulein Madame Mademoiselle Mme Mlle Señora Señorita Sra Srta Госпожа Κυρία".split()
+    his = "Mr Herr Herrn Monsieur Señor Sr Господин Κύριος".split()
+    academic = "Dr Prof Professor Professorin Doktor Doctor".split()
+    roles = "President Chairman Chairwoman Chair Speaker Secretary Minister Ministerin Mayor Ambassador Judge Präsidentin Präsident Vorsitzende Vorsitzender Oberbürgermeisterin Oberbürgermeister Bürgermeisterin Bürgermeister Kanzlerin Kanzler Direktorin Direktor Président Présidente Presidente Presidenta Ministre Maire Alcalde Alcaldesa".split()
+    small = "von van vom zu zur zum der den de del della di da dos du la le ten ter al el bin ibn".split()
+    if i and letter(text[i - 1]):
+        return None
+
+    def word(at):
+        end = at
+        while end < len(text) and letter(text[end]):
+            end += 1
+        return text[at:end]
+
+    def title_word(at):
+        """A title at a place without what follows it, and its end."""
+        w = word(at)
+        end = at + len(w)
+        if text.startswith("Dr.-Ing", at) and not letter(text[at + 7 : at + 8] or " "):
+            return "Dr", at + 7
+        if w == "Dipl" and text.startswith(".-", end) and len(word(end + 2)) > 1 and word(end + 2)[0].isupper():
+            return "Dr", end + 2 + len(word(end + 2))
+        if w in ("Ing", "Mag") and text.startswith(".", end):
+            return "Dr", end
+        return (w, end) if w in her + his + academic else None
+
+    def title(at):
+        """The end of the title at a place, and its gender."""
+        w, end = title_word(at) or (None, None)
+        if not w:
+            return None
+        end += text.startswith(".", end)
+        if not text.startswith(" ", end):
+            return None
+        end += 1
+        while word(end) in "med dent vet rer nat phil jur iur pol oec theol habil mult em h c".split() and text.startswith(".", end + len(word(end))):
+            end += len(word(end)) + 1
+            end += text.startswith(" ", end)
+        return end, "f:" if w in her or w == "Professorin" else "m:" if w in his else None
+
+    def name(at):
+        """The end of the name word at a place."""
+        if title_word(at) or word(at) in roles or at >= len(text) or unicodedata.category(text[at]) != "Lu":
+            return None
+        if text[at + 1 : at + 3] == ". " or text[at + 1 :] == ".":
+            return at + 2
+        inside = lambda k: k < len(text) and unicodedata.category(text[k])[0] in "LM"
+        end = at
+        while True:
+            while inside(end):
+                end += 1
+            if end < len(text) and text[end] in "-'’" and inside(end + 1) and not (text[end] != "-" and text[end + 1] == "s" and not (end + 2 < len(text) and letter(text[end + 2]))):
+                end += 1
+                continue
+            return end
+
+    def with_small(at):
+        while word(at) in small and text.startswith(" ", at + len(word(at))):
+            at += len(word(at)) + 1
+        return name(at)
+
+    at, gender = title(i) or (None, None)
+    if at is None:
+        return None
+    while True:
+        more = title(at)
+        if more:
+            at, gender = more[0], gender or more[1]
+        elif word(at) in roles and text.startswith(" ", at + len(word(at))):
+            at += len(word(at)) + 1
+        else:
+            break
+    end = with_small(at)
+    if end is None:
+        return None
+    parts, last = [text[i:end]], end
+    while text.startswith(" ", last) and (end := with_small(last + 1)):
+        parts.append(text[last + 1 : end])
+        last = end
+    return last, parts, gender or "n:"
+
+
 class Brute:
-    """The same task in plain Python: mentions one by one, entities by dictionaries."""
+    """The same task in plain Python: mentions one by one, persons by their letters, entities by dictionaries."""
 
     def __init__(self, rows):
-        self.rows = [(d, t, list(regex.finditer(surrogates.PATTERN, t or ""))) for d, t in rows]
+        self.rows = [(d, t, list(self.mentions(t or ""))) for d, t in rows]
+
+    def mentions(self, text):
+        """(start, end, [(kind, entity, text)]), the parts of persons apart."""
+        numbers = [(k, regex.compile(p)) for k, p in surrogates.KINDS if k != "person"]
+        at, found = 0, []
+        for m in re.finditer(r"[0-9+(]|(?<![A-Za-z0-9._%+-])[A-Za-z._%+-]|(?<![^\W\d_])[^\W\d_]", text):
+            i = m.start()
+            if i < at:
+                continue
+            hit = next(((k, x.end()) for k, p in numbers if (x := p.match(text, i))), None)
+            person = person_at(text, i) if not hit and unicodedata.category(text[i]) == "Lu" else None
+            if hit:
+                found.append((i, hit[1], None, [text[i : hit[1]]]))
+                at = hit[1]
+            elif person:
+                found.append((i, person[0], person[2], person[1]))
+                at = person[0]
+        told = {}
+        for _, _, gender, parts in found:
+            if gender and gender != "n:":
+                told.setdefault(parts[-1].split(" ")[-1].lower(), gender)
+        for start, end, gender, parts in found:
+            if gender:
+                gender = told.get(parts[-1].split(" ")[-1].lower(), gender) if gender == "n:" else gender
+                yield start, end, [("person" if k == len(parts) - 1 else "given", gender + p.split(" ")[-1].lower(), p) for k, p in enumerate(parts)]
+            else:
+                yield start, end, self.numbers(parts[0])
 
     def kind(self, mention):
         for kind, pattern in surrogates.KINDS:
@@ -89,34 +205,24 @@ class Brute:
                     return None
                 return kind
 
-    def parts(self, mention):
-        """(kind, entity, text) of a mention, name words of persons apart."""
+    def numbers(self, mention):
         kind = self.kind(mention)
         digits = re.sub(r"\D", "", mention)
-        if kind != "person":
-            entity = {"email": mention.lower(), "ip": mention, "iban": mention.replace(" ", ""), "phone": digits[1:] if len(digits) == 11 and digits[0] == "1" else digits}.get(kind, digits)
-            return [(kind, entity if kind else None, mention)]
-        gender = "f:" if re.match("Mrs|Ms|Miss|Frau|Madame|Señora|Sra|Госпожа", mention) else "m:"
-        words = mention.split(" ")
-        small = set("von van vom zu zur zum der den de del della di da dos du la le ten ter al el bin ibn".split())
-        groups, now = [], []
-        for i, w in enumerate(words):
-            now.append(w)
-            if i and w not in small:
-                groups.append(now)
-                now = []
-        return [("person" if g is groups[-1] else "given", gender + g[-1].lower(), " ".join(g)) for g in groups]
+        entity = {"email": mention.lower(), "ip": mention, "ip6": mention.lower(), "iban": mention.replace(" ", ""), "phone": digits[1:] if len(digits) == 11 and digits[0] == "1" else digits}.get(kind, digits)
+        return [(kind, entity if kind else None, mention)]
 
     def entities(self):
-        return {(k, e) for _, _, found in self.rows for m in found for k, e, _ in self.parts(m[0]) if k}
+        return {(k, e) for _, _, found in self.rows for _, _, parts in found for k, e, _ in parts if k}
 
     def render(self, kind, entity, text, made):
         if kind is None:
             return text
         if kind in ("person", "given"):
             head, _, _ = text.rpartition(" ")
-            return (head + " " if head else "") + made[2:].capitalize()
-        if kind == "ip":
+            old = text.split(" ")[-1]
+            capitals = len(old) > 1 and old.upper() == old and not old.endswith(".")
+            return (head + " " if head else "") + (made[2:].upper() if capitals else "-".join(p.capitalize() for p in made[2:].split("-")))
+        if kind in ("ip", "ip6"):
             return made
         if kind == "email":
             return "".join(b.upper() if i < len(text) and "A" <= text[i] <= "Z" else b for i, b in enumerate(made))
@@ -136,24 +242,27 @@ class Brute:
             if text is None:
                 yield d, None
                 continue
-            names = {}
-            for m in found:
-                for k, e, t in self.parts(m[0]):
-                    if k == "person" and not t.endswith("."):
-                        names.setdefault(t.split(" ")[-1], made[k, e][2:].capitalize())
-            out, at = [], 0
-            gaps = [text[a:b] for a, b in zip([0, *[m.end() for m in found]], [*[m.start() for m in found], len(text)])]
-            for old, new in names.items():
-                gaps = [regex.sub(rf"(?<![\p{{L}}\p{{M}}’'-]){re.escape(old)}(?!-?[\p{{L}}\p{{M}}]|['’](?!s(?!\p{{L}}))\p{{L}})", new, g) for g in gaps]
-            for gap, m in zip(gaps, found):
-                out += [gap, " ".join(self.render(k, e, t, made.get((k, e))) for k, e, t in self.parts(m[0]))]
+            names, genitives = {}, {}
+            for _, _, parts in found:
+                for k, e, t in parts:
+                    old = t.split(" ")[-1]
+                    if k in ("person", "given") and not old.endswith("."):
+                        new = self.render(k, e, old, made[k, e])
+                        names.setdefault(old, new)
+                        genitives.setdefault(old + "s", new + "s")
+            gaps = [text[a:b] for a, b in zip([0, *[m[1] for m in found]], [*[m[0] for m in found], len(text)])]
+            later = lambda m: names.get(m[0], genitives.get(m[0], m[0]))
+            gaps = [regex.sub(r"[\p{L}\p{M}]+(?:-[\p{L}\p{M}]+|['’](?!s(?!\p{L}))[\p{L}\p{M}]+)*", later, g) for g in gaps]
+            out = []
+            for gap, (_, _, parts) in zip(gaps, found):
+                out += [gap, " ".join(self.render(k, e, t, made.get((k, e))) for k, e, t in parts)]
             yield d, "".join([*out, gaps[-1]])
 
 
 def test_surrogates_against_brute_force(spark, documents):
     rng = random.Random(12)
-    words = ["Mr.", "Mrs", "Herr", "Frau", "Dr.", "Господин", "Smith", "Jones", "O'Brien", "Müller-Lüdenscheidt", "McDonald", "Иванов", "von", "der", "Anna", "J.", "and", "Smith's", "met", "+1 555 123 4567", "(555) 123-4567", "555-123-4567", "+49 30 1234 5678", "a.b@c.example.org", "A.B@c.Example.org", "4111 1111 1111 1111", "378282246310005", "378282246310006", "123-45-6789", "10.1.2.3", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "DE88 3704 0044 0532 0130 00", ",", ".", "ünd", "\n"]
-    rows = [(i, "".join(rng.choice(words) + rng.choice((" ", " ", "  ", "")) for _ in range(rng.randrange(25)))) for i in range(400)]
+    words = ["Mr.", "Mrs", "Herr", "Frau", "Dr.", "Prof.", "Dipl.-Ing.", "Dr. med.", "Professorin", "Mag.", "Bürgermeister", "President", "Господин", "Κυρία", "Παππάς", "Smiths", "MEIER", "Jones-Öz", "030/1234567", "(089) 1234567", "2001:DB8::1", "fe80:0:0:0:1:2:3:4", "a::b", "Smith", "Jones", "O'Brien", "Müller-Lüdenscheidt", "McDonald", "Иванов", "von", "der", "Anna", "J.", "and", "Smith's", "met", "+1 555 123 4567", "(555) 123-4567", "555-123-4567", "+49 30 1234 5678", "a.b@c.example.org", "A.B@c.Example.org", "4111 1111 1111 1111", "378282246310005", "378282246310006", "123-45-6789", "10.1.2.3", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "DE88 3704 0044 0532 0130 00", ",", ".", "ünd", "\n"]
+    rows = [(i, "".join(rng.choice(words) + rng.choice((" ", " ", " ", "  ", "")) for _ in range(rng.randrange(30)))) for i in range(900)]
     rows += [(1_000, "Mr. John Smith spoke. Smith left; the Smiths and Smith-Jones did not, nor did Smith's cat."), (1_001, None), (1_002, "")]
     rows += [(5_000 + r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()]
     brute = Brute(rows)
@@ -165,7 +274,46 @@ def test_surrogates_against_brute_force(spark, documents):
         assert found[d]["text"] == want, (d, dict(rows)[d])
     one = found[1_000]["text"]
     name = re.match(r"Mr\. ([A-Z][a-z]+n) ([A-Z][a-z]+) spoke\. (.*)$", one)
-    assert name[3] == f"{name[2]} left; the Smiths and Smith-Jones did not, nor did {name[2]}'s cat."
+    assert name[3] == f"{name[2]} left; the {name[2]}s and Smith-Jones did not, nor did {name[2]}'s cat."
+
+
+def test_titles_stay_and_nothing_of_a_name(spark):
+    texts = [
+        "Herr Dr. Schmidt sah Frau Prof. Klein.",
+        "Frau Dr. Anna Müller und Herr Müller",
+        "Dr. Jane Doe, Prof. Max Weber and Dr. med. h. c. Karl von der Heide",
+        "Mr. John Smith came. John stayed. Smiths came to John's.",
+        "Herr Müller kam. Müllers Haus",
+        "Mr. President! Mr. President Lincoln, Herr Bürgermeister MEIER",
+        "Mrs. Jones-Öz",
+        "Dr. Doe met Mrs. Doe. Doe left.",
+        "Herr Adam Berta Cäsar Dora Emil Friedrich",
+        "Mr. Παππάς, Господин Иванов",
+        "Call 030/1234567, (089) 1234567 or 089 1234567; 2001:db8::1, not std::vector or 12:30:45",
+    ]
+    found = replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    new = [found[i]["text"] for i in range(len(texts))]
+    n = r"([A-Z][a-z]+)"
+    assert re.fullmatch(rf"Herr Dr\. {n} sah Frau Prof\. {n}\.", new[0])
+    her = re.fullmatch(rf"Frau Dr\. [A-Z][a-z]*na {n} und Herr {n}", new[1])
+    assert her[1] != her[2]
+    assert re.fullmatch(rf"Dr\. {n} {n}, Prof\. {n} {n} and Dr\. med\. h\. c\. {n} von der {n}", new[2])
+    assert re.fullmatch(r"Mr\. ([A-Z][a-z]+) ([A-Z][a-z]+) came\. \1 stayed\. \2s came to \1's\.", new[3])
+    assert re.fullmatch(r"Herr ([A-Z][a-z]+) kam\. \1s Haus", new[4])
+    assert re.fullmatch(rf"Mr\. President! Mr\. President {n}, Herr Bürgermeister [A-Z]+", new[5])
+    assert re.fullmatch(rf"Mrs\. {n}-{n}", new[6])
+    assert re.fullmatch(r"Dr\. ([A-Z][a-z]+) met Mrs\. \1\. \1 left\.", new[7])
+    assert re.fullmatch(rf"Herr {n} {n} {n} {n} {n} {n}", new[8])
+    assert re.fullmatch(r"Mr\. [Α-Ω][α-ως]+, Господин [А-Я][а-я]+", new[9])
+    assert re.fullmatch(r"Call (0\d\d)/(\d{7}), \((0\d\d)\) (\d{7}) or \3 \4; 2[0-9a-f]{3}:[0-9a-f]{3}::[0-9a-f], not std::vector or 12:30:45", new[10])
+    old = set(re.findall(r"[^\W\d_]{3,}", " ".join(texts[:10]))) - set("Herr sah Frau Prof und and med von der Mrs met left came stayed President Bürgermeister Господин kam Haus".split())
+    assert not {w for w in old for t in new[:10] if re.search(rf"(?<!\w){w}(?!\w)", t)} - {"Smiths", "Müllers"} and "Smith" not in new[3] and "Müller" not in new[4]
+
+
+def test_many_mentions_in_one_text(spark):
+    text = " ".join(f"Mr. Given{chr(65 + i % 26)} Name{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100 % 6]} spoke, Name{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}u left;" for i in range(20_000))
+    out = replaced(spark.createDataFrame([(1, text)], "doc_id bigint, text string"))[1]
+    assert out["n_entities"] == 20_000 and not re.search("Given|Name", out["text"])
 
 
 def test_account_numbers_keep_country_and_check_digits(spark):
