@@ -6,7 +6,16 @@ lower-cased text (everything that is no letter is one separator), hashed to
 Expectation-maximisation estimates the document's language proportions, and the
 set of languages is chosen by penalised log-likelihood: the single best language,
 then its best two, three and so on (in the order of the full mixture's
-proportions), each further language costing ``PENALTY * log(n-grams)``.
+proportions), each further language costing ``PENALTY * log(n-grams)``.  Languages of
+equal likelihood or proportion come in the order of their names.
+
+A text's evidence is the log-likelihood per n-gram of its chosen mixture less that of
+noise, under which all buckets are equally likely.  Its plausibility puts this on a
+scale on which noise has 0 (the expected evidence of equally likely buckets under the
+language that fits them best) and the text of the learned languages 1 (their mean); both
+follow from the model.  ``filter_language`` rejects by it, not by the largest share, so
+texts in several languages stay, while random letters and languages that were not
+learned go.
 
 Learning uses labelled rows only.  Of each label at most about ``PER_LANGUAGE``
 rows are used, chosen by a hash of the id, so the model costs the same at any
@@ -47,8 +56,14 @@ _LETTER[0x80:] = True
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    #: languages x buckets, each bucket divided by its largest value.
+    #: languages x buckets, each bucket divided by its largest value, and the logarithms of these.
     likelihood: np.ndarray
+    log_largest: np.ndarray
+
+    def levels(self) -> tuple[float, float]:
+        """Expected evidence of noise, and of the learned languages' own text."""
+        logs = np.log(self.likelihood) + self.log_largest
+        return float(logs.mean(axis=1).max() + np.log(BUCKETS)), float((np.exp(logs) * logs).sum(axis=1).mean() + np.log(BUCKETS))
 
 
 def bucket_counts(column) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +107,7 @@ def fit(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     labelled = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("trim(lang) <> '' and text is not null")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Model((), np.zeros((0, BUCKETS)))
+        return Model((), np.zeros((0, BUCKETS)), np.zeros(BUCKETS))
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))]), F.col("lang"))
     chosen = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
     counts = chosen.mapInArrow(_count_rows, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
@@ -100,7 +115,7 @@ def fit(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     table = np.full((len(names), BUCKETS), 0.5)
     table[[names.index(x) for x in counts["lang"]], counts["bucket"]] += counts["n"]
     table /= table.sum(axis=1, keepdims=True)
-    return Model(names, table / table.max(axis=0))
+    return Model(names, table / table.max(axis=0), np.log(table.max(axis=0)))
 
 
 def _em(counts: np.ndarray, likelihood: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,6 +155,13 @@ def infer(counts: np.ndarray, model: Model, penalty: float = PENALTY) -> np.ndar
     return out
 
 
+def plausibility(counts: np.ndarray, model: Model, pi: np.ndarray) -> np.ndarray:
+    """The evidence of each document's mixture on a scale from noise (0) to the learned languages' text (1)."""
+    value = (counts * np.log(np.maximum(pi @ model.likelihood, 1e-300))).sum(axis=1) + counts @ model.log_largest
+    noise, typical = model.levels()
+    return (value / counts.sum(axis=1) + np.log(BUCKETS) - noise) / max(typical - noise, 1e-9)
+
+
 def _predict(text: str, sent, penalty: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = sent.value
@@ -151,13 +173,15 @@ def _predict(text: str, sent, penalty: float):
                     letter[i] = any(c.isalpha() for c in column[i].as_py())
                 known = np.flatnonzero(letter) if model.languages else np.zeros(0, np.int64)
                 pi = np.zeros((len(counts), max(1, len(model.languages))))
+                told = np.zeros(len(counts))
                 if len(known):
                     pi[known] = infer(counts[known], model, penalty)
+                    told[known] = plausibility(counts[known], model, pi[known])
                 names = np.array([UNKNOWN] * len(counts), dtype=object)
                 if len(known):
                     names[known] = np.array(model.languages, dtype=object)[pi[known].argmax(axis=1)]
                 mix = [[{"lang": name, "share": float(x)} for name, x in zip(model.languages, row) if x > 0] for row in pi]
-                yield appended(part, {"lang_pred": pa.array(names.tolist(), pa.string()), "score": pa.array(np.minimum(pi.max(axis=1), 1.0)), "mixture": pa.array(mix, _MIX)})
+                yield appended(part, {"lang_pred": pa.array(names.tolist(), pa.string()), "score": pa.array(np.minimum(pi.max(axis=1), 1.0)), "mixture": pa.array(mix, _MIX), "plausibility": pa.array(told)})
 
     return run
 
@@ -166,23 +190,24 @@ _MIX = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
 
 def _with_language(docs: DataFrame, text_col: str, model: Model, penalty: float) -> DataFrame:
-    """Numbered columns of docs, then lang_pred, score and mixture."""
+    """Numbered columns of docs, then lang_pred, score, mixture and plausibility."""
     out = numbered(docs)
-    extra = out.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "mixture": F.array().cast("array<struct<lang:string,share:double>>")})
+    extra = out.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "mixture": F.array().cast("array<struct<lang:string,share:double>>"), "plausibility": F.lit(0.0)})
     return out.mapInArrow(_predict(position(docs, text_col), docs.sparkSession.sparkContext.broadcast(model), penalty), extra.schema)
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
-    """One row per document: doc_id, lang_pred, score (its share) and mixture (the chosen set with shares)."""
+    """One row per document: doc_id, lang_pred, score (its share), mixture (the chosen set with shares) and plausibility."""
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return _with_language(chosen, "text", model, penalty).select(F.col("c0").alias("doc_id"), "lang_pred", "score", "mixture")
+    return _with_language(chosen, "text", model, penalty).select(F.col("c0").alias("doc_id"), "lang_pred", "score", "mixture", "plausibility")
 
 
-def filter_language(docs: DataFrame, model: Model, *, text_col: str = "text", languages: tuple[str, ...] | None = None, least_share: float = 0.5, penalty: float = PENALTY) -> DataFrame:
-    """The columns of docs; documents without language, without a main one, or of none of the languages wanted go."""
-    out = _with_language(docs, text_col, model, penalty).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_share))
-    if languages is not None:
-        out = out.where(F.col("lang_pred").isin(*languages))
+def filter_language(docs: DataFrame, model: Model, *, text_col: str = "text", languages: tuple[str, ...] | None = None, least_share: float = 0.5, least_plausibility: float = 0.25, penalty: float = PENALTY) -> DataFrame:
+    """The columns of docs; documents go that have no language, less plausibility than least_plausibility, or less than
+    least_share in the languages wanted (all learned ones, if none are named)."""
+    out = _with_language(docs, text_col, model, penalty).where((F.col("lang_pred") != UNKNOWN) & (F.col("plausibility") >= least_plausibility))
+    share = F.aggregate("mixture", F.lit(0.0), lambda s, m: s + F.when(m["lang"].isin(*(languages or model.languages)), m["share"]).otherwise(0.0))
+    out = out.where(share >= least_share)
     return out.select(*[F.col(f"c{i}") for i in range(len(docs.columns))]).toDF(*docs.columns)
 
 

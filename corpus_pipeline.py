@@ -18,9 +18,9 @@ from agoralake.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that have no language; mixtures of languages stay, whatever their shares."""
+    """Documents go whose best mixture of the learned languages explains them hardly better than noise; mixtures stay, whatever their shares."""
     model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
-    return language.filter_language(docs, model, least_share=0.0)
+    return language.filter_language(docs, model, least_share=0.0, least_plausibility=0.25)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,13 @@
 """The corpus pipeline: stage by stage against brute force."""
 
+import random
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from agoralake.llm import queries
 
-from .conftest import SF
+from .conftest import CLASHING, SF
 from .test_near import near
 from .test_texts import overlaps, piece_ids
 
@@ -49,8 +53,26 @@ def test_mixtures_of_languages_stay(spark, documents):
     for lang in ("de", "en", "es", "fr"):
         texts = documents.where(f"lang = '{lang}' and length(text) > 300").orderBy("doc_id").limit(6).collect()
         parts[lang] = " ".join(r["text"] for r in texts)[:1500]
-    mixed = [(-k, " ".join([*parts.values()][:k])) for k in range(1, 5)] + [(-5, "123 !? 456"), (-6, "")]
+    rng = random.Random(7)
+    noise = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    mixed = [(-k, " ".join([*parts.values()][:k])) for k in range(1, 5)] + [(-5, "123 !? 456"), (-6, "")] + [(-10 - k, noise(n)) for k, n in enumerate((5, 20, 100, 1000))] + [(-21, "日本語のテキストです")]
     docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame(mixed, "doc_id bigint, text string"))
     docs = docs.join(documents.select("doc_id", "lang"), "doc_id", "left")
-    kept = corpus_pipeline.language_id(spark, docs, SF).where("doc_id < 0").collect()
-    assert {r["doc_id"] for r in kept} == {-1, -2, -3, -4}
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, SF).collect()}
+    assert {d for d in kept if d < 0} == {-1, -2, -3, -4}
+    # of the corpus only texts without letters go
+    assert {r["doc_id"] for r in documents.collect() if any(c.isalpha() for c in r["text"] or "")} == {d for d in kept if d >= 0}
+
+
+def test_empty_repeated_and_clashing_rows(spark, documents):
+    """All stages on an empty table, and on rows that repeat and have columns named like the operators' own."""
+    some = documents.where("doc_id < 60").collect()
+    docs = spark.createDataFrame([*some, *some[:20]], documents.schema).withColumns({name: F.lit(name) for name in CLASHING if name not in ("ids",)})
+    for at in (docs.limit(0), docs):
+        for name, stage in corpus_pipeline.STAGES:
+            before, at = at, stage(spark, at, SF)
+            assert at.columns[: len(docs.columns)] == docs.columns
+            at = spark.createDataFrame(at.collect(), at.schema)
+            assert at.count() <= before.count()
+    texts = [r["text"] for r in at.collect()]
+    assert 0 < len(texts) and all(r["c0"] == "c0" and r["node"] == "node" for r in at.collect())

@@ -6,7 +6,7 @@ import re
 import zlib
 from collections import Counter
 from functools import lru_cache
-from math import log2
+from math import log, log2
 
 import numpy as np
 import pytest
@@ -43,6 +43,61 @@ def test_a_mixed_document(spark):
     assert found[5]["lang_pred"] in ("aa", "zz")
 
 
+def mixture_of(text, model, penalty=language.PENALTY):
+    """The mixture inference of one text in plain Python: {language: share}, or None without a letter."""
+    if not any(c.isalpha() for c in text or ""):
+        return None
+    raw, seen = text.encode(), []
+    for i, b in enumerate(raw):
+        b = b + 32 if 65 <= b <= 90 else b
+        if i and raw[i - 1] == 0xC3 and 0x80 <= b <= 0x9E:
+            b += 32
+        seen.append(b if 97 <= b <= 122 or b >= 128 else 0)
+    counts = Counter()
+    for before, b, after in zip([0, *seen], seen, [*seen[1:], 0]):
+        if b:
+            gram = before << 16 | b << 8 | after
+            counts[(gram * 2654435761 & 0xFFFFFFFF) >> 32 - 12] += 1
+    grams, total = sorted(counts), sum(counts.values())
+    lik = {lang: {g: float(row[g]) for g in grams} for lang, row in zip(model.languages, model.likelihood)}
+
+    def em(langs):
+        pi = {x: 1 / len(langs) for x in langs}
+        for _ in range(language.ITERATIONS):
+            whole = {g: sum(pi[x] * lik[x][g] for x in langs) for g in grams}
+            pi = {x: pi[x] * sum(counts[g] / whole[g] * lik[x][g] for g in grams) / total for x in langs}
+        return pi, sum(counts[g] * log(sum(pi[x] * lik[x][g] for x in langs)) for g in grams)
+
+    alone = {x: em([x])[1] for x in model.languages}
+    best = max(model.languages, key=lambda x: alone[x])
+    chosen, top = {best: 1.0}, alone[best]
+    order = sorted(model.languages, key=lambda x: -em(list(model.languages))[0][x])
+    for size in range(2, len(order) + 1):
+        pi, value = em(order[:size])
+        if value - (size - 1) * penalty * log(1 + total) > top:
+            chosen, top = pi, value - (size - 1) * penalty * log(1 + total)
+    return chosen
+
+
+def test_mixtures_against_brute_force(spark, documents):
+    model = language.fit(documents)
+    rows = [tuple(r) for r in documents.select("doc_id", "text").where("doc_id % 5 = 0 and length(text) < 6000").collect()]
+    by_lang = {r["lang"]: r["text"] for r in documents.where("length(text) between 800 and 3000").collect()}
+    rows += [(-k, " ".join([*by_lang.values()][: k + 1])) for k in range(4)] + [(-9, None), (-10, "12"), (-11, "ÄÖÜ é")]
+    found = {r["doc_id"]: r for r in language.identify(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
+    several = 0
+    for d, text in rows:
+        want = mixture_of(text, model)
+        if want is None:
+            assert (found[d]["lang_pred"], found[d]["score"], found[d]["mixture"]) == ("und", 0.0, [])
+            continue
+        got = {m["lang"]: m["share"] for m in found[d]["mixture"]}
+        assert {x: p for x, p in want.items() if p > 1e-6}.keys() == {x for x, p in got.items() if p > 1e-6} and all(abs(want[x] - p) < 1e-6 for x, p in got.items())
+        assert want[found[d]["lang_pred"]] >= max(want.values()) - 1e-9 and abs(found[d]["score"] - max(want.values())) < 1e-6
+        several += len(got) > 1
+    assert several >= 3
+
+
 def test_language_odd_documents(odd_documents, no_documents, odd_texts):
     model = language.fit(odd_documents)
     assert language.identify(odd_documents, model).count() == len(odd_texts)
