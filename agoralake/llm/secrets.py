@@ -9,12 +9,16 @@ the one that leaves.  A candidate whose best window reaches the class's threshol
 a span unless the allow-list suppresses it.  Base spans always stay;
 the allow-list and overlaps apply to entropy spans only.
 
-Offsets are code points, end exclusive.  Null and empty texts have no spans.
+Offsets are code points, end exclusive.  Null and empty texts have no spans.  The work on
+a text grows with its length and, but for a logarithm, with its matches, so very long
+texts with very many matches are texts like others: places are prefix sums, taken by
+doubling; overlaps are found by binary search; texts are cut apart in pieces.
 """
 
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from math import log2
 
@@ -62,26 +66,56 @@ class AllowList:
     patterns: tuple[str, ...] = field(default=(r"(?i)example", r"(?i)sample|dummy|placeholder|changeme", r"(.)\1{7,}", r"(?i)0123456789|abcdefghij"))
 
 
+#: Characters of a piece that spans are cut out of.
+PIECE = 1024
+_PLACES = "array<struct<start:int,end:int,whole:string>>"
+_SPANS = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def running(values: Column, both: Callable[[Column, Column], Column]) -> Column:
+    """The running sum, maximum or the like of an array: in step k each place takes in the one 2**k before it."""
+    steps = F.filter(F.sequence(F.lit(0), F.lit(30)), lambda k: F.call_function("shiftleft", F.lit(1), k) < F.size(values))
+
+    def step(now: Column, k: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.concat(F.slice(now, F.lit(1), back), F.zip_with(F.slice(now, back + 1, F.size(now)), F.slice(now, F.lit(1), F.size(now) - back), both))
+
+    return F.aggregate(steps, values, step)
+
+
+def below(values: Column, bound: Column) -> Column:
+    """How many elements of an ascending array are less than bound."""
+    n = F.size(values)
+    steps = F.sequence(F.lit(30), F.lit(0), F.lit(-1))
+
+    def step(at: Column, k: Column) -> Column:
+        on = at + F.call_function("shiftleft", F.lit(1), k)
+        # a place beyond the end, or beyond all numbers, is not tried
+        return F.when((on > at) & (on <= n) & (F.element_at(values, F.greatest(F.least(on, n), F.lit(1))) < bound), on).otherwise(at)
+
+    return F.when(n > 0, F.aggregate(steps, F.lit(0), step)).otherwise(0)
+
+
 def _placed(text: Column, pattern: str) -> Column:
     """array<struct<start, end, whole>> of a pattern's leftmost non-overlapping matches."""
-    places = "array<struct<start:int,end:int,whole:string>>"
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).alias("next"), F.array().cast(places).alias("found"))
+    # the text before each match, and what follows the last one, which meets no match
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
 
-    def step(state: Column, m: Column) -> Column:
-        start = state["next"] + F.length(m["gap"])
-        end = start + F.length(m["whole"])
-        place = F.struct(start.alias("start"), end.alias("end"), m["whole"].alias("whole"))
-        return F.struct(end.alias("next"), F.concat(state["found"], F.array(place)).alias("found"))
+    def placed(found: Column) -> Column:
+        sizes = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda gap, whole: gap + F.length(whole))
+        place = lambda whole, end: F.struct((end - F.length(whole)).alias("start"), end.alias("end"), whole.alias("whole"))
+        return F.when(F.size(found) > 0, F.zip_with(found, let(sizes, lambda x: running(x, lambda a, b: a + b)), place)).otherwise(F.array().cast(_PLACES))
 
-    # the text before each match, and what follows the last one, which meets no match
-    gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda gap, whole: F.struct(gap.alias("gap"), whole.alias("whole")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step, lambda s: s["found"])).otherwise(F.array().cast(places))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def _span(kind: str, order: int, m: Column) -> Column:
-    return F.struct(m["start"].alias("start"), F.lit(order).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"))
+    return F.struct(m["start"].alias("start"), F.lit(order).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["whole"].alias("value"))
 
 
 def _base(text: Column, order: int) -> Column:
@@ -104,18 +138,17 @@ def window_entropy(value: Column, window: int, alphabet: str) -> Column:
     size = F.least(F.length(value), F.lit(window))
     zero = F.struct(F.array_repeat(F.lit(0).cast("long"), numbers).alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
 
-    def place(at: Column) -> tuple[Column, Column]:
-        """The number that counts the character at a place, and the bit where its count begins."""
-        k = F.position(F.substring(value, at, F.lit(1)), F.lit(alphabet)) - 1
+    def place(k: Column) -> tuple[Column, Column]:
+        """The number that counts the k-th character of the alphabet, and the bit where its count begins."""
         return F.floor(k / per).cast("int"), (k % per * bits).cast("int")
 
     def count(state: Column, number: Column, bit: Column) -> Column:
         return F.call_function("shiftright", F.element_at(state["counts"], number + 1), bit).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
-    def step(state: Column, i: Column) -> Column:
+    def step(codes: Column, state: Column, i: Column) -> Column:
         full = i > size
-        n_in, b_in = place(i)
-        n_out, b_out = place(F.greatest(i - size, F.lit(1)))
+        n_in, b_in = place(F.element_at(codes, i))
+        n_out, b_out = place(F.element_at(codes, F.greatest(i - size, F.lit(1))))
         same = (n_in == n_out) & (b_in == b_out)
         c_in, c_out = count(state, n_in, b_in), count(state, n_out, b_out)
         term = lambda c: F.element_at(terms, c + 1)
@@ -127,7 +160,8 @@ def window_entropy(value: Column, window: int, alphabet: str) -> Column:
         entropy = F.log2(size.cast("double")) - s / size
         return F.struct(counts.alias("counts"), s.alias("s"), F.when(i >= size, F.greatest(state["best"], entropy)).otherwise(state["best"]).alias("best"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), zero, step, lambda s: s["best"])
+    codes = F.transform(F.split(value, ""), lambda c: F.position(c, F.lit(alphabet)) - 1)
+    return let(codes, lambda codes: F.aggregate(F.sequence(F.lit(1), F.size(codes)), zero, lambda state, i: step(codes, state, i), lambda s: s["best"]))
 
 
 def _allowed(value: Column, allow: AllowList) -> Column:
@@ -138,24 +172,34 @@ def _allowed(value: Column, allow: AllowList) -> Column:
 
 
 def _entropy(text: Column, kind: EntropyClass, order: int, taken: Column, allow: AllowList) -> Column:
-    def secret(m: Column) -> Column:
-        value, ok = m["whole"], ~F.exists(taken, lambda t: (t["start"] < m["end"]) & (t["end"] > m["start"]))
-        for need in kind.needs:
-            ok = ok & value.rlike(need)
-        return F.when(ok & ~_allowed(value, allow), window_entropy(value, kind.window, kind.alphabet) >= kind.bits).otherwise(False)
+    """Spans of a class that overlap none of those taken, which are in order."""
+
+    def secrets(own: Column) -> Column:
+        starts, ends = own["starts"], own["ends"]
+
+        def secret(m: Column) -> Column:
+            value, before = m["whole"], below(starts, m["end"])
+            free = F.when(before > 0, F.element_at(ends, F.greatest(before, F.lit(1))) <= m["start"]).otherwise(True)
+            ok = F.lit(True)
+            for need in kind.needs:
+                ok = ok & value.rlike(need)
+            return F.when(ok & ~_allowed(value, allow), free & (window_entropy(value, kind.window, kind.alphabet) >= kind.bits)).otherwise(False)
 
-    return F.transform(F.filter(_placed(text, kind.pattern), secret), lambda m: _span("entropy", order, m))
+        return F.transform(F.filter(_placed(text, kind.pattern), secret), lambda m: _span("entropy", order, m))
+
+    starts, ends = F.transform(taken, lambda t: t["start"]), let(F.transform(taken, lambda t: t["end"]), lambda x: running(x, lambda a, b: F.greatest(a, b)))
+    return let(F.struct(starts.alias("starts"), ends.alias("ends")), secrets)
 
 
 def with_spans(docs: DataFrame, text: str, classes: tuple[EntropyClass, ...] = CLASSES, allow: AllowList = AllowList()) -> DataFrame:
-    """docs and the columns base and spans: arrays of (start, rank, end, kind) by start, then kind."""
+    """docs and the columns base and spans: arrays of (start, rank, end, kind, value) by start, then kind."""
     whole = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumns({f"_b{i}": _base(whole, i) for i in range(len(BASE))})
     out = out.withColumn("base", F.array_sort(F.concat(*[F.col(f"_b{i}") for i in range(len(BASE))])))
     out = out.withColumn("spans", F.col("base"))
     for i, kind in enumerate(classes):
-        out = out.withColumn("spans", F.concat("spans", _entropy(whole, kind, len(BASE), F.col("spans"), allow)))
-    return out.withColumn("spans", F.array_sort("spans")).drop(*[f"_b{i}" for i in range(len(BASE))])
+        out = out.withColumn("spans", F.array_sort(F.concat("spans", _entropy(whole, kind, len(BASE), F.col("spans"), allow))))
+    return out.drop(*[f"_b{i}" for i in range(len(BASE))])
 
 
 def spans_text(spans: Column) -> Column:
@@ -172,21 +216,52 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cla
         *[count(kind) for kind, *_ in BASE],
         sha256_hex(spans_text(F.col("base"))).alias("base_sha256"),
         spans_text(F.col("spans")).alias("spans"),
-        F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]).alias("value"))).alias("found"),
+        F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))).alias("found"),
     )
 
 
+def _apart(spans: Column) -> Column:
+    """struct<starts, ends>: ordered spans, those that overlap as one."""
+
+    def apart(upto: Column) -> Column:
+        head = lambda i: (i == 1) | (F.element_at(spans, i)["start"] >= F.element_at(upto, F.greatest(i - 1, F.lit(1))))
+        heads = F.filter(F.sequence(F.lit(1), F.size(upto)), head)
+        ends = lambda heads: F.transform(heads, lambda h, k: F.element_at(upto, F.when(k + 1 < F.size(heads), F.element_at(heads, F.least(k + 2, F.size(heads))) - 1).otherwise(F.size(upto))))
+        return let(heads, lambda heads: F.struct(F.transform(heads, lambda h: F.element_at(spans, h)["start"]).alias("starts"), ends(heads).alias("ends")))
+
+    return let(let(F.transform(spans, lambda s: s["end"]), lambda x: running(x, lambda a, b: F.greatest(a, b))), apart)
+
+
+def _cut(text: Column, spans: Column, mask: str) -> Column:
+    """The text with each of its spans (at least one) replaced by mask, piece by piece."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    zero = lambda at: F.struct(at.alias("next"), F.lit("").alias("out"))
+
+    def cut(own: Column) -> Column:
+        starts, ends = own["starts"], own["ends"]
+
+        def one(piece: Column, k: Column) -> Column:
+            at = k * PIECE
+            # the spans that begin before the piece ends and end after it begins
+            first, last = below(ends, at + 1) + 1, below(starts, at + PIECE)
+
+            def step(state: Column, i: Column) -> Column:
+                start, end = F.element_at(starts, i), F.element_at(ends, i)
+                kept = F.substring(piece, state["next"] - at + 1, F.greatest(start - state["next"], F.lit(0)))
+                return F.struct(F.greatest(state["next"], end).alias("next"), F.concat(state["out"], kept, F.when(start >= at, mask).otherwise("")).alias("out"))
+
+            rest = lambda s: F.concat(s["out"], F.substring(piece, s["next"] - at + 1, F.lit(PIECE)))
+            return F.when(last >= first, F.aggregate(F.sequence(first, F.greatest(first, last)), zero(at), step, rest)).otherwise(piece)
+
+        return F.array_join(F.transform(pieces, one), "")
+
+    return let(let(spans, _apart), cut)
+
+
 def redact(docs: DataFrame, *, text_col: str = "text", mask: str = "[SECRET]", classes: tuple[EntropyClass, ...] = CLASSES, allow: AllowList = AllowList()) -> DataFrame:
     """The columns of docs, every span of the text (overlapping ones together) replaced by mask."""
     text = position(docs, text_col)
-    zero = F.struct(F.lit(0).alias("next"), F.lit("").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        apart = s["start"] >= state["next"]
-        gap = F.when(apart, F.concat(F.substring(F.col(text), state["next"] + 1, s["start"] - state["next"]), F.lit(mask))).otherwise("")
-        return F.struct(F.greatest(state["next"], s["end"]).alias("next"), F.concat(state["out"], gap).alias("out"))
-
-    clean = F.aggregate("spans", zero, step, lambda s: F.concat(s["out"], F.substring(F.col(text), s["next"] + 1, F.length(F.col(text)))))
     out = with_spans(numbered(docs), text, classes, allow)
+    clean = _cut(F.col(text), F.col("spans"), mask)
     out = out.withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(F.col(text)))
     return out.select(*[F.col(f"c{i}") for i in range(len(docs.columns))]).toDF(*docs.columns)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -465,6 +466,47 @@ def test_all_spans_of_whole_documents_against_brute_force(spark, documents):
     assert sum("entropy" in x for x in found.values()) > 100
 
 
+def masked(text, spans):
+    """The text with spans (start, end) replaced, overlapping ones together."""
+    out, at = [], 0
+    for a, b in sorted(spans):
+        if a >= at:
+            out += [text[at:a], "[SECRET]"]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+@pytest.mark.parametrize("piece", [7, 64, 1024])
+def test_masked_texts_against_brute_force(spark, documents, monkeypatch, piece):
+    monkeypatch.setattr(secrets, "PIECE", piece)
+    rng = random.Random(piece)
+    made = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    letters = secrets.CLASSES[1].alphabet
+    parts = [lambda: made(letters, rng.randrange(15, 60)), lambda: made("0123456789abcdef", rng.randrange(20, 90)), lambda: "token=" + made("0123456789abcdef", 30) + "AKIA" + made("ABC123", 20), lambda: "é🙂 word\n", lambda: "x"]
+    rows = [(i, rng.choice((" ", "")).join(rng.choice(parts)() for _ in range(rng.randrange(30)))) for i in range(150)]
+    rows += [(5_000 + r["doc_id"], r["text"]) for r in documents.where("doc_id % 9 = 0").select("doc_id", "text").collect()]
+    found = {r["doc_id"]: r["text"] for r in secrets.redact(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    for d, text in rows:
+        spans = [tuple(map(int, s.split(":")[1:])) for s in all_spans(text or "").split(",") if s]
+        assert found[d] == (text and masked(text, spans)), d
+
+
+def test_the_work_grows_with_the_matches(spark):
+    took = {}
+    for n in (16_000, 64_000):
+        text = " ".join(hashlib.sha1(str(i).encode()).hexdigest() for i in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string").cache()
+        docs.count()
+        began = time.time()
+        row = secrets.scan(docs).first()
+        assert row["n_hex"] == n and row["spans"].endswith(f"hex:{41 * (n - 1)}:{41 * n - 1}") and row["found"][-1]["value"] == text[-40:]
+        assert secrets.redact(docs).first()["text"] == " ".join(["[SECRET]"] * n)
+        took[n] = time.time() - began
+    assert took[64_000] < 5 * took[16_000]
+    blob = "".join(random.Random(1).choice(secrets.CLASSES[1].alphabet[:62]) for _ in range(300_000))
+    assert secrets.scan(spark.createDataFrame([(1, f"a {blob}")], "doc_id bigint, text string")).first()["spans"] == "entropy:2:300002"
+
+
 def test_entropy_spans_and_allow_list(spark):
     key = "Zk3vQ9xT7bLm2RsW8pYd4HcN6fGj"
     rows = [(1, f"see {key} here"), (2, "a" * 40), (3, f"EXAMPLE{key}"), (4, "averylongordinarywordwithoutdigits"), (5, f"token={key}")]
