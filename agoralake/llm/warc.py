@@ -47,11 +47,18 @@ def urn(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-8"), F.substring(h, 13, 3), F.lit("-b"), F.substring(h, 16, 3), F.lit("-"), F.substring(h, 19, 12), F.lit(">"))
 
 
+#: What follows a tag's name; a quoted value after "=" may hold ">".
+_ATTRIBUTES = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?[^>=]*+)*+"""
+
+
 def without_markup(html: Column) -> Column:
-    """Visible text with its entities: scripts, styles and comments go, block ends become line ends."""
-    x = F.regexp_replace(html, r"(?is)<(?:!--.*?--|(script|style|noscript|template)\b[^>]*+>.*?</\1\s*+)>", " ")
-    x = F.regexp_replace(x, r"(?i)<(?:br|/?(?:p|div|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav|title))\b[^>]*+>", "\n")
-    return F.regexp_replace(x, r"<[^>]*+>", "")
+    """Visible text with its entities: scripts, styles and comments go, block ends become line ends.
+
+    A tag begins with a letter, "/", "!" or "?" right after "<"; any other "<" is text.  A comment, a script or the
+    like that is never closed reaches to the end of the page."""
+    x = F.regexp_replace(html, rf"(?is)<(?:!--.*?(?:--!?>|\z)|(script|style|noscript|template)\b{_ATTRIBUTES}>.*?(?:</\1\b[^>]*+>|\z))", " ")
+    x = F.regexp_replace(x, rf"(?i)<(?:br|/?(?:p|div|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav|title))\b{_ATTRIBUTES}>", "\n")
+    return F.regexp_replace(x, rf"<(?:/?[A-Za-z]{_ATTRIBUTES}|[!?/][^>]*+)>", "")
 
 
 def decoded(x: Column) -> Column:
@@ -138,11 +145,14 @@ def record_text() -> Column:
     return F.concat(F.concat_ws(CRLF, *head), F.lit(CRLF * 2), F.col("block"), F.lit(CRLF * 2))
 
 
-def write_records(derived: DataFrame, path: str, *, records_per_file: int = 100_000) -> None:
-    """Derived records as WARC files of at most records_per_file records below path."""
+def write_records(derived: DataFrame, path: str, *, file_bytes: int = 64 << 20) -> None:
+    """Derived records as WARC files below path, dealt evenly to so many that each holds about file_bytes at most, or a
+    longer record; a reader takes a file as one value, so it must stay well below 2 GB."""
     whole = record_text()  # its last byte is the writer's line end
+    size = derived.agg(F.sum("content_length")).first()[0] or 0
     rows = derived.select(F.substring(whole, F.lit(1), F.length(whole) - 1).alias("value"))
-    rows.write.option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).text(path)
+    # half full on average: records differ in length, and have headers
+    rows.repartition(-(-2 * size // file_bytes) or 1).write.option("lineSep", "\n").text(path)
 
 
 #: Columns of read_records by their header.
@@ -153,12 +163,14 @@ def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record of a file."""
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:end].decode().split(CRLF)
+        end = data.find(b"\r\n\r\n", at)
+        first, *lines = data[at : max(end, at)].decode().split(CRLF)
         if not first.startswith("WARC/"):
             raise ValueError(f"no record at byte {at}")
         headers = dict(line.split(": ", 1) for line in lines)
         size = int(headers["Content-Length"])
+        if data[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
+            raise ValueError(f"the record at byte {at} is cut")
         yield headers, data[end + 4 : end + 4 + size]
         at = end + 4 + size + 4
 

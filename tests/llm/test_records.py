@@ -5,7 +5,9 @@ import hashlib
 import random
 import re
 import unicodedata
+from html.parser import HTMLParser
 
+import pytest
 import regex
 from pyspark.sql import functions as F
 
@@ -421,13 +423,59 @@ def squeezed(text):
     return re.sub(r" ?\n[ \n]*", "\n", text).strip(" \n")
 
 
+class Visible(HTMLParser):
+    """Visible text as the standard library's parser tells it."""
+
+    raw = ("script", "style", "noscript", "template")
+    ends = "br p div li ul ol tr table h1 h2 h3 h4 h5 h6 section article header footer nav title".split()
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.inside = [], None
+
+    def handle_starttag(self, tag, attrs):
+        if self.inside is None and tag in self.raw:
+            self.inside = tag
+        elif self.inside is None and tag in self.ends:
+            self.out.append("\n")
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        if tag == self.inside:
+            self.inside = None
+            self.out.append(" ")
+        elif self.inside is None and tag in self.ends and tag != "br":
+            self.out.append("\n")
+
+    def handle_comment(self, data):
+        if self.inside is None:
+            self.out.append(" ")
+
+    def handle_data(self, data):
+        if self.inside is None:
+            self.out.append(data)
+
+
 def plain(made):
-    """Visible text by Python's own patterns and entity table."""
-    import html
+    parser = Visible()
+    parser.feed(made)
+    parser.close()
+    return squeezed("".join(parser.out).replace("\u00a0", " "))
 
-    text = re.sub(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", " ", made)
-    text = re.sub(r"(?i)<(?:br|/?(?:p|div|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav|title))\b[^>]*>", "\n", text)
-    return squeezed(html.unescape(re.sub("<[^>]*>", "", text)).replace("\u00a0", " "))
+
+def test_visible_text_of_odd_markup(spark):
+    rng = random.Random(8)
+    parts = ["word", "1 < 2 and 3 > 2", " <3 ", "if a <= b", "<p>", "</p>", "<P class=x>", "<br/>", "<br >", "<b>", "</b>", "<a title=\"a > b\" href='/x?y=1'>", "</a>", "<!-- c > d -->", "<!---->", "<script>if (a < b) x('<p>')</script>", "<STYLE media=all>p > b {}</Style >", "<scripted>", "&lt;b&gt;", "&auml;", "R&D", "\n", "  ", "<!DOCTYPE html>", "<?x y?>", "<noscript>n <b>o</b></noscript>", "<img src=x alt='>'>", "<h2 id=k>", "</h2>", "<section>", "<div\n>", "é", "5<6"]
+    made = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) + rng.choice(["", "", "<script>never <p>closed"]) for _ in range(1500)]
+    made += ["<p>1 < 2 and 3 > 2</p>", "a<script>b", "a <b title='x>y'>c</b>", "<p " + "a=b " * 20_000 + ">x", "<" * 10_000 + "x"]
+    rows = {r["i"]: r["t"] for r in spark.createDataFrame(list(enumerate(made)), "i int, h string").select("i", warc.plain_text(F.col("h")).alias("t")).collect()}
+    for i, m in enumerate(made):
+        assert rows[i] == plain(m), m
+    assert rows[1500] == "1 < 2 and 3 > 2" and rows[1501] == "a"
+    # a comment that never ends is one to the end of the page
+    assert spark.createDataFrame([("a<!-- b <p>c",)], "h string").select(warc.plain_text(F.col("h"))).first()[0] == "a"
 
 
 def test_derivatives_against_brute_force(spark):
@@ -471,7 +519,9 @@ def test_files_read_back(spark, tmp_path):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
     odd = spark.createDataFrame([(70_001, "http://h/x", "<p>\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc äöü"), (70_002, None, None)], "page_id bigint, url string, html string")
     derived = warc.derivatives(warc.responses(pages.unionByName(odd)))
-    warc.write_records(derived, str(tmp_path / "warc"), records_per_file=50)
+    warc.write_records(derived, str(tmp_path / "warc"), file_bytes=40_000)
+    sizes = [f.stat().st_size for f in (tmp_path / "warc").glob("part-*")]
+    assert len(sizes) > 3 and max(sizes) < 2 * 40_000
     read = warc.read_records(spark, str(tmp_path / "warc"))
     columns = ["record_type", "record_id", "refers_to", "target_uri", "date", "block_digest", "source_digest", "content_type", "block"]
     assert sorted(map(tuple, read.select(*columns).collect())) == sorted(map(tuple, derived.select(*columns).collect()))
@@ -479,6 +529,19 @@ def test_files_read_back(spark, tmp_path):
     assert warc.read_records(spark, str(tmp_path / "warc")).groupBy("refers_to").count().where("count <> 2").isEmpty()
 
 
+def test_cut_files_and_uris_of_other_letters(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://h/ä/日本", "<p>x"), (2, "http://h/b", "<p>yy")], "page_id bigint, url string, html string")
+    warc.write_records(warc.derivatives(warc.responses(pages)), str(tmp_path / "warc"))
+    assert {r["target_uri"] for r in warc.read_records(spark, str(tmp_path / "warc")).collect()} == {"http://h/ä/日本", "http://h/b"}
+    data = b"".join(f.read_bytes() for f in (tmp_path / "warc").glob("part-*"))
+    assert len(list(warc.parsed(data))) == 4
+    for at in (len(data) - 1, len(data) - 30, 500, 12):
+        with pytest.raises(ValueError):
+            list(warc.parsed(data[:at]))
+    with pytest.raises(ValueError):
+        list(warc.parsed(b"x" + data))
+
+
 def test_derivatives_of_no_pages(spark):
     none = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert warc.derivatives(warc.responses(none)).count() == 0
