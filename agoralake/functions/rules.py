@@ -1,14 +1,11 @@
-"""Rule tables and what they decide, as column expressions with literal patterns (each compiled once)."""
+"""Rule tables and what they decide: tables of many patterns in one pass (see keywords), few patterns as one literal."""
 
 from __future__ import annotations
 
-import re
-from functools import reduce
-from itertools import product
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .keywords import any_found, labels_found
 from .text import known
 
 # Keyword patterns and the labels they give, in order.
@@ -101,63 +98,20 @@ ASSERTED_OUTCOME = r"\b(hat beschlossen|wurde beschlossen|ist beschlossen|hat en
 SHORT_HEADING, SHORT_TITLE = 22, 12
 
 
-#: A bar outside of groups, and what a lower-case keyword may hold besides letters.
-_BAR = re.compile(r"\|(?![^(]*\))")
-_KEYWORD = re.compile(r"[\w -]+")
-#: What a keyword's pattern may hold besides: word bounds, dots, optional characters, any run, groups of keywords.
-_KNOWN = re.compile(r"(?:\\b|\\\.|\.\*|[\w -]\??|\([\w|]+\))+")
+def any_match(text: Column, patterns, flags: str = "(?iU)") -> Column:
+    """Whether one of a few patterns is found, in all scripts and either case."""
+    return known(text).rlike(flags + "|".join(f"(?:{p})" for p in patterns))
 
 
-def any_match(text: Column, patterns, flags: str = "(?iU)") -> Column:
-    """Whether one of the patterns is found, in all scripts and either case."""
-    # patterns bound to the start share one anchor, so that other places are left at once
-    starts = [p[1:] for p in patterns if p.startswith("^") and not _BAR.search(p)]
-    others = [p for p in patterns if not p.startswith("^") or _BAR.search(p)]
-    one_of = lambda ps: "|".join(f"(?:{p})" for p in ps)
-    found = [known(text).rlike(flags + p) for p in ([f"^(?:{one_of(starts)})"] if starts else []) + ([one_of(others)] if others else [])]
-    return reduce(lambda x, y: x | y, found) if found else F.lit(False)
-
-
-def folded(text: Column) -> Column:
-    """Lower case, with the characters that patterns in either case take for s, k and i."""
-    return F.lower(F.translate(text, "\u017f\u212a\u0130\u0131", "skii"))
-
-
-def has_keyword(text: Column, folded_text: Column, pattern: str) -> Column:
-    """text.rlike("(?iU)" + pattern) for alternatives in lower case, most of which are plain substrings; a capital sharp s counts everywhere."""
-    plain: list[str] = []
-    found: list[Column] = []
-    for alternative in _BAR.split(pattern):
-        if not _KNOWN.fullmatch(alternative):
-            found.append(text.rlike("(?iU)" + alternative))
-            continue
-        groups = [g[1:-1].split("|") if g.startswith("(") else [g] for g in re.split(r"(\([^)]*\))", alternative)]
-        for spelled in map("".join, product(*groups)):
-            fixed = [k for k in re.split(r"\\b|\\\.|\.\*|.\?", spelled) if k]
-            if _KEYWORD.fullmatch(spelled):
-                plain.append(spelled)
-            elif fixed:  # the pattern decides only where its longest fixed part occurs
-                found.append(folded_text.contains(max(fixed, key=len)) & text.rlike("(?iU)" + spelled))
-            else:
-                found.append(text.rlike("(?iU)" + spelled))
-    # a keyword that holds another one needs no look of its own
-    shortest = [k for k in plain if not any(o != k and o in k for o in plain)]
-    return reduce(lambda x, y: x | y, [folded_text.contains(k) for k in dict.fromkeys(shortest)] + found)
-
-
-def tags(text: Column, table, flags: str = "(?iU)") -> Column:
-    """Labels of all rules that match, in the table's order, each once."""
-    # text and folded text are made once, however many rules look at them
-    if flags == "(?iU)":
-        labels = lambda x, y: [F.when(has_keyword(x, y, p), F.lit(label)) for p, label in table]
-    else:
-        labels = lambda x, _: [F.when(x.rlike(flags + p), F.lit(label)) for p, label in table]
-    within = lambda x: F.get(F.transform(F.array(folded(x)), lambda y: F.array_compact(F.array(*labels(x, y)))), F.lit(0))
-    return F.array_distinct(F.get(F.transform(F.array(known(text)), within), F.lit(0)))
+def tags(text: Column, table, flags: str | None = None) -> Column:
+    """Labels of all rules that match, in the table's order, each once: in one pass for all rules, or with flags pattern by pattern."""
+    if flags is None:
+        return labels_found(known(text), table)
+    return F.array_distinct(F.array_compact(F.array(*[F.when(known(text).rlike(flags + p), F.lit(label)) for p, label in table])))
 
 
 def is_routine(title: Column) -> Column:
-    return any_match(title, ROUTINE)
+    return any_found(known(title), ROUTINE)
 
 
 def is_holding_body(body: Column) -> Column:

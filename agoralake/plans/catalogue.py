@@ -24,8 +24,6 @@ SELECTION = {"p_brand": ["Brand#12", "Brand#23", "Brand#34", "Brand#45"], "p_siz
 PRIORITIES = ("5-LOW", "1-URGENT", "3-MEDIUM")
 ALLOWED_EVENTS = ("click", "view")
 PHRASES = r"(of the |die der |de la |el la |hat beschlossen|wurde entschieden)"
-#: The rules that the SQL has: DuckDB's word boundary knows ASCII letters only.
-SAFE_TABLE = tuple((p, label) for p, label in rules.LIFE_SITUATIONS + rules.OCCASIONS if r"\b" not in p)
 
 
 def query(f: Query) -> Query:
@@ -157,7 +155,7 @@ def routine_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def multi_label_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of all rules.  The SQL has SAFE_TABLE only, and agrees where no other rule matches."""
+    """Labels of all rules, found in one pass."""
     docs = table(spark, sf_dir, "documents")
     searched = F.concat_ws(" ", "text", text.without_persons(F.col("source")), "lang")
     return docs.select("doc_id", F.explode(rules.tags(searched, rules.LIFE_SITUATIONS + rules.OCCASIONS)).alias("tag"))
@@ -169,12 +167,6 @@ def heading_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select(F.col("session_id").cast("long").alias("page_id"), rules.is_collective_heading(F.col("title")).alias("collective"), rules.is_short(F.col("title")).alias("short"))
 
 
-@query
-def heading_filter_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """heading_filter under its earlier name."""
-    return heading_filter(spark, sf_dir)
-
-
 @query
 def facet_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.select(table(spark, sf_dir, "part"), SELECTION).select("p_partkey", "p_brand", long("p_size"))

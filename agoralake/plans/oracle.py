@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions import rules, text
-from .catalogue import ALLOWED_EVENTS, AS_OF, PHRASES, FEED_AS_OF, PRIORITIES, SAFE_TABLE, SELECTION
+from ..functions.keywords import alternatives
+from .catalogue import ALLOWED_EVENTS, AS_OF, PHRASES, FEED_AS_OF, PRIORITIES, SELECTION
 
 
 def lit(x: str) -> str:
@@ -25,6 +28,13 @@ def found(x: str, pattern: str, flags: str = "i") -> str:
     return f"regexp_matches({x}, {lit(f'(?{flags})' + pattern if flags else pattern)})"
 
 
+def bounded(pattern: str) -> str:
+    """The pattern with word bounds of all scripts written out (they stand at the ends of alternatives)."""
+    other = r"[^\p{L}\p{N}_]"
+    ends = [re.sub(r"\\b$", lambda _: f"(?:$|{other})", re.sub(r"^\\b", lambda _: f"(?:^|{other})", a)) for a in alternatives(pattern)]
+    return "|".join(ends)
+
+
 def some(x: str, patterns, flags: str = "i") -> str:
     return "(" + " or ".join(found(x, p, flags) for p in patterns) + ")"
 
@@ -99,9 +109,8 @@ select id, case when length(c) > {text.MOST_TITLE} then regexp_replace(left(c, {
     "district_extract": "select p_partkey, case when p_size % 3 = 0 then 'IV-' || p_brand else '' end as district from part",
     "suffix_scrub": f"select doc_id, sha256({_scrub(chr(39) + 'Frau ' + chr(39) + ' || text')}) as scrubbed_sha256, length({_scrub(chr(39) + 'Bericht Herr Müller Referentin: ' + chr(39) + ' || text')}) as \"left\" from documents",
     "routine_flag": f"select doc_id, {some('text', rules.ROUTINE)} as routine, {some('text', (r'^the ', r' of the ', r'!!$'))} as plain from documents",
-    "multi_label_tags": "with d as (select doc_id, text || ' ' || source || ' ' || lang as x from documents), t as (select doc_id, unnest([" + ", ".join(f"case when {found('x', p)} then {lit(label)} end" for p, label in SAFE_TABLE) + "]) as tag from d) select distinct doc_id, tag from t where tag is not null",
+    "multi_label_tags": "with d as (select doc_id, text || ' ' || source || ' ' || lang as x from documents), t as (select doc_id, unnest([" + ", ".join(f"case when {found('x', bounded(p))} then {lit(label)} end" for p, label in rules.LIFE_SITUATIONS + rules.OCCASIONS) + "]) as tag from d) select distinct doc_id, tag from t where tag is not null",
     "heading_filter": PAGES + f"select page_id, length(title) < {rules.SHORT_HEADING} and not {found('title', rules.PLACE_WORD)} as collective, length(title) < {rules.SHORT_TITLE} as short from t",
-    "heading_filter_titles": PAGES + f"select page_id, length(title) < {rules.SHORT_HEADING} and not {found('title', rules.PLACE_WORD)} as collective, length(title) < {rules.SHORT_TITLE} as short from t",
     "facet_filter": f"select p_partkey, p_brand, cast(p_size as bigint) as p_size from part where {IN_SELECTION}",
     "facet_counts": " union all ".join(f"select '{a}' as axis, cast({a} as varchar) as value, count(*) as n from part where {a} is not null group by 2" for a in ("p_brand", "p_type", "p_size")),
     "facet_page": f"select *, case when rank <= 8 then cast(1 as bigint) else 2 end as page from (select p_partkey, p_retailprice, row_number() over (order by p_retailprice desc, p_partkey) as rank from part where {IN_SELECTION}) where rank <= 28",
