@@ -100,16 +100,40 @@ def feed_header(feed: DataFrame, header: dict[str, str]) -> DataFrame:
     return statistics(feed).select(*[F.lit(v).alias(k) for k, v in header.items()], F.struct("curated", "drafts", "easy").alias("statistics"))
 
 
+def header_values(feed: DataFrame, sessions: DataFrame, items: DataFrame, registry: DataFrame, official_districts: DataFrame) -> DataFrame:
+    """(axis, value, n, ord): everything that a header counts or lists, from one pass over the feed, one over sessions and one over items.
+
+    ord is the official place of a district, status or source; those that do not occur have n 0."""
+    pair = lambda axis, value: F.struct(F.lit(axis).alias("axis"), value.cast("string").alias("value"))
+    counted = lambda name, when=None: F.array(pair("total", F.lit(name))) if when is None else F.when(when, F.array(pair("total", F.lit(name)))).otherwise(F.array().cast("array<struct<axis:string,value:string>>"))
+    values = lambda axis: F.transform(axis, lambda v: pair(axis, v))
+    entry = F.concat(*map(values, AXES), F.array(pair("status", F.col("status")), pair("source", F.col("source"))), counted("curated"), counted("drafts", F.col("is_draft")), counted("easy", F.col("text_easy") != ""))
+    item = F.concat(counted("items"), counted("routine", F.col("is_routine")))
+    seen = [df.select(F.explode(pairs).alias("p")) for df, pairs in ((feed, entry), (sessions, counted("sessions")), (items, item))]
+    seen = seen[0].unionByName(seen[1]).unionByName(seen[2]).select("p.*", F.lit(1).cast("long").alias("n"), F.lit(None).cast("long").alias("ord"))
+    known_ = lambda df, axis, value: df.select(F.lit(axis).alias("axis"), F.col(value).cast("string").alias("value"), F.lit(0).cast("long").alias("n"), F.col("ord").cast("long").alias("ord"))
+    statuses = F.explode(F.array(*[F.struct(F.lit(s).alias("value"), F.lit(i).alias("ord")) for i, s in enumerate(STATUSES)]))
+    statuses = feed.sparkSession.range(1).select(statuses.alias("s")).select("s.*")
+    every = seen.unionByName(known_(registry, "source", "source")).unionByName(known_(official_districts, "district", "value")).unionByName(known_(statuses, "status", "value"))
+    return every.groupBy("axis", "value").agg(F.sum("n").alias("n"), F.min("ord").alias("ord"))
+
+
 def full_header(feed: DataFrame, sessions: DataFrame, items: DataFrame, registry: DataFrame, official_districts: DataFrame, header: dict[str, str]) -> DataFrame:
     """One row: header, statistics of corpus and feed (with entries per source and status), and the values of all axes in their order."""
-    per = per_source(feed, registry).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n")))).alias("per_source"))
-    states = status_distribution(feed).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("status"))
-    listed = lambda df, order, name: df.agg(F.array_sort(F.collect_list(F.struct(*order, F.col("value").alias("v")))).alias("x")).select(F.transform("x", lambda s: s["v"]).alias(name))
-    districts = official_first(feed.select(F.explode("district").alias("value")).distinct(), official_districts).withColumn("ord", F.coalesce("ord", F.lit(1 << 30)))
-    one = corpus_statistics(sessions, items).join(statistics(feed)).join(per).join(states)
-    one = one.join(listed(axis_values(feed, "life"), [], "life")).join(listed(districts, ["ord"], "district")).join(listed(axis_values(feed, "occasion"), [], "occasion"))
-    one = one.join(listed(statuses_present(feed).select(F.col("status").alias("value"), "ord"), ["ord"], "statuses"))
-    return one.select(
+    found = header_values(feed, sessions, items, registry, official_districts)
+    axis, occurs = F.col("axis"), F.col("n") > 0
+    total = lambda name: F.coalesce(F.sum(F.when((axis == "total") & (F.col("value") == name), F.col("n"))), F.lit(0)).cast("long").alias(name)
+    counts = lambda name, when: F.map_from_entries(F.array_sort(F.collect_list(F.when((axis == name) & when, F.struct("value", "n")))))
+    place = F.coalesce("ord", F.lit(1 << 30))
+    listed = lambda name, when=occurs: F.transform(F.array_sort(F.collect_list(F.when((axis == name) & when, F.struct(place.alias("ord"), F.col("value").alias("v"))))), lambda s: s["v"])
+    row = found.agg(
+        *[total(c) for c in ("sessions", "items", "routine", "curated", "drafts", "easy")],
+        counts("source", F.col("ord").isNotNull()).alias("per_source"),
+        counts("status", occurs).alias("status"),
+        *[listed(a).alias(a) for a in AXES],
+        listed("status", occurs & F.col("ord").isNotNull()).alias("statuses"),
+    )
+    return row.select(
         *[F.lit(v).alias(k) for k, v in header.items()],
         F.struct("sessions", "items", "routine", "curated", "drafts", "easy", "per_source", "status").alias("statistics"),
         F.struct("life", "district", "occasion", "statuses").alias("axes"),

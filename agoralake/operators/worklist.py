@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import approximate_tokens, date_number, district_of, known, plain_title, without_persons
-from .topics import curated_topics, has_decision, lead_appearances
+from .topics import curated_topics, has_decision
 
 
 def candidates(items: DataFrame, curation: DataFrame, source: str | None = None, holding: bool = False) -> DataFrame:
@@ -48,22 +48,31 @@ def done_topics(curation: DataFrame, items: DataFrame) -> DataFrame:
     return curated_topics(curation.where(known(F.col("text_plain")) != ""), items).select("topic").distinct()
 
 
-def open_items(items: DataFrame, curation: DataFrame, source: str = "stadt") -> DataFrame:
+def _eligible(items: DataFrame, source: str) -> DataFrame:
     found = items.where((F.coalesce("source", F.lit("stadt")) == source) & ~rules.is_holding_body(F.col("body")))
-    found = found.where(F.col("is_public") & ~F.col("is_routine") & ~rules.is_short(F.col("title")) & ~rules.is_collective_heading(F.col("title")) & (F.trim("nr") != "Ö"))
-    return found.join(done_topics(curation, items), "topic", "left_anti")
+    return found.where(F.col("is_public") & ~F.col("is_routine") & ~rules.is_short(F.col("title")) & ~rules.is_collective_heading(F.col("title")) & (F.trim("nr") != "Ö"))
+
+
+def open_items(items: DataFrame, curation: DataFrame, source: str = "stadt") -> DataFrame:
+    return _eligible(items, source).join(done_topics(curation, items), "topic", "left_anti")
 
 
 def work_queue(items: DataFrame, curation: DataFrame, most: int = 25, source: str = "stadt") -> DataFrame:
     """The first topics without a text: topics with a decision stage first, later ones first, input order within ties (0: none).
 
+    The topics are chosen by aggregates that combine before the shuffle; only the chosen ones' items are gathered.
     One row per topic: the lead appearance with all appearances, the main document and what was skipped.
     """
-    found = open_items(items, curation, source)
-    lead = lead_appearances(found)
+    decided, place = has_decision(F.col("stages")), F.struct("session_ord", "item_ord")
+    order = [F.desc("decided"), F.desc(date_number(F.col("date_iso"))), F.asc("first")]
+    topics = open_items(items, curation, source).groupBy("topic").agg(F.max(F.struct(decided.alias("decided"), "date_iso")).alias("lead"), F.min(place).alias("first"))
+    chosen = topics.select("topic", "lead.*", "first").orderBy(*order).limit(most)
+    # no item of a chosen topic is done
+    found = _eligible(items, source).join(chosen.select("topic", "first"), "topic")
     one = F.struct("date_iso", "session_ord", "item_ord", "date_disp", "body")
-    grouped = found.groupBy("topic").agg(F.max(has_decision(F.col("stages"))).alias("decided"), F.min(F.struct("session_ord", "item_ord")).alias("first"), F.array_sort(F.collect_list(one)).alias("all"))
-    queue = lead.join(grouped, "topic").orderBy(F.desc("decided"), F.desc(date_number(F.col("date_iso"))), F.asc("first")).limit(most)
+    rank = F.struct(decided, F.col("date_iso"), (-F.col("session_ord")).alias("a"), (-F.col("item_ord")).alias("b"))
+    lead = F.max_by(F.struct(*[c for c in items.columns if c != "topic"], decided.alias("decided")), rank).alias("lead")
+    queue = found.groupBy("topic", "first").agg(lead, F.array_sort(F.collect_list(one)).alias("all")).select("topic", "lead.*", "first", "all").orderBy(*order)
     documents = rules.prioritised(rules.main_documents(F.col("documents")))
     return queue.withColumn("main", documents).select(
         "topic", "ref", "date_iso", "body", F.col("title").alias("official_title"), "proposal", "proposal_url", "applicant",

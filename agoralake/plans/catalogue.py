@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..operators import facets, feed, quality, status, topics, worklist
-from ..sources import pages, records, sinks
+from ..sources import documents, pages, records, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -589,6 +589,31 @@ def feed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row.select("built", *[s[c].alias(c) for c in ("sessions", "items", "routine", "curated", "drafts", "easy")], joined(s["per_source"]).alias("per_source"), joined(s["status"]).alias("status"), *[F.array_join(a[c], ",").alias(c) for c in ("life", "district", "occasion", "statuses")])
 
 
+@query
+def feed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The built feed written under its own names and read back: its head's counts, and the checks that read a stored feed."""
+    sessions, items, curation = _corpus(spark, sf_dir)
+    known = F.lit("").alias
+    stages = F.transform("stages", lambda s: F.struct(s["date_iso"].alias("date_iso"), s["date_disp"].alias("date_disp"), known("body"), known("nr"), F.lit(True).alias("is_public"), s["role"].alias("role"), known("session_url")))
+    path = sinks.shared_path(spark, "feed")
+    written = documents.write_rows(documents.own_entries(feed.build_feed(sessions, items, curation, FEED_AS_OF).withColumn("stages", stages)), path)
+    back = documents.read_feed(spark, path)
+    registry = records.source_registry(spark, {s: (s, "http://h") for s in ("de", "en", "es", "fr", "it")})
+    official = spark.createDataFrame([("fr", 0), ("de", 1)], "value string, ord int")
+    raw = documents.raw_head(items.select("source", F.array(F.struct("is_routine")).alias("items")), registry, "", FEED_AS_OF, "2026-01", "2026-12")
+    documents.write_head(documents.own_head(feed.full_header(back, sessions, items, registry, official, {}), raw, "Stadt", FEED_AS_OF), path)
+    head = documents.read_feed_head(spark, path)
+    row = lambda part, name, n: F.struct(F.lit(part).alias("part"), name.alias("name"), n.cast("long").alias("n"))
+    counts = F.array(row("head", F.lit("drafts"), F.col("statistik.entwuerfe")), row("head", F.lit("easy"), F.col("statistik.leichte_sprache")), row("head", F.lit("curated"), F.col("statistik.tops_kuratiert")), row("rows", F.lit("written"), F.lit(written["rows"])))
+    maps = F.concat(F.transform(F.map_entries("statistik.stand"), lambda e: row("status", e["key"], e["value"])), F.transform(F.map_entries("quellen"), lambda e: row("source", e["key"], e["value"]["anzahl_tops"])), F.transform("achsen.bezirk", lambda v, i: row("district", v, i)))
+    told = head.select(F.explode(F.concat(counts, maps)).alias("r")).select("r.*")
+    curated = topics.curated_topics(curation, items).select("ref", "topic")
+    checks = [quality.coverage_report(items, back).select(row("coverage", F.col("reason"), F.col("n")).alias("r")), quality.duplicate_topics(back).select(row("duplicate", F.col("ref"), F.col("detail")).alias("r")), quality.lost_easy_texts(curation, back, curated).select(row("lost", F.col("ref"), F.lit(1)).alias("r"))]
+    for found in checks:
+        told = told.unionByName(found.select("r.*"))
+    return told
+
+
 @query
 def best_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The work queue as one JSON array."""

@@ -173,6 +173,14 @@ union all select '0 von ' || total || ' Einträgen passen zu Ihrer Auswahl', 'Ke
     "provenance": "select 'Quellen: Stadt · Bezirke · Daten abgerufen am 03.07.2026 · Zeitraum 2026-05 bis 2026-07 · Aufbereitet: ' || (select count(*) from part) || ' von ' || count(*) || ' Tagesordnungspunkten (' || count(*) filter (o_orderstatus = 'F') || ' Sitzungsroutine ausgelassen).' as line from orders",
     "draft_report": "select count(*) as drafts, count(*) filter (p_size % 2 = 0 and p_size % 3 = 0) as without_tag, count(*) filter (p_size % 5 = 0) as without_district from part",
     "built_feed": BUILT + "select topic, ref, topic_ord, is_draft, date_iso, official_title, status, status_date, minutes_url, n_appearances from f",
+    "feed_round_trip": BUILT + f""", h(source) as (values ('de'), ('en'), ('es'), ('fr'), ('it')),
+k as (select case when topic in (select topic from f) or ref in (select ref from f) then 'im Feed' when page_id % 10 = 0 then 'Sitzungsroutine' when {found('body', rules.HOLDING_BODY)} then 'Aufsichtsrat/Zweckverband' when length(title) < {rules.SHORT_TITLE} then 'Titel zu kurz' when length(title) < {rules.SHORT_HEADING} and not {found('title', rules.PLACE_WORD)} then 'Sammelueberschrift' else 'NOCH NICHT AUFBEREITET' end as reason from t)
+select 'head' as part, 'drafts' as name, count(*) filter (is_draft) as n from f union all select 'head', 'easy', count(*) filter (best_id % 5 = 0) from f union all select 'head', 'curated', count(*) from f union all select 'rows', 'written', count(*) from f
+union all select 'status', status, count(*) from f group by 2
+union all select 'source', h.source, count(t.ref) from h left join t on t.source = h.source group by 2
+union all select 'district', source, row_number() over (order by case source when 'fr' then 0 when 'de' then 1 else 2 end, source) - 1 from (select distinct source from f)
+union all select 'coverage', reason, count(*) from k group by 2
+union all select 'lost', ref, 1 from t where source <> 'es' and page_id % 5 = 0 and ref not in (select ref from f) and topic not in (select topic from f where best_id % 5 = 0)""",
     "feed_summary": BUILT + f""", r(source) as (values ('de'), ('en'), ('es'), ('fr'), ('it'))
 select '{FEED_AS_OF}' as built, (select count(*) from pages) as sessions, (select count(*) from pages) as items, (select count(*) from pages where page_id % 10 = 0) as routine, count(*) as curated, count(*) filter (is_draft) as drafts, count(*) filter (best_id % 5 = 0) as easy,
   (select string_agg(source || '=' || n, ',' order by source) from (select r.source, (select count(*) from f join l using (topic) where l.source = r.source) as n from r)) as per_source,

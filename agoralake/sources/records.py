@@ -19,6 +19,7 @@ STAGES = "array<struct<date_iso:string,date_disp:string,body:string,nr:string,is
 _DOC = "ARRAY<STRUCT<titel: STRING, url: STRING>>"
 _STAGE = "ARRAY<STRUCT<datum: STRING, datum_anzeige: STRING, gremium: STRING, top_nr: STRING, oeffentlich: BOOLEAN, rolle: STRING, sitzung_url: STRING>>"
 _ITEM = f"ARRAY<STRUCT<nr: STRING, titel: STRING, zusatz: STRING, antragsteller: STRING, nachtrag: STRING, oeffentlich: BOOLEAN, verfahren: BOOLEAN, vorlage: STRING, vorlage_url: STRING, dokumente: {_DOC}, beratungen: {_STAGE}>>"
+SESSION_SCHEMA = f"id STRING, kennung STRING, gremium STRING, raum STRING, datum STRING, datum_anzeige STRING, zeit STRING, url STRING, dokumente {_DOC}, tops {_ITEM}, quelle STRING"
 _SESSION = f"ARRAY<STRUCT<id: STRING, kennung: STRING, gremium: STRING, raum: STRING, datum: STRING, datum_anzeige: STRING, zeit: STRING, url: STRING, dokumente: {_DOC}, tops: {_ITEM}, quelle: STRING>>"
 RAW_SCHEMA = f"quellen MAP<STRING, STRUCT<name: STRING, software: STRING, basis_url: STRING, anzahl_sitzungen: INT, anzahl_tops: INT>>, hinweis STRING, abgerufen_am STRING, zeitraum STRUCT<von: STRING, bis: STRING>, anzahl_sitzungen INT, anzahl_tops INT, anzahl_verfahren INT, sitzungen {_SESSION}"
 _ENTRY = "STRUCT<klartext_titel: STRING, klartext: STRING, klartext_titel_leicht: STRING, klartext_leicht: STRING, lebenslage: ARRAY<STRING>, bezirk: ARRAY<STRING>, ort: ARRAY<STRING>, anlass: ARRAY<STRING>, entwurf: BOOLEAN>"
@@ -56,7 +57,11 @@ def _stages(c):
 
 def sessions_of(raw: DataFrame) -> DataFrame:
     """One row per session of the raw corpus, its items as an array."""
-    each = raw.select(F.posexplode("sitzungen").alias("session_ord", "s"))
+    return session_columns(raw.select(F.posexplode("sitzungen").alias("session_ord", "s")))
+
+
+def session_columns(each: DataFrame) -> DataFrame:
+    """The columns of this library for (session_ord, s), s a session under its own names."""
     return each.select(
         F.coalesce("s.quelle", F.lit("stadt")).alias("source"),
         F.col("s.id").alias("session_id"),
@@ -122,19 +127,8 @@ def vocabulary_of(curation: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("axis", "value", "ord")
 
 
-FEED_SCHEMA = (
-    "feed_gebaut_am STRING, statistik STRUCT<sitzungen_ausgelesen: BIGINT, tops_ausgelesen: BIGINT, tops_verfahren: BIGINT, tops_kuratiert: BIGINT, entwuerfe: BIGINT, leichte_sprache: BIGINT>, "
-    "eintraege ARRAY<STRUCT<ref: STRING, titel: STRING, klartext_leicht: STRING, entwurf: BOOLEAN, stand: STRING, datum: STRING>>"
-)
-
-
-def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """The entries of a feed document, in their order (feed_ord); MissingInput where it was not built yet."""
-    return read_json(spark, path, FEED_SCHEMA).select(F.posexplode("eintraege").alias("feed_ord", "e")).select("feed_ord", "e.*")
-
-
-def raw_sessions(sessions: DataFrame) -> DataFrame:
-    """Sessions (with items, their fields as in this library) under the raw corpus's own field names, one row per session."""
+def raw_sessions(sessions: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Sessions (with items, their fields as in this library) under the raw corpus's own field names, one row per session; columns to keep come last."""
     docs = lambda c: F.transform(c, lambda d: F.struct(d["title"].alias("titel"), d["url"].alias("url")))
     stages = lambda c: F.transform(c, lambda s: F.struct(s["date_iso"].alias("datum"), s["date_disp"].alias("datum_anzeige"), s["body"].alias("gremium"), s["nr"].alias("top_nr"), s["is_public"].alias("oeffentlich"), s["role"].alias("rolle"), s["session_url"].alias("sitzung_url")))
     item = lambda t: F.struct(
@@ -143,15 +137,7 @@ def raw_sessions(sessions: DataFrame) -> DataFrame:
     )
     return sessions.select(
         F.col("session_id").alias("id"), F.col("code").alias("kennung"), F.col("body").alias("gremium"), F.col("room").alias("raum"), F.col("date_iso").alias("datum"), F.col("date_disp").alias("datum_anzeige"),
-        F.col("time").alias("zeit"), F.col("session_url").alias("url"), docs("session_documents").alias("dokumente"), F.transform("items", item).alias("tops"), F.col("source").alias("quelle"),
-    )
-
-
-def raw_header(sessions: DataFrame, fetched: str, first: str, last: str) -> DataFrame:
-    """The raw corpus's counts, under its own field names, in one row."""
-    routine = F.size(F.filter("items", lambda t: t["is_routine"]))
-    return sessions.agg(F.count("*").alias("anzahl_sitzungen"), F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("anzahl_tops"), F.coalesce(F.sum(routine), F.lit(0)).alias("anzahl_verfahren")).select(
-        F.lit(fetched).alias("abgerufen_am"), F.struct(F.lit(first).alias("von"), F.lit(last).alias("bis")).alias("zeitraum"), "anzahl_sitzungen", "anzahl_tops", "anzahl_verfahren"
+        F.col("time").alias("zeit"), F.col("session_url").alias("url"), docs("session_documents").alias("dokumente"), F.transform("items", item).alias("tops"), F.col("source").alias("quelle"), *keep,
     )
 
 

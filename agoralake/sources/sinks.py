@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import known
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder named in spark.checkpoint.dir; only where that is unset (tests) in one beside the warehouse."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def json_document(parts: DataFrame) -> DataFrame:
     """One row, one JSON text, of a one-row frame; see json_lines for more rows."""
     return parts.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))

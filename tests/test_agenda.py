@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from agoralake.functions import rules, text
 from agoralake.operators import facets, feed, quality, status, topics, worklist
-from agoralake.sources import fetch, pages, records, sinks
+from agoralake.sources import documents, fetch, pages, records, sinks
 from agoralake.streaming import upserts
 
 AS_OF = "2026-07-01"
@@ -338,31 +338,72 @@ def test_raw_corpus_is_read_back(spark, tmp_path):
     raw = records.raw_sessions(whole)
     back = [json.loads(r["value"]) for r in sinks.json_lines(raw.orderBy("id")).collect()]
     assert back == sessions
-    header = json.loads(sinks.json_document(records.raw_header(whole, "2026-07-03", "2026-05", "2026-07")).first()["value"])
-    assert header == {"abgerufen_am": "2026-07-03", "zeitraum": {"von": "2026-05", "bis": "2026-07"}, "anzahl_sitzungen": 2, "anzahl_tops": 2, "anzahl_verfahren": 1}
-
-
-def test_feed_reader(spark, tmp_path):
-    path = tmp_path / "feed.json"
-    path.write_text(json.dumps({"feed_gebaut_am": "x", "eintraege": [{"ref": "b", "entwurf": True}, {"ref": "a", "stand": "Bekanntgabe"}]}))
-    assert [tuple(r)[:2] for r in records.read_feed(spark, str(path)).collect()] == [(0, "b"), (1, "a")]
+    registry = records.source_registry(spark, {"stadt": ("Stadt", "http://s"), "bza": ("BZA", "http://b")})
+    head = documents.raw_head(whole, registry, "Ohne Anmeldung.", "2026-07-03", "2026-05", "2026-07")
+    made = json.loads(documents.document(head, documents.own_sessions(whole), "sitzungen").first()["value"])
+    one = lambda name, url, n, m: {"name": name, "software": "", "basis_url": url, "anzahl_sitzungen": n, "anzahl_tops": m}
+    assert list(made) == ["quellen", "hinweis", "abgerufen_am", "zeitraum", "anzahl_sitzungen", "anzahl_tops", "anzahl_verfahren", "sitzungen"]
+    assert made == {"quellen": {"stadt": one("Stadt", "http://s", 2, 2), "bza": one("BZA", "http://b", 0, 0)}, "hinweis": "Ohne Anmeldung.", "abgerufen_am": "2026-07-03", "zeitraum": {"von": "2026-05", "bis": "2026-07"}, "anzahl_sitzungen": 2, "anzahl_tops": 2, "anzahl_verfahren": 1, "sitzungen": sessions}
+    (tmp_path / "again.json").write_text(json.dumps(made, ensure_ascii=False))
+    documents.write_head(head, str(tmp_path / "folder"))
+    assert documents.write_rows(documents.own_sessions(whole), str(tmp_path / "folder"))["rows"] == 2
+    for form in ("again.json", "folder"):
+        again = documents.read_sessions(spark, str(tmp_path / form))
+        assert again.columns == found.columns and sorted(map(str, again.collect())) == sorted(map(str, found.collect()))
+
+
+def test_a_large_corpus_is_read_by_many_tasks(spark, tmp_path):
+    sessions = [session(str(i), "2026-06-01", [item("Ö 1", kvonr=i)]) for i in range(3000)]
+    found, _, _, _ = load(spark, tmp_path, sessions)
+    items = F.transform("items", lambda t: F.struct(*[t[a].alias(b) for a, b in (("nr", "nr"), ("titel", "title"), ("zusatz", "suffix"), ("antragsteller", "applicant"), ("nachtrag", "addendum"), ("oeffentlich", "is_public"), ("verfahren", "is_routine"), ("vorlage", "proposal"), ("vorlage_url", "proposal_url"))], records._documents(t["dokumente"]).alias("documents"), records._stages(t["beratungen"]).alias("stages")))
+    documents.write_rows(documents.own_sessions(found.withColumn("items", items)), str(tmp_path / "folder"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        again = documents.read_sessions(spark, str(tmp_path / "folder"))
+        tasks = again.select(F.spark_partition_id().alias("p")).distinct().count()
+        assert tasks > 3 and again.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_feed_is_written_and_read_in_both_forms(spark, tmp_path):
+    decision = stage("2026-05-01", "Entscheidung")
+    sessions = [session("1", "2026-05-01", [item(kvonr=7, stages=[decision], docs=[{"titel": "D", "url": "u"}])], docs=[{"titel": "Niederschrift", "url": "http://h/n1"}]), session("2", "2026-06-01", [item("Ö 2", routine=True), item("Ö 3", title="Ein Radweg in der Stadt")], source="bza"), session("4", "", [item("Ö 9", title="Ohne Datum im Rathaus")])]
+    cur = {"stadt:4#Ö 9": entry("drei", entwurf=True, bezirk=["B"]), "stadt:1#Ö 1": entry("eins", klartext_leicht="Leicht.", lebenslage=["Jugend"], bezirk=["C", "A"]), "bza:2#Ö 3": entry("zwei", anlass=["Klima"])}
+    s, items, curation, _ = load(spark, tmp_path, sessions, cur)
+    built = feed.build_feed(s, items, curation, AS_OF)
+    registry = records.source_registry(spark, {"stadt": ("Stadt", "http://s"), "bza": ("BZA", "http://b"), "x": ("X", "http://x")})
+    official = spark.createDataFrame([("C", 0), ("Z", 1)], "value string, ord int")
+    raw = documents.raw_head(s.withColumn("items", F.transform("items", lambda t: F.struct(t["verfahren"].alias("is_routine")))), registry, "Hinweis", "2026-07-03", "2026-05", "2026-07")
+    head = documents.own_head(feed.full_header(built, s, items, registry, official, {}), raw, "Stadt", AS_OF)
+    made = json.loads(documents.document(head, documents.own_entries(built), "eintraege").first()["value"])
+    assert list(made) == ["stadt", "quellen", "hinweis", "daten_abgerufen_am", "feed_gebaut_am", "zeitraum", "statistik", "achsen", "eintraege"]
+    assert made["statistik"] == {"sitzungen_ausgelesen": 3, "tops_ausgelesen": 4, "tops_verfahren": 1, "tops_kuratiert": 3, "entwuerfe": 1, "leichte_sprache": 1, "je_quelle": {"bza": 1, "stadt": 2, "x": 0}, "stand": {"Entscheidung angesetzt": 1, "Ohne Vorlage": 2}}
+    assert made["achsen"] == {"lebenslage": ["Jugend"], "bezirk": ["C", "A", "B"], "anlass": ["Klima"], "stand": ["Entscheidung angesetzt", "Ohne Vorlage"]}
+    assert [e["ref"] for e in made["eintraege"]] == ["bza:2#Ö 3", "stadt:1#Ö 1", "stadt:4#Ö 9"] and all(len(e) == 28 for e in made["eintraege"])
+    first = made["eintraege"][1]
+    assert (first["thema"], first["niederschrift_url"], first["dokumente"], first["auftritte"][0]["sitzung_url"], first["beratungsweg"][0]["rolle"]) == ("stadt:vorlage:7", "http://h/n1", [{"titel": "D", "url": "u"}], "http://h/1", "Entscheidung")
+    (tmp_path / "feed.json").write_text(json.dumps(made, ensure_ascii=False))
+    documents.write_head(head, str(tmp_path / "feed"))
+    documents.write_rows(documents.own_entries(built), str(tmp_path / "feed"))
+    columns = [ours for _, ours in documents.ENTRY]
+    for form in ("feed.json", "feed"):
+        back = documents.read_feed(spark, str(tmp_path / form))
+        assert [r["ref"] for r in back.orderBy("feed_ord").collect()] == [e["ref"] for e in made["eintraege"]]
+        assert sorted(map(repr, map(tuple, back.select(columns).collect()))) == sorted(map(repr, map(tuple, built.select(columns).collect())))
+        stored = documents.read_feed_head(spark, str(tmp_path / form)).first()
+        assert stored["statistik"]["je_quelle"] == made["statistik"]["je_quelle"] and stored["quellen"]["bza"]["anzahl_tops"] == 2
+        assert quality.duplicate_topics(back).isEmpty() and quality.lost_easy_texts(curation, back).isEmpty()
+        assert {r["reason"]: r["n"] for r in quality.coverage_report(items, back).collect()} == {"im Feed": 3, "Sitzungsroutine": 1}
+    with pytest.raises(ValueError, match="no single document"):
+        documents.document(head, documents.own_entries(built), "eintraege", most_bytes=10)
     with pytest.raises(records.MissingInput):
-        records.read_feed(spark, str(tmp_path / "none.json")).count()
-
+        documents.read_feed(spark, str(tmp_path / "none.json")).count()
 
-def test_reports_and_batch(spark, tmp_path):
-    sessions = [session(str(i), f"2026-06-0{i}", [item(f"Ö {i}", title=t, kvonr=i)]) for i, t in enumerate(("Haushalt und Finanzplanung der Stadt", "Neubau der Turnhalle an der Schulstraße", "Verschiedenes und mehr zum Thema"), 1)]
-    _, items, curation, _ = load(spark, tmp_path, sessions)
-    drafts = worklist.drafts(worklist.candidates(items, curation))
-    shown = worklist.untagged(drafts, 2).collect()
-    assert [r["ref"] for r in shown] == ["stadt:1#Ö 1", "stadt:2#Ö 2"] and shown[1]["labels"].startswith("Eltern & Kinder") and all(r["district"] == "" for r in shown)
-    batch = json.loads(worklist.batch_document(worklist.work_queue(items, curation)).first()["value"])
-    assert [e["topic"] for e in batch] == ["stadt:vorlage:3", "stadt:vorlage:2", "stadt:vorlage:1"] and batch[0]["note"] == "kein Hauptdokument"
-    bad = spark.createDataFrame([("c", "error", f"r{i}", "") for i in range(7)] + [("d", "warning", "z", "")], "check string, severity string, ref string, detail string")
-    assert sorted(map(tuple, quality.samples(bad).collect())) == [("c", "error", 7, "r0, r1, r2, r3, r4"), ("d", "warning", 1, "z")]
 
-
-def test_message_and_provenance_of_nothing(spark):
-    none = spark.createDataFrame([], "one array<string>")
-    assert facets.message(none, {}).first()["line"].startswith("0 Einträge") and facets.message(none, {"one": ["a"]}).first()["empty"] != ""
-    assert [tuple(r) for r in facets.cardinalities(none, ["one"]).collect()] == [("one", 0)]
+def test_a_feed_with_missing_fields(spark, tmp_path):
+    path = tmp_path / "feed.json"
+    path.write_text(json.dumps({"feed_gebaut_am": "x", "eintraege": [{"ref": "b", "entwurf": True}, {"ref": "a", "stand": "Bekanntgabe", "thema": "t"}]}))
+    rows = documents.read_feed(spark, str(path)).orderBy("feed_ord").collect()
+    assert [(r["ref"], r["topic"], r["is_draft"], r["status"], r["documents"]) for r in rows] == [("b", "", True, "", []), ("a", "t", False, "Bekanntgabe", [])]
