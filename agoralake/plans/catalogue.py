@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..operators import facets, feed, quality, status, topics, worklist
-from ..sources import documents, pages, records, sinks
+from ..sources import archive, documents, pages, records, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -614,6 +614,18 @@ def feed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told
 
 
+@query
+def archived_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as an archive by language, month and host, and what a scan of two languages and some months finds there."""
+    found = table(spark, sf_dir, "pages")
+    month = F.concat(F.lit("2026-"), F.lpad((F.col("page_id") % 12 + 1).cast("string"), 2, "0"))
+    path = sinks.shared_path(spark, "archive")
+    source, host = F.regexp_extract("url", r"/([a-z]{2})/[0-9]+", 1), F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
+    archive.write_archive(found.select(source.alias("source"), month.alias("month"), host.alias("host"), F.regexp_replace("url", r"^https?://[^/?#]+/?", "").alias("path"), "html"), path)
+    kept = archive.read_archive(spark, path).where(F.col("source").isin("de", "fr") & (F.col("month") >= "2026-04"))
+    return kept.select("source", "month", "host", "path", F.sha2("html", 256).alias("html_sha256"))
+
+
 @query
 def best_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The work queue as one JSON array."""

@@ -173,6 +173,7 @@ union all select '0 von ' || total || ' Einträgen passen zu Ihrer Auswahl', 'Ke
     "provenance": "select 'Quellen: Stadt · Bezirke · Daten abgerufen am 03.07.2026 · Zeitraum 2026-05 bis 2026-07 · Aufbereitet: ' || (select count(*) from part) || ' von ' || count(*) || ' Tagesordnungspunkten (' || count(*) filter (o_orderstatus = 'F') || ' Sitzungsroutine ausgelassen).' as line from orders",
     "draft_report": "select count(*) as drafts, count(*) filter (p_size % 2 = 0 and p_size % 3 = 0) as without_tag, count(*) filter (p_size % 5 = 0) as without_district from part",
     "built_feed": BUILT + "select topic, ref, topic_ord, is_draft, date_iso, official_title, status, status_date, minutes_url, n_appearances from f",
+    "archived_pages": PAGES + "select source, left(date_iso, 7) as month, body as host, regexp_replace(url, '^https?://[^/?#]+/?', '') as path, sha256(html) as html_sha256 from p where source in ('de', 'fr') and left(date_iso, 7) >= '2026-04'",
     "feed_round_trip": BUILT + f""", h(source) as (values ('de'), ('en'), ('es'), ('fr'), ('it')),
 k as (select case when topic in (select topic from f) or ref in (select ref from f) then 'im Feed' when page_id % 10 = 0 then 'Sitzungsroutine' when {found('body', rules.HOLDING_BODY)} then 'Aufsichtsrat/Zweckverband' when length(title) < {rules.SHORT_TITLE} then 'Titel zu kurz' when length(title) < {rules.SHORT_HEADING} and not {found('title', rules.PLACE_WORD)} then 'Sammelueberschrift' else 'NOCH NICHT AUFBEREITET' end as reason from t)
 select 'head' as part, 'drafts' as name, count(*) filter (is_draft) as n from f union all select 'head', 'easy', count(*) filter (best_id % 5 = 0) from f union all select 'head', 'curated', count(*) from f union all select 'rows', 'written', count(*) from f

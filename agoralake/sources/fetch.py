@@ -54,14 +54,15 @@ def _fixed(got: DataFrame) -> DataFrame:
     return got.checkpoint(eager=True)
 
 
-def fetch_pages(wanted: DataFrame, cache: DataFrame, fetch: Fetch = http_fetch, pause: float = PAUSE) -> tuple[DataFrame, DataFrame]:
+def fetch_pages(wanted: DataFrame, cache: DataFrame, fetch: Fetch = http_fetch, pause: float = PAUSE, use_cache: bool = True) -> tuple[DataFrame, DataFrame]:
     """(pages, new): wanted (base_url, path) with html from cache (key, html) or the network; new: rows to append to the cache.
 
     A page that cannot be fetched has html '' and is not cached; bytes that are no UTF-8 are replaced.
+    Without use_cache everything is fetched anew, and new holds all of it.
     Misses are fetched once, into the shared checkpoint folder, and both results come from there.
     """
     keyed = wanted.withColumn("key", page_cache_key(F.col("base_url"), F.col("path")))
-    hits = keyed.join(cache.select("key", "html"), "key", "left")
+    hits = keyed.join(cache.select("key", "html").where(F.lit(use_cache)), "key", "left")
     misses = hits.where("html is null").select("key", F.concat("base_url", F.lit("/"), "path").alias("url"), F.regexp_extract("base_url", "^(?:https?://)?([^/]+)", 1).alias("host")).dropDuplicates(["key"])
     got = misses.repartition("host").mapInPandas(_fetched(fetch, pause), "key string, url string, host string, html string")
     got = _fixed(got)

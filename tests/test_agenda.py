@@ -275,6 +275,8 @@ def test_fetch_uses_and_fills_the_cache(spark):
     got, new = fetch.fetch_pages(wanted, cache, _archive, pause=0)
     assert {(r["base_url"], r["path"]): r["html"] for r in got.collect()} == {("http://h/a", "x.php?1"): "cached", ("http://h/b", "x.php?1"): "<p>�http://h/b/x.php?1</p>", ("http://h/a", "bad"): ""}
     assert [r["key"] for r in new.collect()] == ["b_x.php_1.html"]
+    got, new = fetch.fetch_pages(wanted, cache, _archive, pause=0, use_cache=False)
+    assert {r["key"] for r in new.collect()} == {"a_x.php_1.html", "b_x.php_1.html"} and got.where("html = 'cached'").isEmpty()
 
 
 def test_stream_inserts_only(spark, tmp_path):
