@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -72,13 +72,61 @@ def long_sentences(curation: DataFrame, most: int = MOST_WORDS) -> DataFrame:
     return _violations(long_, "sentence", WARNING, F.concat_ws(": ", "words", F.left("sentence", F.lit(52))))
 
 
-def violations(curation: DataFrame, items: DataFrame, feed: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """All checks; none stops another."""
-    parts = [dangling(curation, items), lost_easy_texts(curation, feed), duplicate_topics(feed), unknown_values(curation, vocabulary), required_fields(curation), asserted_outcomes(curation), long_sentences(curation)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _curation_findings(vocabulary_axes: tuple[str, ...]) -> Column:
+    """array<struct<check, severity, detail>> of one curated row that knows in_items, in_feed, easy_in_feed and allowed (axis to values)."""
+    empty = F.array().cast("array<struct<check:string,severity:string,detail:string>>")
+    one = lambda check, severity, detail: F.struct(F.lit(check).alias("check"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail"))
+    some = lambda when, *found: F.when(when, F.array(*found)).otherwise(empty)
+    easy = known(F.col("text_easy")) != ""
+    blank = F.trim(F.regexp_replace(known(F.col("title_plain")), r"(?U)\s", " ")) == ""
+
+    def unknown(axis: str) -> Column:
+        used = F.array_except(F.array_compact(F.col(axis)), F.coalesce(F.col("allowed")[axis], F.array().cast("array<string>")))
+        return F.transform(used, lambda v: one("vocabulary", ERROR, F.concat(F.lit(f"{axis}="), v)))
+
+    def outcome(field: str) -> Column:
+        phrase = rules.asserted_outcome(F.col(field))
+        return some(phrase != "", one("outcome", ERROR, F.concat(F.lit(f"{field}: "), phrase)))
+
+    sentences = F.transform(F.split(known(F.col("text_easy")), "[.!?]"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    counted = F.transform(sentences, lambda x: F.struct(x.alias("text"), F.when(x == "", 0).otherwise(F.size(F.split(x, r"(?U)\s+"))).alias("words")))
+    long_ = F.transform(F.filter(counted, lambda x: x["words"] > MOST_WORDS), lambda x: one("sentence", WARNING, F.concat_ws(": ", x["words"].cast("string"), F.left(x["text"], F.lit(52)))))
+    return F.concat(
+        some(~F.col("in_items"), one("reference", ERROR, F.col("ref"))),
+        some(easy & ~F.col("in_feed") & ~F.col("easy_in_feed"), one("loss", ERROR, F.col("ref"))),
+        *map(unknown, vocabulary_axes),
+        some(blank, one("required", ERROR, F.lit("title_plain"))),
+        some(easy & (known(F.col("title_easy")) == ""), one("required", WARNING, F.lit("title_easy"))),
+        outcome("text_plain"),
+        outcome("text_easy"),
+        long_,
+    )
+
+
+def violations(curation: DataFrame, items: DataFrame, feed: DataFrame, vocabulary: DataFrame, axes: tuple[str, ...] = ("life", "district", "occasion")) -> DataFrame:
+    """All checks in one scan of the curation; none stops another.  Each row gives an array of what is wrong with it.
+
+    Of the feed only refs, and whether any entry has an easy text, are asked; its duplicate topics are a count of their own."""
+    refs = lambda df, name: df.select("ref", F.lit(True).alias(name)).distinct()
+    # two frames of one row each
+    allowed = vocabulary.groupBy("axis").agg(F.collect_set("value").alias("values")).agg(F.map_from_entries(F.collect_list(F.struct("axis", "values"))).alias("allowed"))
+    easy = feed.agg(F.coalesce(F.bool_or(known(F.col("text_easy")) != ""), F.lit(False)).alias("easy_in_feed"))
+    told = curation.join(refs(items, "in_items"), "ref", "left").join(refs(feed, "in_feed"), "ref", "left").join(F.broadcast(allowed)).join(F.broadcast(easy))
+    told = told.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("in_items", "in_feed")})
+    found = told.select("ref", F.explode(_curation_findings(axes)).alias("v")).select("v.check", "v.severity", "ref", "v.detail")
+    return found.unionByName(duplicate_topics(feed))
+
+
+def observed(found: DataFrame) -> tuple[DataFrame, Observation]:
+    """found, and what will be known of it once it is written: errors and warnings."""
+    seen = Observation()
+    return found.observe(seen, F.count_if(F.col("severity") == ERROR).alias(ERROR), F.count_if(F.col("severity") == WARNING).alias(WARNING)), seen
+
+
+def observed_verdict(seen: Observation, strict: bool = False) -> int:
+    """The verdict without a second job."""
+    n = seen.get
+    return int(n[ERROR] > 0 or strict and n[WARNING] > 0)
 
 
 def samples(found: DataFrame, most: int = 5) -> DataFrame:

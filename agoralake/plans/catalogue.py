@@ -626,6 +626,18 @@ def archived_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("source", "month", "host", "path", F.sha2("html", 256).alias("html_sha256"))
 
 
+@query
+def all_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every check over conversation turns and documents as curation, in one scan: turns without an item, sources without a place on the list, texts that were lost, and what texts say."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("ref"), F.lit(" ").alias("title_plain"), F.lit("Der Rat hat beschlossen.").alias("text_plain"), F.when(F.col("role") == "user", "t").otherwise("").alias("title_easy"), F.col("text").alias("text_easy"), F.array().cast("array<string>").alias("life"), F.array().cast("array<string>").alias("district"))
+    docs = table(spark, sf_dir, "documents")
+    ref = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("ref")
+    entries = docs.select(ref, F.col("text").alias("title_plain"), F.lit("").alias("text_plain"), F.lit("").alias("title_easy"), F.lit("").alias("text_easy"), F.array("lang").alias("life"), F.array("source", "lang").alias("district"))
+    allowed = spark.createDataFrame([("life", "de"), ("life", "en"), ("district", "fr")] + [("district", f"src{i}") for i in range(15)], "axis string, value string")
+    shown = docs.select(ref, F.concat_ws("/", "lang", "source").alias("topic"), F.lit("").alias("text_easy"))
+    return quality.violations(turns.unionByName(entries), docs.where("lang <> 'es'").select(ref), shown, allowed, ("life", "district"))
+
+
 @query
 def best_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The work queue as one JSON array."""

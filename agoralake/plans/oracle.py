@@ -174,6 +174,23 @@ union all select '0 von ' || total || ' Einträgen passen zu Ihrer Auswahl', 'Ke
     "draft_report": "select count(*) as drafts, count(*) filter (p_size % 2 = 0 and p_size % 3 = 0) as without_tag, count(*) filter (p_size % 5 = 0) as without_district from part",
     "built_feed": BUILT + "select topic, ref, topic_ord, is_draft, date_iso, official_title, status, status_date, minutes_url, n_appearances from f",
     "archived_pages": PAGES + "select source, left(date_iso, 7) as month, body as host, regexp_replace(url, '^https?://[^/?#]+/?', '') as path, sha256(html) as html_sha256 from p where source in ('de', 'fr') and left(date_iso, 7) >= '2026-04'",
+    "all_violations": rf"""with c as (select conv_id || '.' || turn as ref, role, text from conversations),
+w as (select ref, regexp_replace(unnest(regexp_split_to_array(text, '[.!?]')), '^\s+|\s+$', '', 'g') as s from c),
+n as (select ref, s, len(regexp_split_to_array(s, '\s+')) as n from w where s <> ''),
+v as (select 'reference' as "check", 'error' as severity, ref, ref as detail from c
+union all select 'reference', 'error', 'd' || doc_id, 'd' || doc_id from documents where lang = 'es'
+union all select 'loss', 'error', ref, ref from c where text <> ''
+union all select 'required', 'error', ref, 'title_plain' from c
+union all select 'required', 'error', 'd' || doc_id, 'title_plain' from documents where trim(regexp_replace(coalesce(text, ''), '\s', ' ', 'g')) = ''
+union all select 'required', 'warning', ref, 'title_easy' from c where text <> '' and role <> 'user'
+union all select 'outcome', 'error', ref, 'text_plain: hat beschlossen' from c
+union all select 'outcome', 'error', ref, 'text_easy: ' || regexp_extract(text, {lit('(?i)' + rules.ASSERTED_OUTCOME)}, 0) from c where {found('text', rules.ASSERTED_OUTCOME)}
+union all select 'sentence', 'warning', ref, n || ': ' || left(s, 52) from n where n > 14
+union all select 'vocabulary', 'error', 'd' || doc_id, 'life=' || lang from documents where lang not in ('de', 'en')
+union all select 'vocabulary', 'error', 'd' || doc_id, 'district=' || lang from documents where lang <> 'fr'
+union all select 'vocabulary', 'error', 'd' || doc_id, 'district=' || source from documents where source not in ({', '.join(lit(f'src{i}') for i in range(15))})
+union all select 'duplicate topic', 'error', lang || '/' || source, cast(count(*) as varchar) from documents group by lang, source having count(*) > 1)
+select * from v""",
     "feed_round_trip": BUILT + f""", h(source) as (values ('de'), ('en'), ('es'), ('fr'), ('it')),
 k as (select case when topic in (select topic from f) or ref in (select ref from f) then 'im Feed' when page_id % 10 = 0 then 'Sitzungsroutine' when {found('body', rules.HOLDING_BODY)} then 'Aufsichtsrat/Zweckverband' when length(title) < {rules.SHORT_TITLE} then 'Titel zu kurz' when length(title) < {rules.SHORT_HEADING} and not {found('title', rules.PLACE_WORD)} then 'Sammelueberschrift' else 'NOCH NICHT AUFBEREITET' end as reason from t)
 select 'head' as part, 'drafts' as name, count(*) filter (is_draft) as n from f union all select 'head', 'easy', count(*) filter (best_id % 5 = 0) from f union all select 'head', 'curated', count(*) from f union all select 'rows', 'written', count(*) from f
