@@ -85,8 +85,11 @@ def cardinalities(feed: DataFrame, axes: list[str]) -> DataFrame:
 
 def message(df: DataFrame, selection: dict[str, list]) -> DataFrame:
     """One row: the line above the results, and the one for a selection without results ('' where there are some)."""
-    chosen = any(selection.values())
-    hits = df.agg(F.count("*").alias("total"), F.count_if(matches(df, selection)).alias("hits"))
+    return message_of(df.agg(F.count("*").alias("total"), F.count_if(matches(df, selection)).alias("hits")), any(selection.values()))
+
+
+def message_of(hits: DataFrame, chosen: bool) -> DataFrame:
+    """The lines of one row (hits, total)."""
     every = F.concat_ws(" ", F.col("hits").cast("string"), F.lit(ALL_SHOWN))
     some = F.concat_ws(" ", F.col("hits").cast("string"), F.lit("von"), F.col("total").cast("string"), F.lit(SOME_SHOWN))
     none = F.when(F.col("hits") == 0, NONE_SHOWN).otherwise("")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
+from ..operators import facet_index as bitmaps
 from ..operators import facets, feed, quality, status, topics, worklist
 from ..sources import archive, documents, pages, records, sinks
 
@@ -638,6 +639,22 @@ def all_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.violations(turns.unionByName(entries), docs.where("lang <> 'es'").select(ref), shown, allowed, ("life", "district"))
 
 
+@query
+def facet_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A selection over three axes, its hits, and counts over all parts and over those selected, from a stored index of bitmaps alone."""
+    path = sinks.shared_path(spark, "facets")
+    axes = ["p_brand", "p_type", "p_size"]
+    bitmaps.write_index(bitmaps.build(table(spark, sf_dir, "part"), axes, "p_partkey"), path)
+    index, chosen = bitmaps.read_index(spark, path), SELECTION | {"p_type": ["ECONOMY", "STANDARD", "PROMO"]}
+    row = lambda part, axis, value, n: [F.lit(part).alias("part"), axis.alias("axis"), value.alias("value"), n.cast("long").alias("n")]
+    none = F.lit("")
+    found = bitmaps.ids(bitmaps.select(index, chosen)).select(*row("row", none, none, F.col("id")))
+    found = found.unionByName(bitmaps.hits(index, chosen).select(*row("hits", none, F.col("total").cast("string"), F.col("hits"))))
+    for part, df in (("all", bitmaps.counts(index, axes)), ("selected", bitmaps.counts_within(index, axes, chosen)), ("values", bitmaps.cardinalities(index, axes).select("axis", none.alias("value"), F.col("values").alias("n")))):
+        found = found.unionByName(df.select(*row(part, F.col("axis"), F.col("value"), F.col("n"))))
+    return found
+
+
 @query
 def best_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The work queue as one JSON array."""

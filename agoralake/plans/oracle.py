@@ -191,6 +191,9 @@ union all select 'vocabulary', 'error', 'd' || doc_id, 'district=' || lang from
 union all select 'vocabulary', 'error', 'd' || doc_id, 'district=' || source from documents where source not in ({', '.join(lit(f'src{i}') for i in range(15))})
 union all select 'duplicate topic', 'error', lang || '/' || source, cast(count(*) as varchar) from documents group by lang, source having count(*) > 1)
 select * from v""",
+    "facet_index": f"with s as (select * from part where {IN_SELECTION} and p_type in ('ECONOMY', 'STANDARD', 'PROMO')) select 'row' as part, '' as axis, '' as value, p_partkey as n from s union all select 'hits', '', cast((select count(*) from part) as varchar), count(*) from s"
+    + "".join(f" union all select '{kind}', '{a}', cast({a} as varchar), count(*) from {t} where {a} is not null group by 3" for kind, t in (("all", "part"), ("selected", "s")) for a in ("p_brand", "p_type", "p_size"))
+    + "".join(f" union all select 'values', '{a}', '', count(distinct {a}) from part" for a in ("p_brand", "p_type", "p_size")),
     "feed_round_trip": BUILT + f""", h(source) as (values ('de'), ('en'), ('es'), ('fr'), ('it')),
 k as (select case when topic in (select topic from f) or ref in (select ref from f) then 'im Feed' when page_id % 10 = 0 then 'Sitzungsroutine' when {found('body', rules.HOLDING_BODY)} then 'Aufsichtsrat/Zweckverband' when length(title) < {rules.SHORT_TITLE} then 'Titel zu kurz' when length(title) < {rules.SHORT_HEADING} and not {found('title', rules.PLACE_WORD)} then 'Sammelueberschrift' else 'NOCH NICHT AUFBEREITET' end as reason from t)
 select 'head' as part, 'drafts' as name, count(*) filter (is_draft) as n from f union all select 'head', 'easy', count(*) filter (best_id % 5 = 0) from f union all select 'head', 'curated', count(*) from f union all select 'rows', 'written', count(*) from f
