@@ -8,7 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def insert_only(arrivals: DataFrame, path: str, checkpoint: str, key: str = "ref", trigger: dict | None = None) -> StreamingQuery:
-    """Append to the table at path, per micro-batch, the first row of each key that is not there yet.
+    """Append to the table at path, per micro-batch, one row of each key that is not there yet (any of several in a batch).
+
+    Each batch reads the table's keys; arrivals.first_arrivals meets the batch's own keys only, and keeps the first.
 
     A batch that is replayed after a failure adds nothing twice, since its keys are there by then.
     """
