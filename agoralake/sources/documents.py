@@ -152,6 +152,22 @@ def read_feed_head(spark: SparkSession, path: str) -> DataFrame:
     return records.read_json(spark, f"{path}/head", HEAD_SCHEMA)
 
 
+def read_raw_head(spark: SparkSession, path: str) -> DataFrame:
+    """A raw corpus's head in one row, under its own names."""
+    where = path if _lines(spark, path, records.SESSION_SCHEMA) is None else f"{path}/head"
+    return records.read_json(spark, where, records.RAW_SCHEMA).drop("sitzungen")
+
+
+def curation_document(curation: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """One row, one JSON text: a curation under its own names, entries in the order of cur_ord; empty easy texts are left out."""
+    easy = lambda c: F.nullif(F.col(c), F.lit(""))
+    entry = F.struct(F.col("title_plain").alias("klartext_titel"), F.col("text_plain").alias("klartext"), easy("title_easy").alias("klartext_titel_leicht"), easy("text_easy").alias("klartext_leicht"), F.col("life").alias("lebenslage"), F.col("district").alias("bezirk"), F.col("place").alias("ort"), F.col("occasion").alias("anlass"), F.col("is_draft").alias("entwurf"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("cur_ord", "ref", entry.alias("entry")))), lambda e: F.struct(e["ref"].alias("key"), e["entry"].alias("value")))
+    values = lambda axis: F.transform(F.array_sort(F.collect_list(F.when(F.col("axis") == axis, F.struct("ord", "value")))), lambda v: v["value"])
+    axes = vocabulary.agg(F.struct(*[values(ours).alias(theirs) for ours, theirs in records.AXES.items()]).alias("_achsen"))
+    return axes.join(curation.agg(F.map_from_entries(listed).alias("eintraege"))).select(F.to_json(F.struct("*")).alias("value"))
+
+
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     """One row per session of a raw corpus in either form: of a folder many tasks read parts, a document is one row of one task."""
     lines = _lines(spark, path, records.SESSION_SCHEMA)
