@@ -183,6 +183,12 @@ def overlaps(text, items, n):
     return len(words), len(hit), sorted(names)
 
 
+def test_a_large_benchmark_gives_the_same(spark, documents):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    small, large = (decontam.find_overlaps(documents, bench, max_bytes=m) for m in (decontam.MAX_BYTES, 1000))
+    assert sorted(map(repr, small.collect())) == sorted(map(repr, large.collect())) and not small.where("n_hit > 0").isEmpty()
+
+
 @pytest.mark.parametrize("max_bytes", [1 << 20, 200])
 def test_overlaps_against_brute_force(spark, odd_texts, max_bytes):
     rng = random.Random(9)
