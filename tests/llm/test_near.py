@@ -83,6 +83,28 @@ def test_a_large_group_of_near_copies(spark):
     assert found.where("component_id = 0").count() == 1200
 
 
+def test_pairs_in_shared_boilerplate_are_found(spark):
+    """Documents that are all loosely alike by shared lines: pairs meet through hubs that are neither of them."""
+    rng = random.Random(21)
+    shared = [f"s{rng.randrange(400)}" for _ in range(190)]
+    own = lambda: [f"o{rng.randrange(5000)}" for _ in range(60)]
+    rows, planted = [], []
+    for k in range(450):
+        words = [*shared[: rng.randint(150, 190)], *own()]
+        rows.append((3 * k, " ".join(words)))
+        if k % 3 == 0:  # 0.85 to 1 alike
+            rows.append((3 * k + 1, " ".join(edited(rng, words, rng.randint(1, 5)))))
+            planted.append((3 * k, 3 * k + 1))
+    sets, want = near(rows, 3, 85, 100)
+    linked = [(a, b) for a, b in planted if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    loose = sum(len(sets[a] & sets[b]) / len(sets[a] | sets[b]) > 0.5 for a, b in combinations([r[0] for r in rows[:60]], 2))
+    assert len(linked) > 80 and loose > 1000
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), minhash.plan(3, 85, 100)).collect()}
+    met = sum(found[a] == found[b] for a, b in linked)
+    assert met >= 0.99 * len(linked), (met, len(linked))
+    assert all(want[d] == want[root] for d, root in found.items())
+
+
 def colliding_words():
     """Two words of 2,048 characters that any polynomial modulo 2**64 with an odd base confuses."""
     one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
