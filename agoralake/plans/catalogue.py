@@ -168,6 +168,14 @@ def heading_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select(F.col("session_id").cast("long").alias("page_id"), rules.is_collective_heading(F.col("title")).alias("collective"), rules.is_short(F.col("title")).alias("short"))
 
 
+@query
+def heading_filter_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same judgement of the names of parts and of the first sentences of documents."""
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("title"))
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("id"), F.get(F.split("text", r"[.!?]", 2), F.lit(0)).alias("title"))
+    return parts.unionByName(docs).select("id", rules.is_collective_heading(F.col("title")).alias("collective"), rules.is_short(F.col("title")).alias("short"), rules.is_holding_body(F.col("title")).alias("holding"))
+
+
 @query
 def facet_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.select(table(spark, sf_dir, "part"), SELECTION).select("p_partkey", "p_brand", long("p_size"))

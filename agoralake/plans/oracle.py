@@ -111,6 +111,7 @@ select id, case when length(c) > {text.MOST_TITLE} then regexp_replace(left(c, {
     "routine_flag": f"select doc_id, {some('text', rules.ROUTINE)} as routine, {some('text', (r'^the ', r' of the ', r'!!$'))} as plain from documents",
     "multi_label_tags": "with d as (select doc_id, text || ' ' || source || ' ' || lang as x from documents), t as (select doc_id, unnest([" + ", ".join(f"case when {found('x', bounded(p))} then {lit(label)} end" for p, label in rules.LIFE_SITUATIONS + rules.OCCASIONS) + "]) as tag from d) select distinct doc_id, tag from t where tag is not null",
     "heading_filter": PAGES + f"select page_id, length(title) < {rules.SHORT_HEADING} and not {found('title', rules.PLACE_WORD)} as collective, length(title) < {rules.SHORT_TITLE} as short from t",
+    "heading_filter_titles": f"with t as (select 'part ' || p_partkey as id, p_name || ' ' || p_type as title from part union all select 'document ' || doc_id, regexp_extract(text, '^[^.!?]*') from documents) select id, length(title) < {rules.SHORT_HEADING} and not {found('title', rules.PLACE_WORD)} as collective, length(title) < {rules.SHORT_TITLE} as short, {found('title', rules.HOLDING_BODY)} as holding from t",
     "facet_filter": f"select p_partkey, p_brand, cast(p_size as bigint) as p_size from part where {IN_SELECTION}",
     "facet_counts": " union all ".join(f"select '{a}' as axis, cast({a} as varchar) as value, count(*) as n from part where {a} is not null group by 2" for a in ("p_brand", "p_type", "p_size")),
     "facet_page": f"select *, case when rank <= 8 then cast(1 as bigint) else 2 end as page from (select p_partkey, p_retailprice, row_number() over (order by p_retailprice desc, p_partkey) as rank from part where {IN_SELECTION}) where rank <= 28",
