@@ -31,6 +31,10 @@ LEAST_HEAD, MOST_TITLE = 25, 110
 SPEAKER = r"(Referent(en|in|innen)?|Vortrag(ende[rn]?)?|Berichterstatter(in)?)\s*:.*"
 TITLED_NAME = r"\b(Herr|Frau|Dr\.|Prof\.)\s+\S+"
 
+# A date as it is shown, and a district in the name of its committee.
+SHOWN_DATE = r"^([0-9]{2})\.([0-9]{2})\.([0-9]{4})$"
+DISTRICT = r"(?U)Bezirksausschuss\s+([IVX]+\s*-\s*.+)$"
+
 # Month names.
 MONTHS = ("Januar", "Februar", "Maerz", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember")
 
@@ -97,16 +101,13 @@ def html_texts(xs: Column) -> Column:
     return F.transform(unescaped_each(F.transform(xs, strip_tags)), lambda x: squeeze(F.replace(x, F.lit("\u00a0"), F.lit(" "))))
 
 
-html_text_full = html_text
-
-
 def absolute_url(url: Column, base: Column) -> Column:
     return F.when(url.startswith("http"), url).otherwise(F.concat(base, F.lit("/"), F.ltrim(url, F.lit("/"))))
 
 
 def iso_date(display: Column) -> Column:
     """DD.MM.YYYY as YYYY-MM-DD by its letters alone; anything else is ''."""
-    return F.when(known(display).rlike(r"^[0-9]{2}\.[0-9]{2}\.[0-9]{4}$"), F.regexp_replace(display, r"^(\d{2})\.(\d{2})\.(\d{4})$", "$3-$2-$1")).otherwise("")
+    return F.when(known(display).rlike(SHOWN_DATE), F.regexp_replace(display, SHOWN_DATE, "$3-$2-$1")).otherwise("")
 
 
 def display_date(iso: Column) -> Column:
@@ -144,7 +145,7 @@ def without_persons(suffix: Column) -> Column:
 
 def district_of(body: Column) -> Column:
     """[district] of a district committee, [] of other bodies."""
-    found = F.regexp_extract(known(body), r"(?U)Bezirksausschuss\s+([IVX]+\s*-\s*.+)$", 1)
+    found = F.regexp_extract(known(body), DISTRICT, 1)
     name = F.regexp_replace(F.regexp_replace(found, r"(?U)\s*-\s*", "-"), r"(?U)^\s+|\s+$", "")
     return F.when(found == "", F.array().cast("array<string>")).otherwise(F.array(name))
 

@@ -16,6 +16,9 @@ from .operators import quality, worklist
 from .sources import archive, documents, records, sinks
 from .sources.records import DOCUMENTS, STAGES
 
+# Fixed value: what a raw corpus says of its pages.
+NOTE = "Oeffentlich zugaengliche Seiten, ohne Anmeldung abgerufen."
+
 _ITEM = ("nr", "title", "suffix", "applicant", "addendum", "is_public", "is_routine", "proposal", "proposal_url", "documents", "stages")
 
 
@@ -29,7 +32,7 @@ def with_items(sessions: DataFrame, items: DataFrame) -> DataFrame:
     return joined.orderBy(F.desc("date_iso"), F.desc("code"), "source", "session_ord").withColumn("session_ord", F.monotonically_increasing_id())
 
 
-def crawl(spark: SparkSession, archived: str, out: str, registry: DataFrame, as_of: str, *, first: str | None = None, last: str | None = None, source: str = "beide", with_stages: bool = True, note: str = "Oeffentlich zugaengliche Seiten, ohne Anmeldung abgerufen.") -> DataFrame:
+def crawl(spark: SparkSession, archived: str, out: str, registry: DataFrame, as_of: str, *, first: str | None = None, last: str | None = None, source: str = "beide", with_stages: bool = True, note: str = NOTE) -> DataFrame:
     """Archived pages of the months (the last three by default) to a raw corpus at out; returns sessions and items of each source."""
     sessions, items = archive.crawl_archive(spark, archived, registry, first, last, as_of, source=source, with_stages=with_stages)
     documents.write_rows(documents.own_sessions(with_items(sessions, items)), out)
