@@ -37,7 +37,7 @@ from .words import LETTERS, Words, blocks
 #: Text of a block, runs that a task adds up before it sends them on, and cells (term, source) of a chunk.
 BLOCK_BYTES = 4 << 20
 HELD_RUNS = 1 << 19
-CHUNK_CELLS = 1 << 17
+CHUNK_CELLS = 1 << 15
 #: Sources whose pairs with all others one group makes, and cells of a dense table of shares.
 TILE = 256
 DENSE_CELLS = 1 << 20
