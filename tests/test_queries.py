@@ -61,11 +61,11 @@ def test_keywords_are_found_as_by_their_patterns(spark):
 
     from pyspark.sql import functions as F
 
-    from agoralake.functions import rules
+    from agoralake.functions import keywords, rules
 
     table, pick = rules.LIFE_SITUATIONS + rules.OCCASIONS, random.Random(5)
     spelled = lambda p: re.sub(r"\(([^|)]*)\|([^)]*)\)", lambda m: pick.choice(m.groups()), p).replace(r"\b", "").replace(r"\.", ".").replace(".*", " x ").replace("?", "")
-    words = [spelled(a) for p, _ in table for a in rules._BAR.split(p)] * 6
+    words = [spelled(a) for p, _ in table for a in keywords.alternatives(p)] * 6
     cut = lambda w: w[: len(w) // 2] + w[len(w) // 2 + 1 :] if pick.random() < 0.2 else w
     texts = [(pick.choice(["", " ", "-", "ö", "x"]) + pick.choice([str.upper, str.title, str])(cut(w)).replace("s", pick.choice("ssſ")).replace("k", pick.choice("kk\u212a")) + pick.choice(["", " ", ".", "ä", "İ", "y"]),) for w in words]
     by_pattern = F.array_compact(F.array(*[F.when(F.col("x").rlike("(?iU)" + p), F.lit(label)) for p, label in table]))
