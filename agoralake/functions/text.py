@@ -73,12 +73,16 @@ def _unescape_each(values: pd.Series) -> pd.Series:
     return values.map(lambda found: [unescape(x) for x in found], na_action="ignore")
 
 
-def _few_entities(x: Column) -> Column:
-    for name, value in SQL_ENTITIES:
+def _replaced(x: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
+    for name, value in pairs:
         x = F.replace(x, F.lit(name), F.lit(value))
     return x
 
 
+def _few_entities(x: Column) -> Column:
+    return _replaced(x, SQL_ENTITIES)
+
+
 def unescaped(x: Column, raw: Column | None = None) -> Column:
     """x with every named and numeric entity decoded once; only texts with other entities than SQL_ENTITIES (judged by raw, if given) go to Python."""
     other = F.when((x if raw is None else raw).rlike(OTHER_ENTITY), x)
@@ -91,9 +95,15 @@ def unescaped_each(xs: Column) -> Column:
     return F.coalesce(F.pandas_udf(_unescape_each, "array<string>")(other), F.transform(xs, _few_entities))
 
 
-def html_text(x: Column) -> Column:
-    """Readable text of an HTML fragment; entities are decoded after the tags are gone, so escaped markup stays."""
-    return squeeze(F.replace(unescaped(strip_tags(x), known(x)), F.lit("\u00a0"), F.lit(" ")))
+def html_text(x: Column, entities: tuple[tuple[str, str], ...] | None = None) -> Column:
+    """Readable text of an HTML fragment; entities are decoded after the tags are gone, so escaped markup stays.
+
+    All of HTML's are decoded, some of them without their semicolon too (a text cut off within "&amp;"),
+    or only the given pairs of name and value, in their order.
+    """
+    bare = strip_tags(x)
+    decoded = unescaped(bare, known(x)) if entities is None else _replaced(bare, entities)
+    return squeeze(F.replace(decoded, F.lit("\u00a0"), F.lit(" ")))
 
 
 def html_texts(xs: Column) -> Column:

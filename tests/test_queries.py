@@ -119,3 +119,37 @@ def test_a_large_feed_is_no_single_document(spark):
 
 def test_best_versions_combine_before_the_shuffle(spark):
     assert "Window" not in QUERIES["best_version"](spark, SF)._jdf.queryExecution().toString()
+
+
+ODD_ENTITIES = ["Straßen &amp;&amp;&amp", "R&D &am", "Wege &amp; Pl&auml;tze &#8212; a&#x41", "&quot;Nord&quot", "a&lt;b&gt &amp;nbsp;&nbsp;c", "K&copy &middot; &apos;x&#39;", "Halle&<b>amp;</b> Bad", "&lt;b&gt;x&lt;/b&gt;", ""]
+
+
+@pytest.fixture(scope="module")
+def odd_pages(spark, tmp_path_factory):
+    """Pages whose texts are cut off within an entity, or hold entities that SQL leaves; and DuckDB over them."""
+    import duckdb
+
+    sf = tmp_path_factory.mktemp("odd")
+    pages = [(i, f"http://h/{('de', 'es')[i % 4 == 3]}/{i % 5}", f"<html><title>{t}</title><body><h1>{t}</h1><p>{t}</p></body></html>") for i, t in enumerate(ODD_ENTITIES)]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{sf}/pages.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/part.parquet").write.parquet(f"{sf}/part.parquet")
+    con = duckdb.connect()
+    for t in ("pages", "part"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet/*.parquet'")
+    return str(sf), con
+
+
+@pytest.mark.parametrize("name", ["built_feed", "heading_filter"])
+def test_odd_entities_are_decoded_as_by_sql(spark, odd_pages, name):
+    sf, con = odd_pages
+    assert compare(QUERIES[name](spark, sf), con, ORACLE_SQL[name]) == ""
+
+
+def test_feed_document_decodes_every_entity(spark, odd_pages):
+    import html
+    import json
+
+    feed = json.loads(QUERIES["feed_document"](spark, odd_pages[0]).first()["value"])
+    titles = {" ".join(html.unescape(t.replace("<b>", "").replace("</b>", "")).split()) for t in ODD_ENTITIES}
+    shown = {e["title"] for e in feed["entries"]}
+    assert shown <= titles and "Wege & Plätze — aA" in shown
