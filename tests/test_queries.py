@@ -139,7 +139,7 @@ def odd_pages(spark, tmp_path_factory):
     return str(sf), con
 
 
-@pytest.mark.parametrize("name", ["built_feed", "heading_filter", "html_text"])
+@pytest.mark.parametrize("name", ["built_feed", "heading_filter", "html_text", "title_clean"])
 def test_odd_entities_are_decoded_as_by_sql(spark, odd_pages, name):
     sf, con = odd_pages
     assert compare(QUERIES[name](spark, sf), con, ORACLE_SQL[name]) == ""
