@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import checkpoint
+from .frames import checkpoint, freed
 
 
 
@@ -45,7 +45,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     now = checkpoint(links.select("u", "v").where(F.col("u") != F.col("v")).distinct())
     before = None
     for _ in range(rounds):
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        state = freed(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))).collect()[0]
         if tuple(state) == before or not state[0]:
             break
         before = tuple(state)

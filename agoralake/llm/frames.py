@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def numbered(docs: DataFrame) -> DataFrame:
     """The same columns as c0, c1, ...: no name of an extra column can clash with ours."""
@@ -52,7 +54,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return where
 
 
+def freed(df: DataFrame) -> DataFrame:
+    """The same rows for one action, at whose end the files of its shuffles go; else they stay until the driver collects its garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(FREE_SHUFFLES, "false")
+    conf.set(FREE_SHUFFLES, "true")
+    try:
+        return df.select("*")  # Spark reads the setting as a frame is made
+    finally:
+        conf.set(FREE_SHUFFLES, before)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back: cuts lineage, survives lost executors."""
+    """Written to the shared folder and read back: cuts lineage, survives lost executors, frees the disk of its shuffles."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return freed(df).checkpoint(eager=True)

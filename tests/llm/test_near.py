@@ -1,13 +1,17 @@
 """Components, MinHash near-duplicates and embedding links against brute force."""
 
+import os
 import random
 import re
+import time
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from agoralake.llm import components, cover_tree, minhash
 
 
@@ -224,3 +228,16 @@ def test_embeddings_of_no_use(spark):
     assert cover_tree.similarity_components(spark.createDataFrame([], schema)).count() == 0
     [row] = cover_tree.similarity_components(spark.createDataFrame([(3, None)], schema)).collect()
     assert (row["vec_id"], row["n_links"], row["component_id"], row["kept"]) == (3, 0, 3, True)
+
+
+def test_rounds_leave_no_shuffle_files(spark):
+    """No shuffle of a chain's rounds stays on disk, while the result can still be read."""
+    folders = [str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {f for top in folders for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    before = shuffled()
+    found = components.components(spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")))
+    ends = time.time() + 20  # files go in the background
+    while shuffled() - before and time.time() < ends:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert found.agg(F.count("*"), F.max("component")).first() == (301, 0)
