@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 #: Named entities that plain SQL decodes, the ampersand last.
 SQL_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
+#: White space in the patterns of plain SQL, whose letters and digits are ASCII too.
+SQL_SPACE = r"[\t\n\f\r ]"
+SQL_WORD = r"[\w\x{17F}\x{212A}]"  # without case, the long s and the Kelvin sign are an s and a k
+
 # What a plain title does without, in this order.
 TITLE_REMOVALS = (
     r"^Vollzug des Bayerischen Stra(ß|ss)en-\s*und Wegegesetzes\s*[—-]*\s*",
@@ -48,13 +52,15 @@ def _strip(x: Column, characters: str) -> Column:
     return F.trim(x, F.lit(characters))
 
 
-def squeeze(x: Column) -> Column:
-    """White space (no-break space too) collapsed and trimmed."""
-    return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
+def squeeze(x: Column, space: str = r"(?U)\s") -> Column:
+    """White space (no-break space too, if of all of Unicode) collapsed and trimmed."""
+    collapsed = F.regexp_replace(x, f"{space}+", " ")
+    # plain SQL trims every space separator
+    return F.regexp_replace(collapsed, r"^\p{Zs}+|\p{Zs}+\z", "") if space == SQL_SPACE else F.trim(collapsed)
 
 
-def strip_tags(x: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(known(x), r"<br\s*/?>", " — "), r"<[^>]+>", "")
+def strip_tags(x: Column, space: str = r"\s") -> Column:
+    return F.regexp_replace(F.regexp_replace(known(x), f"<br{space}*/?>", " — "), r"<[^>]+>", "")
 
 
 #: A reference that needs the standard library's table; tags may stand in it before they are stripped.
@@ -99,11 +105,13 @@ def html_text(x: Column, entities: tuple[tuple[str, str], ...] | None = None) ->
     """Readable text of an HTML fragment; entities are decoded after the tags are gone, so escaped markup stays.
 
     All of HTML's are decoded, some of them without their semicolon too (a text cut off within "&amp;"),
-    or only the given pairs of name and value, in their order.
+    or, as by plain SQL, only the given pairs of name and value, in their order, and SQL_SPACE is all white space.
     """
-    bare = strip_tags(x)
-    decoded = unescaped(bare, known(x)) if entities is None else _replaced(bare, entities)
-    return squeeze(F.replace(decoded, F.lit("\u00a0"), F.lit(" ")))
+    if entities is None:
+        decoded, space = unescaped(strip_tags(x), known(x)), r"(?U)\s"
+    else:
+        decoded, space = _replaced(strip_tags(x, SQL_SPACE), entities), SQL_SPACE
+    return squeeze(F.replace(decoded, F.lit("\u00a0"), F.lit(" ")), space)
 
 
 def html_texts(xs: Column) -> Column:
@@ -135,16 +143,19 @@ def month_name(number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, MONTHS)), number)
 
 
-def plain_title(title: Column) -> Column:
-    """A readable line of an official title: citations and file numbers go, long ones are cut."""
-    t = known(title)
+def plain_title(title: Column, sql: bool = False) -> Column:
+    """A readable line of an official title: citations and file numbers go, long ones are cut.
+
+    With sql, classes in the patterns are those of plain SQL instead of Unicode's, and null stays null.
+    """
+    t, space = (title, SQL_SPACE) if sql else (known(title), r"(?U)\s")
     for pattern in TITLE_REMOVALS:
-        t = F.regexp_replace(t, f"(?iU){pattern}", " ")
+        t = F.regexp_replace(t, "(?iu)" + pattern.replace(r"\s", SQL_SPACE).replace(r"\w", SQL_WORD) if sql else f"(?iU){pattern}", " ")
     cut = t
     for separator in reversed(TITLE_SEPARATORS):
         head = _strip(F.substring_index(t, separator, 1), " ;,–—-")
         cut = F.when(F.contains(t, F.lit(separator)) & (F.length(head) >= LEAST_HEAD), head).otherwise(cut)
-    cut = _strip(squeeze(cut), " ;,:–—-")
+    cut = _strip(squeeze(cut, space), " ;,:–—-")
     short = F.regexp_replace(F.substring(cut, 1, MOST_TITLE), " [^ ]*$", "")
     return F.when(F.length(cut) > MOST_TITLE, F.concat(short, F.lit(" …"))).otherwise(cut)
 

@@ -145,6 +145,21 @@ def test_odd_entities_are_decoded_as_by_sql(spark, odd_pages, name):
     assert compare(QUERIES[name](spark, sf), con, ORACLE_SQL[name]) == ""
 
 
+def test_title_clean_has_the_classes_and_nulls_of_sql(spark, tmp_path):
+    """Letters after a citation, white space and digits beyond ASCII stay as SQL leaves them; nulls give null."""
+    import duckdb
+
+    odd = ["Bau gem\u00e4\u00df Art. 5 \u00d6ffentlich", "\u3000a \u2003b\u3000", "a\x0bb\x85c\u2028d", "x (AZ: \u0663)", "\u0662025-07-011 x", "gem. \u00a7 3 \u017ft \u212a", "no-break\u00a0space", "<br\x0b/>x", ""]
+    pages = [(i, "http://h/de/1", f"<title>{t}</title>") for i, t in enumerate(odd)] + [(97, None, None), (98, "", "no title")]
+    parts = [(i, t, t, "B") for i, t in enumerate(odd)] + [(96, None, "t", "b"), (97, "n", None, "b"), (98, "n", "t", None)]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(parts, "p_partkey bigint, p_name string, p_type string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for t in ("pages", "part"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert compare(QUERIES["title_clean"](spark, str(tmp_path)), con, ORACLE_SQL["title_clean"]) == ""
+
+
 def test_feed_document_decodes_every_entity(spark, odd_pages):
     import html
     import json
