@@ -6,6 +6,8 @@ each component is one star around its smallest node.  Smallest neighbours are
 aggregates with partial sums before the shuffle, and they meet the links in plain
 joins, which Spark splits where one node holds many of them.  Every round is
 written to the shared checkpoint folder; nothing but two numbers reaches the driver.
+A round has a task for each ``LINKS`` links, so that small tables, of which a round
+makes many, are not dealt over all shuffle partitions where Spark is told to keep these.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .frames import checkpoint, freed
 
+LINKS = 1 << 14
 
 
 def _mirror(links: DataFrame) -> DataFrame:
@@ -25,6 +28,11 @@ def _least(links: DataFrame) -> DataFrame:
     return links.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
 
 
+def _gathered(links: DataFrame, tasks: int) -> DataFrame:
+    """The links without repetition, in so many tasks at most."""
+    return links.coalesce(tasks).distinct().coalesce(tasks)
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = _mirror(links)
     return both.join(_least(both), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
@@ -49,7 +57,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if tuple(state) == before or not state[0]:
             break
         before = tuple(state)
-        now = checkpoint(_small_star(_large_star(now).distinct()).distinct())
+        tasks = -(-state[0] // LINKS)
+        now = checkpoint(_gathered(_small_star(_gathered(_large_star(now.coalesce(tasks)), tasks)), tasks))
     else:
         raise RuntimeError(f"components: not done after {rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -309,20 +309,20 @@ def near_duplicates(docs: DataFrame, p: Plan, *, id_col: str = "doc_id", text_co
     loose = components(near.select("u", "v")).withColumnRenamed("component", "loose")
     members = checkpoint(loose.join(nodes.select("node", "row", "n_shingles"), "node"))
     sizes = members.groupBy("loose").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
-    several = sizes.where(_blocks("n", "shingles") > 1).select("loose")
+    # few enough to be sent: one for BLOCK sets, or BLOCK_SHINGLES shingles, at most
+    several = F.broadcast(sizes.where(_blocks("n", "shingles") > 1).select("loose"))
+    large = members.join(several, "loose", "left_semi").select("loose", "node", "n_shingles")
     texts = members.join(pairs, F.col("row.doc_id").eqNullSafe(pairs["doc_id"]) & (F.col("row.text_key") == pairs["text_key"])).select("loose", "node", "n_shingles", "text")
     texts = checkpoint(texts.dropDuplicates(["node"]))
     # large components: the link of each node with its best hub, on full sets
-    best = near.join(members.select(F.col("node").alias("u"), "loose").join(several, "loose"), "u").groupBy("u").agg(F.max(F.struct("agree", "v"))["v"].alias("v"))
+    best = near.join(large.select(F.col("node").alias("u")), "u").groupBy("u").agg(F.max(F.struct("agree", "v"))["v"].alias("v"))
     both = best.join(texts.select(F.col("node").alias("u"), "text"), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("other")), "v")
     sure = checkpoint(both.select("u", "v", "text", "other").mapInArrow(_confirm(p), "u bigint, v bigint"))
     joined = components(sure).withColumnRenamed("component", "class")
-    placed = texts.join(several, "loose", "left_semi").join(joined, "node", "left").select("loose", "node", "n_shingles", F.coalesce("class", "node").alias("class"))
-    counts = placed.groupBy("loose", "class").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
-    top = counts.groupBy("loose").agg(F.max(F.struct("n", "class"))["class"].alias("top"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"))
-    main = counts.join(top.select("loose", F.col("top").alias("class")), ["loose", "class"]).select("loose", F.col("n").alias("main_n"), F.col("shingles").alias("main_shingles"))
-    split = top.join(main, "loose").select("loose", "top", _blocks("main_n", "main_shingles").alias("mains"), (F.col("n") - F.col("main_n")).alias("rest_n"), (F.col("shingles") - F.col("main_shingles")).alias("rest_shingles"))
-    split = split.select("loose", "top", "mains", _blocks("rest_n", "rest_shingles").alias("rest"))
+    counts = large.join(joined, "node", "left").groupBy("loose", F.coalesce("class", "node").alias("class")).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    top = counts.groupBy("loose").agg(F.max(F.struct("n", "class", "shingles")).alias("main"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"))
+    split = top.select("loose", F.col("main.class").alias("top"), _blocks("main.n", "main.shingles").alias("mains"), (F.col("n") - F.col("main.n")).alias("rest_n"), (F.col("shingles") - F.col("main.shingles")).alias("rest_shingles"))
+    split = F.broadcast(split.select("loose", "top", "mains", _blocks("rest_n", "rest_shingles").alias("rest")))
     known = joined.select("node", "class")
     dealt = texts.join(split, "loose", "left").join(known, "node", "left").select("loose", "node", "text", F.coalesce(F.coalesce("class", "node") == F.col("top"), F.lit(False)).alias("main"), F.coalesce("rest", F.lit(1)).alias("rest"), F.coalesce("mains", F.lit(0)).alias("mains"))
     links = _dealt(dealt).groupBy("loose", "i", "j").applyInArrow(_links(p), "u bigint, v bigint")

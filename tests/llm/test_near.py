@@ -42,6 +42,34 @@ def test_components_without_links(spark):
     assert components.components(spark.createDataFrame([(1, 1)], "u bigint, v bigint")).count() == 0
 
 
+@pytest.mark.parametrize(("per_task", "most"), [(components.LINKS, 1), (100, 4)])
+def test_rounds_of_few_links_have_few_tasks(spark, monkeypatch, per_task, most):
+    """A round is dealt out by its links, not by the shuffle partitions, where Spark keeps all of these."""
+    rng = random.Random(4)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)] + [(1000 + i, 1001 + i) for i in range(60)]
+    real, parts = components.checkpoint, []
+
+    def counted(df):
+        out = real(df)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(components, "checkpoint", counted)
+    monkeypatch.setattr(components, "LINKS", per_task)
+    held = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in held}
+    try:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+        found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    real_links = [(a, b) for a, b in links if a != b]
+    assert found == groups({n for pair in real_links for n in pair}, real_links)
+    assert parts[0] == 23 and len(parts) > 2 and max(parts[1:]) <= most, parts
+
+
 def shingles(text, n):
     lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", lower)
