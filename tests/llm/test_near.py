@@ -1,6 +1,7 @@
 """Components, MinHash near-duplicates and embedding links against brute force."""
 
 import os
+import pickle
 import random
 import re
 import time
@@ -237,6 +238,47 @@ def test_cover_tree_levels():
                 assert sorted(members) == sorted(v for j in below for v in tree.levels[k + 1].members(j))
 
 
+def planted(tree, weight, reach):
+    """A tree as it is sent: packed and unpacked."""
+    grown = cover_tree.Tree(cover_tree.unit(tree), weight, reach)
+    return grown.order, cover_tree.Vectors(*grown.packed(tree))
+
+
+@pytest.mark.parametrize(("width", "copies", "near", "most"), [(64, 300, 0.08, 0.05), (64, 2_000, 0.16, 1.3), (12, 300, 0.08, 1.3)])
+def test_links_of_vectors_without_structure(width, copies, near, most):
+    """Vectors that no radius tells apart, with copies of one of them: all links, and few pairs of which all numbers are multiplied."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(5_000, width))
+    x[:copies] = x[0] + near * x[:copies]
+    x = rng.permutation(x)
+    weight = rng.integers(1, 4, len(x))
+    u = cover_tree.unit(x)
+    linked = u @ u.T >= 0.95
+    np.fill_diagonal(linked, False)
+    turn = np.linalg.eigh(u.T @ u)[1][:, ::-1]
+    reach = float(np.sqrt(2 - 2 * 0.95))
+    (na, a), (nb, b) = planted(x[:2_500], weight[:2_500], reach), planted(x[2_500:], weight[2_500:], reach)
+    count, pairs = np.zeros(len(x), np.int64), []
+    for left, p, right, q in ((na, a, na, a), (na, a, 2_500 + nb, b), (2_500 + nb, b, 2_500 + nb, b)):
+        links = cover_tree.Links(p, q, 0.95, turn)
+        assert links.whole < most * len(left) * len(right)
+        mine, other, found = links.result()
+        count[left] += mine
+        if p is not q:
+            count[right] += other
+        names = left if p is q else np.concatenate([left, right])
+        pairs += names[found].tolist()
+    assert (count == linked @ weight).all()
+    assert groups(range(len(x)), pairs) == groups(range(len(x)), np.argwhere(linked).tolist())
+
+
+def test_a_tree_is_sent_in_few_bytes():
+    """A vector is sent to many other parts: its levels add little to its numbers."""
+    x = np.random.default_rng(7).normal(size=(4_000, 64)).astype(np.float32)
+    grown = cover_tree.Tree(cover_tree.unit(x.astype(float)), np.ones(len(x), np.int64))
+    assert len(pickle.dumps(grown.packed(x))) < 1.1 * (x.nbytes + 8 * len(x))
+
+
 def test_rows_that_share_an_id(spark):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (None, [0.0, 1.0]), (None, [-1.0, 0.0]), (3, [1.0, 0.0, 0.0])]
     found = cover_tree.similarity_components(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
