@@ -10,13 +10,15 @@ with halving radii, every node with its exact covering radius.  Pairs of parts a
 dropped by their covering radii, the others are traversed from the roots down.  A pair
 of nodes is dropped when its centres are further apart than both covering radii and the
 threshold together, counted whole when even its furthest vectors are within the
-threshold, and opened otherwise; the last level compares vectors in double precision.
+threshold, and opened otherwise.  Single vectors meet in matrix products, of a few
+leading numbers and the length of the rest where that bound of the cosine tells enough;
+what passes is decided in double precision.
 
-A pair of parts yields link counts and a spanning forest, never its pairs.  Equal
+A pair of parts yields link counts and what connects its vectors, never its pairs.  Equal
 vectors are one node with a weight.  Parts grow with the table up to ``LARGEST``
-vectors, so each vector meets a bounded number of parts up to 16 times that; beyond,
-the bounds must prune.  For vectors without any structure in many dimensions none can,
-and nearly all pairs are compared, in matrix products.
+vectors, so each vector meets a bounded number of parts up to 8 times that; beyond,
+the bounds must prune.  For vectors without any structure in many dimensions no radius
+can, and nearly all pairs are compared in their leading numbers.
 
 Vectors meet those of their own number of dimensions.  Vectors that are null, zero, or
 hold null or non-finite numbers link with nothing.  Every row is judged by its own
@@ -35,10 +37,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import checkpoint
+from .frames import checkpoint, row_by_row
 
 #: Vectors in a part at least and at most, top cells, and rows of the sample that the top centres come from.
-CELL, LARGEST, TOP, SAMPLE = 4_096, 131_072, 512, 4_096
+CELL, LARGEST, TOP, SAMPLE = 4_096, 65_536, 512, 4_096
 #: Shells that a cell is split into by distance from its centre, before a hash splits them further.
 SHELLS = 64
 _SLACK = 1e-6
@@ -217,7 +219,7 @@ class Vectors:
         return out
 
 
-def _unpacked(blob: bytes) -> tuple[np.ndarray, Vectors]:
+def _unpacked(blob: pa.Buffer) -> tuple[np.ndarray, Vectors]:
     node, packed = pickle.loads(blob)
     return node, Vectors(*packed)
 
@@ -538,19 +540,21 @@ def _plant(number: str, reach: float):
 
 
 def _traverse(threshold: float, turns):
+    def met(left: pa.Scalar, right: pa.Scalar) -> pa.RecordBatch:
+        nb, b = _unpacked(right.as_buffer())
+        na, a = _unpacked(left.as_buffer()) if left.is_valid else (nb, b)
+        ca, cb, pairs = Links(a, b, threshold, turns.value.get(a.raw.shape[1])).result()
+        names = na if a is b else np.concatenate([na, nb])
+        count = ca if a is b else np.concatenate([ca, cb])
+        some = np.flatnonzero(count)
+        u = np.concatenate([names[some], names[pairs[:, 0]]])
+        v = np.concatenate([names[some], names[pairs[:, 1]]])
+        links = np.concatenate([count[some], np.zeros(len(pairs), np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(links)], names=["u", "v", "links"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for same, left, right in zip(*(batch.column(i) for i in range(3))):
-                na, a = _unpacked(left.as_py())
-                nb, b = (na, a) if same.as_py() else _unpacked(right.as_py())
-                ca, cb, pairs = Links(a, b, threshold, turns.value.get(a.raw.shape[1])).result()
-                names = na if same.as_py() else np.concatenate([na, nb])
-                count = ca if same.as_py() else np.concatenate([ca, cb])
-                some = np.flatnonzero(count)
-                u = np.concatenate([names[some], names[pairs[:, 0]]])
-                v = pa.array(np.concatenate([names[some], names[pairs[:, 1]]]))
-                links = np.concatenate([count[some], np.zeros(len(pairs), np.int64)])
-                yield pa.RecordBatch.from_arrays([pa.array(u), v, pa.array(links)], names=["u", "v", "links"])
+            yield from map(met, *batch.columns)
 
     return run
 
@@ -623,22 +627,22 @@ def similarity_components(vectors: DataFrame, *, threshold: float = 0.95, id_col
     cell = cell or min(LARGEST, max(CELL, sum(widths.values()) // 8))
     reach = float(np.sqrt(2 - 2 * threshold)) + _SLACK
     sent = _centres(nodes, widths, number, cell, top, sample)
-    placed = checkpoint(nodes.select("node", "weight", "vector").mapInArrow(_assign(spark.sparkContext.broadcast(sent), number), "node bigint, weight bigint, vector binary, top int, far double"))
+    assigned = nodes.select("node", "weight", "vector").mapInArrow(_assign(spark.sparkContext.broadcast(sent), number), "node bigint, weight bigint, vector binary, top int, far double")
+    placed = checkpoint(assigned.select("top", "far"))  # vectors aren't written again
     steps = [i / SHELLS for i in range(1, SHELLS)]
     sizes = {r["top"]: r for r in placed.groupBy("top").agg(F.count("*").alias("n"), F.percentile_approx("far", steps, 1000).alias("cuts")).collect()}
     shells = {t: min(SHELLS, -(-r["n"] // cell)) for t, r in sizes.items()}
     cuts = {t: sorted({r["cuts"][i * SHELLS // shells[t] - 1] for i in range(1, shells[t])}) for t, r in sizes.items()}
-    shelled = placed.withColumn("shell", _shell(cuts))
-    counts = shelled.groupBy("top", "shell").agg(F.count("*").alias("n")).select("top", "shell", F.ceil(F.col("n") / cell).cast("int").alias("parts"))
-    part = F.concat_ws(":", "shell", F.pmod(F.xxhash64("node"), F.col("parts")))
-    dealt = shelled.join(F.broadcast(counts), ["top", "shell"]).select("node", "weight", "vector", "top", "far", part.alias("part"))
+    counts = placed.withColumn("shell", _shell(cuts)).groupBy("top", "shell").agg(F.count("*").alias("n")).select("top", "shell", F.ceil(F.col("n") / cell).cast("int").alias("parts"))
+    part = F.concat_ws(":", "shell", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))))
+    dealt = assigned.withColumn("shell", _shell(cuts)).join(F.broadcast(counts), ["top", "shell"], "left").select("node", "weight", "vector", "top", "far", part.alias("part"))
     trees = checkpoint(dealt.groupBy("top", "part").applyInArrow(_plant(number, reach), "top int, part string, inner double, outer double, tree binary"))
     pairs = []
     for first, centres, _ in sent.values():
         apart = _distance(centres, centres)
         pairs += [(first + a, first + b, float(apart[a, b]) if a != b else 0.0) for a in range(len(centres)) for b in range(a, len(centres)) if first + a in sizes and first + b in sizes]
     near = spark.createDataFrame(pairs, "a int, b int, apart double")
-    # names of the pairs first; trees join them last, each pair's two on the second one's key
+    # names of the pairs first; trees join them last, each pair's two on the second one's key, a tree with itself once
     names = trees.select("top", "part", "inner", "outer")
     left = names.select(F.col("top").alias("a"), F.col("part").alias("pa"), F.col("inner").alias("ia"), F.col("outer").alias("oa"))
     right = names.select(F.col("top").alias("b"), F.col("part").alias("pb"), F.col("inner").alias("ib"), F.col("outer").alias("ob"))
@@ -649,10 +653,11 @@ def similarity_components(vectors: DataFrame, *, threshold: float = 0.95, id_col
     sides = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("pa", "pb"), ("b", "a"), ("pb", "pa"))]
     met = met.select(*sides)
     same = (F.col("a") == F.col("b")) & (F.col("pa") == F.col("pb"))
-    with_left = met.join(trees.select(F.col("top").alias("a"), F.col("part").alias("pa"), F.col("tree").alias("ta")), ["a", "pa"])
+    with_left = met.join(trees.select(F.col("top").alias("a"), F.col("part").alias("pa"), F.col("tree").alias("ta")), ["a", "pa"]).select("a", "pa", "b", "pb", F.when(~same, F.col("ta")).alias("ta"))
     both = with_left.join(trees.select(F.col("top").alias("b"), F.col("part").alias("pb"), F.col("tree").alias("tb")), ["b", "pb"])
     turns = spark.sparkContext.broadcast({centres.shape[1]: turn for _, centres, turn in sent.values()})
-    found = checkpoint(both.select(same.alias("same"), "ta", "tb").mapInArrow(_traverse(threshold, turns), "u bigint, v bigint, links bigint"))
+    with row_by_row(spark):  # two trees are as large as many rows
+        found = checkpoint(both.select("ta", "tb").mapInArrow(_traverse(threshold, turns), "u bigint, v bigint, links bigint"))
     counts = found.where("links > 0").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     component = components(found.where("links = 0").select("u", "v"))
     named = nodes.join(counts, "node", "left").join(component, "node", "left").select("vector", "id", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -65,6 +69,17 @@ def freed(df: DataFrame) -> DataFrame:
         conf.set(FREE_SHUFFLES, before)
 
 
+@contextmanager
+def row_by_row(spark: SparkSession) -> Iterator[None]:
+    """Frames that run within get their rows in Python one at a time."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read back: cuts lineage, survives lost executors, frees the disk of its shuffles."""
     checkpoint_dir(df.sparkSession)
